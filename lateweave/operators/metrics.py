@@ -13,15 +13,15 @@ KEY = ["split", "qid"]
 
 def qrels_from_gold(queries: DataFrame, gold: str = "gold_ids") -> DataFrame:
     """Explode the gold lists: distinct ``(split, qid, doc_id)`` with ``rel`` 1."""
-    return (queries.select(*KEY, F.explode(gold).cast("string").alias("doc_id"))
+    return (queries.select(*KEY, F.explode(F.col(gold).cast("array<string>")).alias("doc_id"))
             .where(F.col("doc_id").isNotNull())
             .dropDuplicates().withColumn("rel", F.lit(1)))
 
 
 def exclusions_from_lists(queries: DataFrame, col: str = "excluded_ids") -> DataFrame:
     """Exploded exclusion lists; no column means no exclusions."""
-    ids = F.col(col) if col in queries.columns else F.array().cast("array<string>")
-    return (queries.select(*KEY, F.explode(ids).cast("string").alias("doc_id"))
+    ids = F.col(col) if col in queries.columns else F.array()
+    return (queries.select(*KEY, F.explode(ids.cast("array<string>")).alias("doc_id"))
             .dropDuplicates())
 
 

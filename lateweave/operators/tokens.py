@@ -40,8 +40,8 @@ def pack_tokens(tokens: DataFrame, by: list[str], extra: list[str] | None = None
     extra = extra or []
     items = F.sort_array(F.collect_list(F.struct("pos", "v", *extra)))
     packed = tokens.groupBy(*by).agg(items.alias("_t"))
-    return packed.select(*by, F.transform("_t", lambda t: t["v"]).alias("toks"),
-                         *[F.transform("_t", lambda t, c=c: t[c]).alias(c) for c in extra])
+    # A field of an array of structs is the array of that field.
+    return packed.select(*by, F.col("_t.v").alias("toks"), *[F.col(f"_t.{c}") for c in extra])
 
 
 def unpack_tokens(packed: DataFrame, by: list[str]) -> DataFrame:

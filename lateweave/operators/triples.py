@@ -49,12 +49,13 @@ def resolve_record(records: DataFrame, dim: DataFrame, row_key: list[str] | None
         *keep,
         join_words(records, "query").alias("query"),
         F.when(is_pair, null_to_empty(safe_get(pos0, 0))).otherwise("").alias("_prefix"),
-        F.when(is_pair, safe_get(pos0, 1)).otherwise("").alias("doc_id"),
+        F.when(is_pair, safe_get(pos0, 1)).otherwise("").alias("_id"),
         F.when(_size(neg0) > 1, F.concat(safe_get(neg0, 0), F.lit(" "), safe_get(neg0, 1)))
         .when(_size(neg0) == 1, safe_get(neg0, 0)).otherwise("").alias("negative"),
     )
-    joined = left_join_hot(flat, dim, "doc_id", row_key, hot_rows)
-    text = F.coalesce(F.col("content"), F.col("doc_id"))
+    texts = dim.select(F.col("doc_id").alias("_id"), F.col("content").alias("_text"))
+    joined = left_join_hot(flat, texts, "_id", row_key, hot_rows)
+    text = F.coalesce(F.col("_text"), F.col("_id"))
     positive = F.when(F.col("_prefix") != "", F.concat("_prefix", F.lit(" "), text)).otherwise(text)
     return joined.select(*keep, "query", positive.alias("positive"), "negative")
 

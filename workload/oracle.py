@@ -138,10 +138,10 @@ _TURNS = """turns AS (
     WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 _VL = f"""flat AS (
-    SELECT conv_id, turn, 'turn ' || turn || ' ' || query AS query,
-           CASE WHEN turn = 0 THEN ' ' || chr(10) || answer || ' ' || chr(10)
-                ELSE trim(' ' || chr(10) || 're: ' || answer || ' ' || chr(10), {_STRIP}) END AS positive,
-           CASE WHEN turn = 2 THEN query || ' ' || chr(10) ELSE trim(query, {_STRIP}) END AS negative
+    SELECT conv_id, turn, 'turn ' || turn || ' ' || turns.query AS query,
+           CASE WHEN turn = 0 THEN chr(8195) || chr(10) || answer || chr(8195) || chr(10)
+                ELSE trim(chr(8195) || chr(10) || 're: ' || answer || chr(8195) || chr(10), {_STRIP}) END AS positive,
+           CASE WHEN turn = 2 THEN turns.query || chr(8195) || chr(10) ELSE trim(turns.query, {_STRIP}) END AS negative
     FROM turns),
   vl AS (SELECT * FROM flat WHERE length(positive) > 10 AND length(negative) > 10)"""
 

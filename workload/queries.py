@@ -26,7 +26,9 @@ from lateweave.operators.ranking import display_ranking, exclude_ids, topk_per_q
 from lateweave.operators.scoring import score_topk
 from lateweave.operators.tokens import embed_tokens, embedding_drift, truncate_tokens
 from lateweave.operators.trainlog import every_kth, trailing_mean
-from lateweave.operators.triples import explode_product, last_wins_dim, project_triple
+from lateweave.operators.triples import (
+    explode_product, last_wins_dim, project_triple, resolve_record,
+)
 from lateweave.plans.build_triples import hq_triples, materialize, merge_tables, vl_triples
 from lateweave.plans.evaluate import evaluate, evaluate_run, rank_queries, report
 from lateweave.schemas import DOMAINS, PROMPTED_RECORD
@@ -274,7 +276,7 @@ def _pairs(spark, sf_dir):
     """Judged pairs from labels: repeated where both grades agree."""
     rows = t.table(spark, sf_dir, "labels")
     return rows.select(F.lit("all").alias("split"), F.col("doc_id").cast("string").alias("qid"),
-                       F.explode(F.array("quality", "toxic")).cast("string").alias("doc_id"))
+                       F.explode(F.array("quality", "toxic").cast("array<string>")).alias("doc_id"))
 
 
 def _benchmark_queries(spark, sf_dir):
@@ -355,7 +357,6 @@ def resolve_hot_ids(spark, sf_dir):
     hot = F.array(F.array(F.lit("about"), F.lit("7")))
     records = t.id_records(spark, sf_dir).withColumn(
         "pos", F.when(F.col("query")[0] == "in en", hot).otherwise(F.col("pos")))
-    from lateweave.operators.triples import resolve_record
     return resolve_record(records, dim, row_key=["doc_id"], hot_rows=50)
 
 
@@ -378,7 +379,7 @@ def prompted_queries(spark, sf_dir):
 @query
 def strip_text(spark, sf_dir):
     c = t.table(spark, sf_dir, "conversations")
-    pad = F.concat(F.lit("　\x1c "), F.col("text"), F.lit(" \x85\n"))
+    pad = F.concat(F.lit("\u3000\x1c "), F.col("text"), F.lit("\u2029\x85\n"))
     return c.select("conv_id", "turn", py_strip(pad).alias("text"),
                     null_to_empty(F.when(F.col("role") == "user", F.col("role"))).alias("role"))
 

@@ -110,7 +110,7 @@ def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Outer whitespace is put around both; pairs lose it, one-element lists keep it.
     """
-    pad = F.lit(" \n")
+    pad = F.lit("\u2003\n")
     return answered_turns(spark, sf_dir).select(
         "conv_id", "turn",
         F.array(F.lit("turn"), F.col("turn").cast("string"), F.col("query")).alias("query"),
