@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lateweave.functions.gate import Gate, gate_block, gate_value, init_gate
-from lateweave.functions.vectors import MASKED_SCORE, MIN_WEIGHT_SUM, array_sum, clamp_min, dot
+from lateweave.functions.gate import Gate, gate_block, init_gate
+from lateweave.functions.vectors import MASKED_SCORE, MIN_WEIGHT_SUM
+from lateweave.operators.joins import HOT_ROWS, left_join_hot
 from lateweave.operators.scoring import token_rows
 from lateweave.schemas import STEP_LOG
 from lateweave.session import scratch_path
@@ -34,40 +36,77 @@ def align_triple(triples: DataFrame, queries: DataFrame, docs: DataFrame) -> Dat
             .select("triple_id", "q_toks", "p_toks", "n_toks"))
 
 
-def gate_features(aligned: DataFrame) -> DataFrame:
-    """``(triple_id, q_toks, delta)``: per query token, best positive minus best negative match.
+_VECTORS = "array<array<float>>"
+
+
+def _best(q: np.ndarray, toks: np.ndarray) -> np.ndarray:
+    return (q @ toks.T).max(axis=1) if len(toks) else np.full(len(q), MASKED_SCORE)
 
-    The token vectors are frozen, so this is all that fitting ever needs of the
-    documents. One row in, one row out, by Arrow batches.
-    """
-    kind = aligned.schema["triple_id"].dataType.simpleString()
-    schema = f"triple_id {kind}, q_toks array<array<float>>, delta array<double>"
 
-    def best(q: np.ndarray, toks: np.ndarray) -> np.ndarray:
-        return (q @ toks.T).max(axis=1) if len(toks) else np.full(len(q), MASKED_SCORE)
+def _with_best(rows: DataFrame, keep: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Replace token columns by best matches: ``pairs`` maps output to (query, document).
+
+    One row in, one row out, by Arrow batches.
+    """
+    used = sorted({c for pair in pairs.values() for c in pair} - set(keep))
+    source = rows.select(*keep, *[F.col(c).cast(_VECTORS).alias(c) for c in used])
+    schema = T.StructType([source.schema[c] for c in keep]
+                          + [T.StructField(o, T.ArrayType(T.DoubleType())) for o in pairs])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [token_rows(batch.column(c), "float64") for c in ("q_toks", "p_toks", "n_toks")]
-            ends = [np.cumsum(n) for _, n in sides]
-            deltas = []
-            for i in range(batch.num_rows):
-                q, p, n = (t[e[i] - c[i]:e[i]] for (t, c), e in zip(sides, ends))
-                deltas.append(best(q, p) - best(q, n))
+            side = {}
+            for c in {c for pair in pairs.values() for c in pair}:
+                toks, counts = token_rows(batch.column(c), "float64")
+                side[c] = np.split(toks, np.cumsum(counts)[:-1])
+            out = [pa.array([_best(q, d) for q, d in zip(side[a], side[b])],
+                            pa.list_(pa.float64())) for a, b in pairs.values()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("triple_id"), batch.column("q_toks"),
-                 pa.array(deltas, pa.list_(pa.float64()))],
-                names=["triple_id", "q_toks", "delta"])
+                [*(batch.column(c) for c in keep), *out], names=[*keep, *pairs])
+
+    return source.mapInArrow(run, schema)
 
-    return (aligned.select("triple_id", *[
-        F.col(c).cast("array<array<float>>").alias(c) for c in ("q_toks", "p_toks", "n_toks")])
-        .mapInArrow(run, schema))
 
+def _minus(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
 
-def margin(weights: Column, delta: Column, mode: str = "unnorm") -> Column:
-    """Positive minus negative score of one triple from its weights and deltas."""
-    x = dot(weights, delta)
-    return x / clamp_min(array_sum(weights), MIN_WEIGHT_SUM) if mode == "norm" else x
+
+def gate_features(aligned: DataFrame) -> DataFrame:
+    """``(triple_id, q_toks, delta)``: per query token, best positive minus best negative match.
+
+    For triples whose vectors are in the row already. The vectors are frozen, so this is
+    all that fitting ever needs of the documents.
+    """
+    rows = aligned.withColumn("q_toks", F.col("q_toks").cast(_VECTORS))
+    best = _with_best(rows, ["triple_id", "q_toks"],
+                      {"_p": ("q_toks", "p_toks"), "_n": ("q_toks", "n_toks")})
+    return best.select("triple_id", "q_toks", _minus("_p", "_n").alias("delta"))
+
+
+def triple_features(triples: DataFrame, queries: DataFrame, docs: DataFrame,
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same features from ids: ``(triple_id, qid, pos_id, neg_id)`` and two vector tables.
+
+    Documents hold the most bytes, so they are shuffled once, to the positives and the
+    negatives together, and leave as one number per query token; a document or query
+    that very many triples share is salted. A triple without all three vectors is dropped.
+    """
+    sides = triples.select("triple_id", "qid", F.explode(F.array(
+        F.struct(F.lit(1).alias("side"), F.col("pos_id").alias("doc_id")),
+        F.struct(F.lit(0).alias("side"), F.col("neg_id").alias("doc_id")))).alias("_s")).select(
+        "triple_id", "qid", "_s.*")
+    row_key = ["triple_id", "side"]
+    q = queries.select("qid", F.col("toks").cast(_VECTORS).alias("q_toks"))
+    d = docs.select("doc_id", F.col("toks").alias("d_toks"))
+    joined = left_join_hot(sides, q, "qid", row_key, hot_rows, how="inner")
+    joined = left_join_hot(joined, d, "doc_id", row_key, hot_rows, how="inner", count_on=sides)
+    best = _with_best(joined, ["triple_id", "side", "q_toks"], {"best": ("q_toks", "d_toks")})
+    # The query's vectors travel once, with the positive side.
+    once = F.struct("best", F.when(F.col("side") == 1, F.col("q_toks")).alias("q_toks"))
+    both = best.groupBy("triple_id").agg(
+        F.max_by(once, "side").alias("_p"), F.min_by("best", "side").alias("_n"),
+        F.count(F.lit(1)).alias("_sides")).where(F.col("_sides") == 2)
+    return both.select("triple_id", "_p.q_toks", _minus("_p.best", "_n").alias("delta"))
 
 
 def logistic_loss(x: Column) -> Column:
@@ -75,12 +114,17 @@ def logistic_loss(x: Column) -> Column:
     return F.greatest(-x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
+def score_loss(scored: DataFrame, pos: str, neg: str) -> DataFrame:
+    """One row: the mean loss of two score columns, and the number of rows."""
+    x = F.col(pos) - F.col(neg)
+    return scored.agg(F.avg(logistic_loss(x)).alias("loss"),
+                      F.count(F.lit(1)).alias("n_triples"))
+
+
 def pairwise_loss(features: DataFrame, gate: Gate, mode: str = "unnorm") -> DataFrame:
-    """One row: the mean loss over triples and their number."""
-    w = F.transform("q_toks", lambda t: gate_value(t, gate))
-    x = features.select(margin(w, F.col("delta"), mode).alias("x"))
-    return x.agg(F.avg(logistic_loss(F.col("x"))).alias("loss"),
-                 F.count(F.lit(1)).alias("n_triples"))
+    """One row: the mean loss of a gate over triples and their number."""
+    return (_partial_sums(features, gate, mode).where(F.col("param") == "loss")
+            .select((F.col("total") / F.col("n")).alias("loss"), F.col("n").alias("n_triples")))
 
 
 def _gradient_sums(q: np.ndarray, delta: np.ndarray, counts: np.ndarray, gate: Gate,
@@ -181,8 +225,12 @@ def fit_gate(features: DataFrame, gate: Gate | None = None, dim: int | None = No
     """
     spark = features.sparkSession
     path = scratch_path(spark, "gate-features")
-    (features.withColumn("batch", F.pmod(F.xxhash64("triple_id"), F.lit(batches)).cast("int"))
-     .write.partitionBy("batch").parquet(path))
+    batched = features.withColumn("batch", F.pmod(F.xxhash64("triple_id"), F.lit(batches)).cast("int"))
+    if batches > 1:     # few files per batch folder, and no batch in a single task
+        per_batch = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
+        batched = batched.repartition("batch", F.pmod(F.xxhash64(F.lit(1), "triple_id"),
+                                                      F.lit(per_batch)))
+    batched.write.partitionBy("batch").parquet(path)
     table = spark.read.parquet(path)
     gate = gate or init_gate(dim)
     theta = _flat(gate)

@@ -21,19 +21,26 @@ def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def left_join_hot(left: DataFrame, right: DataFrame, key: str,
-                  row_key: list[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left join on ``key`` where some keys may hold a large share of the left rows.
+                  row_key: list[str] | None = None, hot_rows: int = HOT_ROWS,
+                  last_by: list[str] | None = None, how: str = "left",
+                  count_on: DataFrame | None = None) -> DataFrame:
+    """Join on ``key`` where some keys may hold a large share of the left rows.
 
     Keys with more than ``hot_rows`` left rows are spread over
     ``ceil(rows / hot_rows)`` salts, and only their right rows are repeated, once per
     salt. There are at most ``left rows / hot_rows`` such keys, which bounds the
-    broadcast list. Counting combines before its shuffle and reads the key alone.
+    broadcast list. Counting combines before its shuffle and reads the key alone, of
+    ``left`` or of a cheaper table ``count_on`` with the same keys.
+
+    ``last_by`` first reduces the right side to the last row per key in the order of
+    those columns. That happens on the salted key, so the one shuffle of the right side
+    serves both the reduction and the join.
 
     ``row_key`` names columns that tell left rows apart; without it the salt is
     ``monotonically_increasing_id``, which repeats exactly on a task retry only when
     ``left`` comes from a scan or a checkpoint.
     """
-    hot = (left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = ((left if count_on is None else count_on).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
            .where((F.col("_n") > hot_rows) & F.col(key).isNotNull())
            .select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
     spread = F.xxhash64(*row_key) if row_key else F.monotonically_increasing_id()
@@ -47,4 +54,7 @@ def left_join_hot(left: DataFrame, right: DataFrame, key: str,
         .withColumn("_salt", F.explode(F.sequence(
             F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
         .drop("_salts"))
-    return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
+    if last_by:
+        salted_right = last_wins(salted_right, [key, "_salt"], [F.col(c) for c in last_by]).drop(
+            *last_by)
+    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")

@@ -29,7 +29,7 @@ def qrels_from_pairs(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     """Distinct pairs of the kept queries, grades ignored, ``rel`` 1."""
     return (pairs.select(*KEY, F.col("doc_id").cast("string").alias("doc_id"))
             .dropDuplicates()
-            .join(queries.select(*KEY).dropDuplicates(), KEY, "left_semi")
+            .join(queries.select(*KEY), KEY, "left_semi")
             .withColumn("rel", F.lit(1)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,30 +49,45 @@ def unpack_tokens(packed: DataFrame, by: list[str]) -> DataFrame:
     return packed.select(*by, F.posexplode("toks").alias("pos", "v"))
 
 
+def vector_lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """``[T, D]`` arrays to one ``array<array<float>>`` column, without Python lists."""
+    counts = [len(a) for a in arrays]
+    flat = [np.asarray(a, dtype="float32") for a in arrays if len(a)]
+    width = flat[0].shape[1] if flat else 0
+    values = np.concatenate(flat).ravel() if flat else np.empty(0, dtype="float32")
+    vectors = pa.ListArray.from_arrays(
+        pa.array(np.arange(sum(counts) + 1, dtype="int32") * width), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), vectors)
+
+
 def embed_tokens(texts: DataFrame, make_encoder: Callable[[], Encoder], id_cols: list[str],
                  text_col: str = "text", max_tokens: int | None = None,
-                 batch_size: int = 32) -> DataFrame:
+                 batch_size: int = 32, partitions: int | None = None) -> DataFrame:
     """Texts to packed token vectors with a user's encoder, in Arrow batches, no shuffle.
 
     ``make_encoder`` runs once per task and returns a function from a list of texts to
     one ``[T, D]`` array each; it should cache a heavy model itself, so that a reused
     Python worker loads it once. ``max_tokens`` is the encoder's length limit.
+    ``partitions`` first spreads the texts of a small or badly split table over more tasks.
     """
     source = texts.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
+    if partitions:
+        source = source.repartition(partitions, *id_cols)
     schema = T.StructType(
         [texts.schema[c] for c in id_cols]
         + [T.StructField("toks", T.ArrayType(T.ArrayType(T.FloatType())))])
 
-    def encode(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start:start + batch_size]
-                embs = [np.asarray(e, dtype="float32")[:max_tokens]
-                        for e in encoder(part["_text"].tolist())]
-                yield part[id_cols].assign(toks=[list(e) for e in embs])
-
-    return source.mapInPandas(encode, schema)
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                toks = [e[:max_tokens] for e in encoder(part.column("_text").to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in id_cols), vector_lists(toks)],
+                    names=[*id_cols, "toks"])
+
+    return source.mapInArrow(encode, schema)
 
 
 def embedding_drift(old: DataFrame, new: DataFrame, max_head: float = MAX_HEAD_DRIFT,

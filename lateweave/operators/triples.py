@@ -34,10 +34,12 @@ def min_length_filter(triples: DataFrame, n: int = MIN_TEXT) -> DataFrame:
     return triples.where(longer_than(F.col("positive"), n) & longer_than(F.col("negative"), n))
 
 
-def resolve_record(records: DataFrame, dim: DataFrame, row_key: list[str] | None = None,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+def resolve_record(records: DataFrame, documents: DataFrame, order: list[str],
+                   row_key: list[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Records whose positives are ``[prefix, id]``: look the id up, keep it when unknown.
 
+    ``documents`` holds ``id, content``; a repeated id resolves to its last row by ``order``.
+
     A positive counts only as a pair; prefix and text are joined by one space when the
     prefix is not empty. A two-element negative is joined by a space as it is, a
     one-element negative is itself. Only flat strings reach the join.
@@ -53,8 +55,9 @@ def resolve_record(records: DataFrame, dim: DataFrame, row_key: list[str] | None
         F.when(_size(neg0) > 1, F.concat(safe_get(neg0, 0), F.lit(" "), safe_get(neg0, 1)))
         .when(_size(neg0) == 1, safe_get(neg0, 0)).otherwise("").alias("negative"),
     )
-    texts = dim.select(F.col("doc_id").alias("_id"), F.col("content").alias("_text"))
-    joined = left_join_hot(flat, texts, "_id", row_key, hot_rows)
+    texts = documents.select(F.col("id").cast("string").alias("_id"),
+                             F.col("content").cast("string").alias("_text"), *order)
+    joined = left_join_hot(flat, texts, "_id", row_key, hot_rows, last_by=order)
     text = F.coalesce(F.col("_text"), F.col("_id"))
     positive = F.when(F.col("_prefix") != "", F.concat("_prefix", F.lit(" "), text)).otherwise(text)
     return joined.select(*keep, "query", positive.alias("positive"), "negative")

@@ -16,9 +16,10 @@ from lateweave.sources.readers import (
 from lateweave.sources.writers import materialize_once, write_verified
 
 
-def hq_triples(records: DataFrame, dim: DataFrame, row_key: list[str] | None = None) -> DataFrame:
-    """Records with ids, resolved against ``dim`` and filtered by length."""
-    return min_length_filter(resolve_record(records, dim, row_key))
+def hq_triples(records: DataFrame, documents: DataFrame, order: list[str],
+               row_key: list[str] | None = None) -> DataFrame:
+    """Records with ids, resolved against the documents and filtered by length."""
+    return min_length_filter(resolve_record(records, documents, order, row_key))
 
 
 def vl_triples(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -27,10 +28,11 @@ def vl_triples(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def materialize(spark: SparkSession, config: str, path: str, records: DataFrame,
-                dim: DataFrame | None = None) -> str:
+                documents: DataFrame | None = None, order: list[str] | None = None) -> str:
     """Write the ``hq`` or ``vl`` triples unless they are already there."""
     if config == "hq":
-        return materialize_once(spark, path, TRIPLE_COLUMNS, lambda: hq_triples(records, dim))
+        return materialize_once(spark, path, TRIPLE_COLUMNS,
+                                lambda: hq_triples(records, documents, order))
     if config == "vl":
         return materialize_once(spark, path, TRIPLE_COLUMNS, lambda: vl_triples(records))
     raise ValueError(f"unknown config {config!r}")

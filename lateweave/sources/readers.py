@@ -137,22 +137,19 @@ def load_eval_tables(examples: DataFrame, documents: DataFrame, splits: list[str
     absent from the corpus. ``order`` names row order columns: then a repeated id keeps
     its last row.
     """
-    spark = examples.sparkSession
-    wanted = spark.createDataFrame([(s,) for s in splits or DOMAINS], "split string")
-    present, missing = splits_present(wanted, examples)
+    names = list(splits or DOMAINS)
+    wanted = examples.sparkSession.createDataFrame([(s,) for s in names], "split string")
+    _, missing = splits_present(wanted, examples)
     for row in missing.collect():       # at most one row per requested split
         log.warning("split %r has no queries", row["split"])
+        names.remove(row["split"])
 
     def chosen(df: DataFrame) -> DataFrame:
-        return df.join(present, "split", "left_semi")
-
-    if order:
-        keyed = [F.col(c) for c in order]
-        examples = last_wins(examples.withColumn("id", F.col("id").cast("string")),
-                             ["split", "id"], keyed)
-        documents = last_wins(documents.withColumn("id", F.col("id").cast("string")),
-                              ["split", "id"], keyed)
-    queries, corpus = chosen(query_rows(examples)), chosen(document_rows(documents))
+        # A literal list reaches the scan and prunes partitions by split.
+        df = df.where(F.col("split").isin(names)).withColumn("id", F.col("id").cast("string"))
+        return last_wins(df, ["split", "id"], [F.col(c) for c in order]) if order else df
+
+    queries, corpus = query_rows(chosen(examples)), document_rows(chosen(documents))
     return {"queries": queries.select("split", "qid", "query"), "corpus": corpus,
             "qrels": qrels_from_gold(queries), "exclusions": exclusions_from_lists(queries)}
 

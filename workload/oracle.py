@@ -233,6 +233,8 @@ ORACLE: dict[str, str] = {
     "gate_stats_sample": _stats("stddev_samp"),
     "token_deltas": f"{_FEATURES} SELECT triple_id, pos, round(delta, 6) AS delta FROM delta",
     "gate_pairwise_loss": f"{_FEATURES} {_loss('unnorm')} UNION ALL {_loss('norm')}",
+    "aligned_triple_deltas": f"{_FEATURES} SELECT triple_id, pos, round(delta, 6) AS delta FROM delta",
+    "gate_score_loss": f"{_FEATURES} SELECT loss, n_triples FROM ({_loss('unnorm')})",
     "gate_linear_gradient": f"""{_FEATURES},
       gated AS (SELECT *, {_LINEAR} AS w FROM delta),
       pull AS (SELECT triple_id, -1 / (1 + exp(sum(w * delta))) AS g FROM gated GROUP BY triple_id),

@@ -13,7 +13,8 @@ from lateweave.functions.text import (
 )
 from lateweave.functions.vectors import dot, l2_normalise, maxsim, weighted_maxsim
 from lateweave.operators.gatefit import (
-    align_triple, fit_gate, gate_features, gate_gradient, pairwise_loss,
+    align_triple, fit_gate, gate_features, gate_gradient, pairwise_loss, score_loss,
+    triple_features,
 )
 from lateweave.operators.merge import (
     corpus_counts, limit_batches, merge_sources, seeded_shuffle, source_counts, train_test_split,
@@ -174,12 +175,21 @@ def gate_stats_sample(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    return gate_features(align_triple(*t.token_triples(spark, sf_dir)))
+    return triple_features(*t.token_triples(spark, sf_dir))
+
+
+@query
+def aligned_triple_deltas(spark, sf_dir):
+    return _deltas(gate_features(align_triple(*t.token_triples(spark, sf_dir))))
 
 
 @query
 def token_deltas(spark, sf_dir):
-    return (_features(spark, sf_dir).select("triple_id", F.posexplode("delta").alias("pos", "delta"))
+    return _deltas(_features(spark, sf_dir))
+
+
+def _deltas(features):
+    return (features.select("triple_id", F.posexplode("delta").alias("pos", "delta"))
             .withColumn("delta", F.round("delta", 6)))
 
 
@@ -192,6 +202,19 @@ def gate_pairwise_loss(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def gate_score_loss(spark, sf_dir):
+    """The loss from two score columns: each document against its two successors."""
+    texts = t.packed(spark, sf_dir).select(F.col("id").cast("long").alias("n"), "toks")
+    q = with_gate_weights(texts, t.GATE)
+    pos = texts.select((F.col("n") - 1).alias("n"), F.col("toks").alias("p"))
+    neg = texts.select((F.col("n") - 2).alias("n"), F.col("toks").alias("m"))
+    scored = q.join(pos, "n").join(neg, "n").select(
+        weighted_maxsim(F.col("toks"), F.col("w"), F.col("p"), mode="unnorm").alias("pos"),
+        weighted_maxsim(F.col("toks"), F.col("w"), F.col("m"), mode="unnorm").alias("neg"))
+    return score_loss(scored, "pos", "neg").withColumn("loss", F.round("loss", 6))
+
+
 @query
 def gate_linear_gradient(spark, sf_dir):
     got = gate_gradient(_features(spark, sf_dir), t.GATE)
@@ -328,8 +351,8 @@ def splits_missing(spark, sf_dir):
 # Triples
 
 def _hq(spark, sf_dir):
-    dim = last_wins_dim(t.id_documents(spark, sf_dir), ["part"])
-    return hq_triples(t.id_records(spark, sf_dir), dim, row_key=["doc_id"])
+    return hq_triples(t.id_records(spark, sf_dir), t.id_documents(spark, sf_dir), ["part"],
+                      row_key=["doc_id"])
 
 
 def _vl(spark, sf_dir):
@@ -353,11 +376,11 @@ def resolve_by_id(spark, sf_dir):
 @query
 def resolve_hot_ids(spark, sf_dir):
     """The same look-up when one id in three rows is the same, with salts for it."""
-    dim = last_wins_dim(t.id_documents(spark, sf_dir), ["part"])
     hot = F.array(F.array(F.lit("about"), F.lit("7")))
     records = t.id_records(spark, sf_dir).withColumn(
         "pos", F.when(F.col("query")[0] == "in en", hot).otherwise(F.col("pos")))
-    return resolve_record(records, dim, row_key=["doc_id"], hot_rows=50)
+    return resolve_record(records, t.id_documents(spark, sf_dir), ["part"], row_key=["doc_id"],
+                          hot_rows=50)
 
 
 @query
@@ -443,7 +466,7 @@ def jsonl_triples(spark, sf_dir):
 def triple_build(spark, sf_dir):
     folder = scratch_path(spark, "build")
     hq = materialize(spark, "hq", f"{folder}/hq", t.id_records(spark, sf_dir),
-                     last_wins_dim(t.id_documents(spark, sf_dir), ["part"]))
+                     t.id_documents(spark, sf_dir), ["part"])
     prompted = write_verified(project_triple(_prompted(spark, sf_dir)), f"{folder}/prompted")
     merged = merge_tables(spark, {"prompted": prompted, "hq": hq}, f"{folder}/merged", shards=4)
     return load_triples(spark, merged)
@@ -534,7 +557,8 @@ def drift(spark, sf_dir):
 @query
 def embedded_documents(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents")
-    got = embed_tokens(docs, make_encoder, ["doc_id"])
+    got = embed_tokens(docs, make_encoder, ["doc_id"],
+                       partitions=spark.sparkContext.defaultParallelism)
     pooled = F.aggregate(F.transform("toks", lambda v: F.get(v, F.lit(0)).cast("double")),
                          F.lit(0.0), lambda s, x: s + x)
     return got.select("doc_id", F.size("toks").alias("n_tokens"),
