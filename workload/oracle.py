@@ -186,7 +186,7 @@ _SOURCES = """WITH wanted AS (SELECT DISTINCT source AS split FROM documents),
   have AS (SELECT DISTINCT source AS split FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)"""
 
 _TRAILING = """SELECT event_id + 1 AS step, value AS loss,
-    round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6)
+    round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 9)
       AS trailing_mean FROM events"""
 
 _GATED = f"WITH {_TOK}, gated AS (SELECT *, {_BY_DOMAIN} AS split, {_LINEAR} AS w FROM tok)"

@@ -570,10 +570,10 @@ def embedded_documents(spark, sf_dir):
 @query
 def trailing_loss(spark, sf_dir):
     got = trailing_mean(t.step_log(spark, sf_dir), 50, chunk=2000)
-    return got.withColumn("trailing_mean", F.round("trailing_mean", 6))
+    return got.withColumn("trailing_mean", F.round("trailing_mean", 9))
 
 
 @query
 def reported_steps(spark, sf_dir):
     got = every_kth(trailing_mean(t.step_log(spark, sf_dir), 50, chunk=2000), 50)
-    return got.withColumn("trailing_mean", F.round("trailing_mean", 6))
+    return got.withColumn("trailing_mean", F.round("trailing_mean", 9))
