@@ -26,7 +26,7 @@ from lateweave.schemas import require_columns
 from lateweave.session import cut_lineage
 
 QUERY_PASS_BYTES = 128 << 20
-BLOCK_TOKENS = 2048
+BLOCK_TOKENS = 1024
 MODES = ("plain", "norm", "unnorm")
 
 _OUT = "split string, qid string, doc_id string, score double"
@@ -126,15 +126,31 @@ class TopK:
         return rows
 
 
+class Scratch:
+    """One similarity buffer per task; fresh large arrays would cost more than the products."""
+
+    def __init__(self, dtype: str) -> None:
+        self.flat = np.empty(0, dtype=dtype)
+
+    def shaped(self, rows: int, cols: int) -> np.ndarray:
+        if len(self.flat) < rows * cols:
+            self.flat = np.empty(rows * cols, dtype=self.flat.dtype)
+        return self.flat[:rows * cols].reshape(rows, cols)
+
+
 def best_per_token(docs: np.ndarray, starts: np.ndarray, queries: np.ndarray,
-                   hidden: np.ndarray | None) -> np.ndarray:
+                   hidden: np.ndarray | None, scratch: Scratch) -> np.ndarray:
     """``[documents, query tokens]``: each query token's best match in each document."""
+    best = np.zeros((len(starts), len(queries)), dtype=docs.dtype)
     if not queries.shape[1]:    # a block of queries without tokens
-        return np.zeros((len(starts), len(queries)), dtype=docs.dtype)
-    sims = docs @ queries.T
+        return best
+    sims = np.matmul(docs, queries.T, out=scratch.shaped(len(docs), len(queries)))
     if hidden is not None:
         sims[hidden] = MASKED_SCORE
-    return np.maximum.reduceat(sims, starts, axis=0)
+    # One reduction per document is about ten times faster than maximum.reduceat.
+    for row, lo, hi in zip(best, starts, [*starts[1:], len(docs)]):
+        np.maximum.reduce(sims[lo:hi], axis=0, out=row)
+    return best
 
 
 def _doc_block(batch: pa.RecordBatch, dtype: str, dim: int):
@@ -152,7 +168,8 @@ def _doc_block(batch: pa.RecordBatch, dtype: str, dim: int):
 
 
 def _score_batch(batch: pa.RecordBatch, blocks: list[QueryBlock], best: list[TopK],
-                 dtype: str) -> None:
+                 scratch: Scratch) -> None:
+    dtype = str(scratch.flat.dtype)
     dim = max(b.toks.shape[1] for b in blocks)
     toks, counts, hidden = _doc_block(batch, dtype, dim)
     ids, ends = batch.column("doc_id"), np.cumsum(counts)
@@ -161,7 +178,8 @@ def _score_batch(batch: pa.RecordBatch, blocks: list[QueryBlock], best: list[Top
         starts = ends[lo:hi] - counts[lo:hi] - first
         out = hidden[first:last]
         for block, top in zip(blocks, best):
-            m = best_per_token(toks[first:last], starts, block.toks, out if out.any() else None)
+            m = best_per_token(toks[first:last], starts, block.toks, out if out.any() else None,
+                               scratch)
             scores = np.add.reduceat(m * block.weights, block.starts, axis=1) / block.divisors
             top.add(scores, ids.slice(lo, hi - lo))
 
@@ -169,13 +187,14 @@ def _score_batch(batch: pa.RecordBatch, blocks: list[QueryBlock], best: list[Top
 def _local_topk(shared, k: int, dtype: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = shared.value
+        scratch = Scratch(dtype)
         best = {s: [TopK(len(b.qids), k) for b in bs] for s, bs in blocks.items()}
         for batch in batches:
             splits = batch.column("split")
             for split in pc.unique(splits).to_pylist():
                 if split in blocks:
                     part = batch.filter(pc.equal(splits, split))
-                    _score_batch(part, blocks[split], best[split], dtype)
+                    _score_batch(part, blocks[split], best[split], scratch)
         for split, tops in best.items():
             for block, top in zip(blocks[split], tops):
                 rows = top.cut()
