@@ -63,9 +63,12 @@ def _runs(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(counts)
 
 
-def query_blocks(table: pa.Table, mode: str, dtype: str) -> dict[str, list[QueryBlock]]:
-    """Group the collected queries of one pass by split, in blocks of bounded tokens."""
-    blocks: dict[str, list[QueryBlock]] = {}
+def query_blocks(table: pa.Table, mode: str, dtype: str) -> dict[str, list[tuple]]:
+    """Group the collected queries of one pass by split, in blocks of bounded tokens.
+
+    Plain tuples of ``QueryBlock`` fields: a broadcast value must load without this package.
+    """
+    blocks: dict[str, list[tuple]] = {}
     table = table.sort_by([("split", "ascending"), ("qid", "ascending")]).combine_chunks()
     for split in pc.unique(table["split"]).to_pylist():
         part = table.filter(pc.equal(table["split"], split)).combine_chunks()
@@ -87,7 +90,7 @@ def query_blocks(table: pa.Table, mode: str, dtype: str) -> dict[str, list[Query
             sums = np.maximum(np.add.reduceat(w, starts), MIN_WEIGHT_SUM)
             divisors = sums if mode == "norm" else np.ones(len(n))
             blocks.setdefault(split, []).append(
-                QueryBlock(qids[lo:hi], vecs, w.astype(dtype), starts, divisors))
+                (qids[lo:hi], vecs, w.astype(dtype), starts, divisors))
     return blocks
 
 
@@ -186,7 +189,7 @@ def _score_batch(batch: pa.RecordBatch, blocks: list[QueryBlock], best: list[Top
 
 def _local_topk(shared, k: int, dtype: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
+        blocks = {s: [QueryBlock(*b) for b in bs] for s, bs in shared.value.items()}
         scratch = Scratch(dtype)
         best = {s: [TopK(len(b.qids), k) for b in bs] for s, bs in blocks.items()}
         for batch in batches:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lateweave.functions.gate import Gate, gate_block
 from lateweave.functions.vectors import as_double
 
 # Default token caps per side, and the tolerances of the drift check.
@@ -37,11 +38,13 @@ def pack_tokens(tokens: DataFrame, by: list[str], extra: list[str] | None = None
 
     ``extra`` columns (a mask, a weight) are packed in the same token order.
     """
-    extra = extra or []
-    items = F.sort_array(F.collect_list(F.struct("pos", "v", *extra)))
-    packed = tokens.groupBy(*by).agg(items.alias("_t"))
+    columns = {"toks": "v", **{c: c for c in extra or []}}
+    # One list per column, so that a reader of one column does not shuffle the others.
+    lists = [F.sort_array(F.collect_list(F.struct("pos", c))).alias(out)
+             for out, c in columns.items()]
     # A field of an array of structs is the array of that field.
-    return packed.select(*by, F.col("_t.v").alias("toks"), *[F.col(f"_t.{c}") for c in extra])
+    return tokens.groupBy(*by).agg(*lists).select(
+        *by, *[F.col(f"{out}.{c}").alias(out) for out, c in columns.items()])
 
 
 def unpack_tokens(packed: DataFrame, by: list[str]) -> DataFrame:
@@ -62,20 +65,23 @@ def vector_lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def embed_tokens(texts: DataFrame, make_encoder: Callable[[], Encoder], id_cols: list[str],
                  text_col: str = "text", max_tokens: int | None = None,
-                 batch_size: int = 32, partitions: int | None = None) -> DataFrame:
+                 batch_size: int = 32, partitions: int | None = None,
+                 gate: Gate | None = None) -> DataFrame:
     """Texts to packed token vectors with a user's encoder, in Arrow batches, no shuffle.
 
     ``make_encoder`` runs once per task and returns a function from a list of texts to
     one ``[T, D]`` array each; it should cache a heavy model itself, so that a reused
     Python worker loads it once. ``max_tokens`` is the encoder's length limit.
     ``partitions`` first spreads the texts of a small or badly split table over more tasks.
+    With a ``gate`` each token's weight comes along as ``w``, for the query side.
     """
     source = texts.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
     if partitions:
         source = source.repartition(partitions, *id_cols)
     schema = T.StructType(
         [texts.schema[c] for c in id_cols]
-        + [T.StructField("toks", T.ArrayType(T.ArrayType(T.FloatType())))])
+        + [T.StructField("toks", T.ArrayType(T.ArrayType(T.FloatType())))]
+        + ([T.StructField("w", T.ArrayType(T.DoubleType()))] if gate else []))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
@@ -83,9 +89,11 @@ def embed_tokens(texts: DataFrame, make_encoder: Callable[[], Encoder], id_cols:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
                 toks = [e[:max_tokens] for e in encoder(part.column("_text").to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in id_cols), vector_lists(toks)],
-                    names=[*id_cols, "toks"])
+                columns = [*(part.column(c) for c in id_cols), vector_lists(toks)]
+                if gate:
+                    weights = [gate_block(np.asarray(e, dtype="float32"), gate) for e in toks]
+                    columns.append(pa.array(weights, pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return source.mapInArrow(encode, schema)
 

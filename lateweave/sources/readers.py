@@ -65,15 +65,15 @@ def scan_latest_version(spark: SparkSession, root: str, splits: list[str], prefi
                         ) -> tuple[dict[str, str], dict[str, str]]:
     """Newest ``(examples, documents)`` file per split below a versioned tree.
 
-    Layout: ``examples/<version>/.../<prefix>-<split>.parquet`` and the same under
-    ``documents``. Paths compare component by component. A split counts only when both
-    sides exist. Only paths are listed; no file is opened.
+    Layout: ``examples/<version>/.../<prefix>-<split>.parquet``, a file or a folder of
+    files, and the same under ``documents``. Paths compare component by component. A
+    split counts only when both sides exist. Only paths are listed; no file is opened.
     """
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", f"{prefix}-*.parquet").load(root).select("path"))
-    inside = F.regexp_extract("path", rf"/(examples|documents)/(?:.*/)?{prefix}-([^/]+)\.parquet$", 1)
-    split = F.regexp_extract("path", rf"{prefix}-([^/]+)\.parquet$", 1)
-    newest = (listed.select("path", inside.alias("side"), split.alias("split"))
+              .option("pathGlobFilter", "*.parquet").load(root).select("path"))
+    shape = rf"^(.*/(examples|documents)/(?:.*/)?{prefix}-([^/]+)\.parquet)(?:/[^/]*)?$"
+    table, side, split = (F.regexp_extract("path", shape, i) for i in (1, 2, 3))
+    newest = (listed.select(table.alias("path"), side.alias("side"), split.alias("split"))
               .where((F.col("side") != "") & F.col("split").isin(splits))
               .groupBy("side", "split")
               .agg(F.max_by("path", F.split("path", "/")).alias("path")))

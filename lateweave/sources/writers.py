@@ -21,8 +21,8 @@ log = logging.getLogger(__name__)
 
 def _swap(spark: SparkSession, tmp: str, path: str) -> None:
     old = paths.sibling(path, "old")
-    paths.delete(spark, old)
-    if paths.exists(spark, path):
+    if paths.exists(spark, path):       # else an earlier swap broke off and old is all there is
+        paths.delete(spark, old)
         paths.rename(spark, path, old)
     paths.rename(spark, tmp, path)
     paths.delete(spark, old)

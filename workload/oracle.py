@@ -197,6 +197,25 @@ def _stats(std: str) -> str:
       round(min(w), 6) AS min, round(max(w), 6) AS max FROM gated GROUP BY split"""
 
 
+_GRADIENT = f"""{_FEATURES},
+  gated AS (SELECT *, {_LINEAR} AS w FROM delta),
+  pull AS (SELECT triple_id, -1 / (1 + exp(sum(w * delta))) AS g FROM gated GROUP BY triple_id),
+  dz AS (SELECT v, g * delta * w * (1 - w) AS z FROM gated JOIN pull USING (triple_id)),
+  n AS (SELECT count(*) AS n FROM pull),
+  gradient AS (
+    SELECT 'w' AS param, i::int AS idx, sum(z * v[i + 1]) / any_value(n) AS grad
+    FROM dz, n, range(64) r(i) GROUP BY i
+    UNION ALL SELECT 'b', 0, sum(z) / any_value(n) FROM dz, n)"""
+
+_WORDS = """WITH words AS (
+    SELECT {id}, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM {table}),
+  spread AS (SELECT {id}, unnest(ws) AS word, unnest(range(len(ws)))::int AS pos FROM words),
+  raw AS (SELECT {id}, pos, list_transform(range(16), lambda i:
+            ('0x' || substr(md5(word), (2 * i + 1)::int, 2))::int - 127.5::double) AS r FROM spread),
+  vectors AS (SELECT {id}, pos, list_transform(r, lambda x:
+                (x / sqrt(list_dot_product(r, r)))::float::double) AS v FROM raw)"""
+
+
 ORACLE: dict[str, str] = {
     "maxsim_topk": _ranked(10) + _OUT + "ranked",
     "maxsim_topk_passes": _ranked(10) + _OUT + "ranked",
@@ -235,14 +254,15 @@ ORACLE: dict[str, str] = {
     "gate_pairwise_loss": f"{_FEATURES} {_loss('unnorm')} UNION ALL {_loss('norm')}",
     "aligned_triple_deltas": f"{_FEATURES} SELECT triple_id, pos, round(delta, 6) AS delta FROM delta",
     "gate_score_loss": f"{_FEATURES} SELECT loss, n_triples FROM ({_loss('unnorm')})",
-    "gate_linear_gradient": f"""{_FEATURES},
-      gated AS (SELECT *, {_LINEAR} AS w FROM delta),
-      pull AS (SELECT triple_id, -1 / (1 + exp(sum(w * delta))) AS g FROM gated GROUP BY triple_id),
-      dz AS (SELECT v, g * delta * w * (1 - w) AS z FROM gated JOIN pull USING (triple_id)),
-      n AS (SELECT count(*) AS n FROM pull)
-      SELECT 'w' AS param, i::int AS idx, round(sum(z * v[i + 1]) / any_value(n), 8) AS grad
-      FROM dz, n, range(64) r(i) GROUP BY i
-      UNION ALL SELECT 'b', 0, round(sum(z) / any_value(n), 8) FROM dz, n""",
+    "gate_linear_gradient": f"{_GRADIENT} SELECT param, idx, round(grad, 8) AS grad FROM gradient",
+    "gate_fit_one_step": f"""{_GRADIENT},
+      clipped AS (
+        SELECT param, idx, grad * least(1, 1 / (sqrt(sum(grad * grad) OVER ()) + 1e-6)) AS g
+        FROM gradient)
+      SELECT param, idx, round(
+        CASE WHEN param = 'b' THEN 0.5 ELSE ((idx % 7) - 3) / 4.0 END::double
+        - 5e-4 * g / (abs(g) + 1e-8), 8) AS value
+      FROM clipped""",
     "gate_mlp_gradient": f"""{_FEATURES},
       hidden AS (SELECT *, [{_RELU.format(m=5, s=2, b=0.1)}, {_RELU.format(m=3, s=1, b=-0.1)}] AS h,
                         {_MLP} AS w FROM delta),
@@ -327,6 +347,9 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT source, 'corpus', doc_id::varchar FROM chosen
       UNION ALL SELECT DISTINCT source, 'qrels', doc_id || '/' || unnest([quality, toxic])
       FROM chosen JOIN labels USING (doc_id)""",
+    "latest_version": """
+      SELECT 'pony' AS split, doc_id::varchar AS qid, text AS query, doc_id::varchar AS gold, text
+      FROM documents""",
     "non_empty_text": f"""WITH {_PAIRS}
       SELECT 'corpus' AS part, doc_id::varchar AS item FROM documents
       WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
@@ -353,14 +376,11 @@ ORACLE: dict[str, str] = {
       SELECT id, round(max(h), 6) AS head_drift, round(max(t), 6) AS tail_max,
              max(h) <= 5e-2 AND max(t) >= 1e-4 AS ok
       FROM per_token GROUP BY id""",
-    "embedded_documents": """WITH words AS (
-        SELECT doc_id, unnest(list_filter(string_split(text, ' '), lambda w: w <> '')) AS word
-        FROM documents),
-      raw AS (SELECT doc_id, list_transform(range(16), lambda i:
-                ('0x' || substr(md5(word), (2 * i + 1)::int, 2))::int - 127.5::double) AS v FROM words)
-      SELECT doc_id, count(*)::int AS n_tokens,
-             round(sum((v[1] / sqrt(list_dot_product(v, v)))::float::double), 3) AS sum0
-      FROM raw GROUP BY doc_id""",
+    "embedded_documents": _WORDS.format(id="doc_id", table="documents") + """
+      SELECT doc_id, count(*)::int AS n_tokens, round(sum(v[1]), 3) AS sum0
+      FROM vectors GROUP BY doc_id""",
+    "embedded_queries": _WORDS.format(id="item_id", table="benchmark")
+    + f"SELECT item_id, pos, round({_LINEAR.replace('range(64)', 'range(16)')}, 5) AS w FROM vectors",
     "trailing_loss": _TRAILING,
     "reported_steps": f"SELECT * FROM ({_TRAILING}) WHERE step % 50 = 0",
 }

@@ -34,7 +34,9 @@ from lateweave.plans.build_triples import hq_triples, materialize, merge_tables,
 from lateweave.plans.evaluate import evaluate, evaluate_run, rank_queries, report
 from lateweave.schemas import DOMAINS, PROMPTED_RECORD
 from lateweave.session import scratch_path
-from lateweave.sources.readers import load_beir_tables, load_eval_tables, load_triples, scan_jsonl
+from lateweave.sources.readers import (
+    load_beir_tables, load_eval_tables, load_triples, load_versioned_split, scan_jsonl,
+)
 from lateweave.sources.writers import write_verified
 from workload import tables as t
 from workload.encoder import make_encoder
@@ -227,6 +229,14 @@ def gate_mlp_gradient(spark, sf_dir):
     return got.withColumn("grad", F.round("grad", 8))
 
 
+@query
+def gate_fit_one_step(spark, sf_dir):
+    gate, _ = fit_gate(_features(spark, sf_dir), gate=t.GATE, steps=1)
+    return spark.createDataFrame([("w", i, x) for i, x in enumerate(gate.w)] + [("b", 0, gate.b)],
+                                 "param string, idx int, value double").withColumn(
+        "value", F.round("value", 8))
+
+
 @query
 def gate_fit(spark, sf_dir):
     gate, log = fit_gate(_features(spark, sf_dir), dim=t.DIM, steps=5, batches=2)
@@ -490,6 +500,21 @@ def eval_tables(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def latest_version(spark, sf_dir):
+    """Two versions of a tree; the newer path by components is read."""
+    root = scratch_path(spark, "versions")
+    docs = t.table(spark, sf_dir, "documents")
+    for version, text in [("1.0.0", F.lit("old")), ("1.0.0-rc", F.col("text"))]:
+        rows = docs.select(F.col("doc_id").alias("id"), text.alias("content"))
+        rows.write.parquet(f"{root}/documents/{version}/h/bright-pony.parquet")
+        rows.select("id", F.col("content").alias("query"), F.array("id").alias("gold_ids")
+                    ).write.parquet(f"{root}/examples/{version}/h/bright-pony.parquet")
+    queries, corpus = load_versioned_split(spark, root, ["pony"])
+    return queries.join(corpus.withColumnRenamed("doc_id", "qid"), ["split", "qid"]).select(
+        "split", "qid", "query", F.col("gold_ids")[0].alias("gold"), "text")
+
+
 @query
 def non_empty_text(spark, sf_dir):
     """Corpus, queries and judgements of one small corpus, with blanked-out texts."""
@@ -565,6 +590,13 @@ def embedded_documents(spark, sf_dir):
                       F.round(pooled, 3).alias("sum0"))
 
 
+@query
+def embedded_queries(spark, sf_dir):
+    items = t.table(spark, sf_dir, "benchmark")
+    got = embed_tokens(items, make_encoder, ["item_id"], gate=t.WORD_GATE)
+    return got.select("item_id", F.posexplode("w").alias("pos", "w")).withColumn("w", F.round("w", 5))
+
+
 # The step log
 
 @query

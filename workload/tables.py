@@ -16,6 +16,7 @@ GATE = Gate([((i % 7) - 3) / 4.0 for i in range(DIM)], 0.5)
 MLP = Gate([1.0, -0.5], 0.25,
            [[((i % 5) - 2) / 2.0 for i in range(DIM)], [((i % 3) - 1) / 2.0 for i in range(DIM)]],
            [0.1, -0.1])
+WORD_GATE = Gate([((i % 7) - 3) / 4.0 for i in range(16)], 0.5)
 TOKENS_PER_DOC = 8
 
 
