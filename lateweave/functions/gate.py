@@ -14,6 +14,8 @@ from lateweave.functions.vectors import as_double, dot
 # Fixed value: the starting bias, sigmoid(5) is about 0.993.
 INIT_BIAS = 5.0
 
+MAX_LITERALS = 1024
+
 
 @dataclass
 class Gate:
@@ -95,9 +97,22 @@ def gate_udf(gate: Gate):
     return value
 
 
+def packed_gate_udf(gate: Gate):
+    """As ``gate_udf``, for all tokens of a text at once."""
+
+    @F.pandas_udf("array<double>")
+    def values(toks: pd.Series) -> pd.Series:
+        return toks.map(lambda t: gate_block(np.stack(t).astype("float64"), gate)
+                        if len(t) else np.empty(0))
+
+    return values
+
+
 def with_gate_weights(packed: DataFrame, gate: Gate, toks: str = "toks",
                       out: str = "w") -> DataFrame:
     """Add one weight per token of a packed table (meant for the query side)."""
+    if len(gate.w1) * gate.in_features > MAX_LITERALS:
+        return packed.withColumn(out, packed_gate_udf(gate)(toks))
     return packed.withColumn(out, F.transform(F.col(toks), lambda t: gate_value(t, gate)))
 
 

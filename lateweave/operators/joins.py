@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 200_000
+NULL_SALTS = 1024
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -29,7 +30,8 @@ def left_join_hot(left: DataFrame, right: DataFrame, key: str,
     Keys with more than ``hot_rows`` left rows are spread over
     ``ceil(rows / hot_rows)`` salts, and only their right rows are repeated, once per
     salt. There are at most ``left rows / hot_rows`` such keys, which bounds the
-    broadcast list. Counting combines before its shuffle and reads the key alone, of
+    broadcast list. Left rows without a key match nothing and are spread over
+    ``NULL_SALTS`` salts. Counting combines before its shuffle and reads the key alone, of
     ``left`` or of a cheaper table ``count_on`` with the same keys.
 
     ``last_by`` first reduces the right side to the last row per key in the order of
@@ -47,7 +49,10 @@ def left_join_hot(left: DataFrame, right: DataFrame, key: str,
     salted_left = (
         left.withColumn("_spread", spread)
         .join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.coalesce(F.pmod("_spread", F.col("_salts")), F.lit(0)).cast("int"))
+        .withColumn("_salt", F.coalesce(
+            F.pmod("_spread", F.col("_salts")),
+            F.when(F.col(key).isNull(), F.pmod("_spread", F.lit(NULL_SALTS))),
+            F.lit(0)).cast("int"))
         .drop("_salts", "_spread"))
     salted_right = (
         right.join(F.broadcast(hot), key, "left")

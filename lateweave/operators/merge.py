@@ -30,7 +30,9 @@ def source_counts(raw: DataFrame, triples: DataFrame, source: str = "source") ->
     """Raw rows and triples per source, and the grand total under ``TOTAL``."""
     both = (raw.select(source, F.lit(1).alias("r"), F.lit(0).alias("t"))
             .unionAll(triples.select(source, F.lit(0), F.lit(1))))
-    return (both.rollup(source)
+    # Sums per source first: a rollup repeats every row it reads.
+    sums = both.groupBy(source).agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
+    return (sums.rollup(source)
             .agg(F.sum("r").alias("raw_rows"), F.sum("t").alias("triples"),
                  F.grouping_id().alias("_total"))
             .select(F.when(F.col("_total") == 1, "TOTAL").otherwise(F.col(source)).alias(source),
@@ -56,7 +58,7 @@ def seeded_shuffle(df: DataFrame, keys: list[str], seed: int = SEED,
     The hash is uniform, so its leading digits cut the order into ``shards`` even ranges:
     a total order in one shuffle, without the sampling pass a sort would run over the
     input. ``shards`` is the number of partitions, and so of files when written; the
-    session's shuffle partitions by default.
+    session's shuffle partitions by default. Choose it by the size of the table.
     """
     n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     head = F.conv(F.substring("shuffle_key", 1, 7), 16, 10).cast("long")

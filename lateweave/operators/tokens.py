@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lateweave.functions.gate import Gate, gate_block
+from lateweave.functions.text import null_to_empty
 from lateweave.functions.vectors import as_double
 
 # Default token caps per side, and the tolerances of the drift check.
@@ -75,7 +76,7 @@ def embed_tokens(texts: DataFrame, make_encoder: Callable[[], Encoder], id_cols:
     ``partitions`` first spreads the texts of a small or badly split table over more tasks.
     With a ``gate`` each token's weight comes along as ``w``, for the query side.
     """
-    source = texts.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
+    source = texts.select(*id_cols, null_to_empty(F.col(text_col).cast("string")).alias("_text"))
     if partitions:
         source = source.repartition(partitions, *id_cols)
     schema = T.StructType(

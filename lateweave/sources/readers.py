@@ -42,11 +42,11 @@ def scan_jsonl(spark: SparkSession, folder: str, domains: list[str],
                schema: T.StructType = PROMPTED_RECORD) -> DataFrame:
     """One JSON object per line, one ``<domain>.jsonl`` per domain, with its ``split``.
 
-    Blank lines are skipped and a malformed line fails the read; absent keys are NULL.
+    The name may be a file or a folder of files. Blank lines are skipped and a malformed line fails the read; absent keys are NULL.
     """
     files = [f"{folder.rstrip('/')}/{d}.jsonl" for d in domains]
     rows = (spark.read.schema(schema).option("mode", "FAILFAST").json(files))
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", "")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl(?:/[^/]*)?$", 1)
     return rows.select(name.alias("split"), *schema.fieldNames())
 
 

@@ -86,3 +86,20 @@ def test_corpus_counts(spark):
     d = spark.createDataFrame([("a",), ("c",)], "split string")
     got = {r.split: (r.queries, r.docs) for r in corpus_counts(q, d).collect()}
     assert got == {"a": (2, 1), "b": (1, 0), "c": (0, 1)}
+
+
+def test_hot_and_missing_keys_join_whole(spark):
+    from lateweave.operators.joins import left_join_hot
+
+    keys = [None] * 40 + ["hot"] * 50 + ["gone"] * 30 + ["a", "b", "b"]
+    left = spark.createDataFrame(list(enumerate(keys)), "n int, k string")
+    right = spark.createDataFrame([("hot", 1, 0), ("hot", 2, 1), ("b", 3, 0), ("c", 4, 0)],
+                                  "k string, x int, o int")
+    for hot in (5, 1000):
+        got = left_join_hot(left, right, "k", ["n"], hot, last_by=["o"]).collect()
+        assert sorted((r.n, r.k, r.x) for r in got) == [
+            (n, k, {"hot": 2, "b": 3}.get(k)) for n, k in enumerate(keys)]
+        inner = left_join_hot(left, right, "k", ["n"], hot, how="inner")
+        assert inner.count() == 50 * 2 + 2
+    unkeyed = left_join_hot(left, right, "k", hot_rows=5)
+    assert unkeyed.count() == 40 + 100 + 30 + 3

@@ -339,7 +339,8 @@ ORACLE: dict[str, str] = {
                               "WHERE place <= ceil(0.15 * total)",
     "limited_batches": _SHUFFLED + "SELECT * EXCLUDE (shuffle_key, place, total) FROM placed "
                                    "WHERE place <= 96",
-    "jsonl_triples": f"WITH {_TURNS}, {_PROMPTED} SELECT query, positive, negative FROM prompted",
+    "jsonl_triples": f"""WITH {_TURNS}, {_PROMPTED} SELECT CASE WHEN turn < 2 THEN 'pony' ELSE 'aops' END AS split,
+      query, positive, negative FROM prompted""",
     "triple_build": _MERGED + "SELECT query, positive, negative FROM merged WHERE source <> 'vl'",
     "eval_tables": """WITH chosen AS (
         SELECT * FROM documents WHERE source IN (SELECT 'src' || i FROM range(20) r(i)))

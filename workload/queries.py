@@ -466,10 +466,12 @@ def limited_batches(spark, sf_dir):
 @query
 def jsonl_triples(spark, sf_dir):
     folder = scratch_path(spark, "jsonl")
-    records = t.prompted_records(spark, sf_dir).select("prompt", "query", "pos", "neg")
-    records.write.json(f"{folder}/pony.jsonl")
-    rows = scan_jsonl(spark, folder, ["pony"], PROMPTED_RECORD)
-    return project_triple(explode_product(rows))
+    records = t.prompted_records(spark, sf_dir)
+    for domain, part in [("pony", F.col("turn") < 2), ("aops", F.col("turn") >= 2)]:
+        (records.where(part).select("prompt", "query", "pos", "neg")
+         .write.json(f"{folder}/{domain}.jsonl"))
+    rows = scan_jsonl(spark, folder, ["pony", "aops"], PROMPTED_RECORD)
+    return explode_product(rows, keep=["split"])
 
 
 @query
