@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from lateweave.functions.gate import Gate, gate_block, init_gate
 from lateweave.functions.vectors import MASKED_SCORE, MIN_WEIGHT_SUM
 from lateweave.operators.joins import HOT_ROWS, left_join_hot
-from lateweave.operators.scoring import token_rows
+from lateweave.operators.scoring import Scratch, best_per_token, token_rows
 from lateweave.schemas import STEP_LOG
 from lateweave.session import scratch_path
 
@@ -43,8 +43,10 @@ def align_triple(triples: DataFrame, queries: DataFrame, docs: DataFrame) -> Dat
 _VECTORS = "array<array<float>>"
 
 
-def _best(q: np.ndarray, toks: np.ndarray) -> np.ndarray:
-    return (q @ toks.T).max(axis=1) if len(toks) else np.full(len(q), MASKED_SCORE)
+def _best(q: np.ndarray, toks: np.ndarray, scratch: Scratch) -> np.ndarray:
+    if not len(toks):
+        return np.full(len(q), MASKED_SCORE)
+    return best_per_token(toks, np.zeros(1, dtype=int), q, None, scratch)[0]
 
 
 def _with_best(rows: DataFrame, keep: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -58,12 +60,13 @@ def _with_best(rows: DataFrame, keep: list[str], pairs: dict[str, tuple[str, str
                           + [T.StructField(o, T.ArrayType(T.DoubleType())) for o in pairs])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scratch = Scratch("float64")
         for batch in batches:
             side = {}
             for c in {c for pair in pairs.values() for c in pair}:
                 toks, counts = token_rows(batch.column(c), "float64")
                 side[c] = np.split(toks, np.cumsum(counts)[:-1])
-            out = [pa.array([_best(q, d) for q, d in zip(side[a], side[b])],
+            out = [pa.array([_best(q, d, scratch) for q, d in zip(side[a], side[b])],
                             pa.list_(pa.float64())) for a, b in pairs.values()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), *out], names=[*keep, *pairs])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lateweave.functions.text import preview
+
 QUERY_KEY = ["split", "qid"]
 TOP_K = 100
 FAN_IN = 32
@@ -46,6 +48,6 @@ def display_ranking(scored: DataFrame, texts: DataFrame, k: int, chars: int = 60
     """Ranking for reading: larger id first on ties, with the start of each text."""
     top = topk_per_query(scored, k, ties="last")
     # Cut the texts before the join: only the preview travels.
-    short = texts.select("doc_id", F.substring("text", 1, chars).alias("preview"))
+    short = texts.select("doc_id", preview(F.col("text"), chars).alias("preview"))
     return top.join(short, "doc_id", "left").select(
         *QUERY_KEY, "rank", "score", "doc_id", "preview")

@@ -26,6 +26,8 @@ from lateweave.schemas import require_columns
 from lateweave.session import cut_lineage
 
 QUERY_PASS_BYTES = 128 << 20
+CANDIDATE_BYTES = 256 << 20     # running candidates of all queries in one task
+CANDIDATE_ROW_BYTES = 160       # up to 4 k rows of about 40 bytes per query
 BLOCK_TOKENS = 1024
 MODES = ("plain", "norm", "unnorm")
 
@@ -143,16 +145,29 @@ class Scratch:
 
 def best_per_token(docs: np.ndarray, starts: np.ndarray, queries: np.ndarray,
                    hidden: np.ndarray | None, scratch: Scratch) -> np.ndarray:
-    """``[documents, query tokens]``: each query token's best match in each document."""
-    best = np.zeros((len(starts), len(queries)), dtype=docs.dtype)
+    """``[documents, query tokens]``: each query token's best match in each document.
+
+    Several documents together hold at most ``BLOCK_TOKENS`` tokens; a longer single
+    document, like a longer query, is worked through in blocks of that size.
+    """
+    best = np.full((len(starts), len(queries)), -np.inf, dtype=docs.dtype)
     if not queries.shape[1]:    # a block of queries without tokens
-        return best
-    sims = np.matmul(docs, queries.T, out=scratch.shaped(len(docs), len(queries)))
-    if hidden is not None:
-        sims[hidden] = MASKED_SCORE
-    # One reduction per document is about ten times faster than maximum.reduceat.
-    for row, lo, hi in zip(best, starts, [*starts[1:], len(docs)]):
-        np.maximum.reduce(sims[lo:hi], axis=0, out=row)
+        return np.zeros_like(best)
+    ends = [*starts[1:], len(docs)]
+    for q0 in range(0, len(queries), BLOCK_TOKENS):
+        q = queries[q0:q0 + BLOCK_TOKENS]
+        found = best[:, q0:q0 + len(q)]
+        for d0 in range(0, len(docs), BLOCK_TOKENS):
+            d = docs[d0:d0 + BLOCK_TOKENS]
+            sims = np.matmul(d, q.T, out=scratch.shaped(len(d), len(q)))
+            if hidden is not None:
+                sims[hidden[d0:d0 + len(d)]] = MASKED_SCORE
+            if len(starts) == 1:
+                np.maximum(found[0], sims.max(axis=0), out=found[0])
+                continue
+            # One reduction per document is about ten times faster than maximum.reduceat.
+            for row, lo, hi in zip(found, starts, ends):
+                np.maximum.reduce(sims[lo:hi], axis=0, out=row)
     return best
 
 
@@ -211,22 +226,28 @@ def _local_topk(shared, k: int, dtype: str):
     return run
 
 
-def _passes(queries: DataFrame, pass_bytes: int, itemsize: int) -> tuple[DataFrame, int]:
-    """Give every query a pass number such that no pass exceeds ``pass_bytes``."""
+def _passes(queries: DataFrame, k: int, pass_bytes: int, itemsize: int) -> tuple[DataFrame, int]:
+    """Give every query a pass number such that no pass exceeds its two bounds.
+
+    One is ``pass_bytes`` of query vectors, the other what a task may hold of candidates.
+    """
+    most = max(1, CANDIDATE_BYTES // (k * CANDIDATE_ROW_BYTES))
     one = (F.size("toks") * F.coalesce(F.size(F.get("toks", F.lit(0))), F.lit(0))
            * itemsize).cast("long")
     sized = queries.withColumn("_bytes", one)
-    total, largest = sized.agg(F.sum("_bytes"), F.max("_bytes")).first()
+    total, largest, rows = sized.agg(F.sum("_bytes"), F.max("_bytes"), F.count(F.lit(1))).first()
     if (largest or 0) > pass_bytes:
         raise ValueError(f"one query holds {largest} bytes, more than a pass of {pass_bytes}; "
                          "truncate its tokens or raise pass_bytes")
-    n = max(1, math.ceil((total or 0) / pass_bytes))
+    n = max(1, math.ceil((total or 0) / pass_bytes), math.ceil(rows / most))
     while True:
         numbered = sized.withColumn("_pass", F.pmod(F.xxhash64(*QUERY_KEY), F.lit(n)).cast("int"))
         if n == 1:
             return numbered, n
-        widest = numbered.groupBy("_pass").agg(F.sum("_bytes").alias("b")).agg(F.max("b")).first()[0]
-        if widest <= pass_bytes:
+        widest, fullest = (numbered.groupBy("_pass")
+                           .agg(F.sum("_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
+                           .agg(F.max("b"), F.max("n")).first())
+        if widest <= pass_bytes and fullest <= most:
             return numbered, n
         n += max(1, n // 2)
 
@@ -241,7 +262,7 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
     tokens score -1e4, as does a document without tokens). ``mode``: ``plain`` sums the
     best matches, ``unnorm`` weights them, ``norm`` also divides by the weight sum.
 
-    Query vectors are measured first and split into passes of at most ``pass_bytes``,
+    Queries are measured first and split into passes of at most ``pass_bytes`` of vectors,
     which is what a task ever holds of them; several passes are checkpointed one by one.
     ``partitions`` spreads a small document table over more tasks.
     """
@@ -258,7 +279,7 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
 
     queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        numbered, n = _passes(queries, pass_bytes, np.dtype(dtype).itemsize)
+        numbered, n = _passes(queries, k, pass_bytes, np.dtype(dtype).itemsize)
         results = []
         for i in range(n):
             one_pass = numbered.where(F.col("_pass") == i).select(*cols).toArrow()

@@ -34,8 +34,9 @@ def truncate_packed(packed: DataFrame, max_len: int | Column, toks: str = "toks"
     return packed.withColumn(toks, F.slice(F.col(toks), F.lit(1), n))
 
 
-def pack_tokens(tokens: DataFrame, by: list[str], extra: list[str] | None = None) -> DataFrame:
-    """Long to packed form. A group is one text, so cap its tokens first.
+def pack_tokens(tokens: DataFrame, by: list[str], extra: list[str] | None = None,
+                max_len: int = DOCUMENT_LENGTH) -> DataFrame:
+    """Long to packed form, at most ``max_len`` tokens per text, which bounds a group.
 
     ``extra`` columns (a mask, a weight) are packed in the same token order.
     """
@@ -44,7 +45,7 @@ def pack_tokens(tokens: DataFrame, by: list[str], extra: list[str] | None = None
     lists = [F.sort_array(F.collect_list(F.struct("pos", c))).alias(out)
              for out, c in columns.items()]
     # A field of an array of structs is the array of that field.
-    return tokens.groupBy(*by).agg(*lists).select(
+    return truncate_tokens(tokens, max_len).groupBy(*by).agg(*lists).select(
         *by, *[F.col(f"{out}.{c}").alias(out) for out, c in columns.items()])
 
 

@@ -204,3 +204,28 @@ def test_drift(spark):
     got = {r.id: (round(r.head_drift, 6), r.tail_max, r.ok) for r in embedding_drift(old, new).collect()}
     assert got == {"a": (0.01, 0.5, True), "b": (0.2, 0.5, False), "c": (0.0, 0.0, False),
                    "d": (0.0, 0.0, False)}
+
+
+def test_many_small_queries_take_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "CANDIDATE_BYTES", 3 * 8 * scoring.CANDIDATE_ROW_BYTES)
+    queries, docs, _ = make(6)
+    q, d = frames(spark, queries, docs)
+    numbered, n = scoring._passes(q, 8, scoring.QUERY_PASS_BYTES, 8)
+    assert n >= 3 and numbered.groupBy("_pass").count().agg({"count": "max"}).first()[0] <= 3
+    want = brute(queries, docs, [np.ones(len(t), bool) for _, _, t in docs], "plain", 8)
+    assert collected(score_topk(q, d, 8)) == want
+
+
+def test_long_texts_are_worked_through_in_blocks(monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_TOKENS", 7)
+    rng = np.random.default_rng(7)
+    docs, queries = rng.standard_normal((40, 3)), rng.standard_normal((25, 3))
+    hidden = rng.random(40) < 0.5
+    sims = docs @ queries.T
+    scratch = scoring.Scratch("float64")
+    one = scoring.best_per_token(docs, np.array([0]), queries, None, scratch)
+    np.testing.assert_allclose(one[0], sims.max(axis=0))
+    sims[hidden] = -1e4
+    masked = scoring.best_per_token(docs, np.array([0]), queries, hidden, scratch)
+    np.testing.assert_allclose(masked[0], sims.max(axis=0))
+    assert len(scratch.flat) <= 49

@@ -33,7 +33,7 @@ from lateweave.operators.triples import (
 from lateweave.plans.build_triples import hq_triples, materialize, merge_tables, vl_triples
 from lateweave.plans.evaluate import evaluate, evaluate_run, rank_queries, report
 from lateweave.schemas import DOMAINS, PROMPTED_RECORD
-from lateweave.session import scratch_path
+from lateweave.session import cut_lineage, scratch_path
 from lateweave.sources.readers import (
     load_beir_tables, load_eval_tables, load_triples, load_versioned_split, scan_jsonl,
 )
@@ -197,7 +197,7 @@ def _deltas(features):
 
 @query
 def gate_pairwise_loss(spark, sf_dir):
-    features = _features(spark, sf_dir)
+    features = cut_lineage(_features(spark, sf_dir))
     parts = [pairwise_loss(features, t.GATE, mode).select(
         F.lit(mode).alias("mode"), F.round("loss", 6).alias("loss"), "n_triples")
         for mode in ("unnorm", "norm")]
