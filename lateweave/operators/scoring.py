@@ -264,6 +264,7 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
 
     Queries are measured first and split into passes of at most ``pass_bytes`` of vectors,
     which is what a task ever holds of them; several passes are checkpointed one by one.
+    Each pass reads ``docs`` again, so documents embedded on the fly belong in a table first.
     ``partitions`` spreads a small document table over more tasks.
     """
     if mode not in MODES:
