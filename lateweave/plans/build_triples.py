@@ -10,10 +10,11 @@ from lateweave.operators.triples import (
     resolve_record,
 )
 from lateweave.schemas import TRIPLE_COLUMNS
+from lateweave.session import scratch_path
 from lateweave.sources.readers import (
     ROW_KEY, load_triples, require_rows, scan_jsonl, select_domains,
 )
-from lateweave.sources.writers import materialize_once, write_verified
+from lateweave.sources.writers import materialize_once, write_replace, write_verified
 
 
 def hq_triples(records: DataFrame, documents: DataFrame, order: list[str],
@@ -45,12 +46,28 @@ def prompted_triples(spark: SparkSession, folder: str, split: str = "all",
     return require_rows(explode_product(records, max_pos, max_neg, keep=["split"]))
 
 
+def materialize_prompted(spark: SparkSession, folder: str, path: str, split: str = "all",
+                         max_pos: int = MAX_POS, max_neg: int = MAX_NEG, seed: int = SEED,
+                         shards: int | None = None) -> str:
+    """Write the triples of the JSONL domains in a seeded order, replacing the table.
+
+    JSON rows have no place of their own; a first copy in the shared folder gives them one.
+    """
+    copy = scratch_path(spark, "prompted")
+    project_triple(prompted_triples(spark, folder, split, max_pos, max_neg)).write.parquet(copy)
+    rows = load_triples(spark, copy, row_key=True)
+    return write_replace(project_triple(seeded_shuffle(rows, ROW_KEY, seed, shards)), path)
+
+
 def merge_tables(spark: SparkSession, inputs: dict[str, str], path: str, seed: int = SEED,
                  shards: int | None = None) -> str:
     """Merge finished triple tables in a seeded order, written and verified.
 
-    The order comes from each row's file and position, so equal rows spread as well.
+    The order comes from each row's source, file and position, so equal rows spread as
+    well. The merged rows must be as many as the inputs' rows together.
     """
     sources = {n: load_triples(spark, p, row_key=True) for n, p in inputs.items()}
-    mixed = seeded_shuffle(merge_sources(sources, keep=ROW_KEY), ROW_KEY, seed, shards)
-    return write_verified(project_triple(mixed), path)
+    total = sum(df.count() for df in sources.values())      # from the file footers
+    merged = merge_sources(sources, keep=ROW_KEY)
+    mixed = seeded_shuffle(merged, ["source", *ROW_KEY], seed, shards)
+    return write_verified(project_triple(mixed), path, expect_rows=total)

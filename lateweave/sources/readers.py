@@ -172,13 +172,15 @@ def load_beir_tables(corpus: DataFrame, queries: DataFrame, pairs: DataFrame, sp
             "qrels": qrels_from_pairs(judged, kept)}
 
 
-ROW_KEY = ["file_path", "row_index"]
+ROW_KEY = ["file", "row_index"]
+_RUN = "-[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
 
 
 def load_triples(spark: SparkSession, path: str, row_key: bool = False) -> DataFrame:
     """A finished triple table: its three columns, and each row's place with ``row_key``.
 
-    The folder must be complete. When it holds one table per split, the first by name
+    A place is the file's name without the id of the job that wrote it, and the row's
+    number in the file: the same again when the table is rebuilt from the same input. The folder must be complete. When it holds one table per split, the first by name
     is taken.
     """
     if not paths.exists(spark, f"{path}/_SUCCESS"):
@@ -187,5 +189,6 @@ def load_triples(spark: SparkSession, path: str, row_key: bool = False) -> DataF
             raise FileNotFoundError(f"no finished table at {path}")
         path = min(splits)
     table = require_columns(spark.read.parquet(path), TRIPLE_COLUMNS, path)
-    place = [f"_metadata.{c}" for c in ROW_KEY] if row_key else []
+    file = F.regexp_replace(F.col("_metadata.file_name"), _RUN, "").alias("file")
+    place = [file, "_metadata.row_index"] if row_key else []
     return table.select(*TRIPLE_COLUMNS, *place)

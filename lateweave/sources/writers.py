@@ -42,9 +42,12 @@ def _fingerprint(columns: list[str]) -> list[Column]:
             F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("sum")]
 
 
-def write_verified(df: DataFrame, path: str, shards: int | None = None) -> str:
+def write_verified(df: DataFrame, path: str, shards: int | None = None,
+                   expect_rows: int | None = None) -> str:
     """Write, read everything back, compare with what was written, then swap.
 
+    ``expect_rows`` also compares the number of rows with what they should be.
+
     The fingerprint of the input is observed during the write itself, after the
     repartitioning, so the input is computed once. On a mismatch the temporary table is
     left for inspection and the old one stays.
@@ -55,6 +58,8 @@ def write_verified(df: DataFrame, path: str, shards: int | None = None) -> str:
     seen = Observation()
     df.observe(seen, *_fingerprint(df.columns)).write.mode("overwrite").parquet(tmp)
     wrote = seen.get
+    if expect_rows is not None and wrote["n"] != expect_rows:
+        raise ValueError(f"{wrote['n']} rows for {path}, expected {expect_rows}")
     back = spark.read.parquet(tmp).agg(*_fingerprint(df.columns)).first()
     if (back["n"], back["sum"]) != (wrote["n"], wrote["sum"]):
         raise OSError(f"{tmp} does not read back as written: {back} after {wrote}")

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lateweave.functions.gate import Gate, init_gate
-from lateweave.plans.build_triples import materialize, merge_tables, prompted_triples
+from lateweave.plans.build_triples import (
+    materialize, materialize_prompted, merge_tables, prompted_triples,
+)
 from lateweave.plans.evaluate import evaluate_run, report
 from lateweave.schemas import DOMAINS, PROMPTED_RECORD, TRIPLE_COLUMNS
 from lateweave.session import checkpoint_dir, scratch_path
@@ -194,10 +196,30 @@ def test_merge_tables(spark, tmp_path):
     rows = [tuple(r) for r in load_triples(spark, merged).collect()]
     assert len(rows) == 65
     assert len(list((tmp_path / "m").glob("*.parquet"))) == 4
+    again = {n: write_replace(spark.read.parquet(p).coalesce(1), str(tmp_path / "again" / n))
+             for n, p in inputs.items()}
+    rebuilt = {n: write_replace(triples(spark, k, n), str(tmp_path / "rebuilt" / n)) for n, k in [("a", 40), ("b", 25)]}
+    second = load_triples(spark, merge_tables(spark, rebuilt, str(tmp_path / "m2"), shards=4))
+    assert [tuple(r) for r in second.collect()] == rows
+    assert load_triples(spark, merge_tables(spark, again, str(tmp_path / "m3"))).count() == 65
     both = [tuple(r) for n in inputs.values() for r in spark.read.parquet(n).collect()]
     assert sorted(rows) == sorted(both) and rows != both
 
 
+def test_row_count_is_checked(spark, tmp_path):
+    with pytest.raises(ValueError, match="expected 6"):
+        write_verified(triples(spark, 5), str(tmp_path / "t"), expect_rows=6)
+    assert not (tmp_path / "t").exists()
+
+
+def test_prompted_table(spark, tmp_path):
+    lines = [json.dumps({"query": f"q{i}", "pos": ["p" * 10], "neg": ["n" * 10]}) for i in range(30)]
+    write_lines(tmp_path / "pony.jsonl", *lines)
+    path = materialize_prompted(spark, str(tmp_path), str(tmp_path / "t"), "pony", shards=2)
+    got = [r["query"] for r in load_triples(spark, path).collect()]
+    assert sorted(got) == sorted(f"q{i}" for i in range(30)) and got != [f"q{i}" for i in range(30)]
+
+
 def test_gate_table(spark, tmp_path):
     path = str(tmp_path / "gate")
     with pytest.raises(FileNotFoundError):
