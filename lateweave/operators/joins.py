@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 200_000
+MAX_HOT_KEYS = 10_000
+MAX_SALTS = 2_000
 NULL_SALTS = 1024
 
 
@@ -27,12 +29,13 @@ def left_join_hot(left: DataFrame, right: DataFrame, key: str,
                   count_on: DataFrame | None = None) -> DataFrame:
     """Join on ``key`` where some keys may hold a large share of the left rows.
 
-    Keys with more than ``hot_rows`` left rows are spread over
-    ``ceil(rows / hot_rows)`` salts, and only their right rows are repeated, once per
-    salt. There are at most ``left rows / hot_rows`` such keys, which bounds the
-    broadcast list. Left rows without a key match nothing and are spread over
-    ``NULL_SALTS`` salts. Counting combines before its shuffle and reads the key alone, of
-    ``left`` or of a cheaper table ``count_on`` with the same keys.
+    Keys with more than ``hot_rows`` left rows are spread over salts of a quarter of that
+    (``MAX_SALTS`` at most), small enough that salts meeting in one partition even out.
+    Only their right rows are repeated, once per salt. The broadcast list holds the
+    ``MAX_HOT_KEYS`` hottest of them, however large the tables; any other key has at most
+    a 10,000th of the rows and needs no salt. Left rows without a key match nothing and
+    are spread over ``NULL_SALTS`` salts. Counting combines before its shuffle and reads
+    the key alone, of ``left`` or of a cheaper table ``count_on`` with the same keys.
 
     ``last_by`` first reduces the right side to the last row per key in the order of
     those columns. That happens on the salted key, so the one shuffle of the right side
@@ -44,7 +47,9 @@ def left_join_hot(left: DataFrame, right: DataFrame, key: str,
     """
     hot = ((left if count_on is None else count_on).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
            .where((F.col("_n") > hot_rows) & F.col(key).isNotNull())
-           .select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+           .orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS)
+           .select(key, F.least(F.ceil(4 * F.col("_n") / hot_rows), F.lit(MAX_SALTS))
+                   .cast("int").alias("_salts")))
     spread = F.xxhash64(*row_key) if row_key else F.monotonically_increasing_id()
     salted_left = (
         left.withColumn("_spread", spread)

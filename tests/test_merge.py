@@ -3,7 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import lateweave.operators.joins as joins
 import lateweave.operators.merge as merge
+from lateweave.operators.joins import left_join_hot
 from lateweave.operators.merge import (
     corpus_counts, limit_batches, merge_sources, seeded_shuffle, source_counts, train_test_split,
 )
@@ -88,8 +90,9 @@ def test_corpus_counts(spark):
     assert got == {"a": (2, 1), "b": (1, 0), "c": (0, 1)}
 
 
-def test_hot_and_missing_keys_join_whole(spark):
-    from lateweave.operators.joins import left_join_hot
+@pytest.mark.parametrize("listed", [10_000, 1])
+def test_hot_and_missing_keys_join_whole(spark, monkeypatch, listed):
+    monkeypatch.setattr(joins, "MAX_HOT_KEYS", listed)
 
     keys = [None] * 40 + ["hot"] * 50 + ["gone"] * 30 + ["a", "b", "b"]
     left = spark.createDataFrame(list(enumerate(keys)), "n int, k string")
