@@ -20,8 +20,19 @@ WORD_GATE = Gate([((i % 7) - 3) / 4.0 for i in range(16)], 0.5)
 TOKENS_PER_DOC = 8
 
 
+# Declared, so that opening a table starts no job to infer its schema.
+SCHEMAS = {
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "events": "event_id long, user_id long, event_type string, value double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
