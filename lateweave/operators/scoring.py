@@ -31,6 +31,10 @@ CANDIDATE_ROW_BYTES = 160       # up to 4 k rows of about 40 bytes per query
 BLOCK_TOKENS = 1024
 MODES = ("plain", "norm", "unnorm")
 
+# Scores are rounded before they are compared: matrix products of equal documents differ
+# in the last bits with their place in a block, and copies should tie.
+DECIMALS = {"float64": 10, "float32": 5}
+
 _OUT = "split string, qid string, doc_id string, score double"
 
 
@@ -199,7 +203,7 @@ def _score_batch(batch: pa.RecordBatch, blocks: list[QueryBlock], best: list[Top
             m = best_per_token(toks[first:last], starts, block.toks, out if out.any() else None,
                                scratch)
             scores = np.add.reduceat(m * block.weights, block.starts, axis=1) / block.divisors
-            top.add(scores, ids.slice(lo, hi - lo))
+            top.add(scores.round(DECIMALS[dtype]), ids.slice(lo, hi - lo))
 
 
 def _local_topk(shared, k: int, dtype: str):

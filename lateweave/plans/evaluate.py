@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ from lateweave.operators.metrics import (
 )
 from lateweave.operators.ranking import TOP_K, exclude_ids
 from lateweave.operators.scoring import score_topk
-from lateweave.operators.tokens import DOCUMENT_LENGTH, QUERY_LENGTH, truncate_packed
+from lateweave.operators.tokens import (
+    DOCUMENT_LENGTH, QUERY_LENGTH, Encoder, embed_tokens, truncate_packed,
+)
 from lateweave.schemas import METRICS
-from lateweave.session import cut_lineage
+from lateweave.session import cut_lineage, scratch_path
 from lateweave.sources.writers import read_metrics, write_metrics
 
 
@@ -41,6 +45,18 @@ def evaluate(queries: DataFrame, docs: DataFrame, gate: Gate | None = None, k: i
     return retrieval_metrics(ranked, qrels_from_gold(queries), queries, metrics)
 
 
+def pending_runs(spark: SparkSession, queries: DataFrame, path: str, run_id: str,
+                 query_length: int, short_length: int) -> tuple[DataFrame, list[str]]:
+    """``(run_id, split, qlen)`` of the splits without metrics, and the names of the splits.
+
+    Cut off from its inputs, since the metrics table it was read from grows afterwards.
+    """
+    splits = queries.select("split").dropDuplicates()
+    expected = expected_runs(splits, run_id, query_length, short_length)
+    pending = cut_lineage(resume_pending(expected, read_metrics(spark, path)))
+    return pending, [r["split"] for r in pending.collect()]      # split names only
+
+
 def evaluate_run(spark: SparkSession, queries: DataFrame, docs: DataFrame, path: str, run_id: str,
                  gate: Gate | None = None, query_length: int = QUERY_LENGTH,
                  short_length: int = 32, document_length: int = DOCUMENT_LENGTH,
@@ -50,10 +66,7 @@ def evaluate_run(spark: SparkSession, queries: DataFrame, docs: DataFrame, path:
     All pending splits go through one job; tokens are capped per side, with the query
     cap routed by split.
     """
-    splits = queries.select("split").dropDuplicates()
-    expected = expected_runs(splits, run_id, query_length, short_length)
-    pending = cut_lineage(resume_pending(expected, read_metrics(spark, path)))
-    todo = [r["split"] for r in pending.collect()]      # split names only
+    pending, todo = pending_runs(spark, queries, path, run_id, query_length, short_length)
     if todo:
         cap = route_length(F.col("split"), query_length, short_length)
         # A literal list prunes partitions of tables stored by split.
@@ -64,6 +77,33 @@ def evaluate_run(spark: SparkSession, queries: DataFrame, docs: DataFrame, path:
     return read_metrics(spark, path).where(F.col("run_id") == run_id)
 
 
+def evaluate_texts(spark: SparkSession, queries: DataFrame, docs: DataFrame, path: str,
+                   run_id: str, query_encoder: Callable[[], Encoder],
+                   document_encoder: Callable[[], Encoder], gate: Gate | None = None,
+                   query_length: int = QUERY_LENGTH, short_length: int = 32,
+                   document_length: int = DOCUMENT_LENGTH, partitions: int | None = None,
+                   **scoring) -> DataFrame:
+    """``evaluate_run`` from texts: embed the pending splits once, then score them.
+
+    ``queries``: ``split, qid, query, gold_ids, excluded_ids``; ``docs``: ``split, doc_id,
+    text``. The vectors are written to the shared checkpoint folder by split.
+    """
+    _, todo = pending_runs(spark, queries, path, run_id, query_length, short_length)
+    if not todo:
+        return read_metrics(spark, path).where(F.col("run_id") == run_id)
+    wanted = F.col("split").isin(todo)
+    vectors = scratch_path(spark, "vectors")
+    embed_tokens(queries.where(wanted), query_encoder, ["split", "qid", "gold_ids", "excluded_ids"],
+                 "query", query_length).write.parquet(f"{vectors}/queries")
+    (embed_tokens(docs.where(wanted), document_encoder, ["split", "doc_id"], "text",
+                  document_length, partitions=partitions)
+     .write.partitionBy("split").parquet(f"{vectors}/docs"))
+    d = spark.read.schema("doc_id string, toks array<array<float>>, split string").parquet(
+        f"{vectors}/docs")
+    return evaluate_run(spark, spark.read.parquet(f"{vectors}/queries"), d, path, run_id, gate,
+                        query_length, short_length, document_length, **scoring)
+
+
 def report(metrics: DataFrame, expected: DataFrame, metric: str = "ndcg@10"
            ) -> tuple[DataFrame, DataFrame]:
     """Per-split report in percent and its macro mean."""

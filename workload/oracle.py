@@ -216,6 +216,43 @@ _WORDS = """WITH words AS (
                 (x / sqrt(list_dot_product(r, r)))::float::double) AS v FROM raw)"""
 
 
+_TEXT_RUN = f"""WITH qtokens AS (
+    SELECT item_id, unnest(list_filter(string_split(text, ' '), lambda w: w <> '')) AS word
+    FROM benchmark),
+  qwords AS (SELECT item_id, word, count(*) AS n FROM qtokens GROUP BY ALL),
+  dtokens AS (
+    SELECT doc_id, unnest(list_filter(string_split(text, ' '), lambda w: w <> '')) AS word
+    FROM documents),
+  dwords AS (SELECT DISTINCT doc_id, word FROM dtokens),
+  raw AS (SELECT word, list_transform(range(16), lambda i:
+            ('0x' || substr(md5(word), (2 * i + 1)::int, 2))::int - 127.5::double) AS r
+          FROM (SELECT word FROM qwords UNION SELECT word FROM dwords)),
+  vectors AS (SELECT word, list_transform(r, lambda x:
+                (x / sqrt(list_dot_product(r, r)))::float::double) AS v FROM raw),
+  sims AS (
+    SELECT a.word AS q, b.word AS d, list_dot_product(a.v, b.v) AS sim
+    FROM (SELECT * FROM vectors WHERE word IN (SELECT word FROM qwords)) a,
+         (SELECT * FROM vectors WHERE word IN (SELECT word FROM dwords)) b),
+  best AS (SELECT q AS word, doc_id, max(sim) AS m FROM dwords JOIN sims ON d = dwords.word
+           GROUP BY ALL),
+  weights AS (SELECT word, {_LINEAR.replace('range(64)', 'range(16)')} AS w FROM vectors),
+  scored AS (
+    SELECT item_id::varchar AS qid, doc_id::varchar AS doc_id,
+           round(sum(n * w * m) / greatest(sum(n * w), 1e-6), 10) AS score
+    FROM qwords JOIN best USING (word) JOIN weights USING (word) GROUP BY item_id, doc_id),
+  ranked AS (
+    SELECT 'biology' AS split, qid, doc_id, score,
+           row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::int AS rank
+    FROM scored QUALIFY rank <= 100),
+  kept AS (
+    SELECT * EXCLUDE (rank),
+           row_number() OVER (PARTITION BY split, qid ORDER BY rank)::int AS rank
+    FROM ranked WHERE doc_id <> (qid::bigint + 1)::varchar),
+  gold AS (
+    SELECT 'biology' AS split, item_id::varchar AS qid, unnest([item_id, item_id + 7])::varchar AS doc_id
+    FROM benchmark)"""
+
+
 ORACLE: dict[str, str] = {
     "maxsim_topk": _ranked(10) + _OUT + "ranked",
     "maxsim_topk_passes": _ranked(10) + _OUT + "ranked",
@@ -285,6 +322,9 @@ ORACLE: dict[str, str] = {
     "evaluation_run": _DOMAIN_RUN + """
       SELECT 'run' AS run_id, split, (CASE WHEN split LIKE '%pony%' THEN 32 ELSE 256 END)::int AS qlen,
              metric, round(value, 6) AS value FROM long""",
+    "text_topk": _TEXT_RUN + _OUT + "kept",
+    "text_evaluation": _TEXT_RUN + _metrics("kept") + """
+      SELECT 'run' AS run_id, split, 256::int AS qlen, metric, round(value, 6) AS value FROM long""",
     "split_report": _REPORT + """
       SELECT split, round(pct, 4) AS pct, CASE WHEN pct IS NULL THEN 'missing' ELSE 'done' END AS status
       FROM report""",

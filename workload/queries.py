@@ -31,7 +31,9 @@ from lateweave.operators.triples import (
     explode_product, last_wins_dim, project_triple, resolve_record,
 )
 from lateweave.plans.build_triples import hq_triples, materialize, merge_tables, vl_triples
-from lateweave.plans.evaluate import evaluate, evaluate_run, rank_queries, report
+from lateweave.plans.evaluate import (
+    evaluate, evaluate_run, evaluate_texts, rank_queries, report,
+)
 from lateweave.schemas import DOMAINS, PROMPTED_RECORD
 from lateweave.session import cut_lineage, scratch_path
 from lateweave.sources.readers import (
@@ -278,6 +280,24 @@ def evaluation_run(spark, sf_dir):
     return _metric_rows(got).select("run_id", "split", "qlen", "metric", "value")
 
 
+@query
+def text_topk(spark, sf_dir):
+    queries, docs = t.text_corpus(spark, sf_dir)
+    q = embed_tokens(queries, make_encoder, ["split", "qid", "excluded_ids"], "query", gate=t.WORD_GATE)
+    d = embed_tokens(docs, make_encoder, ["split", "doc_id"],
+                     partitions=spark.sparkContext.defaultParallelism)
+    return _ranked(exclude_ids(score_topk(q, d, mode="norm"), exclusions_from_lists(q)))
+
+
+@query
+def text_evaluation(spark, sf_dir):
+    queries, docs = t.text_corpus(spark, sf_dir)
+    got = evaluate_texts(spark, queries, docs, scratch_path(spark, "metrics"), "run", make_encoder,
+                         make_encoder, t.WORD_GATE, document_length=1_000_000,
+                         partitions=spark.sparkContext.defaultParallelism)
+    return _metric_rows(got).select("run_id", "split", "qlen", "metric", "value")
+
+
 @query
 def split_report(spark, sf_dir):
     rows, _ = report(evaluate(*t.domain_corpora(spark, sf_dir), gate=t.GATE), _expected(spark))

@@ -107,6 +107,23 @@ def id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(items)
 
 
+def text_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark passages as queries over all documents, in one split.
+
+    Gold: the documents with the passage's number and the seventh after it; excluded: the
+    one right after it.
+    """
+    n = F.col("item_id")
+    queries = table(spark, sf_dir, "benchmark").select(
+        F.lit("biology").alias("split"), n.cast("string").alias("qid"),
+        F.col("text").alias("query"),
+        F.array(n, n + 7).cast("array<string>").alias("gold_ids"),
+        F.array(n + 1).cast("array<string>").alias("excluded_ids"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.lit("biology").alias("split"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return queries, docs
+
+
 def answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(conv_id, turn, query, answer)``: user turns followed by an assistant turn."""
     c = table(spark, sf_dir, "conversations")
