@@ -13,21 +13,21 @@ FAN_IN = 32
 
 
 def topk_per_query(scored: DataFrame, k: int = TOP_K, ties: str = "first",
-                   fan_in: int = FAN_IN) -> DataFrame:
+                   fan_in: int = FAN_IN, by: str = "score") -> DataFrame:
     """The ``k`` best documents per query with their 1-based ``rank``.
 
-    Equal scores go by ``doc_id``: ``ties="first"`` puts the smaller id first, ``"last"``
-    the larger one. NaN scores are dropped, since they would sort above everything.
+    Rows compare by the column ``by``. Equal ones go by ``doc_id``: ``ties="first"`` puts the smaller id first, ``"last"``
+    the larger one. NaN is dropped, since it would sort above everything.
 
     Two levels: the best ``k`` inside each of ``fan_in`` hash buckets of a query, then
     the best of those. One query never needs more than ``fan_in * k`` rows in its last
     task, however many candidates it has, and both levels cut before their shuffle.
     """
     tie = F.asc("doc_id") if ties == "first" else F.desc("doc_id")
-    order = [F.desc("score"), tie]
+    order = [F.desc(by), tie]
     part = Window.partitionBy(*QUERY_KEY, "_bucket").orderBy(*order)
     final = Window.partitionBy(*QUERY_KEY).orderBy(*order)
-    best = (scored.where(~F.isnan("score"))
+    best = (scored.where(~F.isnan(by))
             .withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(fan_in)))
             .withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
             .drop("_bucket", "rank"))

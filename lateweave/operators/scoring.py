@@ -31,11 +31,11 @@ CANDIDATE_ROW_BYTES = 160       # up to 4 k rows of about 40 bytes per query
 BLOCK_TOKENS = 1024
 MODES = ("plain", "norm", "unnorm")
 
-# Scores are rounded before they are compared: matrix products of equal documents differ
+# Decimals that count when scores are compared: matrix products of equal documents differ
 # in the last bits with their place in a block, and copies should tie.
 DECIMALS = {"float64": 10, "float32": 5}
 
-_OUT = "split string, qid string, doc_id string, score double"
+_OUT = "split string, qid string, doc_id string, score double, grade double"
 
 
 @dataclass
@@ -101,21 +101,26 @@ def query_blocks(table: pa.Table, mode: str, dtype: str) -> dict[str, list[tuple
 
 
 class TopK:
-    """Running best k per query of one block; ties go to the smaller document id."""
+    """Running best k per query of one block; ties go to the smaller document id.
 
-    def __init__(self, n: int, k: int) -> None:
-        self.n, self.k = n, k
+    Documents compare by ``grade``, the score as a whole number of its last decimal.
+    """
+
+    def __init__(self, n: int, k: int, decimals: int) -> None:
+        self.n, self.k, self.unit = n, k, 10.0 ** decimals
         self.floor = np.full(n, -np.inf)
         self.parts: list[pa.Table] = []
         self.rows = 0
 
     def add(self, scores: np.ndarray, doc_ids: pa.Array) -> None:
         """``scores`` is ``[documents, queries]``."""
-        d, q = np.nonzero(scores >= self.floor)
+        grades = np.rint(scores * self.unit)
+        d, q = np.nonzero(grades >= self.floor)
         if not len(d):
             return
-        self.parts.append(pa.table(
-            {"q": q, "score": scores[d, q].astype("float64"), "doc_id": doc_ids.take(pa.array(d))}))
+        self.parts.append(pa.table({
+            "q": q, "grade": grades[d, q].astype("float64"), "score": scores[d, q].astype("float64"),
+            "doc_id": doc_ids.take(pa.array(d))}))
         self.rows += len(d)
         if self.rows > 4 * self.n * self.k + 8192:
             self.cut()
@@ -125,11 +130,11 @@ class TopK:
             return None
         rows = pa.concat_tables(self.parts)
         rows = rows.take(pc.sort_indices(rows, sort_keys=[
-            ("q", "ascending"), ("score", "descending"), ("doc_id", "ascending")]))
+            ("q", "ascending"), ("grade", "descending"), ("doc_id", "ascending")]))
         q = rows["q"].to_numpy()
         place = np.arange(len(q)) - np.searchsorted(q, q)
         last = place == self.k - 1
-        self.floor[q[last]] = rows["score"].to_numpy()[last]
+        self.floor[q[last]] = rows["grade"].to_numpy()[last]
         rows = rows.filter(pa.array(place < self.k))
         self.parts, self.rows = [rows], rows.num_rows
         return rows
@@ -203,14 +208,14 @@ def _score_batch(batch: pa.RecordBatch, blocks: list[QueryBlock], best: list[Top
             m = best_per_token(toks[first:last], starts, block.toks, out if out.any() else None,
                                scratch)
             scores = np.add.reduceat(m * block.weights, block.starts, axis=1) / block.divisors
-            top.add(scores.round(DECIMALS[dtype]), ids.slice(lo, hi - lo))
+            top.add(scores, ids.slice(lo, hi - lo))
 
 
 def _local_topk(shared, k: int, dtype: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = {s: [QueryBlock(*b) for b in bs] for s, bs in shared.value.items()}
         scratch = Scratch(dtype)
-        best = {s: [TopK(len(b.qids), k) for b in bs] for s, bs in blocks.items()}
+        best = {s: [TopK(len(b.qids), k, DECIMALS[dtype]) for b in bs] for s, bs in blocks.items()}
         for batch in batches:
             splits = batch.column("split")
             for split in pc.unique(splits).to_pylist():
@@ -225,7 +230,7 @@ def _local_topk(shared, k: int, dtype: str):
                         "split": pa.array([split] * rows.num_rows, pa.string()),
                         "qid": pa.array(block.qids[rows["q"].to_numpy()], pa.string()),
                         "doc_id": rows["doc_id"].cast(pa.string()),
-                        "score": rows["score"]})
+                        "score": rows["score"], "grade": rows["grade"]})
                     yield from out.combine_chunks().to_batches()
     return run
 
@@ -269,7 +274,8 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
     Queries are measured first and split into passes of at most ``pass_bytes`` of vectors,
     which is what a task ever holds of them; several passes are checkpointed one by one.
     Each pass reads ``docs`` again, so documents embedded on the fly belong in a table first.
-    ``partitions`` spreads a small document table over more tasks.
+    ``partitions`` spreads a small document table over more tasks. Scores that agree to
+    ``DECIMALS`` tie and go by ``doc_id``.
     """
     if mode not in MODES:
         raise ValueError(f"unknown score mode {mode!r}")
@@ -290,7 +296,7 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
             one_pass = numbered.where(F.col("_pass") == i).select(*cols).toArrow()
             shared = spark.sparkContext.broadcast(query_blocks(one_pass, mode, dtype))
             local = docs.mapInArrow(_local_topk(shared, k, dtype), _OUT)
-            ranked = topk_per_query(local, k)
+            ranked = topk_per_query(local, k, by="grade").drop("grade")
             if n > 1:
                 ranked = cut_lineage(ranked)
                 shared.unpersist()

@@ -10,7 +10,7 @@ from lateweave.functions.gate import Gate, init_gate
 from lateweave.plans.build_triples import (
     materialize, materialize_prompted, merge_tables, prompted_triples,
 )
-from lateweave.plans.evaluate import evaluate_run, report
+from lateweave.plans.evaluate import evaluate_run, evaluate_texts, report
 from lateweave.schemas import DOMAINS, PROMPTED_RECORD, TRIPLE_COLUMNS
 from lateweave.session import checkpoint_dir, scratch_path
 from lateweave.sources import paths, writers
@@ -21,6 +21,7 @@ from lateweave.sources.readers import (
 from lateweave.sources.writers import (
     load_gate, materialize_once, save_gate, write_replace, write_verified,
 )
+from workload.encoder import make_encoder
 
 
 def triples(spark, n, tag=""):
@@ -232,6 +233,23 @@ def test_gate_table(spark, tmp_path):
         assert load_gate(spark, path) == gate
 
 
+def test_evaluation_from_texts(spark, tmp_path):
+    queries = spark.createDataFrame(
+        [("aops", "1", "red fox", ["a"], ["c"]), ("pony", "2", "blue", ["b"], [])],
+        "split string, qid string, query string, gold_ids array<string>, excluded_ids array<string>")
+    docs = spark.createDataFrame(
+        [("aops", "a", "the red fox"), ("aops", "c", "red fox"), ("aops", "d", "a hen"), ("pony", "b", "blue")],
+        "split string, doc_id string, text string")
+    path = str(tmp_path / "metrics")
+
+    def run(run_id):
+        return evaluate_texts(spark, queries, docs, path, run_id, make_encoder, make_encoder)
+
+    got = {(r.split, r.metric): r.value for r in run("r").collect()}
+    assert got["aops", "ndcg@1"] == got["pony", "ndcg@1"] == 1.0
+    assert run("r").count() == 12
+
+
 def test_checkpoint_folder(spark):
     folder = checkpoint_dir(spark)
     assert folder and scratch_path(spark, "x").startswith(folder.rstrip("/") + "/x-")

@@ -238,11 +238,11 @@ _TEXT_RUN = f"""WITH qtokens AS (
   weights AS (SELECT word, {_LINEAR.replace('range(64)', 'range(16)')} AS w FROM vectors),
   scored AS (
     SELECT item_id::varchar AS qid, doc_id::varchar AS doc_id,
-           round(sum(n * w * m) / greatest(sum(n * w), 1e-6), 10) AS score
+           sum(n * w * m) / greatest(sum(n * w), 1e-6) AS score
     FROM qwords JOIN best USING (word) JOIN weights USING (word) GROUP BY item_id, doc_id),
   ranked AS (
     SELECT 'biology' AS split, qid, doc_id, score,
-           row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::int AS rank
+           row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, doc_id)::int AS rank
     FROM scored QUALIFY rank <= 100),
   kept AS (
     SELECT * EXCLUDE (rank),
