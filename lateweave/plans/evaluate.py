@@ -22,6 +22,8 @@ from lateweave.schemas import METRICS
 from lateweave.session import cut_lineage, scratch_path
 from lateweave.sources.writers import read_metrics, write_metrics
 
+MAX_LISTED = 1000
+
 
 def rank_queries(queries: DataFrame, docs: DataFrame, gate: Gate | None = None, k: int = TOP_K,
                  **scoring) -> DataFrame:
@@ -46,15 +48,26 @@ def evaluate(queries: DataFrame, docs: DataFrame, gate: Gate | None = None, k: i
 
 
 def pending_runs(spark: SparkSession, queries: DataFrame, path: str, run_id: str,
-                 query_length: int, short_length: int) -> tuple[DataFrame, list[str]]:
-    """``(run_id, split, qlen)`` of the splits without metrics, and the names of the splits.
+                 query_length: int, short_length: int) -> DataFrame:
+    """``(run_id, split, qlen)`` of the splits without metrics.
 
     Cut off from its inputs, since the metrics table it was read from grows afterwards.
     """
     splits = queries.select("split").dropDuplicates()
     expected = expected_runs(splits, run_id, query_length, short_length)
-    pending = cut_lineage(resume_pending(expected, read_metrics(spark, path)))
-    return pending, [r["split"] for r in pending.collect()]      # split names only
+    return cut_lineage(resume_pending(expected, read_metrics(spark, path)))
+
+
+def only_splits(tables: list[DataFrame], wanted: DataFrame) -> list[DataFrame]:
+    """The rows of the wanted splits.
+
+    A short list of names becomes a literal filter, which prunes partitions of tables
+    stored by split; a long one becomes a semi join.
+    """
+    names = [r["split"] for r in wanted.select("split").limit(MAX_LISTED + 1).collect()]
+    if len(names) <= MAX_LISTED:
+        return [df.where(F.col("split").isin(names)) for df in tables]
+    return [df.join(wanted.select("split"), "split", "left_semi") for df in tables]
 
 
 def evaluate_run(spark: SparkSession, queries: DataFrame, docs: DataFrame, path: str, run_id: str,
@@ -66,12 +79,11 @@ def evaluate_run(spark: SparkSession, queries: DataFrame, docs: DataFrame, path:
     All pending splits go through one job; tokens are capped per side, with the query
     cap routed by split.
     """
-    pending, todo = pending_runs(spark, queries, path, run_id, query_length, short_length)
-    if todo:
-        cap = route_length(F.col("split"), query_length, short_length)
-        # A literal list prunes partitions of tables stored by split.
-        q = truncate_packed(queries.where(F.col("split").isin(todo)), cap)
-        d = truncate_packed(docs.where(F.col("split").isin(todo)), document_length)
+    pending = pending_runs(spark, queries, path, run_id, query_length, short_length)
+    if not pending.isEmpty():
+        q, d = only_splits([queries, docs], pending)
+        q = truncate_packed(q, route_length(F.col("split"), query_length, short_length))
+        d = truncate_packed(d, document_length)
         values = evaluate(q, d, gate, **scoring)
         write_metrics(values.join(pending, "split"), path)
     return read_metrics(spark, path).where(F.col("run_id") == run_id)
@@ -88,14 +100,14 @@ def evaluate_texts(spark: SparkSession, queries: DataFrame, docs: DataFrame, pat
     ``queries``: ``split, qid, query, gold_ids, excluded_ids``; ``docs``: ``split, doc_id,
     text``. The vectors are written to the shared checkpoint folder by split.
     """
-    _, todo = pending_runs(spark, queries, path, run_id, query_length, short_length)
-    if not todo:
+    pending = pending_runs(spark, queries, path, run_id, query_length, short_length)
+    if pending.isEmpty():
         return read_metrics(spark, path).where(F.col("run_id") == run_id)
-    wanted = F.col("split").isin(todo)
+    queries, docs = only_splits([queries, docs], pending)
     vectors = scratch_path(spark, "vectors")
-    embed_tokens(queries.where(wanted), query_encoder, ["split", "qid", "gold_ids", "excluded_ids"],
+    embed_tokens(queries, query_encoder, ["split", "qid", "gold_ids", "excluded_ids"],
                  "query", query_length).write.parquet(f"{vectors}/queries")
-    (embed_tokens(docs.where(wanted), document_encoder, ["split", "doc_id"], "text",
+    (embed_tokens(docs, document_encoder, ["split", "doc_id"], "text",
                   document_length, partitions=partitions)
      .write.partitionBy("split").parquet(f"{vectors}/docs"))
     d = spark.read.schema("doc_id string, toks array<array<float>>, split string").parquet(

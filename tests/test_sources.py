@@ -10,6 +10,7 @@ from lateweave.functions.gate import Gate, init_gate
 from lateweave.plans.build_triples import (
     materialize, materialize_prompted, merge_tables, prompted_triples,
 )
+import lateweave.plans.evaluate as evaluate_module
 from lateweave.plans.evaluate import evaluate_run, evaluate_texts, report
 from lateweave.schemas import DOMAINS, PROMPTED_RECORD, TRIPLE_COLUMNS
 from lateweave.session import checkpoint_dir, scratch_path
@@ -255,7 +256,10 @@ def test_checkpoint_folder(spark):
     assert folder and scratch_path(spark, "x").startswith(folder.rstrip("/") + "/x-")
 
 
-def test_evaluation_resumes(spark, tmp_path):
+@pytest.mark.parametrize("listed", [1000, 1])
+def test_evaluation_resumes(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(evaluate_module, "MAX_LISTED", listed)
+
     def toks(*xs):
         return [[float(x), 1.0] for x in xs]
 
