@@ -29,6 +29,11 @@ def l2_normalise(v: Column) -> Column:
     return F.transform(d, lambda x: x / norm)
 
 
+def all_seen(mask: Column, toks: Column) -> Column:
+    """The mask, or true for every token where there is none."""
+    return F.coalesce(mask, F.transform(toks, lambda _: F.lit(True)))
+
+
 def best_match(q_toks: Column, d_toks: Column, d_mask: Column | None = None) -> Column:
     """Per query token, its best similarity over the document's tokens.
 
@@ -40,7 +45,7 @@ def best_match(q_toks: Column, d_toks: Column, d_mask: Column | None = None) ->
     def one(qt: Column) -> Column:
         sims = F.transform(d, lambda dt: dot(qt, dt))
         if d_mask is not None:
-            sims = F.zip_with(sims, d_mask, lambda s, m: F.when(m, s).otherwise(MASKED_SCORE))
+            sims = F.zip_with(sims, all_seen(d_mask, sims), lambda s, m: F.when(m, s).otherwise(MASKED_SCORE))
         return F.coalesce(F.array_max(sims), F.lit(MASKED_SCORE))
 
     return F.transform(q, one)

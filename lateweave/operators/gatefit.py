@@ -239,7 +239,9 @@ def fit_gate(features: DataFrame, gate: Gate | None = None, dim: int | None = No
                                                       F.lit(per_batch)))
     batched.write.partitionBy("batch").parquet(path)
     table = spark.read.parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
-    gate = gate or init_gate(dim)
+    if gate is None:
+        dim = dim or table.select(F.size(F.get("q_toks", F.lit(0)))).first()[0]
+        gate = init_gate(dim)
     theta = _flat(gate)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     log: list[dict] = []

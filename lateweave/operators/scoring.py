@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lateweave.functions.vectors import MASKED_SCORE, MIN_WEIGHT_SUM
+from lateweave.functions.vectors import MASKED_SCORE, MIN_WEIGHT_SUM, all_seen
 from lateweave.operators.ranking import QUERY_KEY, TOP_K, topk_per_query
 from lateweave.schemas import require_columns
 from lateweave.session import cut_lineage
@@ -241,8 +241,8 @@ def _passes(queries: DataFrame, k: int, pass_bytes: int, itemsize: int) -> tuple
     One is ``pass_bytes`` of query vectors, the other what a task may hold of candidates.
     """
     most = max(1, CANDIDATE_BYTES // (k * CANDIDATE_ROW_BYTES))
-    one = (F.size("toks") * F.coalesce(F.size(F.get("toks", F.lit(0))), F.lit(0))
-           * itemsize).cast("long")
+    one = (F.size("toks").cast("long") * itemsize
+           * F.coalesce(F.size(F.get("toks", F.lit(0))), F.lit(0)))
     sized = queries.withColumn("_bytes", one)
     total, largest, rows = sized.agg(F.sum("_bytes"), F.max("_bytes"), F.count(F.lit(1))).first()
     if (largest or 0) > pass_bytes:
@@ -268,7 +268,7 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
 
     ``queries``: ``split, qid, toks`` and, unless ``mode`` is plain, ``w`` per token.
     ``docs``: ``split, doc_id, toks`` and optionally a boolean ``mask`` per token (false
-    tokens score -1e4, as does a document without tokens). ``mode``: ``plain`` sums the
+    tokens score -1e4, as does a document without tokens; a NULL mask hides nothing). ``mode``: ``plain`` sums the
     best matches, ``unnorm`` weights them, ``norm`` also divides by the weight sum.
 
     Queries are measured first and split into passes of at most ``pass_bytes`` of vectors,
@@ -282,7 +282,7 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
     spark = queries.sparkSession
     cols = [*QUERY_KEY, "toks"] + ([] if mode == "plain" else ["w"])
     queries = require_columns(queries, cols, "query table").select(*cols)
-    mask = ["mask"] if "mask" in docs.columns else []
+    mask = [all_seen(F.col("mask"), F.col("toks")).alias("mask")] if "mask" in docs.columns else []
     docs = require_columns(docs, ["split", "doc_id", "toks"], "document table").select(
         "split", F.col("doc_id").cast("string").alias("doc_id"), "toks", *mask)
     if partitions:

@@ -118,6 +118,18 @@ def test_queries_without_tokens_only(spark):
     assert collected(score_topk(q, d, 5)) == {"q": [("d1", 0.0), ("d2", 0.0)]}
 
 
+def test_null_mask_hides_nothing(spark):
+    queries, docs, masks = make(8)
+    q, d = frames(spark, queries, docs, masks)
+    part = d.withColumn("mask", F.when(F.col("doc_id").endswith("copy"), F.col("mask")))
+    seen = [m if i.endswith("copy") else np.ones(len(t), bool) for (_, i, t), m in zip(docs, masks)]
+    assert collected(score_topk(q, part, 8)) == brute(queries, docs, seen, "plain", 8)
+    one = part.where("mask is null").limit(1).select(
+        maxsim(F.col("toks"), F.col("toks"), F.col("mask")).alias("a"),
+        maxsim(F.col("toks"), F.col("toks")).alias("b")).first()
+    assert one.a == one.b
+
+
 def test_guards(spark):
     q, d = frames(spark, *make()[:2])
     with pytest.raises(ValueError, match="mode"):

@@ -241,7 +241,7 @@ def gate_fit_one_step(spark, sf_dir):
 
 @query
 def gate_fit(spark, sf_dir):
-    gate, log = fit_gate(_features(spark, sf_dir), dim=t.DIM, steps=5, batches=2)
+    gate, log = fit_gate(_features(spark, sf_dir), steps=5, batches=2)
     return spark.createDataFrame(log).withColumn("bias", F.lit(gate.b))
 
 
