@@ -17,6 +17,7 @@ from lateweave.operators.joins import HOT_ROWS, left_join_hot
 from lateweave.operators.scoring import Scratch, best_per_token, token_rows
 from lateweave.schemas import STEP_LOG
 from lateweave.session import scratch_path
+from lateweave.sources import paths
 
 # The training recipe.
 LEARNING_RATE = 5e-4
@@ -272,6 +273,7 @@ def fit_gate(features: DataFrame, gate: Gate | None = None, dim: int | None = No
                 append_step_log(spark, unsaved, log_path)
                 unsaved = []
     table.unpersist()
+    paths.delete(spark, path)
     if log_path and unsaved:
         append_step_log(spark, unsaved, log_path)
     return gate, log

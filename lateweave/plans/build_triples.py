@@ -11,6 +11,7 @@ from lateweave.operators.triples import (
 )
 from lateweave.schemas import TRIPLE_COLUMNS
 from lateweave.session import scratch_path
+from lateweave.sources import paths
 from lateweave.sources.readers import (
     ROW_KEY, load_triples, require_rows, scan_jsonl, select_domains,
 )
@@ -56,7 +57,9 @@ def materialize_prompted(spark: SparkSession, folder: str, path: str, split: str
     copy = scratch_path(spark, "prompted")
     project_triple(prompted_triples(spark, folder, split, max_pos, max_neg)).write.parquet(copy)
     rows = load_triples(spark, copy, row_key=True)
-    return write_replace(project_triple(seeded_shuffle(rows, ROW_KEY, seed, shards)), path)
+    write_replace(project_triple(seeded_shuffle(rows, ROW_KEY, seed, shards)), path)
+    paths.delete(spark, copy)
+    return path
 
 
 def merge_tables(spark: SparkSession, inputs: dict[str, str], path: str, seed: int = SEED,

@@ -20,6 +20,7 @@ from lateweave.operators.tokens import (
 )
 from lateweave.schemas import METRICS
 from lateweave.session import cut_lineage, scratch_path
+from lateweave.sources import paths
 from lateweave.sources.writers import read_metrics, write_metrics
 
 MAX_LISTED = 1000
@@ -98,7 +99,7 @@ def evaluate_texts(spark: SparkSession, queries: DataFrame, docs: DataFrame, pat
     """``evaluate_run`` from texts: embed the pending splits once, then score them.
 
     ``queries``: ``split, qid, query, gold_ids, excluded_ids``; ``docs``: ``split, doc_id,
-    text``. The vectors are written to the shared checkpoint folder by split.
+    text``. The vectors are kept in the shared checkpoint folder until the metrics are written.
     """
     pending = pending_runs(spark, queries, path, run_id, query_length, short_length)
     if pending.isEmpty():
@@ -112,8 +113,10 @@ def evaluate_texts(spark: SparkSession, queries: DataFrame, docs: DataFrame, pat
      .write.partitionBy("split").parquet(f"{vectors}/docs"))
     d = spark.read.schema("doc_id string, toks array<array<float>>, split string").parquet(
         f"{vectors}/docs")
-    return evaluate_run(spark, spark.read.parquet(f"{vectors}/queries"), d, path, run_id, gate,
-                        query_length, short_length, document_length, **scoring)
+    values = evaluate_run(spark, spark.read.parquet(f"{vectors}/queries"), d, path, run_id, gate,
+                          query_length, short_length, document_length, **scoring)
+    paths.delete(spark, vectors)        # the metrics are written
+    return values
 
 
 def report(metrics: DataFrame, expected: DataFrame, metric: str = "ndcg@10"
