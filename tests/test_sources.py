@@ -92,7 +92,7 @@ def test_latest_version(spark, tmp_path):
 
 def test_tolerant_scan_ignores_foreign_metadata(spark, tmp_path):
     table = pa.table({"id": [1, 2], "content": ["a", "b"]}).replace_schema_metadata(
-        {"org.apache.spark.sql.parquet.row.metadata": '{"type":"unheard-of"}', "huggingface": '{"x": "List"}'})
+        {"org.apache.spark.sql.parquet.row.metadata": '{"type":"unheard-of"}', "foreign": '{"x": "List"}'})
     pq.write_table(table, tmp_path / "t.parquet")
     got = scan_tolerant(spark, str(tmp_path / "t.parquet"), schema="id long, content string")
     assert got.count() == 2 and got.columns == ["id", "content"]

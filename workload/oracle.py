@@ -207,6 +207,36 @@ _GRADIENT = f"""{_FEATURES},
     FROM dz, n, range(64) r(i) GROUP BY i
     UNION ALL SELECT 'b', 0, sum(z) / any_value(n) FROM dz, n)"""
 
+
+
+def _fit(steps: int, lr: float) -> str:
+    """Full-batch AdamW without decay, written out step by step; index 64 is the bias."""
+    sql = f"""{_FEATURES},
+  theta0 AS (
+    SELECT i, CASE WHEN i = 64 THEN 0.5 ELSE ((i % 7) - 3) / 4.0 END::double AS x,
+           0::double AS a, 0::double AS s FROM range(65) r(i))"""
+    for k in range(1, steps + 1):
+        sql += f""",
+  par{k} AS (SELECT list(x ORDER BY i) FILTER (i < 64) AS w, max(x) FILTER (i = 64) AS b
+             FROM theta{k - 1}),
+  gated{k} AS (SELECT triple_id, v, delta, 1 / (1 + exp(-(list_dot_product(w, v) + b))) AS g
+               FROM delta, par{k}),
+  pull{k} AS (SELECT triple_id, -1 / (1 + exp(sum(g * delta))) AS p FROM gated{k} GROUP BY triple_id),
+  dz{k} AS (SELECT v, p * delta * g * (1 - g) AS z FROM gated{k} JOIN pull{k} USING (triple_id)),
+  grad{k} AS (SELECT i, sum(z * CASE WHEN i < 64 THEN v[i + 1] ELSE 1 END)
+                        / (SELECT count(*) FROM pull{k}) AS g
+              FROM dz{k}, range(65) r(i) GROUP BY i),
+  clip{k} AS (SELECT i, g * least(1, 1 / (sqrt(sum(g * g) OVER ()) + 1e-6)) AS g FROM grad{k}),
+  moment{k} AS (SELECT i, x, 0.9::double * a + 0.1::double * g AS a,
+                       0.999::double * s + 0.001::double * g * g AS s
+                FROM theta{k - 1} JOIN clip{k} USING (i)),
+  theta{k} AS (SELECT i, x - {lr} * (a / (1 - 0.9::double ^ {k}))
+                             / (sqrt(s / (1 - 0.999::double ^ {k})) + 1e-8) AS x, a, s FROM moment{k})"""
+    return sql + f"""
+  SELECT CASE WHEN i = 64 THEN 'b' ELSE 'w' END AS param, (i % 64)::int AS idx, round(x, 8) AS value
+  FROM theta{steps}"""
+
+
 _WORDS = """WITH words AS (
     SELECT {id}, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM {table}),
   spread AS (SELECT {id}, unnest(ws) AS word, unnest(range(len(ws)))::int AS pos FROM words),
@@ -314,6 +344,7 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'b1', j::int, round(sum(z) / any_value(n), 8) FROM back, n GROUP BY j
       UNION ALL SELECT 'w1', (j * 64 + i)::int, round(sum(z * v[i + 1]) / any_value(n), 8)
       FROM back, n, range(64) r(i) GROUP BY j, i""",
+    "gate_fit_four_steps": _fit(4, 0.05),
     "domain_metrics": _DOMAIN_RUN + "SELECT split, metric, round(value, 6) AS value FROM long",
     "domain_metrics_plain": _DOMAIN_PLAIN + "SELECT split, metric, round(value, 6) AS value FROM long",
     "query_level_metrics": _ranked(100) + _EXCLUDED + _GOLD + _metrics("kept")

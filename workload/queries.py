@@ -234,6 +234,16 @@ def gate_mlp_gradient(spark, sf_dir):
 @query
 def gate_fit_one_step(spark, sf_dir):
     gate, _ = fit_gate(_features(spark, sf_dir), gate=t.GATE, steps=1)
+    return _gate_rows(spark, gate)
+
+
+@query
+def gate_fit_four_steps(spark, sf_dir):
+    gate, _ = fit_gate(_features(spark, sf_dir), gate=t.GATE, steps=4, lr=0.05)
+    return _gate_rows(spark, gate)
+
+
+def _gate_rows(spark, gate):
     return spark.createDataFrame([("w", i, x) for i, x in enumerate(gate.w)] + [("b", 0, gate.b)],
                                  "param string, idx int, value double").withColumn(
         "value", F.round("value", 8))
