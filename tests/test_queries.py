@@ -33,3 +33,22 @@ def test_query(spark, con, name):
         assert got.count() > 0
         return
     compare(got, con, entry.oracle_sql()[name])
+
+
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "3",
+    "spark.sql.execution.arrow.useLargeVarTypes": "true",
+    "spark.sql.ansi.enabled": "false",
+    "spark.sql.adaptive.enabled": "false",
+}
+
+
+@pytest.mark.parametrize("key", sorted(SETTINGS))
+def test_results_do_not_depend_on_settings(spark, con, key):
+    before = spark.conf.get(key)
+    spark.conf.set(key, SETTINGS[key])
+    try:
+        for name in ("masked_maxsim_topk", "gate_linear_gradient", "embedded_queries", "resolve_by_id"):
+            compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name])
+    finally:
+        spark.conf.set(key, before)
