@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master without that setting gets a folder of its own; on a cluster
-    a machine-local folder would be lost with its machine, so that case raises.
+    A local master without that setting uses a folder below the warehouse; on a cluster a
+    machine-local folder would be lost with its machine, so that case raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     sc = spark.sparkContext
@@ -21,7 +20,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
             return sc.getCheckpointDir()
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="lateweave-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
