@@ -215,7 +215,9 @@ def fit_field(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LA
     order = np.concatenate(seqs)
     lengths = np.array([len(s) for s in seqs], dtype=np.int64)
     marginal, odds = score_tokens(field, features, order, lengths)
-    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()) * len(seqs)
+    # Each label weighs as much as in the whole table, however many of its rows were picked.
+    weight = np.where(toxic, counts[True] / toxic.sum(), counts[False] / (~toxic).sum())
+    weight *= len(seqs) / weight.sum()
     field.curve = _fit_curve(summary(odds, marginal, lengths), toxic.astype(float), weight)
     return field
 
