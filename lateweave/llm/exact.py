@@ -25,6 +25,7 @@ STATE_CONF = {
     f"{_STATE}rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STATE}rocksdb.boundedMemoryUsage": "true",
     f"{_STATE}rocksdb.maxMemoryUsageMB": "256",
+    f"{_STATE}rocksdb.allowFAllocate": "false",  # many small stores: no space ahead of need
 }
 
 
