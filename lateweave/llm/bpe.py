@@ -9,14 +9,31 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from array import array
+from itertools import chain, islice
 
 import numpy as np
 
 _ODD_SPACE = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
-_SPACE = re.compile(r"\s")
-_JOINED = 200
+# Letters of the Latin blocks up to U+024F: the splitting rule keeps a run of them whole.
+_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+# Byte-level vocabularies write a byte that is no printable Latin-1 character as a letter from U+0100 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+_SPACE_LETTER = chr(_BYTE_LETTERS[32])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
 
 
 class ChunkEncoder:
@@ -28,17 +45,21 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
+        self.merge = self.tokenizer.model.tokenize
+        self.ends = {x: _packed(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,"}
+        if any(self._model_ids(w) != _packed(self.tokenizer.encode(" " + w, add_special_tokens=False).ids)
+               for w in ("the", "Größe", "À\u024f")):
+            self.merge = None  # not a byte-level vocabulary that marks spaces this way
         self.limit = limit
         self._forget()
 
     def _forget(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.seen = _Numbers()
+        self.roots: dict[str, bytes] = {}
         self.size = 0
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.count = 0
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int64)
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -53,57 +74,55 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model_ids(self, word: str) -> bytes:
+        """Ids of a space and a word of letters, which no splitting rule cuts: merges alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return _packed([t.id for t in self.merge(_SPACE_LETTER + word)])
+
     def _learn(self, fresh: list[str]) -> None:
-        raw = [c[1:] if c.startswith("\n") else " " + c for c in fresh]
-        ids: list = [None] * len(raw)
-        plain = [i for i, c in enumerate(raw) if self.newline is not None and c and not _SPACE.search(c, 1)
-                 and not c[0] == "\n" and c != " "]
-        groups = [plain[i:i + _JOINED] for i in range(0, len(plain), _JOINED)]
-        for group, got in zip(groups, self._encode(["\n".join(raw[i] for i in g) for g in groups])):
-            got = np.array(got, dtype=np.uint32)
-            cuts = np.flatnonzero(got == self.newline)
-            if len(cuts) == len(group) - 1:
-                for i, part in zip(group, np.split(got, cuts)):
-                    ids[i] = part[1:] if i != group[0] else part
-        rest = [i for i, x in enumerate(ids) if x is None]
-        for i, got in zip(rest, self._encode([raw[i] for i in rest])):
-            ids[i] = np.array(got, dtype=np.uint32)
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        total = int(lengths.sum())
-        if self.size + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[:self.size], np.zeros(self.size + 2 * total, np.uint32)])
-        if self.count + len(ids) + 1 > len(self.starts):
-            self.starts = np.concatenate(
-                [self.starts[:self.count + 1], np.zeros(self.count + 2 * len(ids), np.int64)])
-        if total:
-            self.pool[self.size:self.size + total] = np.concatenate(ids)
-        self.starts[self.count + 1:self.count + len(ids) + 1] = self.size + np.cumsum(lengths)
-        self.size += total
-        self.count += len(ids)
+        """Encode new chunks and append their ids to the pool.
+
+        A Latin word, with at most one stop or comma after it, goes straight to the merges, and
+        what was found for the word serves all its endings. Anything else takes the whole way.
+        """
+        ids: list = [None] * len(fresh)
+        rest, roots, match, ends = [], self.roots, _LATIN.fullmatch, self.ends
+        for i, chunk in enumerate(fresh):
+            m = match(chunk) if self.merge else None
+            if m is None:
+                rest.append(i)
+                continue
+            word, end = m.groups()
+            found = roots.get(word)
+            if found is None:
+                found = roots[word] = self._model_ids(word)
+            ids[i] = found + ends[end] if end else found
+        raw = [fresh[i][1:] if fresh[i].startswith("\n") else " " + fresh[i] for i in rest]
+        for i, found in zip(rest, self._encode(raw)):
+            ids[i] = _packed(found)
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        new = np.frombuffer(b"".join(ids), dtype=np.uint32)
+        if self.size + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.size], np.zeros(self.size + 2 * len(new), np.uint32)])
+        self.pool[self.size:self.size + len(new)] = new
+        self.starts = np.concatenate([self.starts, self.size + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.size += len(new)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
-        if self.count > self.limit:
+        if len(self.seen) > self.limit:
             self._forget()
-        seen, fresh, rows = self.seen, [], []
-        known = self.count
-        for text in texts:
-            row = []
-            for chunk in self._chunks(text):
-                i = seen.get(chunk)
-                if i is None:
-                    i = seen[chunk] = known + len(fresh)
-                    fresh.append(chunk)
-                row.append(i)
-            rows.append(row)
-        if fresh:
-            self._learn(fresh)
+        number, known = self.seen.__getitem__, len(self.seen)
+        rows = [list(map(number, self._chunks(text))) for text in texts]
+        if len(self.seen) > known:
+            self._learn(list(islice(self.seen, known, None)))
         per_text = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         order = np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=int(per_text.sum()))
-        starts = self.starts[order]
-        lengths = self.starts[order + 1] - starts
+        lengths = self.lengths[order]
         ends = np.cumsum(lengths)
-        flat = self.pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        flat = self.pool[np.repeat(self.starts[order] - (ends - lengths), lengths)
+                         + np.arange(ends[-1] if len(ends) else 0)]
         edges = np.concatenate([[0], np.cumsum(per_text)])
-        tokens = np.concatenate([[0], ends])[edges]
-        return flat, np.diff(tokens)
+        return flat, np.diff(np.concatenate([[0], ends])[edges])

@@ -118,12 +118,15 @@ def exact_duplicates(docs: DataFrame, digest=sha256, batches: int = 4) -> DataFr
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("body"),
                         digest(normalised(F.col("text"))).alias("digest"))
     members = materialize(whole.join(hits, F.col("digest") == F.col("hit")).drop("hit"), "members")
-    stored = (members.filter(F.col("doc_id").eqNullSafe(F.col("at"))).groupBy(F.col("digest").alias("hit"))
-              .agg(F.min("body").alias("stored")))
+    # Written, so that the join below reads plain shuffles, whose large partitions Spark can split.
+    stored = materialize(
+        members.filter(F.col("doc_id").eqNullSafe(F.col("at"))).groupBy(F.col("digest").alias("hit"))
+        .agg(F.min("body").alias("stored")), "stored")
     differs = materialize(
         members.join(stored, F.col("digest") == F.col("hit")).filter("body != stored")
         .select("digest", "doc_id", "body"), "differs")
     discard(members)
+    discard(stored)
     variants = differs.groupBy("digest", "body").agg(
         F.max("doc_id").alias("other_keep"), F.count(F.lit(1)).alias("other_n"))
     other = (differs.join(variants, ["digest", "body"])

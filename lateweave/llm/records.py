@@ -1,8 +1,8 @@
 """Token ids as length-delimited binary records with a separate offset index.
 
 Each data file is a run of records: the payload's length (8 bytes), the masked checksum of those
-8 bytes, the payload (ids as little-endian unsigned 32-bit integers) and its masked checksum. The
-checksum is CRC-32 rotated and shifted by a constant, so that a checksum stored inside checksummed
+8 bytes, the payload and its masked checksum. The payload is the number of bytes per id, 2 or 4 as
+the vocabulary needs, and the ids as little-endian unsigned integers of that size. The checksum is CRC-32 rotated and shifted by a constant, so that a checksum stored inside checksummed
 data does not look valid. The index file beside it holds one fixed-size entry per record, so any
 record can be read without those before it.
 """
@@ -53,6 +53,17 @@ def read_frame(source) -> bytes:
     return payload
 
 
+def pack_ids(ids: np.ndarray, width: int) -> bytes:
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def unpack_ids(payload: bytes) -> bytes:
+    """The ids of a payload as little-endian unsigned 32-bit integers."""
+    if payload[0] not in (2, 4):
+        raise ValueError("a record's ids have 2 or 4 bytes")
+    return np.frombuffer(payload, dtype=f"<u{payload[0]}", offset=1).astype("<u4").tobytes()
+
+
 def _store(folder: str):
     from pyarrow import fs
 
@@ -77,7 +88,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_path: str, end_i
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         records = tokens = offset = 0
         sink = index = None
-        end = np.array([end_id], dtype="<u4")
+        width = 2 if max(encode.tokenizer.get_vocab_size(), end_id) <= 1 << 16 else 4
         for batch, texts in text_slices(batches):
             if sink is None:
                 store.create_dir(root, recursive=True)
@@ -87,7 +98,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_path: str, end_i
             entries = np.zeros(len(texts), dtype=ENTRY)
             frames, at = [], 0
             for i, n in enumerate(counts.tolist()):
-                frames.append(frame(np.concatenate([flat[at:at + n], end]).astype("<u4").tobytes()))
+                frames.append(frame(pack_ids(np.append(flat[at:at + n], np.uint32(end_id)), width)))
                 at += n
                 entries["offset"][i] = offset
                 offset += len(frames[-1])
@@ -157,7 +168,7 @@ def read_token_records(spark: SparkSession, manifest: DataFrame, folder: str) ->
                       store.open_input_stream(f"{root}/{name}.rec", buffer_size=1 << 20) as source):
                     while raw := index.read(ENTRY.itemsize * 256):
                         e = np.frombuffer(raw, dtype=ENTRY)
-                        payloads = [read_frame(source) for _ in range(len(e))]
+                        payloads = [unpack_ids(read_frame(source)) for _ in range(len(e))]
                         n = np.array([len(p) // 4 for p in payloads], dtype=np.int64)
                         if (n != e["n_tokens"]).any():
                             raise ValueError(f"{name}: index and records differ")
@@ -184,7 +195,7 @@ def fetch_records(index: DataFrame, folder: str) -> DataFrame:
                         open_files.pop(next(iter(open_files))).close()
                     open_files[name] = store.open_input_file(f"{root}/{name}.rec")
                 open_files[name].seek(offset)
-                payloads.append(read_frame(open_files[name]))
+                payloads.append(unpack_ids(read_frame(open_files[name])))
             for f in open_files.values():
                 f.close()
             yield pa.RecordBatch.from_arrays(
