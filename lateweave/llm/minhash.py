@@ -31,8 +31,8 @@ BANDS = 20
 ROWS = 5
 # Rounds of comparing each bucket with one member before what is left is compared pairwise.
 ROUNDS = 6
-# Pairs per document below which the rest is compared pairwise at once.
-REST = 4
+# Once so few pairs per bucket entry stand apart, the rest is compared pairwise.
+REST = 1.5
 
 _WORD = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -172,6 +172,27 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .select("a", "b", "ta", "tb").mapInArrow(score, "a bigint, b bigint, similarity double"))
 
 
+def _star_pairs(apart: DataFrame, turn: int) -> DataFrame:
+    """Every member of a bucket with one of it, where their classes differ: first with the one that
+    meets the most others, later with another one by hash."""
+    pick = F.max(F.struct("meets", (-F.col("node")).alias("low"))) if turn == 0 else F.max(
+        F.struct(F.xxhash64("node", F.lit(turn)).alias("meets"), (-F.col("node")).alias("low")))
+    lead = apart.groupBy("bucket").agg(pick.alias("pick")).select("bucket", (-F.col("pick.low")).alias("a"))
+    if turn:
+        lead = lead.join(apart.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca")), ["bucket", "a"])
+    else:
+        lead = lead.withColumn("ca", F.col("a"))
+    pairs = apart.join(lead, "bucket").filter("class != ca")
+    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def _cross_pairs(apart: DataFrame) -> DataFrame:
+    """All pairs of a bucket whose classes differ."""
+    other = apart.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"))
+    return (apart.join(other, "bucket").filter("class != cb AND node < b")
+            .select(F.col("node").alias("a"), "b").distinct())
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
                     rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, class_id (its smallest doc_id), class_size.
@@ -192,54 +213,42 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     copies = materialize(
         signed.select("doc_id", "key").join(nodes.select("key", "node"), "key").select("doc_id", "node"), "copies")
     posted = nodes.select("node", F.explode("buckets").alias("bucket"))
-    full = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket")
-    member = materialize(posted.join(full, "bucket").distinct(), "members")
+    full = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    member = materialize(posted.join(full, "bucket"), "members")
     discard(signed)
-    involved = member.select("node").distinct()
+    # How often a text meets others: the original of many edited copies meets the most.
+    involved = materialize(member.groupBy("node").agg(F.sum("m").alias("meets")), "involved")
+    member = materialize(member.join(involved, "node").select("bucket", "node", "meets"), "members")
     texts = materialize(
         docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-        .join(involved, "node", "left_semi"), "texts")
+        .join(involved.select("node"), "node", "left_semi"), "texts")
     texts = texts if texts.groupBy("node").count().filter("count > 1").isEmpty() else texts.groupBy("node").agg(
         F.min("text").alias("text"))
 
-    tested = None
-    apart, classes = member.withColumn("class", F.col("node")), None
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            pick = F.min_by("node", F.xxhash64("node", F.lit(turn))) if turn else F.min("node")
-            lead = apart.groupBy("bucket").agg(pick.alias("a"))
-            lead = lead.join(apart.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca")),
-                             ["bucket", "a"])
-            pairs = apart.join(lead, "bucket").filter("class != ca")
-        else:
-            pairs = (apart.join(apart.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca")),
-                                "bucket").filter("class != ca AND a < node"))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    found, turn = None, 0
+    apart = member.withColumn("class", F.col("node"))
+    while True:
+        last = turn > 0 and (turn >= rounds or rest["pairs"] <= REST * rest["nodes"])
+        pairs = _cross_pairs(apart) if last else _star_pairs(apart, turn)
+        if found is not None:
+            pairs = pairs.join(found, ["a", "b"], "left_anti")
         scored = materialize(compare(pairs, texts), "scored")
-        tested = scored if tested is None else tested.unionByName(scored)
-        classes = components(tested.filter(F.col("similarity") >= similarity))
-        if turn == rounds:
+        found = scored if found is None else found.unionByName(scored)
+        classes = components(found.filter(F.col("similarity") >= similarity))
+        if last:
             break
-        apart = (member.join(classes, "node", "left")
-                 .withColumn("class", F.coalesce("class", "node")))
-        mixed = apart.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("kinds"))
-        mixed = materialize(mixed.filter("kinds > 1"), "mixed")
+        apart = materialize(member.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")),
+                            "apart")
+        mixed = (apart.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+                 .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"),
+                      F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+        mixed = materialize(mixed, "mixed")
         rest = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"),
-                         F.max("n").alias("most")).first()
+                         F.sum("n").alias("nodes")).first()
         if not rest["pairs"]:
             break
         apart = apart.join(mixed.select("bucket"), "bucket")
-        if rest["pairs"] <= REST * member.count():
-            rounds = turn + 1
-            pairs = (apart.join(apart.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca")),
-                                "bucket").filter("class != ca AND a < node")
-                     .select("a", F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-            scored = materialize(compare(pairs, texts), "scored")
-            classes = components(tested.unionByName(scored).filter(F.col("similarity") >= similarity))
-            break
+        turn += 1
     discard(texts)
 
     labelled = materialize(copies.join(classes, "node", "left")
