@@ -110,10 +110,17 @@ def packed_gate_udf(gate: Gate):
 
 def with_gate_weights(packed: DataFrame, gate: Gate, toks: str = "toks",
                       out: str = "w") -> DataFrame:
-    """Add one weight per token of a packed table (meant for the query side)."""
+    """Add one weight per token of a packed table (meant for the query side).
+
+    A token vector of another size than the gate's input raises.
+    """
     if len(gate.w1) * gate.in_features > MAX_LITERALS:
         return packed.withColumn(out, packed_gate_udf(gate)(toks))
-    return packed.withColumn(out, F.transform(F.col(toks), lambda t: gate_value(t, gate)))
+    def weight(t: Column) -> Column:
+        wrong = F.raise_error(F.lit(f"the gate takes vectors of {gate.in_features} values"))
+        return F.when(F.size(t) == gate.in_features, gate_value(t, gate)).otherwise(wrong.cast("double"))
+
+    return packed.withColumn(out, F.transform(F.col(toks), weight))
 
 
 def gate_stats(values: DataFrame, col: str = "w", by: list[str] | None = None,

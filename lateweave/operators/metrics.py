@@ -77,13 +77,15 @@ def query_metrics(ranked: DataFrame, qrels: DataFrame, queries: DataFrame,
     """One row per query, one column per metric.
 
     ``ranked`` holds at most k rows per query, and only its hits are aggregated. All
-    distinct gold documents count below the line, also missing or excluded ones.
+    distinct gold documents count below the line, also missing or excluded ones. A document
+    that is ranked twice is one hit, at its better rank.
     Queries that return nothing score 0; queries without gold score 0 or, with
     ``empty_gold="skip"``, are left out.
     """
     hit_order = Window.partitionBy(*KEY).orderBy("rank")
     hits = (ranked.select(*KEY, "doc_id", "rank")
             .join(qrels.select(*KEY, "doc_id"), [*KEY, "doc_id"], "left_semi")
+            .groupBy(*KEY, "doc_id").agg(F.min("rank").alias("rank"))
             .withColumn("_hit", F.row_number().over(hit_order)))
     sums = hits.groupBy(*KEY).agg(*[_numerator(m).alias(m) for m in metrics])
     judged = gold_counts(queries, qrels)

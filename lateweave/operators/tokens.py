@@ -35,8 +35,8 @@ def truncate_packed(packed: DataFrame, max_len: int | Column, toks: str = "toks"
 
 
 def pack_tokens(tokens: DataFrame, by: list[str], extra: list[str] | None = None,
-                max_len: int = DOCUMENT_LENGTH) -> DataFrame:
-    """Long to packed form, at most ``max_len`` tokens per text, which bounds a group.
+                max_len: int | None = None) -> DataFrame:
+    """Long to packed form; all tokens of a text, or at most ``max_len`` where the caller says so.
 
     ``extra`` columns (a mask, a weight) are packed in the same token order.
     """
@@ -45,7 +45,8 @@ def pack_tokens(tokens: DataFrame, by: list[str], extra: list[str] | None = None
     lists = [F.sort_array(F.collect_list(F.struct("pos", c))).alias(out)
              for out, c in columns.items()]
     # A field of an array of structs is the array of that field.
-    return truncate_tokens(tokens, max_len).groupBy(*by).agg(*lists).select(
+    kept = tokens if max_len is None else truncate_tokens(tokens, max_len)
+    return kept.groupBy(*by).agg(*lists).select(
         *by, *[F.col(f"{out}.{c}").alias(out) for out, c in columns.items()])
 
 
@@ -105,7 +106,8 @@ def embedding_drift(old: DataFrame, new: DataFrame, max_head: float = MAX_HEAD_D
     """Compare two versions of token vectors, the second one possibly wider.
 
     Per text: the greatest change on the old dimensions, the greatest absolute value on
-    the added ones (0 when there are none), and whether both are within bounds.
+    the added ones (0 when there are none), and whether both are within bounds. A token that
+    only one version has, or whose new vector is the shorter one, makes the text not ok.
     """
     o = old.select("id", "pos", as_double(F.col("v")).alias("o"))
     n = new.select("id", "pos", as_double(F.col("v")).alias("n"))
@@ -113,6 +115,9 @@ def embedding_drift(old: DataFrame, new: DataFrame, max_head: float = MAX_HEAD_D
     head = F.array_max(F.zip_with(F.slice("n", F.lit(1), width), "o", lambda a, b: F.abs(a - b)))
     added = F.slice("n", width + 1, F.greatest(F.size("n") - width, F.lit(0)))
     tail = F.coalesce(F.array_max(F.transform(added, F.abs)), F.lit(0.0))
-    return (o.join(n, ["id", "pos"])
-            .groupBy("id").agg(F.max(head).alias("head_drift"), F.max(tail).alias("tail_max"))
-            .withColumn("ok", (F.col("head_drift") <= max_head) & (F.col("tail_max") >= min_tail)))
+    alike = F.coalesce(F.size("n") >= width, F.lit(False)) & F.col("o").isNotNull() & F.col("n").isNotNull()
+    within = (F.col("head_drift") <= max_head) & (F.col("tail_max") >= min_tail)
+    return (o.join(n, ["id", "pos"], "full")
+            .groupBy("id").agg(F.max(F.when(alike, head)).alias("head_drift"),
+                               F.max(F.when(alike, tail)).alias("tail_max"), F.min(alike).alias("_alike"))
+            .withColumn("ok", F.col("_alike") & F.coalesce(within, F.lit(False))).drop("_alike"))

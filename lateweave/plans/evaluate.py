@@ -23,8 +23,6 @@ from lateweave.session import cut_lineage, scratch_path
 from lateweave.sources import paths
 from lateweave.sources.writers import read_metrics, write_metrics
 
-MAX_LISTED = 1000
-
 
 def rank_queries(queries: DataFrame, docs: DataFrame, gate: Gate | None = None, k: int = TOP_K,
                  **scoring) -> DataFrame:
@@ -60,14 +58,7 @@ def pending_runs(spark: SparkSession, queries: DataFrame, path: str, run_id: str
 
 
 def only_splits(tables: list[DataFrame], wanted: DataFrame) -> list[DataFrame]:
-    """The rows of the wanted splits.
-
-    A short list of names becomes a literal filter, which prunes partitions of tables
-    stored by split; a long one becomes a semi join.
-    """
-    names = [r["split"] for r in wanted.select("split").limit(MAX_LISTED + 1).collect()]
-    if len(names) <= MAX_LISTED:
-        return [df.where(F.col("split").isin(names)) for df in tables]
+    """The rows of the wanted splits; tables stored by split are pruned when the join runs."""
     return [df.join(wanted.select("split"), "split", "left_semi") for df in tables]
 
 

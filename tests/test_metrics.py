@@ -174,3 +174,21 @@ def test_every_kth(spark):
     log = spark.range(1, 11).withColumnRenamed("id", "step")
     assert [r.step for r in every_kth(log, 4).collect()] == [4, 8]
     assert every_kth(log, 0).count() == 0
+
+
+def test_repeated_document_is_one_hit(spark):
+    ranked = spark.createDataFrame([("s", "q", "d", 1), ("s", "q", "d", 2)],
+                                   "split string, qid string, doc_id string, rank int")
+    qrels = spark.createDataFrame([("s", "q", "d")], "split string, qid string, doc_id string")
+    queries = spark.createDataFrame([("s", "q", ["d"])], "split string, qid string, gold_ids array<string>")
+    row = query_metrics(ranked, qrels, queries, ["recall@10"]).first()
+    assert row["recall@10"] == 1.0
+
+
+def test_trailing_mean_counts_rows_not_steps(spark):
+    from lateweave.operators.trainlog import trailing_mean
+
+    log = spark.createDataFrame([(s, float(s)) for s in (1, 2, 3, 7, 8)], "step long, loss double")
+    for chunk in (2, 100):
+        got = {r["step"]: r["trailing_mean"] for r in trailing_mean(log, 3, chunk=chunk).collect()}
+        assert got == {1: 1.0, 2: 1.5, 3: 2.0, 7: 4.0, 8: 6.0}
