@@ -29,10 +29,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
-# Rounds of comparing each bucket with one member before what is left is compared pairwise.
-ROUNDS = 6
-# Once so few pairs per bucket entry stand apart, the rest is compared pairwise.
-REST = 1.5
+# Texts and characters that a block of a bucket holds on average; two blocks meet in one task.
+BLOCK_TEXTS = 512
+BLOCK_CHARS = 1_000_000
+# Shingles that are multiplied at a time when two blocks are compared.
+COLUMNS = 8192
 
 _WORD = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -140,7 +141,7 @@ def band_hashes(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key (of the word sequence) and one bucket per band."""
+    """doc_id, key (of the word sequence), characters and one bucket per band."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, budget=1_000_000):
             words = [words_of(t) for t in texts]
@@ -149,9 +150,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([hashlib.md5(" ".join(w).encode()).digest() for w in words],
                                                   pa.binary()),
-                 pa.array(list(buckets), pa.list_(pa.int64()))], names=["doc_id", "key", "buckets"])
+                 pa.array([len(t) for t in texts], pa.int64()), pa.array(list(buckets), pa.list_(pa.int64()))],
+                names=["doc_id", "key", "chars", "buckets"])
 
-    return docs.mapInArrow(sign, "doc_id bigint, key binary, buckets array<bigint>")
+    return docs.mapInArrow(sign, "doc_id bigint, key binary, chars bigint, buckets array<bigint>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -172,36 +174,105 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .select("a", "b", "ta", "tb").mapInArrow(score, "a bigint, b bigint, similarity double"))
 
 
-def _star_pairs(apart: DataFrame, turn: int) -> DataFrame:
-    """Every member of a bucket with one of it, where their classes differ: first with the one that
-    meets the most others, later with another one by hash."""
-    pick = F.max(F.struct("meets", (-F.col("node")).alias("low"))) if turn == 0 else F.max(
-        F.struct(F.xxhash64("node", F.lit(turn)).alias("meets"), (-F.col("node")).alias("low")))
-    lead = apart.groupBy("bucket").agg(pick.alias("pick")).select("bucket", (-F.col("pick.low")).alias("a"))
-    if turn:
-        lead = lead.join(apart.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca")), ["bucket", "a"])
-    else:
-        lead = lead.withColumn("ca", F.col("a"))
-    pairs = apart.join(lead, "bucket").filter("class != ca")
-    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
-def _cross_pairs(apart: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose classes differ."""
-    other = apart.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"))
-    return (apart.join(other, "bucket").filter("class != cb AND node < b")
-            .select(F.col("node").alias("a"), "b").distinct())
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                    rounds: int = ROUNDS) -> DataFrame:
+def _leads(member: DataFrame) -> DataFrame:
+    """bucket, lead: of every bucket the member that meets the most others, ties to the smallest."""
+    pick = F.max(F.struct("meets", (-F.col("node")).alias("low")))
+    return member.groupBy("bucket").agg(pick.alias("pick")).select("bucket", (-F.col("pick.low")).alias("lead"))
+
+
+def _block_links(similarity: float):
+    """A function of one group of texts in sides 0 and 1 (or 0 alone): links a, b that join what
+    has at least ``similarity``, as a forest, so that alike texts give no more links than texts."""
+    def links(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        right = right if len(right) else left
+        texts, node = group.column("text"), group.column("node").to_numpy()
+        # A shingle that occurs n times is n different ones: minima of counts become common elements.
+        sets = []
+        for t in texts:
+            h, n = shingles(words_of(t.as_py()))
+            many = np.repeat(h, n)
+            sets.append(mix(many + _SALT * (np.arange(len(many)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)))
+        size = np.array([len(x) for x in sets])
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        # What only one text holds is common to none.
+        shared = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, dtype=bool)
+        row, column = row[shared], np.cumsum(np.diff(column[shared], prepend=-1) > 0) - 1
+        both = np.zeros((len(left), len(right)), dtype=np.float64)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+            has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+            has[row[lo:hi], column[lo:hi] - first] = 1
+            both += has[left] @ has[right].T
+        total = size[left][:, None] + size[right][None, :]
+        # Quotients of whole numbers in double precision, as in jaccard().
+        i, j = np.nonzero(both / np.maximum(total - both, 1) >= similarity)
+        class_, out = group.column("class").to_numpy(), []
+        root = {c: c for c in class_.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for x, y in zip(left[i].tolist(), right[j].tolist()):
+            cx, cy = top(class_[x].item()), top(class_[y].item())
+            if cx != cy:
+                root[cx] = cy
+                out.append((node[x].item(), node[y].item()))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
+
+
+def _links_apart(apart: DataFrame, kinds: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of a bucket that are in different classes. ``apart`` holds bucket, node
+    and class of all that are left to compare, ``kinds`` texts and characters per bucket and class.
+
+    A bucket is dealt into blocks by hash: a class that fills a block has blocks of its own, which
+    are not compared with each other; the rest share blocks. Each pair of blocks is one group.
+    """
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("chars") / BLOCK_CHARS)).cast("long")
+    large = (F.col("n") >= BLOCK_TEXTS) | (F.col("chars") >= BLOCK_CHARS)
+    owned = kinds.withColumn("owner", F.when(large, F.col("class")))
+    dealt = (owned.groupBy("bucket", "owner").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"),
+                                                  F.count(F.lit(1)).alias("kinds"))
+             .select("bucket", "owner", "kinds", F.greatest(blocks, F.lit(1)).alias("blocks")))
+    home = owned.select("bucket", "class", "owner").join(
+        dealt.select(F.col("bucket").alias("at"), F.col("owner").alias("of"), "blocks"),
+        (F.col("bucket") == F.col("at")) & F.col("owner").eqNullSafe(F.col("of")))
+    member = apart.join(home.select("bucket", "class", "owner", "blocks"), ["bucket", "class"]).select(
+        "bucket", "node", "class",
+        F.struct("owner", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part")).alias("block"))
+    each = dealt.select("bucket", "kinds", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"),
+                        "owner").select("bucket", "kinds", F.struct("owner", "part").alias("x"))
+    meets = (each.join(each.select("bucket", F.col("x").alias("y"), F.col("kinds").alias("k")), "bucket")
+             .filter("x <= y AND NOT (x.owner IS NOT NULL AND x.owner <=> y.owner)")
+             # A shared block of one small class has nothing to compare in itself.
+             .filter("NOT (x = y AND kinds = 1)")
+             .withColumn("meeting", F.xxhash64("bucket", "x", "y")))
+    sides = (meets.select("bucket", "meeting", F.col("x").alias("block"), F.lit(0).alias("side"))
+             .union(meets.filter("x != y").select("bucket", "meeting", F.col("y").alias("block"), F.lit(1))))
+    met = (member.join(sides, ["bucket", "block"]).select("bucket", "meeting", "side", "node", "class")
+           .join(texts, "node"))
+    return met.groupBy("bucket", "meeting").applyInArrow(_block_links(similarity), "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
+                    rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (its smallest doc_id), class_size.
 
     Two different texts are linked when they share a bucket and their weighted Jaccard similarity is
     at least ``similarity``; a class is a connected component. Copies of one word sequence share
     a class from the start and are compared once. Within a bucket every member is compared with
-    one member, then the classes that are left apart with another one, and so on; what still
-    stands apart is compared pair by pair, so no link is lost and no bucket is cut.
+    the one that meets the most others; buckets whose other members are still in different classes
+    are compared whole, block against block, so no link is lost and no bucket is cut. That last step
+    is quadratic in such a bucket, but its rows are only the texts times the blocks they meet.
 
     NULL counts as empty, and texts without words are copies of each other. Rows that repeat
     an id are in one class. A row without an id is a class of its own: class_id NULL, size 1.
@@ -209,46 +280,37 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signatures(docs.filter("doc_id IS NOT NULL"), bands, rows), "signatures")
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"))
-    copies = materialize(
-        signed.select("doc_id", "key").join(nodes.select("key", "node"), "key").select("doc_id", "node"), "copies")
-    posted = nodes.select("node", F.explode("buckets").alias("bucket"))
+    first = signed.groupBy("key").agg(F.min("doc_id").alias("node"))
+    copies = materialize(signed.join(first, "key").select(
+        "doc_id", "node", "chars", F.when(F.col("doc_id") == F.col("node"), F.col("buckets")).alias("buckets")), "copies")
+    posted = copies.filter("buckets IS NOT NULL").select("node", "chars", F.explode("buckets").alias("bucket"))
     full = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     member = materialize(posted.join(full, "bucket"), "members")
     discard(signed)
     # How often a text meets others: the original of many edited copies meets the most.
     involved = materialize(member.groupBy("node").agg(F.sum("m").alias("meets")), "involved")
-    member = materialize(member.join(involved, "node").select("bucket", "node", "meets"), "members")
+    member = materialize(member.join(involved, "node").select("bucket", "node", "meets", "chars"), "members")
     texts = materialize(
         docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
         .join(involved.select("node"), "node", "left_semi"), "texts")
     texts = texts if texts.groupBy("node").count().filter("count > 1").isEmpty() else texts.groupBy("node").agg(
         F.min("text").alias("text"))
 
-    found, turn = None, 0
-    apart = member.withColumn("class", F.col("node"))
-    while True:
-        last = turn > 0 and (turn >= rounds or rest["pairs"] <= REST * rest["nodes"])
-        pairs = _cross_pairs(apart) if last else _star_pairs(apart, turn)
-        if found is not None:
-            pairs = pairs.join(found, ["a", "b"], "left_anti")
-        scored = materialize(compare(pairs, texts), "scored")
-        found = scored if found is None else found.unionByName(scored)
-        classes = components(found.filter(F.col("similarity") >= similarity))
-        if last:
-            break
-        apart = materialize(member.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")),
-                            "apart")
-        mixed = (apart.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
-                 .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"),
-                      F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-        mixed = materialize(mixed, "mixed")
-        rest = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"),
-                         F.sum("n").alias("nodes")).first()
-        if not rest["pairs"]:
-            break
-        apart = apart.join(mixed.select("bucket"), "bucket")
-        turn += 1
+    leads = materialize(_leads(member), "leads")
+    posts = member.join(leads, "bucket")
+    pairs = posts.filter("node != lead").select(F.least("lead", "node").alias("a"),
+                                                F.greatest("lead", "node").alias("b")).distinct()
+    linked = materialize(compare(pairs, texts).filter(F.col("similarity") >= similarity).select("a", "b"), "linked")
+    classes = components(linked)
+    # The first one of a bucket has met all others; the rest matters where it is of two classes or more.
+    apart = materialize(posts.filter("node != lead").join(classes, "node", "left").select(
+        "bucket", "node", "chars", F.coalesce("class", "node").alias("class")), "apart")
+    kinds = materialize(apart.groupBy("bucket", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "kinds")
+    mixed = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("bucket")
+    more = materialize(_links_apart(apart, materialize(kinds.join(mixed, "bucket"), "mixed"), texts, similarity), "more")
+    if not more.isEmpty():
+        classes = components(linked.unionByName(more))
     discard(texts)
 
     labelled = materialize(copies.join(classes, "node", "left")
