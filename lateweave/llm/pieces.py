@@ -4,7 +4,8 @@ Pieces come from a SentencePiece model file. A file of merge ranks has no probab
 pieces then get the log of a Zipf law over their rank. Spaces become the marker U+2581, one marker
 is put before the text, characters without a piece fall back to byte pieces. No piece holds a
 marker after another character, so the best path through a text is the best paths through its
-words, and equal words of a task are solved once.
+words; where no piece joins a letter with anything but letters and markers either, words are cut
+there too. Equal parts of a task are solved once.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 _WORD = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
+_OTHER = r"\W\d_¹²³¼½¾"
+_LETTER = re.compile(f"[^{_OTHER}]")
+# As _WORD, with runs of letters apart from all else.
+_RUN = re.compile(f"{MARKER}*(?:[^{_OTHER}]+|(?:(?!{MARKER})[{_OTHER}])+)|{MARKER}+")
 
 
 class DoubleArray:
@@ -106,6 +111,7 @@ class PieceModel:
     worth: list[float]             # their scores
     trie: DoubleArray
     unknown: float
+    parts: re.Pattern              # parts of a text that no piece goes beyond
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -134,8 +140,10 @@ class PieceModel:
                 raise ValueError(f"piece {pieces[i]!r} goes on after a marker inside it")
         trie = DoubleArray([pieces[i].encode() for i in plain])
         lowest = min((scores[i] for i in plain), default=0.0)
+        kinds = [[bool(_LETTER.match(c)) for c in pieces[i].lstrip(MARKER)] for i in plain]
+        mixed = any(any(k) and not all(k) for k in kinds)
         return cls(pieces, scores, [found[b] for b in range(256)], plain, [scores[i] for i in plain], trie,
-                   lowest - UNKNOWN_PENALTY)
+                   lowest - UNKNOWN_PENALTY, _WORD if mixed else _RUN)
 
     def best_path(self, word: str) -> list[int]:
         """Ids of the cut with the largest summed score; the first one found wins a tie."""
@@ -189,7 +197,7 @@ class PieceModel:
 class PieceEncoder:
     """Encodes texts; ``limit`` bounds the remembered words."""
 
-    def __init__(self, model: PieceModel, limit: int = 400_000):
+    def __init__(self, model: PieceModel, limit: int = 600_000):
         self.model, self.limit, self.known = model, limit, {}
 
     def __call__(self, text: str) -> list[int]:
@@ -198,11 +206,7 @@ class PieceEncoder:
         if len(self.known) > self.limit:
             self.known = {}
         known, path, out = self.known, self.model.best_path, []
-        marked = MARKER + text.replace(" ", MARKER)
-        # Between single spaces, every part is a word with one marker.
-        words = (_WORD.findall(marked) if MARKER * 2 in marked or marked.endswith(MARKER)
-                 else [MARKER + p for p in marked[1:].split(MARKER)])
-        for word in words:
+        for word in self.model.parts.findall(MARKER + text.replace(" ", MARKER)):
             ids = known.get(word)
             if ids is None:
                 ids = known[word] = path(word)

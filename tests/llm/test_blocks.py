@@ -54,3 +54,25 @@ def test_chain_over_many_blocks(spark, monkeypatch):
     got = minhash.near_duplicates(docs).toPandas().sort_values("doc_id")
     assert list(got.class_id) == classes(texts, alike(texts, 0.8))
     assert len(set(got.class_id)) == 3
+
+
+def test_parts_of_words_give_the_path_of_the_words():
+    from lateweave.llm import pieces
+    from lateweave.llm.queries import PIECES
+
+    model = pieces.PieceModel.load(PIECES)
+    assert model.parts is pieces._RUN
+    for text in ["the end.  (of)\nla fin,12 años! ", "  ", "▁a ▁", "x́y _z_ ²a 9b", "«été»—naïve|| |a", "語.語 a"]:
+        marked = pieces.MARKER + text.replace(" ", pieces.MARKER)
+        assert "".join(model.parts.findall(marked)) == marked
+        whole = [i for w in pieces._WORD.findall(marked) for i in model.best_path(w)]
+        assert pieces.PieceEncoder(model)(text) == whole
+
+
+def test_pieces_of_mixed_kinds_keep_words_whole():
+    from lateweave.llm import pieces
+
+    names = [f"<0x{b:02X}>" for b in range(256)] + ["▁a", "b.", ".c", "a"]
+    model = pieces.PieceModel.build(names, [0.0] * 256 + [-1.0, -1.0, -3.0, -2.0], [256, 257, 258, 259])
+    assert model.parts is pieces._WORD
+    assert pieces.PieceEncoder(model)("ab.c")[:2] == [256, 257]
