@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,6 @@ from lateweave.functions.vectors import as_double, dot
 # Fixed value: the starting bias, sigmoid(5) is about 0.993.
 INIT_BIAS = 5.0
 
-MAX_LITERALS = 1024
-
 
 @dataclass
 class Gate:
@@ -98,12 +98,20 @@ def gate_udf(gate: Gate):
 
 
 def packed_gate_udf(gate: Gate):
-    """As ``gate_udf``, for all tokens of a text at once."""
-
-    @F.pandas_udf("array<double>")
-    def values(toks: pd.Series) -> pd.Series:
-        return toks.map(lambda t: gate_block(np.stack(t).astype("float64"), gate)
-                        if len(t) else np.empty(0))
+    """As ``gate_udf``, for packed texts: one matrix product per batch. NULL tokens give NULL,
+    a vector of another size than the gate's input raises."""
+
+    @F.arrow_udf("array<double>")
+    def values(toks: pa.Array) -> pa.Array:
+        vectors = toks.flatten()
+        sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+        if (sizes != gate.in_features).any():
+            raise ValueError(f"the gate takes vectors of {gate.in_features} values")
+        q = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
+        counts = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(gate_block(q.reshape(-1, gate.in_features), gate)),
+                                        mask=pc.is_null(toks))
 
     return values
 
@@ -112,10 +120,11 @@ def with_gate_weights(packed: DataFrame, gate: Gate, toks: str = "toks",
                       out: str = "w") -> DataFrame:
     """Add one weight per token of a packed table (meant for the query side).
 
-    A token vector of another size than the gate's input raises.
+    A token vector of another size than the gate's input raises; NULL tokens give NULL.
     """
-    if len(gate.w1) * gate.in_features > MAX_LITERALS:
+    if gate.kind == "mlp":
         return packed.withColumn(out, packed_gate_udf(gate)(toks))
+
     def weight(t: Column) -> Column:
         wrong = F.raise_error(F.lit(f"the gate takes vectors of {gate.in_features} values"))
         return F.when(F.size(t) == gate.in_features, gate_value(t, gate)).otherwise(wrong.cast("double"))

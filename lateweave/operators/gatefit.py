@@ -224,32 +224,50 @@ def fit_gate(features: DataFrame, gate: Gate | None = None, dim: int | None = No
              save_steps: int = 0, on_save=None) -> tuple[Gate, list[dict]]:
     """Fit the gate with AdamW (no weight decay) and a gradient norm clipped at 1.
 
-    The features are written once, partitioned into ``batches`` hash batches, to the
-    shared checkpoint folder, and cached from there; each step reads one batch and brings back one number per
-    parameter. A batch is a large share of the table rather than a handful of rows: that
-    changes the optimiser's path but not its objective. Returns the gate and the step
+    The features are written once, in ``batches`` folders by a hash of the triple id, below the
+    shared checkpoint folder; each step reads one folder (a single batch is cached) and brings
+    back one number per parameter. A batch is a large share of the table rather than a handful of
+    rows: that changes the optimiser's path but not its objective. Returns the gate and the step
     log; ``log_path`` also appends it to a table, every ``save_steps`` steps (or at the
     end), where ``on_save(step, gate)`` runs too.
     """
     spark = features.sparkSession
     path = scratch_path(spark, "gate-features")
-    batched = features.withColumn("batch", F.pmod(F.xxhash64("triple_id"), F.lit(batches)).cast("int"))
+    digits = F.substring(F.md5(F.col("triple_id").cast("string").cast("binary")), 1, 7)
+    batched = features.withColumn("batch", (F.conv(digits, 16, 10).cast("long") % batches).cast("int"))
     if batches > 1:     # few files per batch folder, and no batch in a single task
         per_batch = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
         batched = batched.repartition("batch", F.pmod(F.xxhash64(F.lit(1), "triple_id"),
                                                       F.lit(per_batch)))
-    batched.write.partitionBy("batch").parquet(path)
-    table = spark.read.parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        batched.write.partitionBy("batch").parquet(path)
+        return _fit_batches(features, path, gate, dim, steps, batches, lr, mode, log_path, save_steps, on_save)
+    finally:
+        paths.delete(spark, path)
+
+
+def _fit_batches(features: DataFrame, path: str, gate: Gate | None, dim: int | None, steps: int,
+                 batches: int, lr: float, mode: str, log_path: str | None, save_steps: int,
+                 on_save) -> tuple[Gate, list[dict]]:
+    """The steps of ``fit_gate`` over the folders ``batch=i`` below ``path``."""
+    spark = features.sparkSession
+    folders = [f"{path}/batch={i}" for i in range(batches)]
+    parts = [spark.read.schema(features.schema).parquet(f) if paths.exists(spark, f) else None for f in folders]
+    if batches == 1 and parts[0] is not None:
+        parts[0] = parts[0].persist(StorageLevel.MEMORY_AND_DISK)
     if gate is None:
-        dim = dim or table.select(F.size(F.get("q_toks", F.lit(0)))).first()[0]
+        some = next((p for p in parts if p is not None), None)
+        dim = dim or (some.select(F.size(F.get("q_toks", F.lit(0)))).first()[0] if some is not None else None)
+        if dim is None:
+            raise ValueError("no features to fit; pass a gate or dim")
         gate = init_gate(dim)
     theta = _flat(gate)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     log: list[dict] = []
     unsaved: list[dict] = []
     for step in range(1, steps + 1):
-        part = table.where(F.col("batch") == (step - 1) % batches)
-        sums = _partial_sums(part, gate, mode).collect()
+        part = parts[(step - 1) % batches]
+        sums = [] if part is None else _partial_sums(part, gate, mode).collect()
         if not sums:
             continue
         got = {(r["param"], r["idx"]): r["total"] for r in sums}
@@ -272,8 +290,8 @@ def fit_gate(features: DataFrame, gate: Gate | None = None, dim: int | None = No
             if log_path:
                 append_step_log(spark, unsaved, log_path)
                 unsaved = []
-    table.unpersist()
-    paths.delete(spark, path)
+    if batches == 1 and parts[0] is not None:
+        parts[0].unpersist()
     if log_path and unsaved:
         append_step_log(spark, unsaved, log_path)
     return gate, log

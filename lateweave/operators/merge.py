@@ -46,6 +46,24 @@ def corpus_counts(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return both.groupBy("split").agg(F.sum("q").alias("queries"), F.sum("d").alias("docs"))
 
 
+def numbered_copies(df: DataFrame, columns: list[str], block: int = 10_000) -> DataFrame:
+    """``columns`` of every row and ``copy``, which numbers equal rows from 0.
+
+    Equal rows can't be told apart, so they are counted, with partial sums before the shuffle,
+    and made anew from the count: no task ever sorts or numbers the copies of one row. Those of
+    a row that occurs more than ``block`` times are made by many tasks.
+    """
+    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0).cast("long")
+    few = counts.where(F.col("_n") <= block).select(
+        *columns, F.explode(F.sequence(zero, F.col("_n") - 1)).alias("copy"))
+    blocks = counts.where(F.col("_n") > block).select(
+        *columns, "_n", F.explode(F.sequence(zero, F.col("_n") - 1, F.lit(block).cast("long"))).alias("_from"))
+    many = blocks.repartition(*columns, "_from").select(*columns, F.explode(
+        F.sequence(F.col("_from"), F.least(F.col("_from") + block, F.col("_n")) - 1)).alias("copy"))
+    return few.unionByName(many)
+
+
 def shuffle_key(keys: list[str], seed: int = SEED) -> Column:
     """A seeded hash of the row key: the same order however the rows are partitioned."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))

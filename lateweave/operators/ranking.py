@@ -13,17 +13,17 @@ FAN_IN = 32
 
 
 def topk_per_query(scored: DataFrame, k: int = TOP_K, ties: str = "first",
-                   fan_in: int = FAN_IN, by: str = "score") -> DataFrame:
+                   fan_in: int = FAN_IN, by: str = "score", place: str = "doc_id") -> DataFrame:
     """The ``k`` best documents per query with their 1-based ``rank``.
 
-    Rows compare by the column ``by``. Equal ones go by ``doc_id``: ``ties="first"`` puts the smaller id first, ``"last"``
-    the larger one. NaN is dropped, since it would sort above everything.
+    Rows compare by the column ``by``. Equal ones go by the column ``place``: ``ties="first"`` puts the
+    smaller one first, ``"last"`` the larger one. NaN is dropped, since it would sort above everything.
 
     Two levels: the best ``k`` inside each of ``fan_in`` hash buckets of a query, then
     the best of those. One query never needs more than ``fan_in * k`` rows in its last
     task, however many candidates it has, and both levels cut before their shuffle.
     """
-    tie = F.asc("doc_id") if ties == "first" else F.desc("doc_id")
+    tie = F.asc(place) if ties == "first" else F.desc(place)
     order = [F.desc(by), tie]
     part = Window.partitionBy(*QUERY_KEY, "_bucket").orderBy(*order)
     final = Window.partitionBy(*QUERY_KEY).orderBy(*order)
@@ -44,9 +44,14 @@ def exclude_ids(ranked: DataFrame, exclusions: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(order))
 
 
-def display_ranking(scored: DataFrame, texts: DataFrame, k: int, chars: int = 60) -> DataFrame:
-    """Ranking for reading: larger id first on ties, with the start of each text."""
-    top = topk_per_query(scored, k, ties="last")
+def display_ranking(scored: DataFrame, texts: DataFrame, k: int, chars: int = 60,
+                    place: str = "doc_id") -> DataFrame:
+    """Ranking for reading: the later ``place`` first on ties, with the start of each text.
+
+    Ids are strings, which sort "9" above "10"; name a column with each document's number
+    to have ties in the order of the documents.
+    """
+    top = topk_per_query(scored, k, ties="last", place=place)
     # Cut the texts before the join: only the preview travels.
     short = texts.select("doc_id", preview(F.col("text"), chars).alias("preview"))
     return top.join(short, "doc_id", "left").select(

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lateweave.operators.merge import SEED, merge_sources, seeded_shuffle
+from lateweave.operators.merge import SEED, merge_sources, numbered_copies, seeded_shuffle
 from lateweave.operators.triples import (
     MAX_NEG, MAX_POS, explode_product, flatten_record, min_length_filter, project_triple,
     resolve_record,
 )
 from lateweave.schemas import TRIPLE_COLUMNS
-from lateweave.session import scratch_path
-from lateweave.sources import paths
 from lateweave.sources.readers import (
-    ROW_KEY, load_triples, require_rows, scan_jsonl, select_domains,
+    load_triples, require_rows, scan_jsonl, select_domains,
 )
 from lateweave.sources.writers import materialize_once, write_replace, write_verified
 
@@ -52,25 +50,23 @@ def materialize_prompted(spark: SparkSession, folder: str, path: str, split: str
                          shards: int | None = None) -> str:
     """Write the triples of the JSONL domains in a seeded order, replacing the table.
 
-    JSON rows have no place of their own; a first copy in the shared folder gives them one.
+    The order depends on the rows alone, not on how the input is cut into files.
     """
-    copy = scratch_path(spark, "prompted")
-    project_triple(prompted_triples(spark, folder, split, max_pos, max_neg)).write.parquet(copy)
-    rows = load_triples(spark, copy, row_key=True)
-    write_replace(project_triple(seeded_shuffle(rows, ROW_KEY, seed, shards)), path)
-    paths.delete(spark, copy)
-    return path
+    rows = numbered_copies(prompted_triples(spark, folder, split, max_pos, max_neg), TRIPLE_COLUMNS)
+    mixed = seeded_shuffle(rows, [*TRIPLE_COLUMNS, "copy"], seed, shards)
+    return write_replace(project_triple(mixed), path)
 
 
 def merge_tables(spark: SparkSession, inputs: dict[str, str], path: str, seed: int = SEED,
                  shards: int | None = None) -> str:
     """Merge finished triple tables in a seeded order, written and verified.
 
-    The order comes from each row's source, file and position, so equal rows spread as
-    well. The merged rows must be as many as the inputs' rows together.
+    The order comes from each row's source, content and number among its equals, so equal
+    rows spread as well and the same rows in other files give the same order. The merged rows
+    must be as many as the inputs' rows together.
     """
-    sources = {n: load_triples(spark, p, row_key=True) for n, p in inputs.items()}
+    sources = {n: load_triples(spark, p) for n, p in inputs.items()}
     total = sum(df.count() for df in sources.values())      # from the file footers
-    merged = merge_sources(sources, keep=ROW_KEY)
-    mixed = seeded_shuffle(merged, ["source", *ROW_KEY], seed, shards)
+    keys = ["source", *TRIPLE_COLUMNS]
+    mixed = seeded_shuffle(numbered_copies(merge_sources(sources), keys), [*keys, "copy"], seed, shards)
     return write_verified(project_triple(mixed), path, expect_rows=total)

@@ -31,9 +31,8 @@ def rank_queries(queries: DataFrame, docs: DataFrame, gate: Gate | None = None,
     ``queries``: ``split, qid, toks``, optionally ``excluded_ids``; exclusions apply
     after the cut.
     """
-    if gate is not None:
-        queries = with_gate_weights(queries, gate)
-    ranked = score_topk(queries, docs, k, "plain" if gate is None else "norm", **scoring)
+    weighted = queries if gate is None else with_gate_weights(queries, gate)
+    ranked = score_topk(weighted, docs, k, "plain" if gate is None else "norm", **scoring)
     if "excluded_ids" not in queries.columns:
         return ranked
     return exclude_ids(ranked, exclusions_from_lists(queries))
@@ -97,17 +96,18 @@ def evaluate_texts(spark: SparkSession, queries: DataFrame, docs: DataFrame, pat
         return read_metrics(spark, path).where(F.col("run_id") == run_id)
     queries, docs = only_splits([queries, docs], pending)
     vectors = scratch_path(spark, "vectors")
-    embed_tokens(queries, query_encoder, ["split", "qid", "gold_ids", "excluded_ids"],
-                 "query", query_length).write.parquet(f"{vectors}/queries")
-    (embed_tokens(docs, document_encoder, ["split", "doc_id"], "text",
-                  document_length, partitions=partitions)
-     .write.partitionBy("split").parquet(f"{vectors}/docs"))
-    d = spark.read.schema("doc_id string, toks array<array<float>>, split string").parquet(
-        f"{vectors}/docs")
-    values = evaluate_run(spark, spark.read.parquet(f"{vectors}/queries"), d, path, run_id, gate,
-                          query_length, short_length, document_length, **scoring)
-    paths.delete(spark, vectors)        # the metrics are written
-    return values
+    try:
+        embed_tokens(queries, query_encoder, ["split", "qid", "gold_ids", "excluded_ids"],
+                     "query", query_length).write.parquet(f"{vectors}/queries")
+        (embed_tokens(docs, document_encoder, ["split", "doc_id"], "text",
+                      document_length, partitions=partitions)
+         .write.partitionBy("split").parquet(f"{vectors}/docs"))
+        d = spark.read.schema("doc_id string, toks array<array<float>>, split string").parquet(
+            f"{vectors}/docs")
+        return evaluate_run(spark, spark.read.parquet(f"{vectors}/queries"), d, path, run_id, gate,
+                            query_length, short_length, document_length, **scoring)
+    finally:
+        paths.delete(spark, vectors)        # the metrics are written by now
 
 
 def report(metrics: DataFrame, expected: DataFrame, metric: str = "ndcg@10"

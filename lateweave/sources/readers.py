@@ -134,8 +134,8 @@ def load_eval_tables(examples: DataFrame, documents: DataFrame, splits: list[str
 
     ``examples``: ``split, id, query, gold_ids``; ``documents``: ``split, id, content``.
     Splits without queries are logged and skipped; splits without documents are simply
-    absent from the corpus. ``order`` names row order columns: then a repeated id keeps
-    its last row.
+    absent from the corpus. A repeated id keeps its last row in the order of the columns
+    ``order``, which should tell its rows apart; without them, the greatest row by content.
     """
     names = list(splits or DOMAINS)
     wanted = examples.sparkSession.createDataFrame([(s,) for s in names], "split string")
@@ -147,7 +147,8 @@ def load_eval_tables(examples: DataFrame, documents: DataFrame, splits: list[str
     def chosen(df: DataFrame) -> DataFrame:
         # A literal list reaches the scan and prunes partitions by split.
         df = df.where(F.col("split").isin(names)).withColumn("id", F.col("id").cast("string"))
-        return last_wins(df, ["split", "id"], [F.col(c) for c in order]) if order else df
+        keys = ["split", "id"]
+        return last_wins(df, keys, [F.col(c) for c in order or [c for c in df.columns if c not in keys]])
 
     queries, corpus = query_rows(chosen(examples)), document_rows(chosen(documents))
     return {"queries": queries.select("split", "qid", "query"), "corpus": corpus,

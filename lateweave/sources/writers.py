@@ -85,10 +85,10 @@ def materialize_once(spark: SparkSession, path: str, columns: list[str],
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Append metric rows, one folder per run and split."""
+    """Append metric rows, one folder and file per run and split."""
     columns = METRIC_ROW.fieldNames()
     (require_columns(metrics, columns, "metrics").select(*columns)
-     .coalesce(1).write.mode("append").partitionBy("run_id", "split").parquet(path))
+     .repartition("run_id", "split").write.mode("append").partitionBy("run_id", "split").parquet(path))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import lateweave.operators.joins as joins
 import lateweave.operators.merge as merge
 from lateweave.operators.joins import left_join_hot
 from lateweave.operators.merge import (
-    corpus_counts, limit_batches, merge_sources, seeded_shuffle, source_counts, train_test_split,
+    corpus_counts, limit_batches, merge_sources, numbered_copies, seeded_shuffle, source_counts, train_test_split,
 )
 
 
@@ -106,3 +106,11 @@ def test_hot_and_missing_keys_join_whole(spark, monkeypatch, listed):
         assert inner.count() == 50 * 2 + 2
     unkeyed = left_join_hot(left, right, "k", hot_rows=5)
     assert unkeyed.count() == 40 + 100 + 30 + 3
+
+
+@pytest.mark.parametrize("block", [3, 10_000])
+def test_numbered_copies(spark, block):
+    df = spark.createDataFrame([("a", None)] * 10 + [("a", 1)] + [("b", 2)] * 3, "x string, y int")
+    got = sorted((r.x, r.y or 0, r.copy) for r in numbered_copies(df, ["x", "y"], block).collect())
+    assert got == [("a", 0, i) for i in range(10)] + [("a", 1, 0)] + [("b", 2, i) for i in range(3)]
+    assert numbered_copies(df.limit(0), ["x", "y"], block).count() == 0

@@ -75,6 +75,10 @@ def test_display_ranking(spark):
     texts = df.select("doc_id").distinct().withColumn("text", F.repeat(F.col("doc_id"), 50))
     for r in display_ranking(df, texts, 3).collect():
         assert r.preview == (r.doc_id * 50)[:60]
+    tied = spark.createDataFrame([("s", "q", str(i), 1.0, i) for i in (9, 10, 11)],
+                                 "split string, qid string, doc_id string, score double, n int")
+    got = display_ranking(tied, texts, 3, place="n").collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"])] == ["11", "10", "9"]
 
 
 def reference_metrics(ranked, gold):

@@ -159,7 +159,7 @@ def test_pair_expressions_match(spark):
         assert r.unnorm == pytest.approx(one_score(q_, t_, full, "unnorm"), abs=1e-6)
 
 
-def test_gate_forms_agree(spark, monkeypatch):
+def test_gate_forms_agree(spark):
     rng = np.random.default_rng(5)
     mlp = Gate([1.0, -2.0, 0.5], 0.1, rng.standard_normal((3, DIM)).tolist(), [0.2, -0.1, 0.0])
     v = rng.standard_normal((50, DIM))
@@ -169,9 +169,12 @@ def test_gate_forms_agree(spark, monkeypatch):
         rows = df.select("i", gate_value(F.col("v"), gate).alias("a"), gate_udf(gate)("v").alias("b"))
         wide = df.select("i", F.array("v", "v").alias("toks")).unionByName(
             df.limit(1).select(F.lit(-1).alias("i"), F.array().cast("array<array<double>>").alias("toks")))
-        monkeypatch.setattr("lateweave.functions.gate.MAX_LITERALS", 0)
-        for r in with_gate_weights(wide, gate).collect():
-            assert r.w == pytest.approx([want[r.i]] * 2 if r.i >= 0 else [])
+        none = wide.limit(1).select(F.lit(-2).alias("i"), F.lit(None).cast("array<array<double>>").alias("toks"))
+        for r in with_gate_weights(wide.unionByName(none), gate).collect():
+            assert r.w == (None if r.i == -2 else pytest.approx([want[r.i]] * 2 if r.i >= 0 else []))
+        short = df.limit(1).select(F.array(F.slice("v", 1, 1)).alias("toks"))
+        with pytest.raises(Exception, match="the gate takes vectors of"):
+            with_gate_weights(short, gate).collect()
         for r in rows.collect():
             assert r.a == pytest.approx(want[r.i]) and r.b == pytest.approx(want[r.i])
 

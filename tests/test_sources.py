@@ -10,7 +10,6 @@ from lateweave.functions.gate import Gate, init_gate
 from lateweave.plans.build_triples import (
     materialize, materialize_prompted, merge_tables, prompted_triples,
 )
-import lateweave.plans.evaluate as evaluate_module
 from lateweave.plans.evaluate import evaluate_run, evaluate_texts, report
 from lateweave.schemas import DOMAINS, PROMPTED_RECORD, TRIPLE_COLUMNS
 from lateweave.session import checkpoint_dir, scratch_path
@@ -203,7 +202,8 @@ def test_merge_tables(spark, tmp_path):
     rebuilt = {n: write_replace(triples(spark, k, n), str(tmp_path / "rebuilt" / n)) for n, k in [("a", 40), ("b", 25)]}
     second = load_triples(spark, merge_tables(spark, rebuilt, str(tmp_path / "m2"), shards=4))
     assert [tuple(r) for r in second.collect()] == rows
-    assert load_triples(spark, merge_tables(spark, again, str(tmp_path / "m3"))).count() == 65
+    third = load_triples(spark, merge_tables(spark, again, str(tmp_path / "m3"), shards=4))
+    assert [tuple(r) for r in third.collect()] == rows
     both = [tuple(r) for n in inputs.values() for r in spark.read.parquet(n).collect()]
     assert sorted(rows) == sorted(both) and rows != both
 
@@ -256,10 +256,7 @@ def test_checkpoint_folder(spark):
     assert folder and scratch_path(spark, "x").startswith(folder.rstrip("/") + "/x-")
 
 
-@pytest.mark.parametrize("listed", [1000, 1])
-def test_evaluation_resumes(spark, tmp_path, monkeypatch, listed):
-    monkeypatch.setattr(evaluate_module, "MAX_LISTED", listed)
-
+def test_evaluation_resumes(spark, tmp_path):
     def toks(*xs):
         return [[float(x), 1.0] for x in xs]
 

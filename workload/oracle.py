@@ -12,6 +12,7 @@ _TOK = """tok AS (
   SELECT (vec_id // 8)::varchar AS id, (vec_id % 8)::int AS pos, embedding::double[] AS v, label
   FROM embeddings)"""
 
+_WHOLE = "list_dot_product(list_transform(range(64), lambda i: (i + 1)::double), v)"
 _LINEAR = ("1 / (1 + exp(-(list_dot_product("
            "list_transform(range(64), lambda i: (((i % 7) - 3) / 4.0)::double), v) + 0.5)))")
 _RELU = ("greatest(list_dot_product(list_transform(range(64), "
@@ -209,18 +210,20 @@ _GRADIENT = f"""{_FEATURES},
 
 
 
-def _fit(steps: int, lr: float) -> str:
-    """Full-batch AdamW without decay, written out step by step; index 64 is the bias."""
+def _fit(steps: int, lr: float, start: str = "CASE WHEN i = 64 THEN 0.5 ELSE ((i % 7) - 3) / 4.0 END",
+         batches: int = 1, log: bool = False) -> str:
+    """AdamW without decay, written out step by step; index 64 is the bias."""
+    batch = f"('0x' || substr(md5(triple_id::varchar), 1, 7))::bigint % {batches}"
     sql = f"""{_FEATURES},
   theta0 AS (
-    SELECT i, CASE WHEN i = 64 THEN 0.5 ELSE ((i % 7) - 3) / 4.0 END::double AS x,
+    SELECT i, ({start})::double AS x,
            0::double AS a, 0::double AS s FROM range(65) r(i))"""
     for k in range(1, steps + 1):
         sql += f""",
   par{k} AS (SELECT list(x ORDER BY i) FILTER (i < 64) AS w, max(x) FILTER (i = 64) AS b
              FROM theta{k - 1}),
   gated{k} AS (SELECT triple_id, v, delta, 1 / (1 + exp(-(list_dot_product(w, v) + b))) AS g
-               FROM delta, par{k}),
+               FROM delta, par{k} WHERE {batch} = {(k - 1) % batches}),
   pull{k} AS (SELECT triple_id, -1 / (1 + exp(sum(g * delta))) AS p FROM gated{k} GROUP BY triple_id),
   dz{k} AS (SELECT v, p * delta * g * (1 - g) AS z FROM gated{k} JOIN pull{k} USING (triple_id)),
   grad{k} AS (SELECT i, sum(z * CASE WHEN i < 64 THEN v[i + 1] ELSE 1 END)
@@ -232,11 +235,25 @@ def _fit(steps: int, lr: float) -> str:
                 FROM theta{k - 1} JOIN clip{k} USING (i)),
   theta{k} AS (SELECT i, x - {lr} * (a / (1 - 0.9::double ^ {k}))
                              / (sqrt(s / (1 - 0.999::double ^ {k})) + 1e-8) AS x, a, s FROM moment{k})"""
+    if log:
+        return sql + "\n  " + " UNION ALL ".join(f"""
+  SELECT {k}::bigint AS step, round((SELECT avg(greatest(-x, 0) + ln(1 + exp(-abs(x)))) FROM (
+           SELECT sum(g * delta) AS x FROM gated{k} GROUP BY triple_id)), 6) AS loss,
+         round(avg(g), 6) AS head_w_mean, round(stddev_samp(g), 6) AS head_w_std, round(min(g), 6) AS head_w_min,
+         round(max(g), 6) AS head_w_max, round((SELECT x FROM theta{steps} WHERE i = 64), 6) AS bias
+  FROM gated{k}""" for k in range(1, steps + 1))
     return sql + f"""
   SELECT CASE WHEN i = 64 THEN 'b' ELSE 'w' END AS param, (i % 64)::int AS idx, round(x, 8) AS value
   FROM theta{steps}"""
 
 
+def _mixed(rows: str, columns: str) -> str:
+    """Triples in seeded order, with their place; equal rows are numbered."""
+    return f"""SELECT query, positive, negative, row_number() OVER (
+        ORDER BY md5(concat_ws(':', '42', {columns}, copy)), {columns}, copy) AS place
+      FROM (SELECT *, row_number() OVER (PARTITION BY {columns}) - 1 AS copy FROM {rows})"""
+
+
 _WORDS = """WITH words AS (
     SELECT {id}, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM {table}),
   spread AS (SELECT {id}, unnest(ws) AS word, unnest(range(len(ws)))::int AS pos FROM words),
@@ -294,7 +311,7 @@ ORACLE: dict[str, str] = {
     "exclude_after_topk": _ranked(10) + _EXCLUDED + _OUT + "kept",
     "display_rank": _scores(split=_BY_DOMAIN) + """
       SELECT split, qid, rank, round(score, 6) AS score, top.doc_id, substr(text, 1, 60) AS preview
-      FROM (SELECT *, row_number() OVER (PARTITION BY split, qid ORDER BY score DESC, doc_id DESC)::int
+      FROM (SELECT *, row_number() OVER (PARTITION BY split, qid ORDER BY score DESC, doc_id::bigint DESC)::int
               AS rank FROM scored QUALIFY rank <= 5) top
       LEFT JOIN documents d ON d.doc_id::varchar = top.doc_id""",
     "rank_scored_table": """
@@ -315,6 +332,12 @@ ORACLE: dict[str, str] = {
     "gate_linear": f"{_GATED} SELECT id, pos, round(w, 6) AS w FROM gated",
     "gate_mlp": f"WITH {_TOK} SELECT id, pos, round({_MLP}, 6) AS w FROM tok",
     "gate_mlp_arrow": f"WITH {_TOK} SELECT id, pos, round({_MLP}, 6) AS w FROM tok",
+    "gate_mlp_wide": f"""WITH {_TOK}
+      SELECT id, pos, round(1 / (1 + exp(-(list_sum(list_transform(range(32), lambda j:
+               (((j % 3) - 1) / 4.0)::double * greatest(list_dot_product(
+                 list_transform(range(64), lambda i: (((i + 2 * j) % 7 - 3) / 8.0)::double), v)
+                 + ((j % 5) - 2) / 10.0, 0))) + 0.25))), 6) AS w
+      FROM tok WHERE id <> '3' UNION ALL SELECT '3', NULL, NULL""",
     "gate_stats_population": _stats("stddev_pop"),
     "gate_stats_sample": _stats("stddev_samp"),
     "token_deltas": f"{_FEATURES} SELECT triple_id, pos, round(delta, 6) AS delta FROM delta",
@@ -345,6 +368,8 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'w1', (j * 64 + i)::int, round(sum(z * v[i + 1]) / any_value(n), 8)
       FROM back, n, range(64) r(i) GROUP BY j, i""",
     "gate_fit_four_steps": _fit(4, 0.05),
+    "gate_fit": _fit(5, 5e-4, "CASE WHEN i = 64 THEN 5 ELSE 0 END", batches=2, log=True),
+    "gate_saved": _fit(1, 5e-4),
     "domain_metrics": _DOMAIN_RUN + "SELECT split, metric, round(value, 6) AS value FROM long",
     "domain_metrics_plain": _DOMAIN_PLAIN + "SELECT split, metric, round(value, 6) AS value FROM long",
     "query_level_metrics": _ranked(100) + _EXCLUDED + _GOLD + _metrics("kept")
@@ -403,7 +428,7 @@ ORACLE: dict[str, str] = {
     "corpus_sizes": f"""WITH {_TOK}
       SELECT {_BY_DOMAIN} AS split, count(*) AS queries, count(*) AS docs
       FROM tok WHERE pos = 0 GROUP BY ALL""",
-    "shuffled": _SHUFFLED + "SELECT doc_id, shuffle_key, n_chars FROM placed",
+    "shuffled": _SHUFFLED + "SELECT doc_id, shuffle_key, n_chars, place FROM placed",
     "split_train": _SHUFFLED + "SELECT * EXCLUDE (shuffle_key, place, total) FROM placed "
                                "WHERE place > ceil(0.15 * total)",
     "split_test": _SHUFFLED + "SELECT * EXCLUDE (shuffle_key, place, total) FROM placed "
@@ -412,20 +437,22 @@ ORACLE: dict[str, str] = {
                                    "WHERE place <= 96",
     "jsonl_triples": f"""WITH {_TURNS}, {_PROMPTED} SELECT CASE WHEN turn < 2 THEN 'pony' ELSE 'aops' END AS split,
       query, positive, negative FROM prompted""",
-    "triple_build": _MERGED + "SELECT query, positive, negative FROM merged WHERE source <> 'vl'",
+    "triple_build": _MERGED + _mixed("merged WHERE source <> 'vl'", "source, query, positive, negative"),
+    "prompted_build": f"WITH {_TURNS}, {_PROMPTED} " + _mixed("prompted", "query, positive, negative"),
     "eval_tables": """WITH chosen AS (
         SELECT * FROM documents WHERE source IN (SELECT 'src' || i FROM range(20) r(i)))
-      SELECT source AS split, 'queries' AS part, doc_id::varchar AS item FROM chosen
-      UNION ALL SELECT source, 'corpus', doc_id::varchar FROM chosen
+      SELECT source AS split, 'queries' AS part, doc_id || '/' || md5(text) AS item FROM chosen
+      UNION ALL SELECT source, 'corpus', doc_id || '/' || md5(coalesce(b.text, c.text))
+      FROM chosen c LEFT JOIN benchmark b ON b.item_id = c.doc_id
       UNION ALL SELECT DISTINCT source, 'qrels', doc_id || '/' || unnest([quality, toxic])
       FROM chosen JOIN labels USING (doc_id)""",
     "latest_version": """
       SELECT 'pony' AS split, doc_id::varchar AS qid, text AS query, doc_id::varchar AS gold, text
       FROM documents""",
     "non_empty_text": f"""WITH {_PAIRS}
-      SELECT 'corpus' AS part, doc_id::varchar AS item FROM documents
+      SELECT 'corpus' AS part, doc_id || '/' || md5(text) AS item FROM documents
       WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-      UNION ALL SELECT 'queries', item_id::varchar FROM benchmark WHERE length(text) <= 150
+      UNION ALL SELECT 'queries', item_id || '/' || md5(text) FROM benchmark WHERE length(text) <= 150
       UNION ALL SELECT DISTINCT 'qrels', qid || '/' || doc_id FROM pairs
       WHERE qid IN (SELECT item_id::varchar FROM benchmark WHERE length(text) <= 150)""",
     "text_fallback": "SELECT doc_id::varchar AS doc_id, text, '' AS none FROM documents",
@@ -433,10 +460,10 @@ ORACLE: dict[str, str] = {
       SELECT {_BY_DOMAIN} AS split, id AS qid,
              (CASE WHEN {_BY_DOMAIN} LIKE '%pony%' THEN 32 ELSE 256 END)::int AS qlen
       FROM tok WHERE pos = 0""",
-    "truncated_tokens": f"""WITH {_TOK} SELECT id, pos, label, round(v[1], 6) AS v0 FROM tok
+    "truncated_tokens": f"""WITH {_TOK} SELECT id, pos, label, round({_WHOLE}, 6) AS v_sum FROM tok
       WHERE pos < CASE WHEN label < 5 THEN 3 ELSE 6 END""",
     "normalised_tokens": f"""WITH {_TOK}
-      SELECT id, pos, round(v[6] / sqrt(list_dot_product(v, v)), 6) AS u5, 1.0::double AS norm
+      SELECT id, pos, round({_WHOLE} / sqrt(list_dot_product(v, v)), 6) AS u_sum, 1.0::double AS norm
       FROM tok""",
     "drift": f"""WITH {_TOK},
       per_token AS (
@@ -448,8 +475,8 @@ ORACLE: dict[str, str] = {
       SELECT id, round(max(h), 6) AS head_drift, round(max(t), 6) AS tail_max,
              max(h) <= 5e-2 AND max(t) >= 1e-4 AS ok
       FROM per_token GROUP BY id""",
-    "embedded_documents": _WORDS.format(id="doc_id", table="documents") + """
-      SELECT doc_id, count(*)::int AS n_tokens, round(sum(v[1]), 3) AS sum0
+    "embedded_documents": _WORDS.format(id="doc_id", table="documents") + f"""
+      SELECT doc_id, count(*)::int AS n_tokens, round(sum({_WHOLE.replace('64', '16')}), 3) AS toks_sum
       FROM vectors GROUP BY doc_id""",
     "embedded_queries": _WORDS.format(id="item_id", table="benchmark")
     + f"SELECT item_id, pos, round({_LINEAR.replace('range(64)', 'range(16)')}, 5) AS w FROM vectors",

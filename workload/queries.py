@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lateweave.functions.gate import gate_stats, gate_udf, gate_value, with_gate_weights
@@ -30,7 +30,9 @@ from lateweave.operators.trainlog import every_kth, trailing_mean
 from lateweave.operators.triples import (
     explode_product, last_wins_dim, project_triple, resolve_record,
 )
-from lateweave.plans.build_triples import hq_triples, materialize, merge_tables, vl_triples
+from lateweave.plans.build_triples import (
+    hq_triples, materialize, materialize_prompted, merge_tables, vl_triples,
+)
 from lateweave.plans.evaluate import (
     evaluate, evaluate_run, evaluate_texts, rank_queries, report,
 )
@@ -39,7 +41,7 @@ from lateweave.session import cut_lineage, scratch_path
 from lateweave.sources.readers import (
     load_beir_tables, load_eval_tables, load_triples, load_versioned_split, scan_jsonl,
 )
-from lateweave.sources.writers import write_verified
+from lateweave.sources.writers import load_gate, save_gate, write_verified
 from workload import tables as t
 from workload.encoder import make_encoder
 
@@ -106,7 +108,8 @@ def display_rank(spark, sf_dir):
     queries, docs = t.domain_corpora(spark, sf_dir)
     texts = t.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"), "text")
-    top = display_ranking(score_topk(queries, docs), texts, k=5)
+    scored = score_topk(queries, docs).withColumn("n", F.col("doc_id").cast("long"))
+    top = display_ranking(scored, texts, k=5, place="n")
     return top.withColumn("score", F.round("score", 6))
 
 
@@ -158,6 +161,14 @@ def gate_mlp(spark, sf_dir):
         "id", "pos", F.round(gate_value(F.col("v"), t.MLP), 6).alias("w"))
 
 
+@query
+def gate_mlp_wide(spark, sf_dir):
+    """A gate of 64 x 32 weights over packed texts, one of them without tokens."""
+    toks = F.when(F.col("id") != "3", F.col("toks"))
+    weighted = with_gate_weights(t.packed(spark, sf_dir).withColumn("toks", toks), t.WIDE)
+    return weighted.select("id", F.posexplode_outer("w").alias("pos", "w")).withColumn("w", F.round("w", 6))
+
+
 @query
 def gate_mlp_arrow(spark, sf_dir):
     return t.tokens(spark, sf_dir).select(
@@ -252,7 +263,15 @@ def _gate_rows(spark, gate):
 @query
 def gate_fit(spark, sf_dir):
     gate, log = fit_gate(_features(spark, sf_dir), steps=5, batches=2)
-    return spark.createDataFrame(log).withColumn("bias", F.lit(gate.b))
+    rows = spark.createDataFrame(log).withColumn("bias", F.lit(gate.b))
+    return rows.select("step", *[F.round(c, 6).alias(c) for c in rows.columns if c != "step"])
+
+
+@query
+def gate_saved(spark, sf_dir):
+    """A fitted gate, saved and loaded again."""
+    gate, _ = fit_gate(_features(spark, sf_dir), gate=t.GATE, steps=1)
+    return _gate_rows(spark, load_gate(spark, save_gate(spark, gate, scratch_path(spark, "gate"))))
 
 
 # Evaluation
@@ -293,10 +312,10 @@ def evaluation_run(spark, sf_dir):
 @query
 def text_topk(spark, sf_dir):
     queries, docs = t.text_corpus(spark, sf_dir)
-    q = embed_tokens(queries, make_encoder, ["split", "qid", "excluded_ids"], "query", gate=t.WORD_GATE)
+    q = embed_tokens(queries, make_encoder, ["split", "qid"], "query", gate=t.WORD_GATE)
     d = embed_tokens(docs, make_encoder, ["split", "doc_id"],
                      partitions=spark.sparkContext.defaultParallelism)
-    return _ranked(exclude_ids(score_topk(q, d, mode="norm"), exclusions_from_lists(q)))
+    return _ranked(exclude_ids(score_topk(q, d, mode="norm"), exclusions_from_lists(queries)))
 
 
 @query
@@ -473,7 +492,19 @@ def corpus_sizes(spark, sf_dir):
 @query
 def shuffled(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents")
-    return seeded_shuffle(docs, ["doc_id"]).select("doc_id", "shuffle_key", "n_chars")
+    row = F.monotonically_increasing_id()       # partition in the upper bits, row in the lower 33
+    mixed = seeded_shuffle(docs, ["doc_id"]).select(
+        "doc_id", "shuffle_key", "n_chars", F.shiftright(row, 33).alias("part"),
+        row.bitwiseAND(F.lit((1 << 33) - 1)).alias("row_index"))
+    return _placed(mixed, "part").drop("part", "row_index")
+
+
+def _placed(rows: DataFrame, part: str) -> DataFrame:
+    """Rows with their 1-based ``place`` over all parts; one row per part is counted ahead."""
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select(
+        part, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    return rows.join(before, part).withColumn("place", F.col("before") + F.col("row_index") + 1).drop("before")
 
 
 @query
@@ -511,24 +542,41 @@ def triple_build(spark, sf_dir):
                      t.id_documents(spark, sf_dir), ["part"])
     prompted = write_verified(project_triple(_prompted(spark, sf_dir)), f"{folder}/prompted")
     merged = merge_tables(spark, {"prompted": prompted, "hq": hq}, f"{folder}/merged", shards=4)
-    return load_triples(spark, merged)
+    return _placed(load_triples(spark, merged, row_key=True), "file").drop("file", "row_index")
+
+
+@query
+def prompted_build(spark, sf_dir):
+    """All domains from JSON lines to one shuffled triple table, with each row's place."""
+    folder = scratch_path(spark, "jsonl")
+    records = cut_lineage(t.prompted_records(spark, sf_dir).select(
+        "conv_id", "prompt", "query", "pos", "neg"))
+    for i, domain in enumerate(DOMAINS):
+        (records.where(F.pmod("conv_id", F.lit(len(DOMAINS))) == i).drop("conv_id")
+         .write.json(f"{folder}/{domain}.jsonl"))
+    path = materialize_prompted(spark, folder, scratch_path(spark, "prompted"), shards=4)
+    return _placed(load_triples(spark, path, row_key=True), "file").drop("file", "row_index")
 
 
 @query
 def eval_tables(spark, sf_dir):
-    """Per split of the loader: queries, documents, judged pairs."""
+    """Per split of the loader: queries, documents, judged pairs; a benchmark passage is a later
+    version of the document with its number."""
     docs = t.table(spark, sf_dir, "documents").select(
         F.col("source").alias("split"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    items = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+    versions = docs.withColumn("part", F.lit(0)).unionByName(
+        items.join(docs.select("split", "id"), "id").withColumn("part", F.lit(1)))
     labels = t.table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"), F.array("quality", "toxic").alias("gold_ids"))
     examples = (docs.join(labels, "id", "left")
                 .select("split", "id", F.col("content").alias("query"), "gold_ids"))
     splits = [f"src{i}" for i in range(20)]
-    got = load_eval_tables(examples, docs, splits)
+    got = load_eval_tables(examples.withColumn("part", F.lit(0)), versions, splits, order=["part"])
     parts = [got[name].select("split", F.lit(name).alias("part"),
-                              F.concat_ws("/", F.col(key), *extra).alias("item"))
-             for name, key, extra in [("queries", "qid", []), ("corpus", "doc_id", []),
-                                      ("qrels", "qid", ["doc_id"])]]
+                              F.concat_ws("/", F.col(key), extra).alias("item"))
+             for name, key, extra in [("queries", "qid", F.md5("query")), ("corpus", "doc_id", F.md5("text")),
+                                      ("qrels", "qid", F.col("doc_id"))]]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -560,8 +608,10 @@ def non_empty_text(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).select(F.col("qid").alias("query-id"),
                                          F.col("doc_id").alias("corpus-id"))
     got = load_beir_tables(corpus, queries, pairs, "scifact")
-    parts = [got["corpus"].select(F.lit("corpus").alias("part"), F.col("doc_id").alias("item")),
-             got["queries"].select(F.lit("queries").alias("part"), F.col("qid").alias("item")),
+    parts = [got["corpus"].select(F.lit("corpus").alias("part"),
+                                  F.concat_ws("/", "doc_id", F.md5("text")).alias("item")),
+             got["queries"].select(F.lit("queries").alias("part"),
+                                   F.concat_ws("/", "qid", F.md5("text")).alias("item")),
              got["qrels"].select(F.lit("qrels").alias("part"),
                                  F.concat_ws("/", "qid", "doc_id").alias("item"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -587,14 +637,20 @@ def route_lengths(spark, sf_dir):
 def truncated_tokens(spark, sf_dir):
     cap = F.when(F.col("label") < 5, 3).otherwise(6)
     return (truncate_tokens(t.tokens(spark, sf_dir), cap)
-            .select("id", "pos", "label", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("v0")))
+            .select("id", "pos", "label", F.round(_whole("v"), 6).alias("v_sum")))
+
+
+def _whole(vector):
+    """A number that depends on every value of a vector and its place."""
+    return F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0),
+                       lambda s, x: s + x)
 
 
 @query
 def normalised_tokens(spark, sf_dir):
     double = F.transform("v", lambda x: x * F.lit(3))
     unit = t.tokens(spark, sf_dir).select("id", "pos", l2_normalise(double).alias("u"))
-    return unit.select("id", "pos", F.round(F.get("u", F.lit(5)), 6).alias("u5"),
+    return unit.select("id", "pos", F.round(_whole("u"), 6).alias("u_sum"),
                        F.round(dot(F.col("u"), F.col("u")), 6).alias("norm"))
 
 
@@ -616,10 +672,9 @@ def embedded_documents(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents")
     got = embed_tokens(docs, make_encoder, ["doc_id"],
                        partitions=spark.sparkContext.defaultParallelism)
-    pooled = F.aggregate(F.transform("toks", lambda v: F.get(v, F.lit(0)).cast("double")),
-                         F.lit(0.0), lambda s, x: s + x)
+    pooled = F.aggregate(F.transform("toks", _whole), F.lit(0.0), lambda s, x: s + x)
     return got.select("doc_id", F.size("toks").alias("n_tokens"),
-                      F.round(pooled, 3).alias("sum0"))
+                      F.round(pooled, 3).alias("toks_sum"))
 
 
 @query

@@ -16,6 +16,9 @@ GATE = Gate([((i % 7) - 3) / 4.0 for i in range(DIM)], 0.5)
 MLP = Gate([1.0, -0.5], 0.25,
            [[((i % 5) - 2) / 2.0 for i in range(DIM)], [((i % 3) - 1) / 2.0 for i in range(DIM)]],
            [0.1, -0.1])
+WIDE = Gate([((j % 3) - 1) / 4.0 for j in range(32)], 0.25,
+            [[((i + 2 * j) % 7 - 3) / 8.0 for i in range(DIM)] for j in range(32)],
+            [((j % 5) - 2) / 10.0 for j in range(32)])
 WORD_GATE = Gate([((i % 7) - 3) / 4.0 for i in range(16)], 0.5)
 TOKENS_PER_DOC = 8
 
