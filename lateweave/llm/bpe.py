@@ -2,7 +2,8 @@
 
 A byte-level BPE that splits words before merging never merges across a space that is followed by
 a non-space, so a text may be cut there, the cuts encoded apart and their ids joined again.
-Frequent words then cost one dictionary lookup each.
+Frequent words then cost one dictionary lookup each. Literals of the vocabulary's added tokens
+(``<|endoftext|>``) keep their ids, as in the library's plain call: a text ends and begins anew there.
 """
 
 from __future__ import annotations
@@ -44,7 +45,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError(f"{path}: added tokens that take in what is beside them")
+        # The library looks for the longest literal of a place; the group keeps it among the parts.
+        self.literals = sorted((t.content for t in added), key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, self.literals))})").split
         self.merge = self.tokenizer.model.tokenize
         self.ends = {x: _packed(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,"}
         if any(self._model_ids(w) != _packed(self.tokenizer.encode(" " + w, add_special_tokens=False).ids)
@@ -61,9 +67,15 @@ class ChunkEncoder:
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
 
+    def _chunks(self, text: str) -> list[str]:
+        """Chunks without their leading space; those that have none, after a newline."""
+        if any(x in text for x in self.literals):
+            # Spaces before a literal belong together: they are no spaces before a non-space.
+            return [c for part in self.split(text) for c in self._cut(part)]
+        return self._cut(text)
+
     @staticmethod
-    def _chunks(text: str) -> list[str]:
-        """Chunks without their leading space; the first one, which has none, after a newline."""
+    def _cut(text: str) -> list[str]:
         if _ODD_SPACE.search(text):
             parts = _CUT.split(text)
             return ["\n" + parts[0], *(p[1:] for p in parts[1:])]
