@@ -5,6 +5,10 @@ files of those pivots together with the place it gives them. A query adds up, ov
 its own nearest pivots, how far the places differ (Spearman's footrule), reranks the vectors with
 the smallest distance by exact cosine and keeps the nearest.
 
+There are two tables of pivots, and what either finds is reranked. Pivots drawn evenly tell vectors
+of a crowded place apart, but there most of them are nearly the same vector to any other query;
+pivots that are spread out (farthest first) serve those.
+
 The index is cut into shards of bounded size, the queries into blocks of bounded size; every
 (shard, block) pair is one group, so no task holds more than one of each.
 """
@@ -22,9 +26,11 @@ from pyspark.sql.window import Window
 
 from lateweave.llm.common import materialize
 
-PIVOTS = 256        # bounded sample of distinct vectors
+SAMPLE = 4_096      # distinct vectors from which pivots are chosen
+PIVOTS = 256        # in each of the two tables
+SAME = 0.99999      # a pivot of this cosine to a chosen one adds nothing
 NEAREST = 64        # pivots that represent a vector
-SHARE = 0.08        # share of a shard that is reranked for each query
+SHARE = 0.08        # share of a shard that each table has reranked for a query
 LEAST = 400         # and at least so many
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 4_096
@@ -74,13 +80,25 @@ def _permutations(units: np.ndarray, pivots: np.ndarray, nearest: int) -> np.nda
     return np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :nearest]
 
 
-class Shard:
+def spread_pivots(sample: np.ndarray, most: int) -> np.ndarray:
+    """Farthest first: each next pivot is the vector least alike to all chosen ones."""
+    chosen, near = [0], sample @ sample[0]
+    while len(chosen) < most:
+        i = int(near.argmin())
+        if near[i] >= SAME:
+            break
+        chosen.append(i)
+        near = np.maximum(near, sample @ sample[i])
+    return sample[chosen]
+
+
+class Postings:
     """Inverted files of one shard: for each pivot the rows that have it, and at which place."""
 
-    def __init__(self, units: np.ndarray, ids: list, pivots: np.ndarray, nearest: int):
-        self.units, self.ids = units, ids
+    def __init__(self, units: np.ndarray, pivots: np.ndarray, nearest: int):
+        self.pivots = pivots
         order = _permutations(units, pivots, nearest)
-        self.nearest = order.shape[1]
+        self.size, self.nearest = order.shape
         row = np.repeat(np.arange(len(units)), self.nearest)
         pivot, place = order.ravel(), np.tile(np.arange(self.nearest), len(units))
         by = np.argsort(pivot, kind="stable")
@@ -91,7 +109,7 @@ class Shard:
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Footrule distance of every row to one query's pivots, from the query's postings alone."""
-        total = np.full(len(self.units), 2 * self.absent, dtype=np.int32)
+        total = np.full(self.size, 2 * self.absent, dtype=np.int32)
         last = self.nearest
         for mine, pivot in enumerate(order.tolist()):
             a, b = self.edges[pivot], self.edges[pivot + 1]
@@ -99,13 +117,28 @@ class Shard:
             total[self.rows[a:b]] += np.abs(theirs - mine) - (last - theirs) - (last - mine)
         return total
 
-    def search(self, unit: np.ndarray, order: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` rows of largest cosine among the ``most`` of smallest footrule distance."""
+
+class Shard:
+    """The vectors of one shard, their ids, and their postings by each table of pivots."""
+
+    def __init__(self, units: np.ndarray, ids: list, tables: list[np.ndarray], nearest: int):
+        self.units, self.ids = units, ids
+        self.postings = [Postings(units, pivots, nearest) for pivots in tables]
+
+    def orders(self, units: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Per query its nearest pivots of each table."""
+        return zip(*(_permutations(units, p.pivots, p.nearest) for p in self.postings))
+
+    def search(self, unit: np.ndarray, orders: tuple[np.ndarray, ...], most: int,
+               k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` rows of largest cosine among the ``most`` of smallest footrule distance by each table."""
         near = np.arange(len(self.units))
         if most < len(near):
-            distance = self.footrule(order)
-            edge = np.partition(distance, most - 1)[most - 1]
-            near = np.flatnonzero(distance <= edge)
+            keep = np.zeros(len(near), dtype=bool)
+            for postings, order in zip(self.postings, orders):
+                distance = postings.footrule(order)
+                keep |= distance <= np.partition(distance, most - 1)[most - 1]
+            near = np.flatnonzero(keep)
         score = self.units[near] @ unit
         if k < len(near):
             edge = np.partition(-score, k - 1)[k - 1]
@@ -141,9 +174,9 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, pivots: int = P
     n = index.count()
     if not n:
         return spark.createDataFrame([], out)
-    sample = index.orderBy(F.xxhash64("unit"), "unit").limit(pivots).select("unit").collect()
-    table = np.stack([np.frombuffer(r["unit"]) for r in sample])
-    nearest = min(nearest, len(table))
+    sample = index.orderBy(F.xxhash64("unit"), "unit").limit(max(SAMPLE, pivots)).select("unit").collect()
+    drawn = np.stack([np.frombuffer(r["unit"]) for r in sample])
+    tables = [drawn[:pivots], spread_pivots(drawn, pivots)]
     shards = max(1, -(-n // SHARD_ROWS))
 
     def units_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +198,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, pivots: int = P
     def search(key: tuple, have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         found: dict[str, list] = {"unit": [], "vec_id": [], "score": []}
         if len(have) and len(ask):
-            shard = Shard(np.stack([np.frombuffer(u) for u in have["unit"]]), have["ids"].tolist(), table, nearest)
+            shard = Shard(np.stack([np.frombuffer(u) for u in have["unit"]]), have["ids"].tolist(), tables, nearest)
             queries = np.stack([np.frombuffer(u) for u in ask["unit"]])
-            orders = _permutations(queries, table, nearest)
             most = max(least, int(np.ceil(share * len(have))))
-            for raw, unit, order in zip(ask["unit"], queries, orders):
-                near, score = shard.search(unit, order, most, k + 1)
+            for raw, unit, orders in zip(ask["unit"], queries, shard.orders(queries)):
+                near, score = shard.search(unit, orders, most, k + 1)
                 for i, s in zip(near.tolist(), score.tolist()):
                     for vec_id in shard.ids[i]:
                         found["unit"].append(raw)
