@@ -2,7 +2,8 @@
 
 Words that occur exactly once in the text window and once in the template are anchors; the longest
 increasing subsequence of anchors is kept, and the gaps between neighbouring anchors are aligned
-the same way. Coverage is the share of the template's words that are matched.
+the same way. Coverage is the share of the template's words that are matched. The words that tell
+licenses apart (name, version, NC, SA, Lesser) must be among them, with no foreign word between.
 """
 
 from __future__ import annotations
@@ -54,6 +55,33 @@ TEMPLATES = {
         "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
         "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright "
+        "holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."),
+    "BSD-notice": "Released under the BSD License.",
+    "BSD-2-Clause-notice": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
+    "ISC-notice": "Released under the ISC License.",
+    "Apache-2.0-short": "Licensed under the Apache License 2.0.",
+    "Apache-1.1-notice": "Licensed under the Apache License, Version 1.1.",
+    "MPL-2.0-notice": "Released under the Mozilla Public License 2.0.",
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+        "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "EPL-1.0-notice": "Made available under the terms of the Eclipse Public License v1.0.",
+    "EPL-2.0-notice": "Made available under the terms of the Eclipse Public License 2.0.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+        "and to alter it and redistribute it freely, subject to the following restrictions:"),
+    "CC0-1.0-notice": "Licensed under CC0 1.0.",
+    "CC0-1.0-long": "This work is licensed under a Creative Commons Zero 1.0 Universal License.",
     "reserved": "All rights reserved.",
 }
 COVERAGE = 0.8
@@ -61,6 +89,74 @@ COVERAGE = 0.8
 _WORD = re.compile(r"\w+")
 
 
+def _phrase(*words: str) -> str:
+    """Words with nothing but signs between; a version's number goes on neither with a dot nor with a digit."""
+    return r"\b" + r"\W+".join(words) + r"(?!\w|\.\d)"
+
+
+def _version(number: str) -> str:
+    whole = number.removesuffix(".0")
+    return r"(?:(?:version|v)\W*)?" + re.escape(whole) + (r"(?:\.0)?" if whole != number else "")
+
+
+# Words of a template that must align without a foreign word between; of a template without an entry, all words count alike.
+KEYS = {
+    "Apache-2.0-notice": _phrase("apache", "license", _version("2.0")),
+    "Apache-2.0-short": _phrase("apache", "license", _version("2.0")),
+    "Apache-2.0-header": _phrase("apache", "license", _version("2.0")),
+    "Apache-1.1-notice": _phrase("apache", "license", _version("1.1")),
+    "MIT-notice": _phrase("mit", "license"),
+    "MIT": _phrase("permission", "notice", "shall", "be", "included", "in", "all"),
+    "ISC": _phrase("with", "or", "without", "fee", "is", "hereby", "granted", "provided", "that"),
+    "ISC-notice": _phrase("isc", "license"),
+    "BSD-notice": _phrase("bsd", "license"),
+    "BSD-2-Clause-notice": _phrase("(?:bsd", "2", "clause|2", "clause", "bsd)", "license"),
+    "BSD-3-Clause-notice": _phrase("(?:bsd", "3", "clause|3", "clause", "bsd)", "license"),
+    "BSD-2-Clause": _phrase("redistributions?", "in", "binary", "form", "must", "reproduce"),
+    "BSD-3-Clause": _phrase("endorse", "or", "promote", "products", "derived", "from"),
+    "MPL-2.0-notice": _phrase("mozilla", "public", "license", _version("2.0")),
+    "MPL-2.0-header": _phrase("mozilla", "public", "license", _version("2.0")),
+    "EPL-1.0-notice": _phrase("eclipse", "public", "license", _version("1.0")),
+    "EPL-2.0-notice": _phrase("eclipse", "public", "license", _version("2.0")),
+    "BSL-1.0-notice": _phrase("boost", "software", "license", _version("1.0")),
+    "Unlicense": _phrase("free", "and", "unencumbered", "software"),
+    "Zlib": _phrase("alter", "it", "and", "redistribute", "it", "freely"),
+    "CC0-1.0-notice": _phrase("cc0", _version("1.0")),
+    "CC0-1.0-long": _phrase("creative", "commons", "zero", _version("1.0")),
+    "reserved": _phrase("all", "rights", "reserved"),
+}
+
+for _kind, _words in {"GPL": "", "LGPL": "Lesser ", "AGPL": "Affero "}.items():
+    for _number in {"GPL": ("2.0", "3.0"), "LGPL": ("2.1", "3.0"), "AGPL": ("3.0",)}[_kind]:
+        _said, _title = _number.removesuffix(".0"), f"GNU {_words}General Public License"
+        _notice, _header = f"{_kind}-{_number}-notice", f"{_kind}-{_number}-header"
+        TEMPLATES.setdefault(_notice, f"This work is licensed under the {_title}, version {_said}.")
+        TEMPLATES.setdefault(_header, TEMPLATES["GPL-3.0-header"].replace("GNU General Public License", _title)
+                             .replace("version 3", f"version {_said}"))
+        _name = _title.lower().split()
+        KEYS[_notice] = _phrase(*_name, _version(_number))
+        KEYS[_header] = (_phrase(*_name, "as", "published") + r"[^.]{0,120}?"
+                         + _phrase("version", _version(_number), "of", "the"))
+
+_SPELT = {"Attribution": "attribution", "ShareAlike": r"share\W?alike", "NonCommercial": r"non\W?commercial",
+          "NoDerivatives": r"no\W?deriv(?:ative)?s?(?:\W+works)?"}
+for _kind, _words in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives",
+                      "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+                      "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    for _number, _place in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"),
+                            ("1.0", "Generic")):
+        _short = f"Licensed under CC {_kind} {_number}."
+        _long = f"This work is licensed under a Creative Commons {_words} {_number} {_place} License."
+        _parts = [_SPELT[w] for w in _words.split("-")]
+        for _text, _key in ((_long, _phrase("creative", "commons", *_parts, _version(_number))),
+                            (_short, _phrase("cc", *_kind.lower().split("-"), _version(_number)))):
+            _name = f"CC-{_kind}-{_number}-notice"
+            if TEMPLATES.setdefault(_name, _text) != _text:
+                _name = f"CC-{_kind}-{_number}-" + ("short" if _text is _short else "long")
+                TEMPLATES[_name] = _text
+            KEYS[_name] = _key
+
+
 def longest_increasing(values: list[int]) -> list[int]:
     """Positions of a longest strictly increasing subsequence, by patience sorting."""
     tops, ends, back = [], [], [-1] * len(values)
@@ -107,9 +203,10 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Templates with the tables that find where in a text an alignment is worth trying."""
 
-    def __init__(self, templates: dict[str, str], coverage: float):
+    def __init__(self, templates: dict[str, str], coverage: float, keys: dict[str, str]):
         self.coverage = coverage
         self.names = list(templates)
+        self.keys = [re.compile(keys[n], re.I) if n in keys else None for n in self.names]
         self.words = [_WORD.findall(templates[n].lower()) for n in self.names]
         self.counts = [Counter(w) for w in self.words]
         self.vocabulary = set().union(*self.counts) if self.counts else set()
@@ -118,14 +215,22 @@ class Scanner:
             for q, pair in enumerate(zip(words, words[1:])):
                 self.pairs[pair].append((t, q))
 
+    def _open(self, t: int, have: Counter, text: str) -> bool:
+        """No alignment can match more words than both sides share, nor do without the template's key."""
+        left = len(self.words[t]) * (1 - self.coverage) + 1e-9
+        for w, n in self.counts[t].items():
+            if have[w] < n:
+                left -= n - have[w]
+                if left < 0:
+                    return False
+        return bool(self.words[t]) and (self.keys[t] is None or self.keys[t].search(text) is not None)
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first and last character) of every notice, in text order."""
         found = list(_WORD.finditer(text))
         words = [m[0].lower() for m in found]
         have = Counter(w for w in words if w in self.vocabulary)
-        # No alignment can match more words than both sides share.
-        open_ = {t for t, c in enumerate(self.counts)
-                 if sum(min(n, have[w]) for w, n in c.items()) >= self.coverage * len(self.words[t]) > 0}
+        open_ = {t for t in range(len(self.names)) if self._open(t, have, text)}
         if not open_:
             return []
         seeds: dict[int, list[int]] = defaultdict(list)
@@ -144,37 +249,72 @@ class Scanner:
                     continue
                 slack = size // 2 + 2
                 lo, hi = max(0, group[0] - slack), min(len(words), group[-1] + size + slack)
-                self._window(t, found, words, lo, hi, out)
+                self._window(t, text, found, words, lo, hi, out)
                 group = [d]
-        return sorted(set(out), key=lambda x: (x[2], x[3], x[0]))
+        return self._best(out, found)
 
-    def _window(self, t: int, found: list, words: list[str], lo: int, hi: int, out: list) -> None:
+    def _fits(self, t: int, match: list[int], text: str, found: list) -> bool:
+        """Enough words in a stretch of bounded length, the key's words all among them."""
+        size = len(self.words[t])
+        if len(match) < self.coverage * size or match[-1] - match[0] >= 2 * size:
+            return False
+        if self.keys[t] is None:
+            return True
+        # Some way past the end, for what may not follow a version.
+        for m in self.keys[t].finditer(text, found[match[0]].start(), found[match[-1]].end() + 8):
+            first = bisect_left(found, m.start(), key=lambda w: w.start())
+            last = bisect_left(found, m.end(), key=lambda w: w.end())
+            # Spellings of the same words (v3 for version 3, Share-Alike) need not align.
+            if bisect_left(match, last + 1) - bisect_left(match, first) >= 0.6 * (last + 1 - first):
+                return True
+        return False
+
+    def _window(self, t: int, text: str, found: list, words: list[str], lo: int, hi: int, out: list) -> None:
         """Align one window; after a notice look on behind it, as a window may hold several."""
         template = self.words[t]
         while hi - lo >= self.coverage * len(template):
             # Repeated notices share no unique words, so a long window is aligned a stretch at a time.
             stop = min(hi, lo + 2 * len(template) + 4)
-            match = align(words[lo:stop], template)
-            if len(match) >= self.coverage * len(template) and match[-1][0] - match[0][0] < 2 * len(template):
-                first, last = lo + match[0][0], lo + match[-1][0]
-                out.append((self.names[t], len(match) / len(template), found[first].start(), found[last].end()))
-                lo = last + 1
-            else:
+            match = [lo + i for i, _ in align(words[lo:stop], template)]
+            if not match or not self._fits(t, match, text, found):
                 lo += max(1, len(template) // 4)
+                continue
+            # First words taken from another notice before: as many words in a shorter stretch.
+            while match[-1] - match[0] >= len(match):
+                start = match[0] + 1
+                again = [start + i for i, _ in align(words[start:match[-1] + 1], template)]
+                if len(again) < len(match) or not self._fits(t, again, text, found):
+                    break
+                match = again
+            out.append((t, match))
+            lo = match[-1] + 1
+
+    def _best(self, out: list[tuple[int, list[int]]], found: list) -> list[tuple[str, float, int, int]]:
+        """Of matches that share most of their words the one of most words, then of the shortest stretch."""
+        taken: set[int] = set()
+        rows = set()
+        for t, match in sorted(out, key=lambda x: (-len(x[1]), x[1][-1] - x[1][0], len(self.words[x[0]]), x[1], x[0])):
+            if 2 * sum(i in taken for i in match) > len(match):
+                continue
+            taken.update(match)
+            rows.add((self.names[t], len(match) / len(self.words[t]), found[match[0]].start(), found[match[-1]].end()))
+        return sorted(rows, key=lambda x: (x[2], x[3], x[0]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """One row per notice found: doc_id, license, coverage, start and end character.
 
-    A notice counts when at least ``coverage`` of the template's words align. Documents without one,
-    NULL and empty texts give no rows. Two templates that fit the same place are both returned; the
-    same notice twice in a text is two rows. Rows that repeat give their notices again; an empty
+    A notice counts when at least ``coverage`` of the template's words align, its key (``KEYS``, for
+    the templates given here) among them. Documents without one, NULL and empty texts give no rows.
+    Of templates that fit the same place the one with the most aligned words is returned; the same
+    notice twice in a text is two rows. Rows that repeat give their notices again; an empty
     table gives none; extra columns are ignored.
     """
+    keys = KEYS if templates is None else {}
     templates = TEMPLATES if templates is None else templates
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, keys)
         for batch, texts in text_slices(batches):
             rows = [(i, *x) for i, t in enumerate(texts) for x in scanner.scan(t)]
             cols = list(zip(*rows)) or [()] * 5
