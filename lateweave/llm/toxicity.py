@@ -173,10 +173,13 @@ def fit_field(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LA
               penalty: float = 1e-4) -> Field | None:
     """Learn from labelled rows that are not held out.
 
-    The sample is bounded: about ``per_label`` rows of each label by a hash of the text, and at most
-    ``SAMPLE_WORDS`` words in whole documents. None if a label is missing. A document with several
-    labels counts as toxic if one of them says so.
+    The sample is bounded: about ``per_label`` rows of each label by a hash of the id, and for each
+    label at most half of ``SAMPLE_WORDS`` words in whole documents; one that exceeds what is left is
+    passed over for the next. None if a label is missing or no document has one; if a label that
+    exists has no document in the sample, a ValueError. A document with several labels counts as
+    toxic if one of them says so.
     """
+    budget = SAMPLE_WORDS // 2
     marks = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic") > 0).alias("y")))
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -185,23 +188,29 @@ def fit_field(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LA
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
+            found = [WORD.findall(t.lower()) for t in texts]
+            # One that can't fit in any case is only counted.
             yield pa.RecordBatch.from_arrays(
                 [batch.column("y"), batch.column("doc_id"),
-                 pa.array([WORD.findall(t.lower()) for t in texts], pa.list_(pa.string()))],
+                 pa.array([w if len(w) <= budget else None for w in found], pa.list_(pa.string()))],
                 names=["y", "doc_id", "words"])
 
     rows = (docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("l_id")).select("y", "doc_id", "text")
             .mapInArrow(words, "y boolean, doc_id bigint, words array<string>"))
-    table, seqs, toxic, total = Words(), [], [], 0
+    table, seqs, toxic, left, seen = Words(), [], [], {True: budget, False: budget}, 0
     for row in rows.orderBy(F.xxhash64("doc_id")).toLocalIterator():
-        if total >= SAMPLE_WORDS:
-            break
+        seen += 1
+        if row["words"] is None or len(row["words"]) > left[row["y"]]:
+            continue
         seqs.append(np.array(table.numbers(row["words"]), dtype=np.int64))
-        toxic.append(bool(row["y"]))
-        total += len(seqs[-1])
+        toxic.append(row["y"])
+        left[row["y"]] -= len(seqs[-1])
     toxic = np.array(toxic, dtype=bool)
-    if not toxic.any() or toxic.all():
+    if len(counts) < 2 or not seen:
         return None
+    if not toxic.any() or toxic.all():
+        raise ValueError(f"{seen} labelled documents, but none that fits the sample is "
+                         + ("clean" if toxic.any() else "toxic"))
     features = np.array(table.features, dtype=np.int64).reshape(-1, KINDS)
     marked = _induce(seqs, features, toxic)
 
