@@ -73,6 +73,14 @@ def split_http(message: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [tuple(x.split(": ", 1)) if ": " in x else (x, "") for x in lines], payload
 
 
+def header_values(fields: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """Value by header, a list in order if its lines repeat; case apart, names are spelt as at first."""
+    found: dict[str, tuple[str, list[str]]] = {}
+    for name, value in fields:
+        found.setdefault(name.lower(), (name, []))[1].append(value)
+    return {name: values if len(values) > 1 else values[0] for name, values in found.values()}
+
+
 def page_content(markup: str) -> tuple[str, str, list[str]]:
     """Title, plain text (a line per block, no empty lines) and links of a page."""
     out, title, links, in_title = [], [], [], False
@@ -128,7 +136,7 @@ def derive(record: str, target: str, date: str, message: bytes) -> list[tuple]:
                                      "WARC-Date": date, "WARC-Block-Digest": digest(message),
                                      "WARC-Payload-Digest": source, "Content-Length": str(len(message))},
             "Payload-Metadata": {"HTTP-Response-Metadata": {
-                "Response-Message": status, "Headers": dict(fields), "Entity-Digest": source,
+                "Response-Message": status, "Headers": header_values(fields), "Entity-Digest": source,
                 "Entity-Length": str(len(payload)),
                 "HTML-Metadata": {"Title": title, "Links": links}}}}}, ensure_ascii=False).encode()
     out = []
