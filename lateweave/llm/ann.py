@@ -82,13 +82,14 @@ def _permutations(units: np.ndarray, pivots: np.ndarray, nearest: int) -> np.nda
 
 def spread_pivots(sample: np.ndarray, most: int) -> np.ndarray:
     """Farthest first: each next pivot is the vector least alike to all chosen ones."""
-    chosen, near = [0], sample @ sample[0]
+    # No matrix product here: threaded linear algebra can block on a driver that runs Spark.
+    chosen, near = [0], np.einsum("ij,j->i", sample, sample[0])
     while len(chosen) < most:
         i = int(near.argmin())
         if near[i] >= SAME:
             break
         chosen.append(i)
-        near = np.maximum(near, sample @ sample[i])
+        near = np.maximum(near, np.einsum("ij,j->i", sample, sample[i]))
     return sample[chosen]
 
 

@@ -40,6 +40,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def invert(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by elimination with row exchange, one element-wise update per column.
+
+    Without calls into threaded linear algebra: those can block on a driver that runs Spark.
+    """
+    m = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(m)])
+    for i in range(m):
+        j = i + int(np.abs(work[i:, i]).argmax())
+        if work[j, i] == 0.0:
+            raise ValueError("the matrix is singular")
+        if j != i:
+            work[[i, j]] = work[[j, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0.0
+        rows = np.flatnonzero(factor)
+        work[rows] -= factor[rows, None] * work[i]
+    return work[:, m:]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
                 budget: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches into slices of bounded text; a NULL text counts as empty."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lateweave.llm.common import held_out, text_slices
+from lateweave.llm.common import held_out, invert, text_slices
 
 # ISO 639-1 codes by branch. A language outside the table is a family of its own.
 FAMILIES = {
@@ -143,7 +143,7 @@ def _fit_duel(yes: str, no: str, rows: np.ndarray, cols: np.ndarray, vals: np.nd
                       ((p - target) * balance).sum()])
         v = p * (1 - p) * balance
         h = np.array([[(v * margin ** 2).sum() + 1e-3, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-6]])
-        move = np.linalg.solve(h, g)
+        move = (invert(h) * g).sum(axis=1)
         slope, shift = max(slope - np.clip(move[0], -2, 2), 0.1), shift - np.clip(move[1], -2, 2)
     return Duel(yes, no, w * scale, float(b), float(slope), float(shift))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lateweave.llm.bpe import ChunkEncoder
-from lateweave.llm.common import materialize, text_slices
+from lateweave.llm.common import invert, materialize, text_slices
 
 PIECES = ("doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, "
           "class int, part int, nth bigint")
@@ -83,6 +83,10 @@ def _price(values: np.ndarray, sizes: np.ndarray, back: list[np.ndarray]) -> tup
     return float(best[-1]), pattern
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", matrix, vector)
+
+
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3,
                    rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Column generation for the linear relaxation: patterns (rows) and how often each is used.
@@ -93,7 +97,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)  # columns are patterns
     inverse = np.diag(1.0 / np.diag(basis))
-    amount = inverse @ demand
+    amount = _times(inverse, demand)
     best, since = np.inf, 0
     least = float((sizes * demand).sum()) / capacity
     back = [room - sizes[:np.searchsorted(sizes, room, side="right")] for room in range(capacity + 1)]
@@ -102,11 +106,11 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
             best, since = amount.sum(), step
         elif step - since > m:
             break
-        prices = inverse.T @ np.ones(m)
+        prices = inverse.sum(axis=0)
         value, pattern = _price(np.maximum(prices, 0.0), sizes, back)
         if value <= 1 + 1e-9 or amount.sum() - max(least, amount.sum() / value) <= gap * amount.sum():
             break
-        change = inverse @ pattern
+        change = _times(inverse, pattern)
         rows = change > 1e-9
         if not rows.any():
             break
@@ -115,12 +119,12 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
         out = int(np.argmin(ratio))
         basis[:, out] = pattern
         if step % 64 == 63:
-            inverse = np.linalg.inv(basis)
+            inverse = invert(basis)
         else:
             pivot = inverse[out] / change[out]
-            inverse -= np.outer(change, pivot)
+            inverse -= change[:, None] * pivot
             inverse[out] = pivot
-        amount = np.maximum(inverse @ demand, 0.0)
+        amount = np.maximum(_times(inverse, demand), 0.0)
     return basis.T.round().astype(np.int64), amount
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lateweave.llm.common import held_out, text_slices
+from lateweave.llm.common import held_out, invert, text_slices
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 17
@@ -147,13 +147,14 @@ def _induce(docs: list[np.ndarray], features: np.ndarray, toxic: np.ndarray, lea
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted logistic regression by damped Newton steps."""
+    """Weighted logistic regression by damped Newton steps, without threaded linear algebra."""
     z = np.column_stack([x, np.ones(len(x))])
     c, hold = np.zeros(z.shape[1]), 1e-3 * np.diag([1.0] * x.shape[1] + [1e-3])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ c, -30, 30)))
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + hold + 1e-9 * np.eye(len(c))
-        c -= np.clip(np.linalg.solve(h, z.T @ (weight * (p - y)) + hold @ c), -2, 2)
+        p = 1 / (1 + np.exp(-np.clip((z * c).sum(axis=1), -30, 30)))
+        h = np.einsum("i,ij,ik->jk", weight * p * (1 - p), z, z) + hold + 1e-9 * np.eye(len(c))
+        pull = (z * (weight * (p - y))[:, None]).sum(axis=0) + (hold * c).sum(axis=1)
+        c -= np.clip((invert(h) * pull).sum(axis=1), -2, 2)
     return c
 
 
