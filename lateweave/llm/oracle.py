@@ -7,7 +7,6 @@ import string
 _NORMALISED = (f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')")
 
 ORACLE = {
-    "op5_nearest": None,
     "op6_exact_duplicates": f"""
         WITH d AS (SELECT doc_id, {_NORMALISED} AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id,
@@ -15,4 +14,21 @@ ORACLE = {
                doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
         FROM d""",
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
+
+# Words of every text, the digest of the window at every place, and the places that a hit covers.
+ORACLE["op11_repeated_passages"] = r"""
+    WITH w AS (SELECT row_number() OVER () AS r, doc_id,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    win AS (SELECT r, doc_id, unnest(range(1, len(words) - 48)) AS place,
+                   unnest(list_transform(range(1, len(words) - 48),
+                                         i -> md5(array_to_string(words[i:i + 49], ' ')))) AS body
+            FROM w WHERE len(words) >= 50),
+    hits AS (SELECT r, place FROM (SELECT r, doc_id, place, min(doc_id) OVER (PARTITION BY body) AS low FROM win)
+             WHERE low < doc_id),
+    gone AS (SELECT DISTINCT r, place + k AS p FROM hits, unnest(range(50)) AS t(k)),
+    places AS (SELECT r, generate_subscripts(words, 1) AS p, unnest(words) AS word FROM w),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS body, count(*) AS n
+             FROM places ANTI JOIN gone USING (r, p) GROUP BY r)
+    SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(body, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (r)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lateweave.llm import (
-    ann, exact, langid, licenses, minhash, packing, pieces, records, toxicity, variants, warc)
+    ann, exact, langid, licenses, minhash, packing, passages, pieces, records, toxicity, variants, warc)
 from lateweave.llm.common import documents
 from lateweave.session import scratch_path
 
@@ -69,10 +69,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, field)
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.drop_repeated_passages(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_pieces, op3_warc_derivatives, op4_licenses, op5_nearest, op6_exact_duplicates,
-    op7_token_records, op8_languages, op9_packed, op10_toxicity, op13_spelling_variants)}
+    op7_token_records, op8_languages, op9_packed, op10_toxicity, op11_repeated_passages, op13_spelling_variants)}
