@@ -21,7 +21,7 @@ ORACLE["op11_repeated_passages"] = r"""
                       regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
     win AS (SELECT r, doc_id, unnest(range(1, len(words) - 48)) AS place,
                    unnest(list_transform(range(1, len(words) - 48),
-                                         i -> md5(array_to_string(words[i:i + 49], ' ')))) AS body
+                                         lambda i: md5(array_to_string(words[i:i + 49], ' ')))) AS body
             FROM w WHERE len(words) >= 50),
     hits AS (SELECT r, place FROM (SELECT r, doc_id, place, min(doc_id) OVER (PARTITION BY body) AS low FROM win)
              WHERE low < doc_id),
