@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lateweave.llm import (
-    ann, exact, langid, licenses, minhash, packing, passages, pieces, records, toxicity, variants, warc)
-from lateweave.llm.common import documents
+    ann, exact, langid, licenses, minhash, packing, passages, pieces, prefix_trie, records, toxicity, variants, warc)
+from lateweave.llm.common import documents, materialize
 from lateweave.session import scratch_path
 
 # Folder of the public tokenizer files.
@@ -74,10 +74,20 @@ def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefix_trie.turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    nodes, ends = prefix_trie.prefix_trie(*prefix_trie.shared_beginnings(materialize(rows, "turns")))
+    found = prefix_trie.end_digests(ends).withColumnRenamed("node", "e_node")
+    return nodes.join(found, F.col("node") == F.col("e_node"), "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)).alias("ends_sha256"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_pieces, op3_warc_derivatives, op4_licenses, op5_nearest, op6_exact_duplicates,
-    op7_token_records, op8_languages, op9_packed, op10_toxicity, op11_repeated_passages, op13_spelling_variants)}
+    op7_token_records, op8_languages, op9_packed, op10_toxicity, op11_repeated_passages, op12_prefix_trie,
+    op13_spelling_variants)}
