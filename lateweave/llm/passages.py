@@ -8,12 +8,14 @@ equal anchors, and neighbouring windows mostly share theirs, so the sketch holds
 
 1. Every task sketches its documents; the sketches are merged by slices.
 2. The second pass marks the windows whose anchor is estimated to be in two documents or more, and
-   the documents without any are done. Marked anchors are counted exactly, which takes out what the
-   sketch overestimated; what is left is grouped by the words of the windows.
+   the documents without any are done. Neighbouring windows with one anchor are a run. Runs are
+   grouped by their words: one whose words an earlier document has as a run is covered as a whole.
+   What is left to compare are anchors with runs of different words; there the first run of each
+   kind is taken apart into its windows, which are grouped by their words.
 3. Words covered by a window that starts in a document with a smaller id go.
 
 The sketch grows with the text up to ``sketch_bytes``. Beyond that it marks more windows than need
-be, and the exact count of anchors does the work: nothing is lost at any size.
+be, and the exact groups of runs (one for 13 words) do the work: nothing is lost at any size.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ DEPTH = 2
 CELLS = 12                    # cells of the sketch for each expected anchor
 SKETCH_BYTES = 64 << 20       # two bits a cell: seen once, seen again
 SLICE_CELLS = 1 << 19
-SLICE_BYTES = 4_000_000       # bytes of text handled at a time; a longer text is a slice of its own
-BLOCK_BYTES = 1_000_000       # bytes of text hashed at a time
+SLICE_BYTES = 2_000_000       # bytes of text handled at a time; a longer text is a slice of its own
+BLOCK_BYTES = 500_000         # bytes of text hashed at a time
 LONG_WORD = 1 << 16           # a word of more bytes is hashed alone
 TASK_BYTES = 64 << 20         # text that a task reads, about
 
@@ -247,40 +249,57 @@ def sketch_windows(docs: DataFrame, cells: int, size: int, window: int = WINDOW,
     return shape
 
 
-def _runs(marked: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of marked windows with one anchor: the anchor, the first window, how many."""
-    edge = np.flatnonzero(np.diff(keys)) + 1 if len(keys) else np.zeros(0, dtype=np.int64)
-    starts = np.concatenate([[0], edge]).astype(np.int64) if len(keys) else edge
-    number = np.diff(np.concatenate([starts, [len(keys)]]))
-    keep = marked[starts]
-    return keys[starts][keep], starts[keep], number[keep]
+def _runs(sketch: Sketch, a: np.ndarray, b: np.ndarray, window: int, anchor: int) -> list[dict] | None:
+    """Runs of marked windows with one anchor: the anchor, the first window, how many, and the words.
+
+    No run is longer than a window, so that its first and last window have all its words between
+    them; their hashes and the number of windows stand for the words.
+    """
+    keys = anchors(a, window, anchor)
+    if not len(keys):
+        return None
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+    # A run of one anchor over and over again (equal words) is cut before it outgrows a window.
+    size = np.diff(np.concatenate([starts, [len(keys)]]))
+    pieces = -(-size // window)
+    inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(starts, pieces) + inside * window
+    size = np.diff(np.concatenate([starts, [len(keys)]]))
+    keep = sketch.repeated(keys[starts])
+    if not keep.any():
+        return None
+    starts, size = starts[keep], size[keep]
+    sides = []
+    for lane, words in enumerate((a, b)):
+        h = run_hashes(words, window, lane)
+        sides.append(_mix(_mix(h[starts] + size.astype(np.uint64)) * _LANES[lane] + h[starts + size - 1]).view(np.int64))
+    return [{"anchor": k, "first": f, "n": n, "s1": x, "s2": y} for k, f, n, x, y in zip(
+        keys[starts].view(np.int64).tolist(), starts.tolist(), size.tolist(), sides[0].tolist(), sides[1].tolist())]
+
+
+RUN = pa.struct([("anchor", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("s1", pa.int64()),
+                 ("s2", pa.int64())])
 
 
 def _marked(docs: DataFrame, shared, window: int, anchor: int) -> DataFrame:
-    """Every row with its words joined by single spaces and, per run of marked windows, its anchor."""
+    """Every row with its words joined by single spaces and its runs of marked windows."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, row = shared.value, TaskContext.get().partitionId() << 33
-        run = pa.struct([("anchor", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
         for batch, data, offsets in byte_slices(batches):
-            words, _, counts = hash_words(data, offsets)
+            a, b, counts = hash_words(data, offsets)
             edges = np.concatenate([[0], np.cumsum(counts)])
             known = batch.column("doc_id").is_valid().to_pylist()
-            texts, runs = [], []
-            for i, (a, b) in enumerate(zip(edges, edges[1:])):
-                texts.append(b" ".join(data[offsets[i]:offsets[i + 1]].tobytes().split()).decode())
-                keys = anchors(words[a:b], window, anchor)
-                found = _runs(sketch.repeated(keys), keys) if known[i] and len(keys) else ((), (), ())
-                runs.append([{"anchor": int(k), "first": int(f), "n": int(n)}
-                             for k, f, n in zip(np.asarray(found[0], dtype=np.uint64).view(np.int64), *found[1:])]
-                            if len(found[0]) else None)
+            texts = [b" ".join(data[x:y].tobytes().split()).decode() for x, y in zip(offsets, offsets[1:])]
+            runs = [_runs(sketch, a[x:y], b[x:y], window, anchor) if k else None
+                    for k, x, y in zip(known, edges, edges[1:])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(texts))), batch.column("doc_id"), pa.array(counts, pa.int64()),
-                 pa.array(texts, pa.string()), pa.array(runs, pa.list_(run))],
+                 pa.array(texts, pa.string()), pa.array(runs, pa.list_(RUN))],
                 names=["row", "doc_id", "n_words", "words", "runs"])
             row += len(texts)
 
     return docs.mapInArrow(mark, "row bigint, doc_id bigint, n_words bigint, words string, "
-                                 "runs array<struct<anchor:bigint,first:int,n:int>>")
+                                 "runs array<struct<anchor:bigint,first:int,n:int,s1:bigint,s2:bigint>>")
 
 
 def _windows(todo: DataFrame, window: int) -> DataFrame:
@@ -307,16 +326,16 @@ def _windows(todo: DataFrame, window: int) -> DataFrame:
 
 
 def _cut(window: int):
-    """A function of rows with the places of their repeated windows: what is removed and what is kept."""
+    """A function of rows with the places of their covered windows (first, number): what goes, what stays."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("first", pa.int32()), ("n", pa.int32())])
         for batch in batches:
             kept, removed, gone = [], [], []
-            for text, n, at in zip(batch.column("words"), batch.column("n_words").to_pylist(),
-                                   batch.column("at").to_pylist()):
+            for text, n, at in zip(batch.column("words"), batch.column("n_words").to_pylist(), batch.column("at")):
+                first, number = (x.to_numpy() for x in at.values.flatten())
                 edge = np.zeros(n + 1, dtype=np.int32)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, np.asarray(at) + window, -1)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + number - 1 + window, -1)
                 hidden = np.cumsum(edge[:-1]) > 0
                 words = text.as_py().split(" ")
                 kept.append(" ".join([w for w, h in zip(words, hidden.tolist()) if not h]))
@@ -367,18 +386,32 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int =
     named = materialize(named, "named")
     marked = materialize(named.filter("NOT copy").select("row", "doc_id", F.explode("runs").alias("run"))
                          .select("row", "doc_id", "run.*"), "runs")
-    twice = materialize(marked.groupBy(F.col("anchor").alias("key")).agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key"), "anchors")
-    left = (marked.join(twice, F.col("anchor") == F.col("key")).groupBy("row")
-            .agg(F.collect_list(F.struct("first", "n")).alias("runs")))
+    spans = materialize(marked.groupBy(F.col("s1").alias("g1"), F.col("s2").alias("g2")).agg(
+        F.min("doc_id").alias("low"), F.first("anchor").alias("of")), "spans")
+    # Equal windows have equal anchors: an anchor with runs of the same words only has nothing to compare.
+    mixed = materialize(spans.groupBy(F.col("of").alias("m_of")).agg(F.count(F.lit(1)).alias("m"))
+                        .filter("m > 1").select("m_of"), "mixed")
+    kinds = materialize(spans.join(mixed, F.col("of") == F.col("m_of"), "left").select(
+        "g1", "g2", "low", F.col("m_of").isNotNull().alias("mixed")), "kinds")
+    judged = materialize(
+        marked.join(kinds, (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2")))
+        .filter("doc_id > low OR mixed").select("row", "first", "n", (F.col("doc_id") > F.col("low")).alias("covered")),
+        "judged")
+    discard(marked)
+    left = judged.filter("NOT covered").groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     texts = rows.filter("runs IS NOT NULL").drop("runs")
     todo = materialize(texts.join(left, "row"), "todo")
     windows = materialize(_windows(todo, window), "windows")
+    discard(todo)
     owners = materialize(windows.groupBy(F.col("k1").alias("o1"), F.col("k2").alias("o2")).agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), "owners")
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("o1", "o2", "low"), "owners")
     hits = (windows.join(owners, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")))
-            .filter("doc_id > low").groupBy("row").agg(F.collect_list("at").alias("at")))
-    cut = materialize(todo.join(hits, "row").select("row", "doc_id", "n_words", F.col("words"), "at"), "hits")
+            .filter("doc_id > low").select("row", F.col("at").alias("first"), F.lit(1).alias("n")))
+    places = materialize(hits.unionByName(judged.filter("covered").select("row", "first", "n"))
+                         .groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("at")), "places")
+    discard(windows)
+    discard(owners)
+    cut = materialize(texts.join(places, "row").select("row", "doc_id", "n_words", "words", "at"), "hits")
     done = cut.drop("row").mapInArrow(
         _cut(window), "doc_id bigint, n_words bigint, n_removed bigint, removed array<struct<first:int,n:int>>, kept string")
     copies = named.filter("copy").select("row")
@@ -392,6 +425,6 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int =
         rows.filter("runs IS NOT NULL").join(changed, "row", "left_anti"))
         .select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), none.alias("removed"),
                 F.col("words").alias("kept")))
-    for table in (slim, first, marked, twice, todo, windows, owners):
+    for table in (slim, first, spans, mixed, kinds, judged, places):
         discard(table)
     return as_is.unionByName(whole).unionByName(done)
