@@ -1,21 +1,25 @@
 """MaxSim of every query against every document of its split, cut to the top k.
 
-The documents stay where their scan put them: no shuffle, no join, no row per pair. Each
-task holds the query vectors of one bounded pass, scores its Arrow batches with matrix
-products, and emits at most k rows per query. Queries beyond the bound take further
-passes; a pass of full size costs far more arithmetic than reading the documents again.
+The documents stay where their scan put them and are read once: no shuffle, no join, no row per
+pair. A task gathers its Arrow batches into a chunk of bounded size and scores it against all
+queries, block by block. Queries that fit ``pass_bytes`` are broadcast; more of them are written
+to a table below the shared checkpoint folder, whose files every task streams over for each chunk,
+so a task holds one chunk of documents and one block of queries, however many there are.
+
+Similarities are computed in single precision first. Documents that can be among a query's best k,
+by a bound on the rounding errors, are scored again in double precision, and these scores count.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +27,15 @@ from pyspark.sql import functions as F
 from lateweave.functions.vectors import MASKED_SCORE, MIN_WEIGHT_SUM, all_seen
 from lateweave.operators.ranking import QUERY_KEY, TOP_K, topk_per_query
 from lateweave.schemas import require_columns
-from lateweave.session import cut_lineage
+from lateweave.session import scratch_path
+from lateweave.sources import paths
 
-QUERY_PASS_BYTES = 128 << 20
-CANDIDATE_BYTES = 256 << 20     # running candidates of all queries in one task
-CANDIDATE_ROW_BYTES = 160       # up to 4 k rows of about 40 bytes per query
+QUERY_PASS_BYTES = 128 << 20    # query vectors in a broadcast or in a file of the query table
+CHUNK_BYTES = 256 << 20         # document vectors that a task holds
+CANDIDATE_BYTES = 256 << 20     # best documents of the queries of one pass in one task
+CANDIDATE_ROW_BYTES = 160
 BLOCK_TOKENS = 1024
+SINGLE = float(np.finfo("float32").eps)
 MODES = ("plain", "norm", "unnorm")
 
 # Decimals that count when scores are compared: matrix products of equal documents differ
@@ -49,11 +56,18 @@ class QueryBlock:
     divisors: np.ndarray   # one per query
 
 
-def token_rows(col: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """``array<array<float>>`` column to stacked vectors ``[T, D]`` and tokens per row."""
+def token_rows(col: pa.Array, dtype: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``array<array<float>>`` column to stacked vectors ``[T, D]`` and tokens per row.
+
+    Without ``dtype`` in the precision in which they are stored. Vectors of unequal sizes raise.
+    """
     counts = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
     vectors = col.flatten()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+    sizes = pc.min_max(pc.fill_null(pc.list_value_length(vectors), -1)).as_py()
+    if sizes["min"] != sizes["max"]:
+        raise ValueError(f"token vectors of unequal sizes: {sizes['min']} to {sizes['max']}")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    flat = flat if dtype is None else flat.astype(dtype, copy=False)
     return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0), counts
 
 
@@ -69,8 +83,8 @@ def _runs(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(counts)
 
 
-def query_blocks(table: pa.Table, mode: str, dtype: str) -> dict[str, list[tuple]]:
-    """Group the collected queries of one pass by split, in blocks of bounded tokens.
+def query_blocks(table: pa.Table, mode: str) -> dict[str, list[tuple]]:
+    """Group the queries of one pass by split, in blocks of bounded tokens.
 
     Plain tuples of ``QueryBlock`` fields: a broadcast value must load without this package.
     """
@@ -78,7 +92,7 @@ def query_blocks(table: pa.Table, mode: str, dtype: str) -> dict[str, list[tuple
     table = table.sort_by([("split", "ascending"), ("qid", "ascending")]).combine_chunks()
     for split in pc.unique(table["split"]).to_pylist():
         part = table.filter(pc.equal(table["split"], split)).combine_chunks()
-        toks, counts = token_rows(part["toks"].combine_chunks(), dtype)
+        toks, counts = token_rows(part["toks"].combine_chunks())
         weights = (np.ones(len(toks)) if mode == "plain" else
                    part["w"].combine_chunks().flatten().to_numpy(zero_copy_only=False))
         if len(weights) != len(toks):
@@ -96,50 +110,10 @@ def query_blocks(table: pa.Table, mode: str, dtype: str) -> dict[str, list[tuple
             sums = np.maximum(np.add.reduceat(w, starts), MIN_WEIGHT_SUM)
             divisors = sums if mode == "norm" else np.ones(len(n))
             blocks.setdefault(split, []).append(
-                (qids[lo:hi], vecs, w.astype(dtype), starts, divisors))
+                (qids[lo:hi], vecs, w.astype("float64"), starts, divisors))
     return blocks
 
 
-class TopK:
-    """Running best k per query of one block; ties go to the smaller document id.
-
-    Documents compare by ``grade``, the score as a whole number of its last decimal.
-    """
-
-    def __init__(self, n: int, k: int, decimals: int) -> None:
-        self.n, self.k, self.unit = n, k, 10.0 ** decimals
-        self.floor = np.full(n, -np.inf)
-        self.parts: list[pa.Table] = []
-        self.rows = 0
-
-    def add(self, scores: np.ndarray, doc_ids: pa.Array) -> None:
-        """``scores`` is ``[documents, queries]``."""
-        grades = np.rint(scores * self.unit)
-        d, q = np.nonzero(grades >= self.floor)
-        if not len(d):
-            return
-        self.parts.append(pa.table({
-            "q": q, "grade": grades[d, q].astype("float64"), "score": scores[d, q].astype("float64"),
-            "doc_id": doc_ids.take(pa.array(d))}))
-        self.rows += len(d)
-        if self.rows > 4 * self.n * self.k + 8192:
-            self.cut()
-
-    def cut(self) -> pa.Table | None:
-        if not self.parts:
-            return None
-        rows = pa.concat_tables(self.parts)
-        rows = rows.take(pc.sort_indices(rows, sort_keys=[
-            ("q", "ascending"), ("grade", "descending"), ("doc_id", "ascending")]))
-        q = rows["q"].to_numpy()
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        last = place == self.k - 1
-        self.floor[q[last]] = rows["grade"].to_numpy()[last]
-        rows = rows.filter(pa.array(place < self.k))
-        self.parts, self.rows = [rows], rows.num_rows
-        return rows
-
-
 class Scratch:
     """One similarity buffer per task; fresh large arrays would cost more than the products."""
 
@@ -180,61 +154,158 @@ def best_per_token(docs: np.ndarray, starts: np.ndarray, queries: np.ndarray,
     return best
 
 
-def _doc_block(batch: pa.RecordBatch, dtype: str, dim: int):
+@dataclass
+class Chunk:
+    """Documents of one split, their token vectors stacked as they are stored."""
+
+    ids: pa.Array
+    toks: np.ndarray       # [T, D]
+    starts: np.ndarray     # first token of each document
+    counts: np.ndarray     # tokens of each document, at least one
+    hidden: np.ndarray     # per token
+
+
+def doc_chunk(rows: pa.Table, dim: int) -> Chunk:
     """Token matrix, token counts and hidden tokens; an empty document gets one hidden token."""
-    toks, counts = token_rows(batch.column("toks"), dtype)
+    rows = rows.combine_chunks()
+    toks, counts = token_rows(rows.column("toks").combine_chunks())
     hidden = np.zeros(len(toks), dtype=bool)
-    if "mask" in batch.schema.names:
-        seen = pc.fill_null(batch.column("mask").flatten(), False)
+    if "mask" in rows.schema.names:
+        seen = pc.fill_null(rows.column("mask").combine_chunks().flatten(), False)
         hidden = ~seen.to_numpy(zero_copy_only=False)
     if (counts == 0).any():
         at = np.cumsum(counts)[counts == 0]
         toks = np.insert(toks if len(toks) else np.zeros((0, dim)), at, 0.0, axis=0)
         hidden, counts = np.insert(hidden, at, True), np.maximum(counts, 1)
-    return toks, counts, hidden
-
-
-def _score_batch(batch: pa.RecordBatch, blocks: list[QueryBlock], best: list[TopK],
-                 scratch: Scratch) -> None:
-    dtype = str(scratch.flat.dtype)
-    dim = max(b.toks.shape[1] for b in blocks)
-    toks, counts, hidden = _doc_block(batch, dtype, dim)
-    ids, ends = batch.column("doc_id"), np.cumsum(counts)
-    for lo, hi in _runs(counts, BLOCK_TOKENS):
-        first, last = ends[lo] - counts[lo], ends[hi - 1]
-        starts = ends[lo:hi] - counts[lo:hi] - first
-        out = hidden[first:last]
-        for block, top in zip(blocks, best):
-            m = best_per_token(toks[first:last], starts, block.toks, out if out.any() else None,
-                               scratch)
-            scores = np.add.reduceat(m * block.weights, block.starts, axis=1) / block.divisors
-            top.add(scores, ids.slice(lo, hi - lo))
-
-
-def _local_topk(shared, k: int, dtype: str):
+    return Chunk(rows.column("doc_id").combine_chunks(), toks, np.cumsum(counts) - counts, counts, hidden)
+
+
+def _summed(best: np.ndarray, block: QueryBlock) -> np.ndarray:
+    return np.add.reduceat(best * block.weights, block.starts, axis=1) / block.divisors
+
+
+def single_scores(chunk: Chunk, block: QueryBlock, scratch: Scratch) -> np.ndarray:
+    """``[documents, queries]`` with similarities in single precision."""
+    queries = block.toks.astype("float32", copy=False)
+    out = np.empty((len(chunk.counts), len(block.qids)))
+    for lo, hi in _runs(chunk.counts, BLOCK_TOKENS):
+        first, last = chunk.starts[lo], chunk.starts[hi - 1] + chunk.counts[hi - 1]
+        toks = chunk.toks[first:last].astype("float32", copy=False)
+        hidden = chunk.hidden[first:last]
+        best = best_per_token(toks, chunk.starts[lo:hi] - first, queries, hidden if hidden.any() else None, scratch)
+        out[lo:hi] = _summed(best.astype("float64"), block)
+    return out
+
+
+def rounding_bound(chunk: Chunk, block: QueryBlock) -> np.ndarray:
+    """Per query, how far a score of ``single_scores`` can be from the one in double precision."""
+    if not block.toks.shape[1]:
+        return np.zeros(len(block.qids))
+    longest = np.sqrt(np.einsum("ij,ij->i", chunk.toks, chunk.toks, dtype="float64").max(initial=0.0))
+    lengths = np.sqrt(np.einsum("ij,ij->i", block.toks, block.toks, dtype="float64"))
+    each = (block.toks.shape[1] + 4) * SINGLE * longest * lengths
+    return np.add.reduceat(each * np.abs(block.weights), block.starts) / block.divisors
+
+
+def double_scores(chunk: Chunk, block: QueryBlock, wanted: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """Scores of the ``wanted`` pairs ``[documents, queries]`` in double precision, in row order."""
+    out = []
+    ends = np.append(block.starts[1:], len(block.toks))
+    queries = block.toks.astype("float64", copy=False)
+    for d in np.flatnonzero(wanted.any(axis=1)):
+        q = np.flatnonzero(wanted[d])
+        first, last = chunk.starts[d], chunk.starts[d] + chunk.counts[d]
+        hidden = chunk.hidden[first:last]
+        sizes = ends[q] - block.starts[q]
+        at = np.repeat(block.starts[q] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        best = best_per_token(chunk.toks[first:last].astype("float64", copy=False), np.zeros(1, dtype=int),
+                              queries[at], hidden if hidden.any() else None, scratch)[0]
+        out.append(np.add.reduceat(best * block.weights[at], np.cumsum(sizes) - sizes) / block.divisors[q])
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _may_be_best(scores: np.ndarray, k: int, slack: np.ndarray) -> np.ndarray:
+    """Which documents can be among a query's best ``k`` if scores are off by ``slack`` at most."""
+    if len(scores) <= k:
+        return np.ones(scores.shape, dtype=bool)
+    known = np.where(np.isnan(scores), -np.inf, scores)
+    kth = np.partition(known, len(scores) - k, axis=0)[len(scores) - k]
+    return ~(scores < kth - 2 * slack)
+
+
+def best_documents(chunk: Chunk, block: QueryBlock, k: int, dtype: str, single: Scratch,
+                   double: Scratch) -> pa.Table:
+    """The best ``k`` documents of a chunk for every query: q, grade, score, doc_id.
+
+    Documents compare by ``grade``, the score as a whole number of its last decimal; ties go to the
+    smaller document id.
+    """
+    unit = 10.0 ** DECIMALS[dtype]
+    scores = single_scores(chunk, block, single)
+    if dtype == "float32":
+        wanted = _may_be_best(np.rint(scores * unit), k, np.zeros(len(block.qids)))
+        found = scores[wanted]
+    else:
+        wanted = _may_be_best(scores, k, rounding_bound(chunk, block) + 1 / unit)
+        found = double_scores(chunk, block, wanted, double)
+    d, q = np.nonzero(wanted)
+    rows = pa.table({"q": q, "grade": np.rint(found * unit), "score": found, "doc_id": chunk.ids.take(pa.array(d))})
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[
+        ("q", "ascending"), ("grade", "descending"), ("doc_id", "ascending")]))
+    q = rows["q"].to_numpy()
+    return rows.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
+
+
+def _local_topk(passes: Callable[[], Iterable[dict[str, list[tuple]]]], k: int, dtype: str, chunk_bytes: int):
+    """``passes()`` gives the query blocks of one pass after another."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = {s: [QueryBlock(*b) for b in bs] for s, bs in shared.value.items()}
-        scratch = Scratch(dtype)
-        best = {s: [TopK(len(b.qids), k, DECIMALS[dtype]) for b in bs] for s, bs in blocks.items()}
+        single, double = Scratch("float32"), Scratch("float64")
+
+        def scored(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            parts = {s: table.filter(pc.equal(table["split"], s)) for s in pc.unique(table["split"]).to_pylist()}
+            chunks: dict[str, Chunk] = {}
+            for blocks in passes():
+                for split, of_split in blocks.items():
+                    if split not in parts:
+                        continue
+                    of_split = [QueryBlock(*b) for b in of_split]
+                    if split not in chunks:
+                        chunks[split] = doc_chunk(parts[split], max(b.toks.shape[1] for b in of_split))
+                    for block in of_split:
+                        rows = best_documents(chunks[split], block, k, dtype, single, double)
+                        out = pa.table({
+                            "split": pa.array([split] * rows.num_rows, pa.string()),
+                            "qid": pa.array(block.qids[rows["q"].to_numpy()], pa.string()),
+                            "doc_id": rows["doc_id"].cast(pa.string()),
+                            "score": rows["score"], "grade": rows["grade"]})
+                        yield from out.combine_chunks().to_batches()
+
+        held, size = [], 0
         for batch in batches:
-            splits = batch.column("split")
-            for split in pc.unique(splits).to_pylist():
-                if split in blocks:
-                    part = batch.filter(pc.equal(splits, split))
-                    _score_batch(part, blocks[split], best[split], scratch)
-        for split, tops in best.items():
-            for block, top in zip(blocks[split], tops):
-                rows = top.cut()
-                if rows is not None:
-                    out = pa.table({
-                        "split": pa.array([split] * rows.num_rows, pa.string()),
-                        "qid": pa.array(block.qids[rows["q"].to_numpy()], pa.string()),
-                        "doc_id": rows["doc_id"].cast(pa.string()),
-                        "score": rows["score"], "grade": rows["grade"]})
-                    yield from out.combine_chunks().to_batches()
+            if held and size + batch.nbytes > chunk_bytes:
+                yield from scored(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield from scored(held)
     return run
 
 
+def _stored_passes(files: list[list[str]], mode: str) -> Callable[[], Iterable[dict[str, list[tuple]]]]:
+    """The passes of a written query table, read one after another; ``files`` by pass."""
+    def passes() -> Iterator[dict[str, list[tuple]]]:
+        for of_pass in files:
+            tables = []
+            for uri in of_pass:
+                store, path = paths.arrow_location(uri)
+                with store.open_input_file(path) as source:
+                    tables.append(pq.read_table(source))
+            yield query_blocks(pa.concat_tables(tables), mode)
+    return passes
+
+
 def _passes(queries: DataFrame, k: int, pass_bytes: int, itemsize: int) -> tuple[DataFrame, int]:
     """Give every query a pass number such that no pass exceeds its two bounds.
 
@@ -263,7 +334,7 @@ def _passes(queries: DataFrame, k: int, pass_bytes: int, itemsize: int) -> tuple
 
 def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str = "plain",
                dtype: str = "float64", pass_bytes: int = QUERY_PASS_BYTES,
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Exact top ``k`` documents per query: ``(split, qid, doc_id, score, rank)``.
 
     ``queries``: ``split, qid, toks`` and, unless ``mode`` is plain, ``w`` per token.
@@ -271,11 +342,13 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
     tokens score -1e4, as does a document without tokens; a NULL mask hides nothing). ``mode``: ``plain`` sums the
     best matches, ``unnorm`` weights them, ``norm`` also divides by the weight sum.
 
-    Queries are measured first and split into passes of at most ``pass_bytes`` of vectors,
-    which is what a task ever holds of them; several passes are checkpointed one by one.
-    Each pass reads ``docs`` again, so documents embedded on the fly belong in a table first.
+    Queries are measured first. Up to ``pass_bytes`` of vectors are broadcast; more are written
+    to the shared checkpoint folder in passes of that size, and every task reads these files one
+    by one for each chunk of documents. Either way ``docs`` is read once, by the one job that the
+    result is part of. A task holds ``chunk_bytes`` of documents, one pass, and ``k`` rows per
+    query of a block. The query table stays until ``session.clear_scratch``.
     ``partitions`` spreads a small document table over more tasks. Scores that agree to
-    ``DECIMALS`` tie and go by ``doc_id``.
+    ``DECIMALS`` tie and go by ``doc_id``. ``dtype="float32"`` keeps the scores of single precision.
     """
     if mode not in MODES:
         raise ValueError(f"unknown score mode {mode!r}")
@@ -291,16 +364,20 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
     queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         numbered, n = _passes(queries, k, pass_bytes, np.dtype(dtype).itemsize)
-        results = []
-        for i in range(n):
-            one_pass = numbered.where(F.col("_pass") == i).select(*cols).toArrow()
-            shared = spark.sparkContext.broadcast(query_blocks(one_pass, mode, dtype))
-            local = docs.mapInArrow(_local_topk(shared, k, dtype), _OUT)
-            ranked = topk_per_query(local, k, by="grade").drop("grade")
-            if n > 1:
-                ranked = cut_lineage(ranked)
-                shared.unpersist()
-            results.append(ranked)
+        if n == 1:
+            shared = spark.sparkContext.broadcast(query_blocks(numbered.select(*cols).toArrow(), mode))
+            passes = _one_pass(shared)
+        else:
+            table = scratch_path(spark, "queries")
+            numbered.select("_pass", *cols).repartitionById(n, "_pass").write.partitionBy("_pass").parquet(table)
+            files = [[f for f in paths.children(spark, f"{table}/_pass={i}") if f.endswith(".parquet")] for i in range(n)]
+            paths.arrow_location(table)     # raises here, not in a task, where Arrow can't open the store
+            passes = _stored_passes([f for f in files if f], mode)
     finally:
         queries.unpersist()
-    return reduce(DataFrame.unionByName, results)
+    local = docs.mapInArrow(_local_topk(passes, k, dtype, chunk_bytes), _OUT)
+    return topk_per_query(local, k, by="grade").drop("grade")
+
+
+def _one_pass(shared) -> Callable[[], Iterable[dict[str, list[tuple]]]]:
+    return lambda: [shared.value]

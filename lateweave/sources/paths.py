@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import SparkSession
 
 
@@ -39,3 +43,17 @@ def children(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return [s.getPath().toString() for s in fs.listStatus(p)]
+
+
+def arrow_location(uri: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The store and the path in it for Arrow's own readers, which tasks use; needs no session.
+
+    Local and mounted folders, HDFS, S3, Google and Azure stores; others raise.
+    """
+    parts = urlsplit(uri)
+    if parts.scheme in ("", "file"):
+        return arrow_fs.LocalFileSystem(), unquote(parts.path)
+    try:
+        return arrow_fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("abfss://", "abfs://", 1))
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"tasks can't open {parts.scheme}:// with Arrow; name another spark.checkpoint.dir") from e

@@ -85,6 +85,56 @@ def test_several_passes_give_the_same_result(spark):
     q, d = frames(spark, queries, docs)
     want = brute(queries, docs, [np.ones(len(t), bool) for _, _, t in docs], "plain", 8)
     assert collected(score_topk(q, d, 8, pass_bytes=400)) == want
+    assert collected(score_topk(q, d.repartition(3), 8, pass_bytes=400, chunk_bytes=300)) == want
+
+
+def test_documents_are_read_once_for_all_passes(spark, tmp_path, monkeypatch):
+    queries, docs, masks = make(5)
+    q, d = frames(spark, queries, docs, masks)
+    d.write.parquet(str(tmp_path / "docs"))
+    d = spark.read.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(type(q), "toArrow", None)       # nothing of several passes goes through the driver
+    got = score_topk(with_gate_weights(q, GATE), d, 8, "norm", pass_bytes=400)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "MapInArrow" in plan
+    assert collected(got) == brute(queries, docs, masks, "norm", 8)
+
+
+def test_single_precision_only_preselects(spark):
+    """Scores that differ by less than single precision tells apart, in any order of documents."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal(DIM)
+    docs = [("a", f"d{i:03}", (base + 1e-8 * rng.standard_normal(DIM)).reshape(1, -1)) for i in range(300)]
+    queries = [("a", "q", base.reshape(1, -1)), ("a", "r", np.stack([base, -base]))]
+    schema = "split string, {} string, toks array<array<double>>"
+    q = spark.createDataFrame([(s, i, t.tolist()) for s, i, t in queries], schema.format("qid"))
+    d = spark.createDataFrame([(s, i, t.tolist()) for s, i, t in docs], schema.format("doc_id"))
+    got = score_topk(q, d.repartition(3), 5).collect()
+    for _, qid, toks in queries:
+        scores = {i: float((toks @ t.T).max(axis=1).sum()) for _, i, t in docs}
+        want = sorted(scores, key=lambda i: (-round(scores[i], 10), i))[:5]
+        assert [r.doc_id for r in sorted((r for r in got if r.qid == qid), key=lambda r: r["rank"])] == want
+
+
+def test_rounding_bound_holds():
+    rng = np.random.default_rng(3)
+    for size in (1e-3, 1.0, 1e4):
+        toks = size * rng.standard_normal((60, 16))
+        chunk = scoring.Chunk(None, toks, np.arange(0, 60, 3), np.full(20, 3), np.zeros(60, dtype=bool))
+        w = rng.random(8)
+        block = scoring.QueryBlock(np.array(["q", "r"]), rng.standard_normal((8, 16)), w, np.array([0, 5]),
+                                   np.array([w[:5].sum(), 1.0]))
+        single = scoring.single_scores(chunk, block, scoring.Scratch("float32"))
+        double = scoring.double_scores(chunk, block, np.ones((20, 2), dtype=bool), scoring.Scratch("float64"))
+        gap = np.abs(single - double.reshape(20, 2)).max(axis=0)
+        assert (gap <= scoring.rounding_bound(chunk, block)).all() and gap.max() > 0
+
+
+def test_vectors_of_unequal_sizes_raise(spark):
+    q = spark.createDataFrame([("a", "q", [[1.0, 2.0]])], "split string, qid string, toks array<array<float>>")
+    d = spark.createDataFrame([("a", "d", [[1.0], [2.0, 3.0, 4.0]])], "split string, doc_id string, toks array<array<float>>")
+    with pytest.raises(Exception, match="unequal sizes"):
+        score_topk(q, d, 3).collect()
 
 
 def test_query_beyond_a_pass_raises(spark):

@@ -253,7 +253,17 @@ def test_evaluation_from_texts(spark, tmp_path):
 
 def test_checkpoint_folder(spark):
     folder = checkpoint_dir(spark)
-    assert folder and scratch_path(spark, "x").startswith(folder.rstrip("/") + "/x-")
+    mine = f"{folder.rstrip('/')}/scratch-{spark.sparkContext.applicationId}/"
+    assert folder and scratch_path(spark, "x").startswith(f"{mine}x-")
+
+
+def test_arrow_locations(tmp_path):
+    (tmp_path / "a b").mkdir()
+    for uri in (f"{tmp_path}/a b", (tmp_path / "a b").as_uri()):
+        store, path = paths.arrow_location(uri)
+        assert store.get_file_info(path).is_file is False and path.endswith("/a b")
+    with pytest.raises(ValueError, match="viewfs"):
+        paths.arrow_location("viewfs://store/x")
 
 
 def test_evaluation_resumes(spark, tmp_path):
