@@ -19,8 +19,11 @@ def as_double(v: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Inner product of two double arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    """Inner product of two double arrays; arrays of unequal sizes raise, a NULL one gives NULL."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    # The shorter array is filled with NULLs, so only a NULL sum can come from unequal sizes.
+    wrong = F.raise_error("the inner product needs vectors of equal size").cast("double")
+    return F.coalesce(total, F.when(F.size(a) != F.size(b), wrong))
 
 
 def l2_normalise(v: Column) -> Column:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lateweave.functions.gate import Gate, gate_block, init_gate
 from lateweave.functions.vectors import MASKED_SCORE, MIN_WEIGHT_SUM
-from lateweave.operators.joins import HOT_ROWS, left_join_hot
+from lateweave.operators.joins import HOT_ROWS, last_wins, left_join_hot
 from lateweave.operators.scoring import Scratch, best_per_token, token_rows
-from lateweave.schemas import STEP_LOG
-from lateweave.session import scratch_path
+from lateweave.operators.tokens import DOCUMENT_LENGTH, QUERY_LENGTH, Encoder, embed_tokens
+from lateweave.schemas import STEP_LOG, require_columns
+from lateweave.session import scratch_path, write_scratch
 from lateweave.sources import paths
 
 # The training recipe.
@@ -95,26 +98,51 @@ def triple_features(triples: DataFrame, queries: DataFrame, docs: DataFrame,
                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same features from ids: ``(triple_id, qid, pos_id, neg_id)`` and two vector tables.
 
-    Documents hold the most bytes, so they are shuffled once, to the positives and the
-    negatives together, and leave as one number per query token; a document or query
-    that very many triples share is salted. A triple without all three vectors is dropped.
+    Every distinct (query, document) pair is matched once, however many triples hold it, and leaves
+    as one number per query token. A document's vectors are shuffled once to all its pairs; a
+    document or query of very many pairs is salted. A triple without all three vectors is dropped.
     """
     sides = triples.select("triple_id", "qid", F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col("pos_id").alias("doc_id")),
         F.struct(F.lit(0).alias("side"), F.col("neg_id").alias("doc_id")))).alias("_s")).select(
         "triple_id", "qid", "_s.*")
-    row_key = ["triple_id", "side"]
+    pair = ["qid", "doc_id"]
+    pairs = write_scratch(sides.select(*pair).dropDuplicates(), "pairs")
     q = queries.select("qid", F.col("toks").cast(_VECTORS).alias("q_toks"))
     d = docs.select("doc_id", F.col("toks").alias("d_toks"))
-    joined = left_join_hot(sides, q, "qid", row_key, hot_rows, how="inner")
-    joined = left_join_hot(joined, d, "doc_id", row_key, hot_rows, how="inner", count_on=sides)
-    best = _with_best(joined, ["triple_id", "side", "q_toks"], {"best": ("q_toks", "d_toks")})
-    # The query's vectors travel once, with the positive side.
-    once = F.struct("best", F.when(F.col("side") == 1, F.col("q_toks")).alias("q_toks"))
-    both = best.groupBy("triple_id").agg(
-        F.max_by(once, "side").alias("_p"), F.min_by("best", "side").alias("_n"),
-        F.count(F.lit(1)).alias("_sides")).where(F.col("_sides") == 2)
-    return both.select("triple_id", "_p.q_toks", _minus("_p.best", "_n").alias("delta"))
+    joined = left_join_hot(pairs, q, "qid", pair, hot_rows, how="inner")
+    joined = left_join_hot(joined, d, "doc_id", pair, hot_rows, how="inner", count_on=pairs)
+    best = _with_best(joined, pair, {"best": ("q_toks", "d_toks")})
+    delta = (sides.join(best, pair).groupBy("triple_id")
+             .agg(F.max_by("best", "side").alias("_p"), F.min_by("best", "side").alias("_n"),
+                  F.first("qid").alias("qid"), F.count(F.lit(1)).alias("_sides"))
+             .where(F.col("_sides") == 2).select("triple_id", "qid", _minus("_p", "_n").alias("delta")))
+    return (left_join_hot(delta, q, "qid", ["triple_id"], hot_rows, how="inner", count_on=triples)
+            .select("triple_id", "q_toks", "delta"))
+
+
+def text_features(triples: DataFrame, query_encoder: Callable[[], Encoder], document_encoder: Callable[[], Encoder],
+                  query_length: int = QUERY_LENGTH, document_length: int = DOCUMENT_LENGTH,
+                  partitions: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same features from texts: ``(triple_id, query, positive, negative)`` and two encoders.
+
+    Texts are known by their SHA-256. Each distinct query, and each distinct text that is a positive
+    or a negative, is encoded once and written; the triples carry hashes only. NULL texts are
+    empty ones, whose best match is that of a document without tokens.
+    """
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("query", "positive", "negative")}
+    key = {c: F.sha2(t.cast("binary"), 256) for c, t in text.items()}
+    refs = write_scratch(triples.select("triple_id", key["query"].alias("qid"), key["positive"].alias("pos_id"),
+                                        key["negative"].alias("neg_id")), "triples")
+    queries = triples.select(key["query"].alias("qid"), text["query"].alias("text")).dropDuplicates(["qid"])
+    docs = triples.select(F.explode(F.array(*[F.struct(key[c].alias("doc_id"), text[c].alias("text"))
+                                              for c in ("positive", "negative")])).alias("_t")
+                          ).select("_t.*").dropDuplicates(["doc_id"])
+    q = write_scratch(embed_tokens(queries, query_encoder, ["qid"], max_tokens=query_length, partitions=partitions),
+                      "query-vectors")
+    d = write_scratch(embed_tokens(docs, document_encoder, ["doc_id"], max_tokens=document_length,
+                                   partitions=partitions), "document-vectors")
+    return triple_features(refs, q, d, hot_rows)
 
 
 def logistic_loss(x: Column) -> Column:
@@ -131,7 +159,7 @@ def score_loss(scored: DataFrame, pos: str, neg: str) -> DataFrame:
 
 def pairwise_loss(features: DataFrame, gate: Gate, mode: str = "unnorm") -> DataFrame:
     """One row: the mean loss of a gate over triples and their number."""
-    return (_partial_sums(features, gate, mode).where(F.col("param") == "loss")
+    return (_named(_partial_sums(features, gate, mode), gate).where(F.col("param") == "loss")
             .select((F.col("total") / F.col("n")).alias("loss"), F.col("n").alias("n_triples")))
 
 
@@ -161,16 +189,54 @@ def _gradient_sums(q: np.ndarray, delta: np.ndarray, counts: np.ndarray, gate: G
     return grads, loss, w
 
 
-_SUMS = "param string, idx int, total double, low double, high double, n long"
+_SUMS = "share int, totals array<double>, low double, high double, n long"
+
+
+def _parts(gate: Gate) -> list[tuple[str, int]]:
+    """The gradient's parts and their sizes, as they stand in an array of sums; then the loss and
+    the moments of the weights."""
+    sizes = [("w", len(gate.w)), ("b", 1)]
+    if gate.w1:
+        sizes += [("w1", sum(map(len, gate.w1))), ("b1", len(gate.b1))]
+    return [*sizes, ("loss", 1), ("moments", 3)]
+
+
+def _added(rows: DataFrame, keep_share: bool) -> DataFrame:
+    """Element-wise sums of the arrays that meet in a task, one row for each."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, low, high, n, share = None, np.inf, -np.inf, 0, 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = batch.column("totals")[row].values.to_numpy()
+                total = part.copy() if total is None else total + part
+            if batch.num_rows:
+                share = batch.column("share")[0].as_py()
+                low = min(low, *batch.column("low").to_pylist())
+                high = max(high, *batch.column("high").to_pylist())
+                n += sum(batch.column("n").to_pylist())
+        if total is not None:
+            yield _sum_row(share if keep_share else 0, total, low, high, n)
+    return rows.mapInArrow(run, _SUMS)
+
+
+def _sum_row(share: int, total: np.ndarray, low: float, high: float, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([share], pa.int32()), pa.array([total], pa.list_(pa.float64())), pa.array([low], pa.float64()),
+        pa.array([high], pa.float64()), pa.array([n], pa.int64())], names=["share", "totals", "low", "high", "n"])
 
 
 def _partial_sums(features: DataFrame, gate: Gate, mode: str) -> DataFrame:
-    """Per-task sums of gradients, losses and weight moments, added up by Spark."""
+    """One row: an array of the sums of ``_parts`` over all triples, the weights' bounds, the triples.
+
+    Every task adds up its triples in one array. The arrays of some tasks meet in a first merge, as
+    many as there are first merges in the second, so no task reads the arrays of all others.
+    """
     centre = float(1.0 / (1.0 + np.exp(-gate.b)))
+    names = [name for name, _ in _parts(gate)]
+    shares = max(1, math.isqrt(features.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        low, high, rows = np.inf, -np.inf, 0
+        total, low, high, rows = None, np.inf, -np.inf, 0
         for batch in batches:
             q, counts = token_rows(batch.column("q_toks"), "float64")
             if not len(q):
@@ -180,30 +246,31 @@ def _partial_sums(features: DataFrame, gate: Gate, mode: str) -> DataFrame:
             off = w - centre
             parts.update(loss=loss.sum(keepdims=True),
                          moments=np.array([len(w), off.sum(), (off * off).sum()]))
-            for name, value in parts.items():
-                totals[name] = totals.get(name, 0.0) + value
+            flat = np.concatenate([parts[name] for name in names])
+            total = flat if total is None else total + flat
             low, high, rows = min(low, w.min()), max(high, w.max()), rows + batch.num_rows
         if rows:
-            names = [p for p, v in totals.items() for _ in v]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(names, pa.string()),
-                pa.array([i for v in totals.values() for i in range(len(v))], pa.int32()),
-                pa.array(np.concatenate(list(totals.values()))),
-                pa.array([low] * len(names), pa.float64()),
-                pa.array([high] * len(names), pa.float64()),
-                pa.array([rows] * len(names), pa.int64())],
-                names=["param", "idx", "total", "low", "high", "n"])
-
-    return (features.select("q_toks", "delta").mapInArrow(run, _SUMS)
-            .groupBy("param", "idx")
-            .agg(F.sum("total").alias("total"), F.min("low").alias("low"),
-                 F.max("high").alias("high"), F.sum("n").alias("n")))
+            yield _sum_row(TaskContext.get().partitionId() % shares, total, low, high, rows)
+
+    each = features.select("q_toks", "delta").mapInArrow(run, _SUMS)
+    if shares > 1:
+        each = _added(each.repartitionById(shares, "share"), True)
+    return _added(each.coalesce(1) if shares == 1 else each.repartition(1), False)
+
+
+def _named(sums: DataFrame, gate: Gate) -> DataFrame:
+    """``(param, idx, total, n)``: the array of sums, one row per element."""
+    sizes = _parts(gate)
+    name = [p for p, size in sizes for _ in range(size)]
+    place = [i for _, size in sizes for i in range(size)]
+    return sums.select("n", F.posexplode("totals").alias("_i", "total")).select(
+        F.element_at(F.lit(name), F.col("_i") + 1).alias("param"),
+        F.element_at(F.lit(place), F.col("_i") + 1).cast("int").alias("idx"), "total", "n")
 
 
 def gate_gradient(features: DataFrame, gate: Gate, mode: str = "unnorm") -> DataFrame:
     """``(param, idx, grad)``: gradient of the mean loss for every gate parameter."""
-    params = ["w", "b", "w1", "b1"] if gate.w1 else ["w", "b"]
-    return (_partial_sums(features, gate, mode).where(F.col("param").isin(params))
+    return (_named(_partial_sums(features, gate, mode), gate).where(~F.col("param").isin("loss", "moments"))
             .select("param", "idx", (F.col("total") / F.col("n")).alias("grad")))
 
 
@@ -221,15 +288,15 @@ def _unflat(theta: np.ndarray, like: Gate) -> Gate:
 def fit_gate(features: DataFrame, gate: Gate | None = None, dim: int | None = None,
              steps: int = MAX_STEPS, batches: int = 1, lr: float = LEARNING_RATE,
              mode: str = "unnorm", log_path: str | None = None,
-             save_steps: int = 0, on_save=None) -> tuple[Gate, list[dict]]:
+             save_steps: int = 0, on_save=None, run: str = "") -> tuple[Gate, list[dict]]:
     """Fit the gate with AdamW (no weight decay) and a gradient norm clipped at 1.
 
     The features are written once, in ``batches`` folders by a hash of the triple id, below the
     shared checkpoint folder; each step reads one folder (a single batch is cached) and brings
-    back one number per parameter. A batch is a large share of the table rather than a handful of
+    back one array of sums. A batch is a large share of the table rather than a handful of
     rows: that changes the optimiser's path but not its objective. Returns the gate and the step
-    log; ``log_path`` also appends it to a table, every ``save_steps`` steps (or at the
-    end), where ``on_save(step, gate)`` runs too.
+    log; ``log_path`` also adds it to a table under the name ``run``, every ``save_steps`` steps
+    (or at the end), where ``on_save(step, gate)`` runs too.
     """
     spark = features.sparkSession
     path = scratch_path(spark, "gate-features")
@@ -241,14 +308,15 @@ def fit_gate(features: DataFrame, gate: Gate | None = None, dim: int | None = No
                                                       F.lit(per_batch)))
     try:
         batched.write.partitionBy("batch").parquet(path)
-        return _fit_batches(features, path, gate, dim, steps, batches, lr, mode, log_path, save_steps, on_save)
+        return _fit_batches(features, path, gate, dim, steps, batches, lr, mode, log_path, save_steps, on_save,
+                            run)
     finally:
         paths.delete(spark, path)
 
 
 def _fit_batches(features: DataFrame, path: str, gate: Gate | None, dim: int | None, steps: int,
                  batches: int, lr: float, mode: str, log_path: str | None, save_steps: int,
-                 on_save) -> tuple[Gate, list[dict]]:
+                 on_save, run: str) -> tuple[Gate, list[dict]]:
     """The steps of ``fit_gate`` over the folders ``batch=i`` below ``path``."""
     spark = features.sparkSession
     folders = [f"{path}/batch={i}" for i in range(batches)]
@@ -270,14 +338,11 @@ def _fit_batches(features: DataFrame, path: str, gate: Gate | None, dim: int | N
         sums = [] if part is None else _partial_sums(part, gate, mode).collect()
         if not sums:
             continue
-        got = {(r["param"], r["idx"]): r["total"] for r in sums}
         n = sums[0]["n"]
-        names = ([("w", i) for i in range(len(gate.w))] + [("b", 0)]
-                 + [("w1", i) for i in range(sum(map(len, gate.w1)))]
-                 + [("b1", i) for i in range(len(gate.b1))])
-        grad = np.array([got[name] for name in names]) / n
-        grad *= min(1.0, CLIP_NORM / (np.linalg.norm(grad) + 1e-6))
-        entry = _log_entry(step, got, sums[0], n, gate.b)
+        total = np.array(sums[0]["totals"])
+        grad = total[:len(theta)] / n
+        grad *= min(1.0, CLIP_NORM / (np.sqrt((grad * grad).sum()) + 1e-6))
+        entry = _log_entry(step, total[len(theta):], sums[0], n, gate.b)
         log.append(entry)
         unsaved.append(entry)
         m = BETA1 * m + (1 - BETA1) * grad
@@ -288,25 +353,46 @@ def _fit_batches(features: DataFrame, path: str, gate: Gate | None, dim: int | N
             if on_save:
                 on_save(step, gate)
             if log_path:
-                append_step_log(spark, unsaved, log_path)
+                append_step_log(spark, unsaved, log_path, run)
                 unsaved = []
     if batches == 1 and parts[0] is not None:
         parts[0].unpersist()
     if log_path and unsaved:
-        append_step_log(spark, unsaved, log_path)
+        append_step_log(spark, unsaved, log_path, run)
     return gate, log
 
 
-def _log_entry(step: int, got: dict, any_row, n: int, b: float) -> dict:
+def _log_entry(step: int, got: np.ndarray, bounds, n: int, b: float) -> dict:
     """Loss before the step, and the weights over the whole batch (sample deviation)."""
-    count, shift, square = (got["moments", i] for i in range(3))
+    loss, count, shift, square = got.tolist()
     var = max(0.0, square - shift * shift / count) / (count - 1) if count > 1 else float("nan")
-    return {"step": step, "loss": got["loss", 0] / n,
+    return {"step": step, "loss": loss / n,
             "head_w_mean": float(1.0 / (1.0 + np.exp(-b))) + shift / count,
             "head_w_std": float(np.sqrt(var)),
-            "head_w_min": any_row["low"], "head_w_max": any_row["high"]}
+            "head_w_min": bounds["low"], "head_w_max": bounds["high"]}
+
+
+def append_step_log(spark, entries: list[dict], path: str, run: str = "") -> None:
+    """Add step rows of a run to the long-lived log table.
+
+    Nothing is rewritten: every call adds a file, and of rows with the same run and step the one
+    written last counts (``read_step_log``). So a portion that is written again after a failure, or by
+    a run that was resumed from an earlier step, replaces its rows.
+    """
+    rows = spark.createDataFrame([{**e, "run": run} for e in entries], STEP_LOG)
+    append_steps(rows.drop("written").coalesce(1), path)
+
+
+def append_steps(rows: DataFrame, path: str) -> None:
+    """The same for a table of steps with their runs, as one portion."""
+    columns = [c for c in STEP_LOG.fieldNames() if c != "written"]
+    (require_columns(rows, columns, "step log").select(*columns, F.lit(time.time_ns()).alias("written"))
+     .write.mode("append").parquet(path))
 
 
-def append_step_log(spark, entries: list[dict], path: str) -> None:
-    """Append step rows to the long-lived log table."""
-    spark.createDataFrame(entries, STEP_LOG).coalesce(1).write.mode("append").parquet(path)
+def read_step_log(spark, path: str) -> DataFrame:
+    """The log table, one row per run and step: the one written last."""
+    rows = spark.read.schema(STEP_LOG).parquet(path) if paths.exists(spark, path) else (
+        spark.createDataFrame([], STEP_LOG))
+    return last_wins(rows, ["run", "step"], [F.col("written"), F.struct(*[
+        c for c in rows.columns if c not in ("run", "step", "written")])]).drop("written")

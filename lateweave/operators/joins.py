@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lateweave.session import write_scratch
+
 HOT_ROWS = 200_000
-MAX_HOT_KEYS = 10_000
-MAX_SALTS = 2_000
-NULL_SALTS = 1024
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -29,13 +28,15 @@ def left_join_hot(left: DataFrame, right: DataFrame, key: str,
                   count_on: DataFrame | None = None) -> DataFrame:
     """Join on ``key`` where some keys may hold a large share of the left rows.
 
-    Keys with more than ``hot_rows`` left rows are spread over salts of a quarter of that
-    (``MAX_SALTS`` at most), small enough that salts meeting in one partition even out.
-    Only their right rows are repeated, once per salt. The broadcast list holds the
-    ``MAX_HOT_KEYS`` hottest of them, however large the tables; any other key has at most
-    a 10,000th of the rows and needs no salt. Left rows without a key match nothing and
-    are spread over ``NULL_SALTS`` salts. Counting combines before its shuffle and reads
-    the key alone, of ``left`` or of a cheaper table ``count_on`` with the same keys.
+    Keys with more than ``hot_rows`` left rows are spread over salts of a quarter of that, as many
+    as their count asks for, small enough that salts meeting in one partition even out. Only their
+    right rows are repeated, once per salt. Counting combines before its shuffle and reads the key
+    alone, of ``left`` or of a cheaper table ``count_on`` with the same keys; it runs at once. The
+    list of hot keys is written, so Spark knows its size: it is broadcast while it is small and
+    joined by a shuffle otherwise. Without hot keys this is a plain join.
+
+    Left rows without a key match nothing. They never reach the join: an inner join leaves them
+    out, a left join adds them again by union.
 
     ``last_by`` first reduces the right side to the last row per key in the order of
     those columns. That happens on the salted key, so the one shuffle of the right side
@@ -45,26 +46,30 @@ def left_join_hot(left: DataFrame, right: DataFrame, key: str,
     ``monotonically_increasing_id``, which repeats exactly on a task retry only when
     ``left`` comes from a scan or a checkpoint.
     """
-    hot = ((left if count_on is None else count_on).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-           .where((F.col("_n") > hot_rows) & F.col(key).isNotNull())
-           .orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS)
-           .select(key, F.least(F.ceil(4 * F.col("_n") / hot_rows), F.lit(MAX_SALTS))
-                   .cast("int").alias("_salts")))
-    spread = F.xxhash64(*row_key) if row_key else F.monotonically_increasing_id()
-    salted_left = (
-        left.withColumn("_spread", spread)
-        .join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.coalesce(
-            F.pmod("_spread", F.col("_salts")),
-            F.when(F.col(key).isNull(), F.pmod("_spread", F.lit(NULL_SALTS))),
-            F.lit(0)).cast("int"))
-        .drop("_salts", "_spread"))
-    salted_right = (
-        right.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(F.sequence(
-            F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
-        .drop("_salts"))
+    if how not in ("left", "inner"):
+        raise ValueError(f"a {how} join would repeat right rows with every salt")
+    counts = (left if count_on is None else count_on).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    special = write_scratch(counts.where((F.col("_n") > hot_rows) | F.col(key).isNull()), "hot-keys")
+    some = special.agg(F.count(key).alias("hot"), F.count(F.lit(1)).alias("rows")).first()
+
+    keyed = left.where(F.col(key).isNotNull())
+    if some["hot"]:
+        hot = special.where(F.col(key).isNotNull()).select(
+            key, F.ceil(4 * F.col("_n") / hot_rows).cast("int").alias("_salts"))
+        spread = F.xxhash64(*row_key) if row_key else F.monotonically_increasing_id()
+        left_side = (keyed.withColumn("_spread", spread).join(hot, key, "left")
+                     .withColumn("_salt", F.coalesce(F.pmod("_spread", F.col("_salts")), F.lit(0)).cast("int"))
+                     .drop("_salts", "_spread"))
+        right_side = (right.join(hot, key, "left")
+                      .withColumn("_salt", F.explode(F.sequence(
+                          F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
+                      .drop("_salts"))
+        on = [key, "_salt"]
+    else:
+        left_side, right_side, on = keyed, right, [key]
     if last_by:
-        salted_right = last_wins(salted_right, [key, "_salt"], [F.col(c) for c in last_by]).drop(
-            *last_by)
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+        right_side = last_wins(right_side, on, [F.col(c) for c in last_by]).drop(*last_by)
+    joined = left_side.join(right_side, on, how).drop("_salt")
+    if how == "inner" or some["rows"] == some["hot"]:
+        return joined
+    return joined.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)

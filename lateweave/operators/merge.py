@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lateweave.schemas import TRIPLE_COLUMNS, require_columns
+from lateweave.session import write_scratch
+from lateweave.sources import paths
 
 SEED = 42
 
@@ -89,49 +91,71 @@ _STEP = 4          # hex digits per refinement: at most 16**4 buckets are counte
 _SORT_ROWS = 100_000
 
 
-def hash_cut(df: DataFrame, n: int, keys: list[str], seed: int = SEED) -> Column:
-    """A predicate true for exactly the first ``n`` rows in ``seeded_shuffle`` order.
+class HashOrder:
+    """The places of a table's rows in ``seeded_shuffle`` order, from one read of the table.
 
-    Counts rows by hash prefix (65,536 buckets, combined before the shuffle), enters the
-    bucket in which the n-th row falls, and repeats until that bucket is small enough to
-    sort. Only bucket counts and one boundary row reach the driver, and the split itself
-    is a filter without a shuffle.
+    Only the rows' hashes and keys are written; every count and boundary comes from them. Counts by
+    hash prefix add up over partitions, and the prefix that holds a place is counted again with
+    longer prefixes until it is small enough to sort.
     """
-    hashed = df.select(shuffle_key(keys, seed).alias("_h"), *keys)
-    if n <= 0:
-        return F.lit(False)
-    prefix, before = "", 0
-    while True:
-        inside = hashed.where(F.col("_h").startswith(prefix)) if prefix else hashed
-        counts = (inside.groupBy(F.substring("_h", 1, len(prefix) + _STEP).alias("p"))
-                  .agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect())
-        for row in counts:
-            if before + row["n"] >= n:
-                break
-            before += row["n"]
-        else:
+
+    def __init__(self, df: DataFrame, keys: list[str], seed: int = SEED) -> None:
+        self.keys, self.seed = keys, seed
+        self.types = {k: df.schema[k].dataType for k in keys}
+        self.rows = write_scratch(df.select(shuffle_key(keys, seed).alias("_h"), *keys), "row-hashes")
+        self.total = self.rows.count()      # from the file footers
+
+    def first(self, n: int) -> Column:
+        """A predicate true for exactly the first ``n`` rows; the table is filtered, not shuffled."""
+        if n <= 0:
+            return F.lit(False)
+        if n >= self.total:
             return F.lit(True)
-        prefix = row["p"]
-        if row["n"] <= _SORT_ROWS:
-            break
-        if len(prefix) >= 32:
-            raise ValueError(f"row key {keys} repeats too often to cut at row {n}")
-    order = ["_h", *keys]
-    last = (hashed.where(F.col("_h").startswith(prefix)).orderBy(*order)
-            .limit(n - before).orderBy(*[F.desc(c) for c in order]).limit(1).collect()[0])
-    here = F.struct(shuffle_key(keys, seed).alias("_h"), *[F.col(k) for k in keys])
-    edge = F.struct(F.lit(last["_h"]).alias("_h"),
-                    *[F.lit(last[k]).cast(df.schema[k].dataType).alias(k) for k in keys])
-    return here <= edge
+        prefix, before, inside = "", 0, self.total
+        while inside > _SORT_ROWS:
+            if len(prefix) >= 32:
+                raise ValueError(f"row key {self.keys} repeats too often to cut at row {n}")
+            counts = (self.rows.where(F.col("_h").startswith(prefix))
+                      .groupBy(F.substring("_h", 1, len(prefix) + _STEP).alias("p"))
+                      .agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect())
+            for row in counts:
+                if before + row["n"] >= n:
+                    break
+                before += row["n"]
+            prefix, inside = row["p"], row["n"]
+        order = ["_h", *self.keys]
+        last = (self.rows.where(F.col("_h").startswith(prefix)).orderBy(*order)
+                .limit(n - before).orderBy(*[F.desc(c) for c in order]).limit(1).collect()[0])
+        here = F.struct(shuffle_key(self.keys, self.seed).alias("_h"), *[F.col(k) for k in self.keys])
+        edge = F.struct(F.lit(last["_h"]).alias("_h"),
+                        *[F.lit(last[k]).cast(self.types[k]).alias(k) for k in self.keys])
+        return here <= edge
+
+    def close(self) -> None:
+        """Delete the written hashes; predicates made from them stay good."""
+        for folder in {f.rpartition("/")[0] for f in self.rows.inputFiles()}:
+            paths.delete(self.rows.sparkSession, folder)
+
+
+def hash_cut(df: DataFrame, n: int, keys: list[str], seed: int = SEED) -> Column:
+    """A predicate true for exactly the first ``n`` rows in ``seeded_shuffle`` order."""
+    order = HashOrder(df, keys, seed)
+    try:
+        return order.first(n)
+    finally:
+        order.close()
 
 
 def train_test_split(df: DataFrame, test_size: float, keys: list[str], seed: int = SEED,
-                     n_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+                     ) -> tuple[DataFrame, DataFrame | None]:
     """``(train, test)`` with exactly ``ceil(test_size * rows)`` test rows, or ``(df, None)``."""
     if test_size <= 0:
         return df, None
-    total = df.count() if n_rows is None else n_rows
-    is_test = hash_cut(df, math.ceil(test_size * total), keys, seed)
+    order = HashOrder(df, keys, seed)
+    try:
+        is_test = order.first(math.ceil(test_size * order.total))
+    finally:
+        order.close()
     return df.where(~is_test), df.where(is_test)
 
 

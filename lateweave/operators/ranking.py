@@ -45,12 +45,17 @@ def exclude_ids(ranked: DataFrame, exclusions: DataFrame) -> DataFrame:
 
 
 def display_ranking(scored: DataFrame, texts: DataFrame, k: int, chars: int = 60,
-                    place: str = "doc_id") -> DataFrame:
-    """Ranking for reading: the later ``place`` first on ties, with the start of each text.
+                    place: str | None = None) -> DataFrame:
+    """Ranking for reading: the later document first on ties, with the start of each text.
 
-    Ids are strings, which sort "9" above "10"; name a column with each document's number
-    to have ties in the order of the documents.
+    Documents go by the column ``place``; without one by their ids, of which whole numbers come
+    first, by value. Pass all scored documents: a table already cut at ``k`` has lost the ones that
+    tie with its last.
     """
+    if place is None:
+        number = F.expr("try_cast(doc_id AS decimal(38, 0))")
+        scored, place = scored.withColumn("_place", F.struct(
+            number.isNull().alias("text"), number.alias("number"), F.col("doc_id").alias("id"))), "_place"
     top = topk_per_query(scored, k, ties="last", place=place)
     # Cut the texts before the join: only the preview travels.
     short = texts.select("doc_id", preview(F.col("text"), chars).alias("preview"))

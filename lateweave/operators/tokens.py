@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,13 @@ DOCUMENT_LENGTH = 2048
 MAX_HEAD_DRIFT = 5e-2
 MIN_TAIL = 1e-4
 
-Encoder = Callable[[list[str]], Sequence[np.ndarray]]
+# Texts are encoded in batches of so many tokens with padding, as estimated by their bytes, and
+# batches are made of the texts of a window.
+BATCH_TOKENS = 16_384
+WINDOW_TOKENS = 65_536
+TOKEN_BYTES = 4
+
+Encoder = Callable[..., Sequence[np.ndarray]]
 
 
 def truncate_tokens(tokens: DataFrame, max_len: int | Column, pos: str = "pos") -> DataFrame:
@@ -61,20 +69,46 @@ def vector_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     flat = [np.asarray(a, dtype="float32") for a in arrays if len(a)]
     width = flat[0].shape[1] if flat else 0
     values = np.concatenate(flat).ravel() if flat else np.empty(0, dtype="float32")
+    if len(values) >= 1 << 31:
+        raise ValueError(f"{sum(counts)} vectors of {width} values are too many for one Arrow batch")
     vectors = pa.ListArray.from_arrays(
-        pa.array(np.arange(sum(counts) + 1, dtype="int32") * width), pa.array(values))
+        pa.array(np.arange(sum(counts) + 1) * width, pa.int32()), pa.array(values))
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), vectors)
 
 
+def token_batches(tokens: np.ndarray, budget: int = BATCH_TOKENS, most: int | None = None) -> list[np.ndarray]:
+    """Rows of similar length together: number times longest is at most ``budget``, or one row."""
+    order, out, start = np.argsort(tokens, kind="stable"), [], 0
+    for i in range(len(order) + 1):
+        n = i - start
+        if n and (i == len(order) or (n + 1) * tokens[order[i]] > budget or n == most):
+            out.append(order[start:i])
+            start = i
+    return out
+
+
+def _windows(tokens: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of about ``budget`` tokens, at least one row each."""
+    ends, start = np.cumsum(tokens), 0
+    while start < len(tokens):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + budget, side="right")))
+        yield start, stop
+        start = stop
+
+
 def embed_tokens(texts: DataFrame, make_encoder: Callable[[], Encoder], id_cols: list[str],
                  text_col: str = "text", max_tokens: int | None = None,
-                 batch_size: int = 32, partitions: int | None = None,
-                 gate: Gate | None = None) -> DataFrame:
+                 batch_size: int | None = None, partitions: int | None = None,
+                 gate: Gate | None = None, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """Texts to packed token vectors with a user's encoder, in Arrow batches, no shuffle.
 
     ``make_encoder`` runs once per task and returns a function from a list of texts to
     one ``[T, D]`` array each; it should cache a heavy model itself, so that a reused
-    Python worker loads it once. ``max_tokens`` is the encoder's length limit.
+    Python worker loads it once. ``max_tokens`` is the length limit; a function that has a
+    parameter of this name is given it, so that it does not encode what is cut off.
+    Batches hold texts of similar length, ``batch_tokens`` estimated tokens with padding
+    (and ``batch_size`` texts at most); rows come out in the order in which they came.
     ``partitions`` first spreads the texts of a small or badly split table over more tasks.
     With a ``gate`` each token's weight comes along as ``w``, for the query side.
     """
@@ -88,10 +122,17 @@ def embed_tokens(texts: DataFrame, make_encoder: Callable[[], Encoder], id_cols:
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
+        limited = max_tokens is not None and "max_tokens" in inspect.signature(encoder).parameters
+        limit = {"max_tokens": max_tokens} if limited else {}
         for batch in batches:
-            for start in range(0, batch.num_rows, batch_size):
-                part = batch.slice(start, batch_size)
-                toks = [e[:max_tokens] for e in encoder(part.column("_text").to_pylist())]
+            size = pc.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False)
+            tokens = np.minimum(size // TOKEN_BYTES + 1, max_tokens or size.max(initial=0) + 1)
+            for start, stop in _windows(tokens, WINDOW_TOKENS):
+                part = batch.slice(start, stop - start)
+                words, toks = part.column("_text").to_pylist(), [None] * part.num_rows
+                for rows in token_batches(tokens[start:stop], batch_tokens, batch_size):
+                    for i, vectors in zip(rows.tolist(), encoder([words[i] for i in rows.tolist()], **limit)):
+                        toks[i] = vectors[:max_tokens]
                 columns = [*(part.column(c) for c in id_cols), vector_lists(toks)]
                 if gate:
                     weights = [gate_block(np.asarray(e, dtype="float32"), gate) for e in toks]

@@ -28,13 +28,14 @@ def vl_triples(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def materialize(spark: SparkSession, config: str, path: str, records: DataFrame,
-                documents: DataFrame | None = None, order: list[str] | None = None) -> str:
-    """Write the ``hq`` or ``vl`` triples unless they are already there."""
+                documents: DataFrame | None = None, order: list[str] | None = None,
+                inputs: list[str] | None = None) -> str:
+    """Write the ``hq`` or ``vl`` triples unless they are already there, made from the same ``inputs``."""
     if config == "hq":
         return materialize_once(spark, path, TRIPLE_COLUMNS,
-                                lambda: hq_triples(records, documents, order))
+                                lambda: hq_triples(records, documents, order), inputs)
     if config == "vl":
-        return materialize_once(spark, path, TRIPLE_COLUMNS, lambda: vl_triples(records))
+        return materialize_once(spark, path, TRIPLE_COLUMNS, lambda: vl_triples(records), inputs)
     raise ValueError(f"unknown config {config!r}")
 
 

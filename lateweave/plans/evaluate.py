@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from lateweave.operators.tokens import (
     DOCUMENT_LENGTH, QUERY_LENGTH, Encoder, embed_tokens, truncate_packed,
 )
 from lateweave.schemas import METRICS
-from lateweave.session import cut_lineage, scratch_path
+from lateweave.session import cut_lineage, scratch_path, write_scratch
 from lateweave.sources import paths
 from lateweave.sources.writers import read_metrics, write_metrics
 
@@ -99,17 +100,45 @@ def evaluate_texts(spark: SparkSession, queries: DataFrame, docs: DataFrame, pat
     try:
         embed_tokens(queries, query_encoder, ["split", "qid", "gold_ids", "excluded_ids"],
                      "query", query_length).write.parquet(f"{vectors}/queries")
-        (embed_tokens(docs, document_encoder, ["split", "doc_id"], "text",
-                      document_length, partitions=partitions)
-         .write.partitionBy("split").parquet(f"{vectors}/docs"))
-        d = spark.read.schema("doc_id string, toks array<array<float>>, split string").parquet(
-            f"{vectors}/docs")
+        embed_tokens(docs, document_encoder, ["split", "doc_id"], "text",
+                     document_length, partitions=partitions).write.parquet(f"{vectors}/docs")
+        d = spark.read.schema("split string, doc_id string, toks array<array<float>>").parquet(f"{vectors}/docs")
         return evaluate_run(spark, spark.read.parquet(f"{vectors}/queries"), d, path, run_id, gate,
                             query_length, short_length, document_length, **scoring)
     finally:
         paths.delete(spark, vectors)        # the metrics are written by now
 
 
+# Token caps of the small corpora.
+SMALL_QUERY_LENGTH = 64
+SMALL_DOCUMENT_LENGTH = 512
+
+
+def evaluate_corpora(spark: SparkSession, corpora: list[dict[str, DataFrame]], path: str, run_id: str,
+                     query_encoder: Callable[[], Encoder], document_encoder: Callable[[], Encoder],
+                     gate: Gate | None = None, query_length: int = SMALL_QUERY_LENGTH,
+                     document_length: int = SMALL_DOCUMENT_LENGTH, partitions: int | None = None,
+                     metrics: list[str] = METRICS, **scoring) -> DataFrame:
+    """Evaluate several small corpora as one run: those without metrics in one job, together.
+
+    Each corpus is what ``load_beir_tables`` gives: ``queries`` and ``corpus`` with texts, and ``qrels``,
+    all with the corpus' name as ``split``. A query is compared with its own corpus only. Finished
+    corpora of the run are skipped; the result has the metrics of all.
+    """
+    tables = {name: reduce(DataFrame.unionByName, [c[name] for c in corpora])
+              for name in ("queries", "corpus", "qrels")}
+    pending = pending_runs(spark, tables["queries"], path, run_id, query_length, query_length)
+    if not pending.isEmpty():
+        queries, docs, qrels = only_splits([tables["queries"], tables["corpus"], tables["qrels"]], pending)
+        q = write_scratch(embed_tokens(queries, query_encoder, ["split", "qid"], "text", query_length), "queries")
+        d = write_scratch(embed_tokens(docs, document_encoder, ["split", "doc_id"], "text", document_length,
+                                       partitions=partitions), "documents")
+        ranked = rank_queries(q, d, gate, **scoring)
+        values = retrieval_metrics(ranked, qrels, q, metrics)
+        write_metrics(values.join(pending, "split"), path)
+    return read_metrics(spark, path).where(F.col("run_id") == run_id)
+
+
 def report(metrics: DataFrame, expected: DataFrame, metric: str = "ndcg@10"
            ) -> tuple[DataFrame, DataFrame]:
     """Per-split report in percent and its macro mean."""

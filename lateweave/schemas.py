@@ -54,6 +54,19 @@ METRIC_ROW = T.StructType([
     T.StructField("value", T.DoubleType()),
 ])
 
+# Columns of a versioned tree, whatever types its files have; ids and lists of ids become strings.
+VERSIONED_EXAMPLES = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("query", T.StringType()),
+    T.StructField("gold_ids", T.ArrayType(T.StringType())),
+    T.StructField("excluded_ids", T.ArrayType(T.StringType())),
+])
+VERSIONED_DOCUMENTS = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("content", T.StringType()),
+    T.StructField("text", T.StringType()),
+])
+
 STEP_LOG = T.StructType([
     T.StructField("step", T.LongType()),
     T.StructField("loss", T.DoubleType()),
@@ -61,6 +74,8 @@ STEP_LOG = T.StructType([
     T.StructField("head_w_std", T.DoubleType()),
     T.StructField("head_w_min", T.DoubleType()),
     T.StructField("head_w_max", T.DoubleType()),
+    T.StructField("run", T.StringType()),
+    T.StructField("written", T.LongType()),
 ])
 
 

@@ -43,6 +43,13 @@ def _scratch_root(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
 
 
+def write_scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the checkpoint folder and read it back: a table whose size Spark knows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this application; results that still read them are lost."""
     paths.delete(spark, _scratch_root(spark))

@@ -15,7 +15,8 @@ from lateweave.operators.metrics import (
     exclusions_from_lists, qrels_from_gold, qrels_from_pairs, splits_present,
 )
 from lateweave.schemas import (
-    DOMAINS, PROMPTED_RECORD, SMALL_CORPORA, TRIPLE_COLUMNS, require_columns,
+    DOMAINS, PROMPTED_RECORD, SMALL_CORPORA, TRIPLE_COLUMNS, VERSIONED_DOCUMENTS,
+    VERSIONED_EXAMPLES, require_columns,
 )
 from lateweave.sources import paths
 
@@ -50,15 +51,36 @@ def scan_jsonl(spark: SparkSession, folder: str, domains: list[str],
     return rows.select(name.alias("split"), *schema.fieldNames())
 
 
-def scan_tolerant(spark: SparkSession, *files: str, schema: T.StructType | None = None) -> DataFrame:
+def scan_tolerant(spark: SparkSession, *files: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet read by the physical columns alone.
 
-    With a schema, whatever other writers left in the file's metadata is not consulted;
-    without one the files' own schemas are merged.
+    The columns are those of one footer, that of the first file; no other file is opened for its
+    schema, and whatever else its metadata holds is not consulted. With a ``schema``, its columns that
+    the footer has, by name, cast to its types. A file that lacks one of them gives NULL there.
     """
+    scan = spark.read.option("mergeSchema", "false")
+    found = scan.parquet(files[0]).schema
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     if schema is not None:
-        return spark.read.schema(schema).parquet(*files)
-    return spark.read.option("mergeSchema", "true").parquet(*files)
+        found = T.StructType([found[c] for c in schema.fieldNames() if c in found.fieldNames()])
+    rows = scan.schema(found).parquet(*files)
+    if schema is None:
+        return rows
+    return rows.select(*[F.col(f.name).cast(schema[f.name].dataType).alias(f.name) for f in found])
+
+
+def in_scan_order(*scans: DataFrame) -> DataFrame:
+    """Union by name of scanned tables, with each row's ``position``: table, file, number in the file.
+
+    The position is data, so it survives any shuffle; its order is that in which a reader of the
+    tables one after another, files by name, meets the rows. Each must be a scan of files,
+    without anything after it that hides where its rows come from.
+    """
+    parts = [df.select(*df.columns, F.struct(
+        F.lit(i).alias("part"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row")).alias("position")) for i, df in enumerate(scans)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def scan_latest_version(spark: SparkSession, root: str, splits: list[str], prefix: str = "bright"
@@ -118,7 +140,8 @@ def load_versioned_split(spark: SparkSession, root: str | None, splits: list[str
     q_parts, d_parts = [], []
     for split in splits:
         if split in examples:
-            q, d = scan_tolerant(spark, examples[split]), scan_tolerant(spark, documents[split])
+            q = scan_tolerant(spark, examples[split], schema=VERSIONED_EXAMPLES)
+            d = scan_tolerant(spark, documents[split], schema=VERSIONED_DOCUMENTS)
         elif fallback is not None:
             q, d = fallback(split)
         else:

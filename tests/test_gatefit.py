@@ -1,14 +1,18 @@
 import math
+import os
+import time
 
 import numpy as np
 import pytest
 
 from lateweave.functions.gate import Gate, gate_block, gate_stats, init_gate
+from lateweave.operators import gatefit
 from lateweave.operators.gatefit import (
-    align_triple, fit_gate, gate_features, gate_gradient, pairwise_loss, score_loss,
-    triple_features,
+    align_triple, append_step_log, fit_gate, gate_features, gate_gradient, pairwise_loss, read_step_log,
+    score_loss, text_features, triple_features,
 )
 from lateweave.schemas import STEP_LOG
+from workload.encoder import make_encoder
 
 DIM = 4
 LINEAR = Gate([0.5, -1.0, 0.25, 0.1], 0.3)
@@ -103,8 +107,64 @@ def test_fit_lowers_the_loss_and_logs(spark, tmp_path, features, batches):
     no_op = 1 / (1 + math.exp(-5))
     assert [first[k] for k in ("head_w_mean", "head_w_min", "head_w_max")] == pytest.approx([no_op] * 3)
     assert first["head_w_std"] == pytest.approx(0.0)
-    table = spark.read.schema(STEP_LOG).parquet(path)
-    assert sorted(r.step for r in table.collect()) == list(range(1, 7))
+    assert sorted(r.step for r in read_step_log(spark, path).collect()) == list(range(1, 7))
+
+
+def test_step_log_keeps_the_last_row_of_a_step(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert read_step_log(spark, path).collect() == []
+    entry = dict.fromkeys(STEP_LOG.fieldNames()[1:6], 0.5)
+    first = [{"step": i, **entry} for i in range(1, 6)]
+    append_step_log(spark, first, path, "a")
+    append_step_log(spark, first, path, "b")
+    append_step_log(spark, first, path, "a")                                    # the same portion again
+    append_step_log(spark, [{"step": i, **entry, "loss": 0.1} for i in (4, 5, 6)], path, "a")   # resumed at 4
+    got = {(r.run, r.step): r.loss for r in read_step_log(spark, path).collect()}
+    assert got == {("b", i): 0.5 for i in range(1, 6)} | {("a", i): 0.5 for i in (1, 2, 3)} | {
+        ("a", i): 0.1 for i in (4, 5, 6)}
+
+
+def test_sums_move_one_array_per_task(features):
+    plan = gatefit._partial_sums(features.repartition(6), LINEAR, "unnorm")
+    each = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in each.split("MapInArrow")[0] and each.count("MapInArrow") >= 2
+    row = plan.collect()
+    assert len(row) == 1 and len(row[0].totals) == DIM + 1 + 1 + 3 and row[0].n == 30
+
+
+def test_every_distinct_text_is_encoded_once(spark, tmp_path):
+    """Repeated texts, one that is positive and negative, NULL and empty ones."""
+    texts = ["a b", "c d e", "a b", "f", "", "g h"]
+    rows = [(i, f"q {i % 2}", texts[i % 6], texts[(i + 1) % 6]) for i in range(24)] + [(99, None, None, "a b")]
+    triples = spark.createDataFrame(rows, "triple_id long, query string, positive string, negative string")
+    seen = str(tmp_path / "seen")
+    os.mkdir(seen)
+
+    def counting(side):
+        def make():
+            plain = make_encoder()
+
+            def encode(texts):
+                for t in texts:
+                    with open(f"{seen}/{side}-{os.getpid()}-{time.time_ns()}", "w") as f:
+                        f.write(t)
+                return plain(texts)
+            return encode
+        return make
+
+    got = {r.triple_id: r for r in text_features(triples.repartition(5), counting("q"), counting("d")).collect()}
+    for side, want in [("q", {"q 0", "q 1", ""}), ("d", set(texts))]:
+        files = [f for f in os.listdir(seen) if f.startswith(side)]
+        read = []
+        for f in files:
+            with open(f"{seen}/{f}") as handle:
+                read.append(handle.read())
+        assert sorted(read) == sorted(want)
+    encode = make_encoder()
+    for i, query, positive, negative in rows:
+        q, p, n = (x.astype("float32").astype("float64") for x in encode([query or "", positive or "", negative or ""]))
+        best = lambda d: (q @ d.T).max(axis=1) if len(d) else np.full(len(q), -1e4)
+        assert got[i].delta == pytest.approx((best(p) - best(n)).tolist(), abs=1e-9)
 
 
 def test_fit_two_layer_gate(features):

@@ -90,10 +90,18 @@ def test_corpus_counts(spark):
     assert got == {"a": (2, 1), "b": (1, 0), "c": (0, 1)}
 
 
-@pytest.mark.parametrize("listed", [10_000, 1])
-def test_hot_and_missing_keys_join_whole(spark, monkeypatch, listed):
-    monkeypatch.setattr(joins, "MAX_HOT_KEYS", listed)
-
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_hot_and_missing_keys_join_whole(spark, monkeypatch, broadcast):
+    """With the list of hot keys broadcast, and with it joined by a shuffle."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        _hot_and_missing_keys(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _hot_and_missing_keys(spark):
     keys = [None] * 40 + ["hot"] * 50 + ["gone"] * 30 + ["a", "b", "b"]
     left = spark.createDataFrame(list(enumerate(keys)), "n int, k string")
     right = spark.createDataFrame([("hot", 1, 0), ("hot", 2, 1), ("b", 3, 0), ("c", 4, 0)],
@@ -114,3 +122,31 @@ def test_numbered_copies(spark, block):
     got = sorted((r.x, r.y or 0, r.copy) for r in numbered_copies(df, ["x", "y"], block).collect())
     assert got == [("a", 0, i) for i in range(10)] + [("a", 1, 0)] + [("b", 2, i) for i in range(3)]
     assert numbered_copies(df.limit(0), ["x", "y"], block).count() == 0
+
+
+def test_a_cut_reads_its_input_twice_at_most(spark, tmp_path):
+    """Once for the rows' hashes, and once when the cut is taken; the counts come from the hashes."""
+    df = spark.range(5000)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    seen = df.mapInArrow(counted, "id long")
+    train, test = merge.train_test_split(seen, 0.1, ["id"])
+    assert reads.value == 5000
+    assert test.count() == 500 and reads.value == 10_000
+    assert train.count() == 4500 and reads.value == 15_000
+
+
+def test_inner_hot_join_leaves_rows_without_a_key_out(spark):
+    left = spark.createDataFrame([(i, None if i % 3 else "k") for i in range(30)], "n int, k string")
+    right = spark.createDataFrame([("k", 1), (None, 2)], "k string, x int")
+    for hot in (2, 100):
+        assert left_join_hot(left, right, "k", ["n"], hot, how="inner").count() == 10
+        rows = left_join_hot(left, right, "k", ["n"], hot).collect()
+        assert len(rows) == 30 and all((r.x == 1) == (r.k == "k") for r in rows)
+    with pytest.raises(ValueError):
+        left_join_hot(left, right, "k", how="full")

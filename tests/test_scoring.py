@@ -9,7 +9,8 @@ from lateweave.functions.vectors import l2_normalise, maxsim, weighted_maxsim
 from lateweave.operators import scoring
 from lateweave.operators.scoring import score_topk
 from lateweave.operators.tokens import (
-    embed_tokens, embedding_drift, pack_tokens, truncate_packed, truncate_tokens, unpack_tokens,
+    embed_tokens, embedding_drift, pack_tokens, token_batches, truncate_packed, truncate_tokens,
+    unpack_tokens,
 )
 from workload.encoder import make_encoder
 
@@ -294,3 +295,46 @@ def test_long_texts_are_worked_through_in_blocks(monkeypatch):
     masked = scoring.best_per_token(docs, np.array([0]), queries, hidden, scratch)
     np.testing.assert_allclose(masked[0], sims.max(axis=0))
     assert len(scratch.flat) <= 49
+
+
+def test_batches_by_tokens():
+    tokens = np.array([5, 100, 1, 7, 30, 7])
+    batches = token_batches(tokens, 30)
+    assert sorted(np.concatenate(batches).tolist()) == list(range(6))
+    assert all(len(b) * tokens[b].max() <= 30 or len(b) == 1 for b in batches)
+    assert [len(b) for b in token_batches(tokens, 10_000, 4)] == [4, 2] and token_batches(tokens[:0]) == []
+
+
+def test_the_encoder_is_given_the_limit_and_rows_keep_their_order(spark):
+    """A text of 20,000 words is not encoded past its limit; batches by length come back in order."""
+    texts = [(i, " ".join(f"w{j}" for j in range(n))) for i, n in enumerate([20_000, 0, 3, 900, 1, 40] * 5)]
+
+    def make():
+        plain = make_encoder()
+
+        def encode(texts, max_tokens=None):
+            out = plain(texts, max_tokens)
+            assert max_tokens == 50 and max(map(len, out)) <= 50 and len(texts) <= 2_000 // max(1, *map(len, out))
+            return out
+        return encode
+
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(2)
+    rows = embed_tokens(df, make, ["id"], max_tokens=50, batch_tokens=2_000)
+    got = [(r.id, len(r.toks), r.toks[-1] if r.toks else None) for r in rows.collect()]
+    plain = make_encoder()
+    assert [g[:2] for g in got] == [(i, min(50, len(t.split()))) for i, t in texts]
+    for (_, _, last), (_, t) in zip(got, texts):
+        want = plain([t], 50)[0]
+        assert last is None and not len(want) or last == pytest.approx(want[-1].tolist(), abs=1e-6)
+
+
+def test_inner_product_of_unequal_sizes_raises(spark):
+    from lateweave.functions.vectors import dot
+
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), ([], []), (None, [1.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in df.select(dot(F.col("a"), F.col("b"))).collect()] == [11.0, 0.0, None]
+    bad = spark.createDataFrame([([1.0, 2.0], [3.0])], "a array<double>, b array<double>")
+    with pytest.raises(Exception, match="equal size"):
+        bad.select(dot(F.col("a"), F.col("b"))).collect()
+    with pytest.raises(Exception, match="equal size"):
+        bad.select(maxsim(F.array("a"), F.array("b"))).collect()

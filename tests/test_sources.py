@@ -10,16 +10,17 @@ from lateweave.functions.gate import Gate, init_gate
 from lateweave.plans.build_triples import (
     materialize, materialize_prompted, merge_tables, prompted_triples,
 )
+from lateweave.operators.triples import last_wins_dim
 from lateweave.plans.evaluate import evaluate_run, evaluate_texts, report
 from lateweave.schemas import DOMAINS, PROMPTED_RECORD, TRIPLE_COLUMNS
 from lateweave.session import checkpoint_dir, scratch_path
 from lateweave.sources import paths, writers
 from lateweave.sources.readers import (
-    load_beir_tables, load_eval_tables, load_triples, load_versioned_split, scan_jsonl,
+    in_scan_order,     load_beir_tables, load_eval_tables, load_triples, load_versioned_split, scan_jsonl,
     scan_latest_version, scan_tolerant, select_domains,
 )
 from lateweave.sources.writers import (
-    load_gate, materialize_once, save_gate, write_replace, write_verified,
+    damaged_files, load_gate, materialize_once, read_manifest, save_gate, write_replace, write_verified,
 )
 from workload.encoder import make_encoder
 
@@ -98,6 +99,80 @@ def test_tolerant_scan_ignores_foreign_metadata(spark, tmp_path):
     assert scan_tolerant(spark, str(tmp_path / "t.parquet")).count() == 2
 
 
+def test_tolerant_scan_opens_one_footer(spark, tmp_path):
+    """Other types, other columns and a broken footer elsewhere: columns go by name, types by cast."""
+    folder = tmp_path / "t.parquet"
+    folder.mkdir()
+    pq.write_table(pa.table({"content": ["a"], "id": pa.array([1], pa.int32()), "more": [0.5]}), folder / "part-0.parquet")
+    pq.write_table(pa.table({"id": pa.array([2], pa.int32())}), folder / "part-1.parquet")
+    files = [str(folder / f"part-{i}.parquet") for i in (0, 1)]
+    got = scan_tolerant(spark, *files, schema="id string, content string, absent long")
+    assert got.dtypes == [("id", "string"), ("content", "string")]
+    assert sorted(map(tuple, got.collect())) == [("1", "a"), ("2", None)]
+    (folder / "part-2.parquet").write_bytes(b"no parquet")
+    assert scan_tolerant(spark, *files, str(folder / "part-2.parquet"), schema="id string").columns == ["id"]
+
+
+def test_scan_order_survives_a_shuffle(spark, tmp_path):
+    """The last row of the last file of the last table wins, wherever its rows come to lie."""
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for name, rows in [("b", [("x", "b0"), ("y", "b1"), ("x", "b2")]), ("a", [("x", "a0"), ("z", "a1"), ("z", "a2")])]:
+        pq.write_table(pa.table({"id": [r[0] for r in rows], "content": [r[1] for r in rows]}), folder / f"{name}.parquet")
+    pq.write_table(pa.table({"id": ["y"], "content": ["later"]}), tmp_path / "items.parquet")
+    rows = in_scan_order(spark.read.parquet(str(folder)), spark.read.parquet(str(tmp_path / "items.parquet")))
+    got = last_wins_dim(rows.repartition(7), ["position"]).collect()
+    assert {r.doc_id: r.content for r in got} == {"x": "b2", "y": "later", "z": "a2"}
+
+
+def test_damaged_files_are_named(spark, tmp_path):
+    path = str(tmp_path / "table")
+    write_verified(spark.range(100).repartitionById(4, (F.col("id") % 4).cast("int")), path)
+    files = sorted(r.file for r in read_manifest(spark, path).collect())
+    assert len(files) == 4 and damaged_files(spark, path).collect() == []
+    assert spark.read.parquet(path).count() == 100
+    raw = (tmp_path / "table" / files[1]).read_bytes()
+    (tmp_path / "table" / files[1]).write_bytes(raw[:len(raw) // 2])
+    (tmp_path / "table" / f".{files[1]}.crc").unlink()
+    (tmp_path / "table" / files[2]).unlink()
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "other"))
+    new = next((tmp_path / "other").glob("part-*.parquet"))
+    (tmp_path / "table" / files[3]).write_bytes(new.read_bytes())
+    (tmp_path / "table" / f".{files[3]}.crc").unlink()
+    (tmp_path / "table" / "part-9.parquet").write_bytes(new.read_bytes())
+    spark.catalog.refreshByPath(path)
+    got = {r.file: r.problem for r in damaged_files(spark, path).collect()}
+    assert got == {files[1]: "unreadable", files[2]: "unreadable", files[3]: "changed", "part-9.parquet": "unknown"}
+
+
+def test_a_changed_input_builds_anew(spark, tmp_path):
+    source, path, built = tmp_path / "source", str(tmp_path / "table"), []
+    source.mkdir()
+    (source / "a.jsonl").write_text("x")
+
+    def build():
+        built.append(1)
+        return triples(spark, 3)
+
+    for _ in range(2):
+        materialize_once(spark, path, TRIPLE_COLUMNS, build, [str(source)])
+    assert len(built) == 1
+    (source / "b.jsonl").write_text("y")
+    materialize_once(spark, path, TRIPLE_COLUMNS, build, [str(source)])
+    assert len(built) == 2
+    (source / "a.jsonl").write_text("longer")
+    for _ in range(2):
+        materialize_once(spark, path, TRIPLE_COLUMNS, build, [str(source)])
+    assert len(built) == 3 and spark.read.parquet(path).count() == 3
+
+
+def test_a_gate_of_another_size_raises(spark, tmp_path):
+    path = save_gate(spark, init_gate(4), str(tmp_path / "gate"))
+    assert load_gate(spark, path, dim=4).in_features == 4
+    with pytest.raises(ValueError, match="4 values, not 5"):
+        load_gate(spark, path, dim=5)
+
+
 def test_eval_tables(spark, caplog):
     examples = spark.createDataFrame(
         [("biology", 1, "first", ["d1"], 0), ("biology", 1, "last", ["d2", "d2"], 1), ("biology", 2, "q", None, 2)],

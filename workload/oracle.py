@@ -211,10 +211,10 @@ _GRADIENT = f"""{_FEATURES},
 
 
 def _fit(steps: int, lr: float, start: str = "CASE WHEN i = 64 THEN 0.5 ELSE ((i % 7) - 3) / 4.0 END",
-         batches: int = 1, log: bool = False) -> str:
+         batches: int = 1, log: bool = False, features: str = _FEATURES) -> str:
     """AdamW without decay, written out step by step; index 64 is the bias."""
     batch = f"('0x' || substr(md5(triple_id::varchar), 1, 7))::bigint % {batches}"
-    sql = f"""{_FEATURES},
+    sql = f"""{features},
   theta0 AS (
     SELECT i, ({start})::double AS x,
            0::double AS a, 0::double AS s FROM range(65) r(i))"""
@@ -300,6 +300,51 @@ _TEXT_RUN = f"""WITH qtokens AS (
     FROM benchmark)"""
 
 
+# Query tokens of the triples and their best matches among the words of either text.
+_TEXT_FEATURES = f"""WITH {_TURNS}, {_VL},
+  triples AS (SELECT conv_id * 1000 + turn AS triple_id, query, positive, negative FROM vl),
+  asked AS (SELECT triple_id, unnest(ws) AS word, unnest(range(len(ws)))::int AS pos FROM (
+    SELECT triple_id, list_filter(string_split(query, ' '), lambda w: w <> '')[1:256] AS ws FROM triples)),
+  held AS (SELECT DISTINCT triple_id, side, unnest(list_filter(string_split(text, ' '), lambda w: w <> '')[1:2048]) AS word
+           FROM (SELECT triple_id, 'p' AS side, positive AS text FROM triples
+                 UNION ALL SELECT triple_id, 'n', negative FROM triples)),
+  raw AS (SELECT word, list_transform(range(16), lambda i:
+            ('0x' || substr(md5(word), (2 * i + 1)::int, 2))::int - 127.5::double) AS r
+          FROM (SELECT word FROM asked UNION SELECT word FROM held)),
+  vectors AS (SELECT word, list_transform(r, lambda x: (x / sqrt(list_dot_product(r, r)))::float::double) AS v FROM raw),
+  near AS (
+    SELECT a.triple_id, a.pos, any_value(q.v) AS v,
+           max(CASE WHEN side = 'p' THEN list_dot_product(q.v, d.v) END) AS p,
+           max(CASE WHEN side = 'n' THEN list_dot_product(q.v, d.v) END) AS n
+    FROM asked a JOIN vectors q USING (word) JOIN held h ON h.triple_id = a.triple_id JOIN vectors d ON d.word = h.word
+    GROUP BY a.triple_id, a.pos),
+  delta AS (SELECT triple_id, pos, v, p - n AS delta FROM near)"""
+
+
+def _narrow(sql: str, dim: int = 16) -> str:
+    """The statements of the fit for vectors of another size."""
+    return (sql.replace("range(65)", f"range({dim + 1})").replace("i < 64", f"i < {dim}")
+            .replace("i = 64", f"i = {dim}").replace("i % 64", f"i % {dim}"))
+
+
+def _small_run() -> str:
+    """The run over texts with two corpora, shorter texts and no exclusions."""
+    words = "unnest(list_filter(string_split(text, ' '), lambda w: w <> ''))"
+    split = "CASE WHEN lang = 'en' THEN 'scifact' ELSE 'fiqa2018' END AS split"
+    return (_TEXT_RUN
+            .replace(f"item_id, {words}", f"item_id, {words[:-1]}[1:64])")
+            .replace(f"doc_id, {words}", f"doc_id, {words[:-1]}[1:512])")
+            .replace("SELECT item_id::varchar AS qid, doc_id::varchar AS doc_id,",
+                     f"SELECT {split}, item_id::varchar AS qid, doc_id::varchar AS doc_id,")
+            .replace("JOIN weights USING (word) GROUP BY item_id, doc_id",
+                     "JOIN weights USING (word) JOIN documents USING (doc_id) GROUP BY ALL")
+            .replace("SELECT 'biology' AS split, qid, doc_id, score", "SELECT split, qid, doc_id, score")
+            .replace("PARTITION BY qid ORDER", "PARTITION BY split, qid ORDER")
+            .replace("WHERE doc_id <> (qid::bigint + 1)::varchar", "")
+            .replace("SELECT 'biology' AS split, item_id::varchar AS qid", "SELECT split, item_id::varchar AS qid")
+            .replace("FROM benchmark)", "FROM benchmark, (VALUES ('scifact'), ('fiqa2018')) names(split))"))
+
+
 ORACLE: dict[str, str] = {
     "maxsim_topk": _ranked(10) + _OUT + "ranked",
     "maxsim_topk_passes": _ranked(10) + _OUT + "ranked",
@@ -370,6 +415,20 @@ ORACLE: dict[str, str] = {
     "gate_fit_four_steps": _fit(4, 0.05),
     "gate_fit": _fit(5, 5e-4, "CASE WHEN i = 64 THEN 5 ELSE 0 END", batches=2, log=True),
     "gate_saved": _fit(1, 5e-4),
+    "gate_from_triples": _narrow(_fit(2, 0.05, features=_TEXT_FEATURES)),
+    "gate_starts": f"""WITH {_TOK} SELECT id, pos, round(1 / (1 + exp(-5::double)), 12) AS linear,
+        round(1 / (1 + exp(-5::double)), 12) AS two_layer FROM tok""",
+    "step_log_rows": """
+      SELECT 'run-' || event_id % 2 AS run, event_id - event_id % 2 AS step, value AS loss,
+             round(avg(value) OVER (PARTITION BY event_id % 2 ORDER BY event_id
+                                    ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 9) AS trailing_mean
+      FROM events""",
+    "small_corpora_run": _small_run() + _metrics("kept") + """
+      SELECT 'run' AS run_id, split, 64::int AS qlen, metric, round(value, 6) AS value FROM long""",
+    "manifest_rows": """
+      SELECT (doc_id % 4)::int AS part, count(*) AS n, 'good' AS state FROM documents GROUP BY ALL""",
+    "required_columns": f"""WITH {_TURNS}
+      SELECT query, answer AS positive, 'true' AS negative FROM turns""",
     "domain_metrics": _DOMAIN_RUN + "SELECT split, metric, round(value, 6) AS value FROM long",
     "domain_metrics_plain": _DOMAIN_PLAIN + "SELECT split, metric, round(value, 6) AS value FROM long",
     "query_level_metrics": _ranked(100) + _EXCLUDED + _GOLD + _metrics("kept")
@@ -403,13 +462,17 @@ ORACLE: dict[str, str] = {
         (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)""",
     "splits_found": _SOURCES + "SELECT split FROM wanted SEMI JOIN have USING (split)",
     "splits_missing": _SOURCES + "SELECT split FROM wanted ANTI JOIN have USING (split)",
-    "last_wins": f"WITH {_DOCS_DIM} SELECT doc_id, content FROM dim",
+    "last_wins": """
+      SELECT id::varchar AS doc_id, text AS content FROM (
+        SELECT doc_id - doc_id % 2 AS id, text, 0 AS part, doc_id AS row FROM documents
+        UNION ALL SELECT item_id - item_id % 2, text, 1, item_id FROM benchmark)
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY part DESC, row DESC) = 1""",
     "resolve_by_id": f"""WITH {_HQ} SELECT doc_id, query, positive, negative FROM resolved
       WHERE length(positive) > 10 AND length(negative) > 10""",
     "resolve_hot_ids": "WITH " + _HQ.replace(
         "SELECT " + _HQ_FIELDS + " FROM documents",
-        f"""SELECT doc_id, query, CASE WHEN lang = 'en' THEN '7' ELSE pos_id END AS pos_id,
-            CASE WHEN lang = 'en' THEN 'about' ELSE prefix END AS prefix, negative
+        f"""SELECT doc_id, query, CASE WHEN lang = 'en' THEN '7' WHEN lang = 'fr' THEN NULL ELSE pos_id END AS pos_id,
+            CASE WHEN lang IN ('en', 'fr') THEN 'about' ELSE prefix END AS prefix, negative
             FROM (SELECT lang, {_HQ_FIELDS} FROM documents)""")
     + "SELECT doc_id, query, positive, negative FROM resolved",
     "flatten_pairs": f"WITH {_TURNS}, {_VL} SELECT * FROM vl",

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lateweave.functions.gate import gate_stats, gate_udf, gate_value, with_gate_weights
+from lateweave.functions.gate import gate_stats, gate_udf, gate_value, init_gate, with_gate_weights
 from lateweave.functions.text import (
     format_query, null_to_empty, py_strip, route_length, text_column,
 )
 from lateweave.functions.vectors import dot, l2_normalise, maxsim, weighted_maxsim
 from lateweave.operators.gatefit import (
-    align_triple, fit_gate, gate_features, gate_gradient, pairwise_loss, score_loss,
-    triple_features,
+    align_triple, append_steps, fit_gate, gate_features, gate_gradient, pairwise_loss, read_step_log,
+    score_loss, text_features, triple_features,
 )
 from lateweave.operators.merge import (
     corpus_counts, limit_batches, merge_sources, seeded_shuffle, source_counts, train_test_split,
@@ -34,14 +34,14 @@ from lateweave.plans.build_triples import (
     hq_triples, materialize, materialize_prompted, merge_tables, vl_triples,
 )
 from lateweave.plans.evaluate import (
-    evaluate, evaluate_run, evaluate_texts, rank_queries, report,
+    evaluate, evaluate_corpora, evaluate_run, evaluate_texts, rank_queries, report,
 )
 from lateweave.schemas import DOMAINS, PROMPTED_RECORD
 from lateweave.session import cut_lineage, scratch_path
 from lateweave.sources.readers import (
     load_beir_tables, load_eval_tables, load_triples, load_versioned_split, scan_jsonl,
 )
-from lateweave.sources.writers import load_gate, save_gate, write_verified
+from lateweave.sources.writers import damaged_files, load_gate, read_manifest, save_gate, write_verified
 from workload import tables as t
 from workload.encoder import make_encoder
 
@@ -274,6 +274,37 @@ def gate_saved(spark, sf_dir):
     return _gate_rows(spark, load_gate(spark, save_gate(spark, gate, scratch_path(spark, "gate"))))
 
 
+@query
+def gate_from_triples(spark, sf_dir):
+    """Two steps from a table of texts: the texts are embedded by content, then as above."""
+    triples = _vl(spark, sf_dir).withColumn("triple_id", F.col("conv_id") * 1000 + F.col("turn"))
+    features = text_features(triples, make_encoder, make_encoder)
+    return _gate_rows(spark, fit_gate(features, gate=t.WORD_GATE, steps=2, lr=0.05)[0])
+
+
+@query
+def gate_starts(spark, sf_dir):
+    """A fresh gate changes no token, with or without a hidden layer: its weight is that of its bias."""
+    w = [gate_udf(init_gate(t.DIM, hidden))("v") for hidden in (0, 24)]
+    return t.tokens(spark, sf_dir).select(
+        "id", "pos", F.round(w[0], 12).alias("linear"), F.round(w[1], 12).alias("two_layer"))
+
+
+@query
+def step_log_rows(spark, sf_dir):
+    """Two runs; a portion with wrong losses is written again. Trailing means by run."""
+    e = t.table(spark, sf_dir, "events")
+    path = scratch_path(spark, "step-log")
+    none = F.lit(None).cast("double")
+    rows = e.select(F.concat(F.lit("run-"), F.col("event_id") % 2).alias("run"),
+                    (F.col("event_id") - F.col("event_id") % 2).alias("step"), F.col("value").alias("loss"),
+                    *[none.alias(c) for c in ("head_w_mean", "head_w_std", "head_w_min", "head_w_max")])
+    append_steps(rows.withColumn("loss", F.when(F.col("step") % 3 == 0, -1.0).otherwise(F.col("loss"))), path)
+    append_steps(rows.where(F.col("step") % 3 == 0), path)
+    got = trailing_mean(read_step_log(spark, path), 50, run=["run"], chunk=2000)
+    return got.withColumn("trailing_mean", F.round("trailing_mean", 9))
+
+
 # Evaluation
 
 def _metric_rows(df: DataFrame) -> DataFrame:
@@ -327,6 +358,23 @@ def text_evaluation(spark, sf_dir):
     return _metric_rows(got).select("run_id", "split", "qlen", "metric", "value")
 
 
+@query
+def small_corpora_run(spark, sf_dir):
+    """Two small corpora by language, evaluated together; the second call finds nothing to do."""
+    docs = t.table(spark, sf_dir, "documents")
+    items = t.table(spark, sf_dir, "benchmark")
+    asked = items.select(F.col("item_id").alias("_id"), "text")
+    pairs = items.select(F.col("item_id").alias("query-id"),
+                         F.explode(F.array(F.col("item_id"), F.col("item_id") + 7)).alias("corpus-id"))
+    corpora = [load_beir_tables(docs.where(of).select(F.col("doc_id").alias("_id"), "text"), asked, pairs, name)
+               for name, of in [("scifact", F.col("lang") == "en"), ("fiqa2018", F.col("lang") != "en")]]
+    path = scratch_path(spark, "metrics")
+    for _ in range(2):
+        got = evaluate_corpora(spark, corpora, path, "run", make_encoder, make_encoder, t.WORD_GATE,
+                               partitions=spark.sparkContext.defaultParallelism)
+    return _metric_rows(got).select("run_id", "split", "qlen", "metric", "value")
+
+
 @query
 def split_report(spark, sf_dir):
     rows, _ = report(evaluate(*t.domain_corpora(spark, sf_dir), gate=t.GATE), _expected(spark))
@@ -410,7 +458,7 @@ def splits_missing(spark, sf_dir):
 # Triples
 
 def _hq(spark, sf_dir):
-    return hq_triples(t.id_records(spark, sf_dir), t.id_documents(spark, sf_dir), ["part"],
+    return hq_triples(t.id_records(spark, sf_dir), t.id_documents(spark, sf_dir), ["position"],
                       row_key=["doc_id"])
 
 
@@ -424,7 +472,7 @@ def _prompted(spark, sf_dir):
 
 @query
 def last_wins(spark, sf_dir):
-    return last_wins_dim(t.id_documents(spark, sf_dir), ["part"])
+    return last_wins_dim(t.repeated_documents(spark, sf_dir), ["position"])
 
 
 @query
@@ -434,11 +482,13 @@ def resolve_by_id(spark, sf_dir):
 
 @query
 def resolve_hot_ids(spark, sf_dir):
-    """The same look-up when one id in three rows is the same, with salts for it."""
+    """The same look-up when one id in three rows is the same, with salts for it, and others have none."""
     hot = F.array(F.array(F.lit("about"), F.lit("7")))
+    none = F.array(F.array(F.lit("about"), F.lit(None).cast("string")))
     records = t.id_records(spark, sf_dir).withColumn(
-        "pos", F.when(F.col("query")[0] == "in en", hot).otherwise(F.col("pos")))
-    return resolve_record(records, t.id_documents(spark, sf_dir), ["part"], row_key=["doc_id"],
+        "pos", F.when(F.col("query")[0] == "in en", hot).when(F.col("query")[0] == "in fr", none)
+        .otherwise(F.col("pos")))
+    return resolve_record(records, t.id_documents(spark, sf_dir), ["position"], row_key=["doc_id"],
                           hot_rows=50)
 
 
@@ -539,12 +589,34 @@ def jsonl_triples(spark, sf_dir):
 def triple_build(spark, sf_dir):
     folder = scratch_path(spark, "build")
     hq = materialize(spark, "hq", f"{folder}/hq", t.id_records(spark, sf_dir),
-                     t.id_documents(spark, sf_dir), ["part"])
+                     t.id_documents(spark, sf_dir), ["position"])
     prompted = write_verified(project_triple(_prompted(spark, sf_dir)), f"{folder}/prompted")
     merged = merge_tables(spark, {"prompted": prompted, "hq": hq}, f"{folder}/merged", shards=4)
     return _placed(load_triples(spark, merged, row_key=True), "file").drop("file", "row_index")
 
 
+@query
+def manifest_rows(spark, sf_dir):
+    """Rows of every file of a verified table, from its manifest, and what is wrong with it."""
+    docs = t.table(spark, sf_dir, "documents")
+    path = write_verified(docs.repartitionById(4, (F.col("doc_id") % 4).cast("int")), scratch_path(spark, "verified"))
+    wrong = damaged_files(spark, path).select("file", "problem")
+    return read_manifest(spark, path).join(wrong, "file", "left").select(
+        F.regexp_extract("file", r"^part-(\d+)", 1).cast("int").alias("part"), "n",
+        F.coalesce("problem", F.lit("good")).alias("state"))
+
+
+@query
+def required_columns(spark, sf_dir):
+    """Rows behind a check of their columns; a table without one of them raises."""
+    answered = t.answered_turns(spark, sf_dir).withColumnRenamed("answer", "positive")
+    try:
+        project_triple(answered)
+    except ValueError as e:
+        missing = str(e)
+    return project_triple(answered.withColumn("negative", F.lit(missing).contains("negative").cast("string")))
+
+
 @query
 def prompted_build(spark, sf_dir):
     """All domains from JSON lines to one shuffled triple table, with each row's place."""

@@ -9,6 +9,7 @@ from lateweave.functions.gate import Gate
 from lateweave.operators.joins import left_join_hot
 from lateweave.operators.tokens import pack_tokens
 from lateweave.schemas import DOMAINS
+from lateweave.sources.readers import in_scan_order
 
 # Constants of the example gates; the SQL states the same rules.
 DIM = 64
@@ -103,11 +104,15 @@ def id_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, then benchmark items under the same ids: the later one wins."""
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit(0).alias("part"))
-    items = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("id"), F.col("text").alias("content"), F.lit(1).alias("part"))
-    return docs.unionByName(items)
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rows = in_scan_order(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")),
+                         items.select(F.col("item_id").alias("id"), F.col("text").alias("content")))
+    return rows
+
+
+def repeated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with two rows after each other under every even id of either table."""
+    return id_documents(spark, sf_dir).withColumn("id", F.col("id") - F.col("id") % 2)
 
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
