@@ -228,12 +228,12 @@ def _sum_row(share: int, total: np.ndarray, low: float, high: float, n: int) ->
 def _partial_sums(features: DataFrame, gate: Gate, mode: str) -> DataFrame:
     """One row: an array of the sums of ``_parts`` over all triples, the weights' bounds, the triples.
 
-    Every task adds up its triples in one array. The arrays of some tasks meet in a first merge, as
-    many as there are first merges in the second, so no task reads the arrays of all others.
+    Every task adds up its triples in one array. On a cluster of many cores the arrays of some tasks
+    meet in a first merge, so that the last one does not read the arrays of all others.
     """
     centre = float(1.0 / (1.0 + np.exp(-gate.b)))
     names = [name for name, _ in _parts(gate)]
-    shares = max(1, math.isqrt(features.sparkSession.sparkContext.defaultParallelism))
+    shares = max(1, math.isqrt(features.sparkSession.sparkContext.defaultParallelism) // 2)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, low, high, rows = None, np.inf, -np.inf, 0
@@ -255,7 +255,7 @@ def _partial_sums(features: DataFrame, gate: Gate, mode: str) -> DataFrame:
     each = features.select("q_toks", "delta").mapInArrow(run, _SUMS)
     if shares > 1:
         each = _added(each.repartitionById(shares, "share"), True)
-    return _added(each.coalesce(1) if shares == 1 else each.repartition(1), False)
+    return _added(each.repartition(1), False)
 
 
 def _named(sums: DataFrame, gate: Gate) -> DataFrame:

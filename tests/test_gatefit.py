@@ -124,10 +124,13 @@ def test_step_log_keeps_the_last_row_of_a_step(spark, tmp_path):
         ("a", i): 0.1 for i in (4, 5, 6)}
 
 
-def test_sums_move_one_array_per_task(features):
+@pytest.mark.parametrize("cores", [8, 64])
+def test_sums_move_one_array_per_task(features, monkeypatch, cores):
+    """With one merge, and with two."""
+    monkeypatch.setattr(type(features.sparkSession.sparkContext), "defaultParallelism", cores)
     plan = gatefit._partial_sums(features.repartition(6), LINEAR, "unnorm")
     each = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "Aggregate" not in each.split("MapInArrow")[0] and each.count("MapInArrow") >= 2
+    assert "Aggregate" not in each.split("MapInArrow")[0] and each.count("MapInArrow") == (2 if cores == 8 else 3)
     row = plan.collect()
     assert len(row) == 1 and len(row[0].totals) == DIM + 1 + 1 + 3 and row[0].n == 30
 
