@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lateweave.llm.common import held_out, invert, text_slices
+from lateweave.llm.common import discard, held_out, invert, materialize, text_slices
 
 # ISO 639-1 codes by branch. A language outside the table is a family of its own.
 FAMILIES = {
@@ -34,6 +35,9 @@ ORDERS = (2, 3, 4)
 BLOCK = 1_000_000
 # The bounded sample: about so many rows of each language, by hash of the text.
 SAMPLE_PER_LANGUAGE = 600
+# And of them whole texts with so many distinct n-grams together; languages beyond the bound raise.
+SAMPLE_GRAMS = 4_000_000
+LANGUAGES = 400
 
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.arange(256, dtype=np.uint8)
@@ -41,7 +45,8 @@ _ASCII[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 
 def has_letter(text: str) -> bool:
-    return _LETTER.search(text) is not None
+    """Whether a character is a letter; superscripts, fractions and Roman numerals are numbers."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def gram_hashes(data: np.ndarray, order: int) -> np.ndarray:
@@ -152,31 +157,53 @@ def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, pena
                   steps: int = 60) -> LanguageModel:
     """Learn from rows that are not held out and have a language and a letter.
 
-    The sample is bounded: about ``per_language`` rows of each language, chosen by a hash of the
-    text; only their hashed counts reach the driver.
+    The sample is bounded: ``per_language`` rows of each language at most, by a hash of text and id,
+    and of these whole texts of ``SAMPLE_GRAMS`` distinct n-grams together; a text that is beyond what
+    is left is passed over for the next. Only their hashed counts reach the driver, in one row
+    after another. More than ``LANGUAGES`` languages raise.
     """
     rows = (docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")))
             .filter("lang IS NOT NULL AND text IS NOT NULL"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+              .limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; the sample of so many is not bounded")
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
-    chance = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
+        share = F.when(F.col("lang") == lang, F.lit(1.2 * per_language / n)).otherwise(share)
+    rank = F.xxhash64("text", "doc_id")
+    chance = F.pmod(rank, F.lit(1_000_003)) / 1_000_003
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
             keep = [i for i, t in enumerate(texts) if has_letter(t)]
-            found = [gram_counts(texts[i]) for i in keep]
-            yield pa.RecordBatch.from_pydict({
-                "lang": batch.column("lang").take(pa.array(keep, pa.int64())),
-                "buckets": pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())),
-                "counts": pa.array([f[1] for f in found], pa.list_(pa.int64()))})
-
-    sample = (rows.filter(chance < share).select("text", "lang")
-              .mapInArrow(features, "lang string, buckets array<int>, counts array<bigint>").toArrow())
-    langs = np.array(sample.column("lang").to_pylist(), dtype=object)
-    buckets = [np.asarray(x) for x in sample.column("buckets").to_numpy()] if len(langs) else []
-    shares = [np.asarray(x) / np.sum(x) for x in sample.column("counts").to_numpy()] if len(langs) else []
+            at = pa.array(keep, pa.int64())
+            for start in range(0, len(keep), 64):
+                found = [gram_counts(texts[i]) for i in keep[start:start + 64]]
+                yield pa.RecordBatch.from_pydict({
+                    "lang": batch.column("lang").take(at[start:start + 64]),
+                    "rank": batch.column("rank").take(at[start:start + 64]),
+                    "buckets": pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())),
+                    "counts": pa.array([f[1] for f in found], pa.list_(pa.int64()))})
+
+    drawn = materialize(rows.withColumn("rank", rank).filter(chance < share).select("text", "lang", "rank")
+                        .mapInArrow(features, "lang string, rank bigint, buckets array<int>, counts array<bigint>"),
+                        "sample")
+    # Of rows that are equal in id and text one: their number is no bound of anything.
+    place = Window.partitionBy("lang").orderBy("rank")
+    first = (drawn.select("lang", "rank").distinct().withColumn("place", F.row_number().over(place))
+             .filter(F.col("place") <= per_language).select("lang", "rank", "place"))
+    chosen = drawn.dropDuplicates(["lang", "rank"]).join(F.broadcast(first), ["lang", "rank"])
+    langs, buckets, shares, left = [], [], [], {lang: SAMPLE_GRAMS for lang in counts}
+    for r in chosen.orderBy("lang", "place").toLocalIterator():
+        if len(r["buckets"]) > left[r["lang"]]:
+            continue
+        left[r["lang"]] -= len(r["buckets"])
+        langs.append(r["lang"])
+        buckets.append(np.asarray(r["buckets"], dtype=np.int32))
+        shares.append((np.asarray(r["counts"]) / np.sum(r["counts"])).astype(np.float32))
+    discard(drawn)
+    langs = np.array(langs, dtype=object)
     family = {lang: name for name, group in FAMILIES.items() for lang in group}
     families: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):

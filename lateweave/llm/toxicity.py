@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lateweave.llm.common import held_out, invert, text_slices
+from lateweave.llm.common import discard, held_out, invert, materialize, text_slices
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 17
@@ -171,21 +172,26 @@ def summary(odds: np.ndarray, marginal: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, steps: int = 25,
-              penalty: float = 1e-4) -> Field | None:
+              penalty: float = 1e-4, sample_words: int | None = None) -> Field | None:
     """Learn from labelled rows that are not held out.
 
-    The sample is bounded: about ``per_label`` rows of each label by a hash of the id, and for each
-    label at most half of ``SAMPLE_WORDS`` words in whole documents; one that exceeds what is left is
-    passed over for the next. None if a label is missing or no document has one; if a label that
+    The sample is bounded: ``per_label`` ids of each label by a hash of the id, one row of each id
+    (its smallest text), and for each label at most half of ``sample_words`` (``SAMPLE_WORDS``) words in whole documents;
+    one that exceeds what is left is passed over for the next. The ids, at most twice ``per_label``,
+    are broadcast, so the documents are read where they are. None if a label is missing or no document has one; if a label that
     exists has no document in the sample, a ValueError. A document with several labels counts as
     toxic if one of them says so.
     """
-    budget = SAMPLE_WORDS // 2
+    budget = (sample_words or SAMPLE_WORDS) // 2
     marks = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
-             .groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic") > 0).alias("y")))
+             .groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(F.col("toxic") > 0).alias("y")))
+    marks = materialize(marks, "marks")
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("y"), per_label / counts.get(True, 1)).otherwise(per_label / counts.get(False, 1))
-    picked = marks.filter(F.pmod(F.xxhash64("l_id"), F.lit(1_000_003)) / 1_000_003 < share)
+    # An id that no document has takes no place: labels are held against the ids first.
+    known = marks.join(docs.select(F.col("doc_id").cast("long").alias("l_id")), "l_id", "left_semi")
+    known = materialize(known, "labelled")
+    picked = reduce(DataFrame.unionByName, [
+        known.filter(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(per_label) for y in (True, False)])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
@@ -196,8 +202,10 @@ def fit_field(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LA
                  pa.array([w if len(w) <= budget else None for w in found], pa.list_(pa.string()))],
                 names=["y", "doc_id", "words"])
 
-    rows = (docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("l_id")).select("y", "doc_id", "text")
-            .mapInArrow(words, "y boolean, doc_id bigint, words array<string>"))
+    found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+             .join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).groupBy("y", "doc_id")
+             .agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    rows = materialize(found.mapInArrow(words, "y boolean, doc_id bigint, words array<string>"), "sample")
     table, seqs, toxic, left, seen = Words(), [], [], {True: budget, False: budget}, 0
     for row in rows.orderBy(F.xxhash64("doc_id")).toLocalIterator():
         seen += 1
@@ -206,6 +214,8 @@ def fit_field(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LA
         seqs.append(np.array(table.numbers(row["words"]), dtype=np.int64))
         toxic.append(row["y"])
         left[row["y"]] -= len(seqs[-1])
+    for table_ in (marks, known, rows):
+        discard(table_)
     toxic = np.array(toxic, dtype=bool)
     if len(counts) < 2 or not seen:
         return None
@@ -308,7 +318,7 @@ def score_documents(docs: DataFrame, field: Field | None, threshold: float = THR
         field = shared.value
         table = Words()
         for batch, texts in text_slices(batches):
-            if len(table.seen) > 300_000:
+            if len(table.seen) > 150_000:
                 table = Words()
             lowered = [t.lower() for t in texts]
             rows = [table.numbers(WORD.findall(t)) for t in lowered]
