@@ -13,8 +13,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,9 @@ from lateweave.llm.common import text_slices
 MARKER = "▁"
 # Subtracted from the lowest score for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
+# Bytes of remembered words and their pieces in a task, about, and bytes of a word held as Python lists.
+REMEMBERED_BYTES = 48_000_000
+LIST_BYTES = 1 << 14
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 _WORD = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 _OTHER = r"\W\d_¹²³¼½¾"
@@ -149,7 +154,10 @@ class PieceModel:
         """Ids of the cut with the largest summed score; the first one found wins a tie."""
         data = word.encode()
         n = len(data)
-        best, back, via = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        if n > LIST_BYTES:  # a text without spaces: 20 bytes for each of its own, as packed numbers
+            best, back, via = array("d", [-math.inf]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        else:
+            best, back, via = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         plain, worth, trie = self.plain, self.worth, self.trie
         base, check, value, slots = trie.base, trie.check, trie.value, len(trie.check)
@@ -195,44 +203,79 @@ class PieceModel:
 
 
 class PieceEncoder:
-    """Encodes texts; ``limit`` bounds the remembered words."""
+    """Encodes texts; ``limit`` bounds the bytes of the remembered words."""
 
-    def __init__(self, model: PieceModel, limit: int = 600_000):
-        self.model, self.limit, self.known = model, limit, {}
+    def __init__(self, model: PieceModel, limit: int = REMEMBERED_BYTES):
+        self.model, self.limit, self.known, self.held = model, limit, {}, 0
 
     def __call__(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids as 32-bit integers one after another."""
         if not text:
-            return []
-        if len(self.known) > self.limit:
-            self.known = {}
+            return b""
+        if self.held > self.limit:
+            self.known, self.held = {}, 0
         known, path, out = self.known, self.model.best_path, []
         for word in self.model.parts.findall(MARKER + text.replace(" ", MARKER)):
             ids = known.get(word)
             if ids is None:
-                ids = known[word] = path(word)
-            out += ids
-        return out
+                ids = array("i", path(word)).tobytes()
+                if len(ids) < LIST_BYTES:
+                    known[word] = ids
+                    self.held += 200 + 2 * len(word) + len(ids)  # with the entry and the two objects
+            out.append(ids)
+        return b"".join(out)
+
+
+@lru_cache(maxsize=2)
+def _model(path: str) -> PieceModel:
+    return PieceModel.load(path)
 
 
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids of every whole text. NULL and empty texts have no ids. Extra columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
+    shared = docs.sparkSession.sparkContext.broadcast(_model(model_path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(shared.value)
         for batch, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"),
-                 pa.array([np.array(encoder(t), dtype=np.int32) for t in texts], pa.list_(pa.int32()))],
-                names=["doc_id", "ids"])
+            raw = [encoder.packed(t) for t in texts]
+            ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
             .mapInArrow(encode, "doc_id bigint, ids array<int>"))
 
 
+def piece_round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), text: ids and what they decode to.
+
+    As ``encode_pieces`` and ``decode_pieces`` one after the other, in one pass: the ids of a text stay
+    in its task. The decoded text differs from the given one where that holds U+2581, which becomes a
+    space, as the library's own decoder has it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_model(model_path))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = PieceEncoder(shared.value)
+        for batch, texts in text_slices(batches):
+            raw = [encoder.packed(t) for t in texts]
+            decoded = [shared.value.decode(np.frombuffer(x, np.int32).tolist()) for x in raw]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()),
+                 pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(decoded, pa.string())],
+                names=["doc_id", "n_pieces", "ids_crc32", "text"])
+
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .mapInArrow(both, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, text string"))
+
+
 def decode_pieces(encoded: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, text from doc_id, ids (and the ids, if wanted). NULL ids decode to an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
+    shared = encoded.sparkSession.sparkContext.broadcast(_model(model_path))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

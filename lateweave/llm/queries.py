@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,16 @@ from lateweave.llm import (
 from lateweave.llm.common import documents, materialize
 from lateweave.session import scratch_path
 
-# Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+# Files of the public tokenizers; another folder by the environment.
+_FOLDER = os.environ.get("TOKENIZERS_DIR")
+
+
+def _tokenizer(name: str) -> str:
+    return f"{_FOLDER}/{name}" if _FOLDER else str(public_tokenizers.path(name))
+
+
+BYTE_BPE = _tokenizer("byte_bpe_50k.json")
+PIECES = _tokenizer("piece_bpe_32k.model")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +30,8 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode_pieces(documents(spark, sf_dir), PIECES)
-    return pieces.piece_digests(pieces.decode_pieces(encoded, PIECES, keep_ids=True))
+    return pieces.piece_round_trip(documents(spark, sf_dir), PIECES).select(
+        "doc_id", "n_pieces", "ids_crc32", F.md5("text").alias("text_md5"))
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
