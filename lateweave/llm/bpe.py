@@ -15,10 +15,14 @@ from itertools import chain, islice
 
 import numpy as np
 
+from lateweave.llm.common import per_process
+
 _ODD_SPACE = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
 # Letters of the Latin blocks up to U+024F: the splitting rule keeps a run of them whole.
-_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+_L = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)"
+_LATIN = re.compile(_L)
+_LINES = re.compile(f"{_L}\n{_L}")  # one word ends a line, the next begins one
 # Byte-level vocabularies write a byte that is no printable Latin-1 character as a letter from U+0100 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
@@ -38,9 +42,9 @@ class _Numbers(dict):
 
 
 class ChunkEncoder:
-    """Encodes texts with the tokenizers library; ``limit`` bounds the remembered chunks."""
+    """Encodes texts with the tokenizers library; ``limit`` bounds the remembered chunks and words."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,12 +60,23 @@ class ChunkEncoder:
         if any(self._model_ids(w) != _packed(self.tokenizer.encode(" " + w, add_special_tokens=False).ids)
                for w in ("the", "Größe", "À\u024f")):
             self.merge = None  # not a byte-level vocabulary that marks spaces this way
+        self.newline = _packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
         self.limit = limit
+        self.roots: dict[str, bytes] = {}   # of words after a space
+        self.firsts: dict[str, bytes] = {}  # of words that begin a line
+        self.joins_lines = self.merge is not None and all(
+            self._lines(*_LINES.fullmatch(x).groups()) == _packed(
+                self.tokenizer.encode(" " + x, add_special_tokens=False).ids)
+            for x in ("the\nGröße", "Größe.\nThe,", "À,\na"))
         self._forget()
 
+    @classmethod
+    def of_process(cls, path: str) -> ChunkEncoder:
+        """One encoder for all tasks that a worker process runs."""
+        return per_process(("ChunkEncoder", path), lambda: cls(path))
+
     def _forget(self) -> None:
         self.seen = _Numbers()
-        self.roots: dict[str, bytes] = {}
         self.size = 0
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(0, dtype=np.int64)
@@ -86,11 +101,25 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _model_ids(self, word: str) -> bytes:
+    def _model_ids(self, word: str, before: str = _SPACE_LETTER) -> bytes:
         """Ids of a space and a word of letters, which no splitting rule cuts: merges alone."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return _packed([t.id for t in self.merge(_SPACE_LETTER + word)])
+        return _packed([t.id for t in self.merge(before + word)])
+
+    def _root(self, word: str) -> bytes:
+        found = self.roots.get(word)
+        if found is None:
+            found = self.roots[word] = self._model_ids(word)
+        return found
+
+    def _lines(self, word: str, end: str, first: str, last: str) -> bytes:
+        """Ids of a word after a space, a newline and the word that begins the next line."""
+        found = self.firsts.get(first)
+        if found is None:
+            found = self.firsts[first] = self._model_ids(first, "")
+        return b"".join((self._root(word), self.ends[end] if end else b"", self.newline, found,
+                         self.ends[last] if last else b""))
 
     def _learn(self, fresh: list[str]) -> None:
         """Encode new chunks and append their ids to the pool.
@@ -98,18 +127,20 @@ class ChunkEncoder:
         A Latin word, with at most one stop or comma after it, goes straight to the merges, and
         what was found for the word serves all its endings. Anything else takes the whole way.
         """
+        for words in (self.roots, self.firsts):
+            if len(words) > 2 * self.limit:
+                words.clear()
         ids: list = [None] * len(fresh)
-        rest, roots, match, ends = [], self.roots, _LATIN.fullmatch, self.ends
+        rest, match, ends, lines = [], _LATIN.fullmatch, self.ends, _LINES.fullmatch if self.joins_lines else None
         for i, chunk in enumerate(fresh):
             m = match(chunk) if self.merge else None
-            if m is None:
+            if m is not None:
+                word, end = m.groups()
+                ids[i] = self._root(word) + ends[end] if end else self._root(word)
+            elif lines and not chunk.startswith("\n") and (m := lines(chunk)):
+                ids[i] = self._lines(*m.groups())
+            else:
                 rest.append(i)
-                continue
-            word, end = m.groups()
-            found = roots.get(word)
-            if found is None:
-                found = roots[word] = self._model_ids(word)
-            ids[i] = found + ends[end] if end else found
         raw = [fresh[i][1:] if fresh[i].startswith("\n") else " " + fresh[i] for i in rest]
         for i, found in zip(rest, self._encode(raw)):
             ids[i] = _packed(found)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from lateweave.session import scratch_path
 from lateweave.sources import paths
 
 # Characters of text handled at a time inside a task; a longer text is a slice of its own.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,18 @@ def discard(df: DataFrame | None) -> None:
             paths.delete(df.sparkSession, folder)
 
 
+def per_process(key: tuple, make: Callable):
+    """What ``make`` gave the first time in this Python process; for readers of files, not for results.
+
+    Functions go to the tasks by value, so a module's globals start anew with every task; a worker
+    process runs many of them.
+    """
+    kept = sys.__dict__.setdefault("_lateweave_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -31,7 +31,7 @@ FULL = 0  # class of the pieces that fill a sequence
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, length: int, granule: int) -> DataFrame:
     """One row per piece, numbered within its class and task."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer_path)
+        encode = ChunkEncoder.of_process(tokenizer_path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(-(-length // granule) + 1, dtype=np.int64)
         end = np.array([end_id], dtype="<u4")

@@ -29,6 +29,7 @@ ENTRY = np.dtype([("has_id", "<i8"), ("doc_id", "<i8"), ("offset", "<u8"), ("n_t
 HEAD = "<QI"  # length and its masked checksum
 MANIFEST = "part int, file string, records bigint, tokens bigint"
 MASK = 0xA282EAD8
+FRAME = struct.calcsize(HEAD) + 4  # bytes of a record besides its payload
 
 
 def masked(data) -> int:
@@ -53,10 +54,6 @@ def read_frame(source) -> bytes:
     return payload
 
 
-def pack_ids(ids: np.ndarray, width: int) -> bytes:
-    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
-
-
 def unpack_ids(payload: bytes) -> bytes:
     """The ids of a payload as little-endian unsigned 32-bit integers."""
     if payload[0] not in (2, 4):
@@ -82,13 +79,14 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_path: str, end_i
     spark = docs.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer_path)
+        encode = ChunkEncoder.of_process(tokenizer_path)
         store, root = _store(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         records = tokens = offset = 0
         sink = index = None
         width = 2 if max(encode.tokenizer.get_vocab_size(), end_id) <= 1 << 16 else 4
+        kind = bytes([width])
         for batch, texts in text_slices(batches):
             if sink is None:
                 store.create_dir(root, recursive=True)
@@ -96,12 +94,14 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_path: str, end_i
                 index = store.open_output_stream(f"{root}/{name}.idx")
             flat, counts = encode(texts)
             entries = np.zeros(len(texts), dtype=ENTRY)
-            frames, at = [], 0
-            for i, n in enumerate(counts.tolist()):
-                frames.append(frame(pack_ids(np.append(flat[at:at + n], np.uint32(end_id)), width)))
-                at += n
-                entries["offset"][i] = offset
-                offset += len(frames[-1])
+            # All ids of the slice with the end ids put in, in the bytes of the file.
+            raw = memoryview(np.insert(flat, np.cumsum(counts), end_id).astype(f"<u{width}").tobytes())
+            sizes = (counts + 1) * width
+            ends = np.cumsum(sizes)
+            frames = [frame(b"".join((kind, raw[e - n:e]))) for n, e in zip(sizes.tolist(), ends.tolist())]
+            whole = sizes + len(kind) + FRAME
+            entries["offset"] = offset + np.cumsum(whole) - whole
+            offset += int(whole.sum())
             ids = batch.column("doc_id")
             entries["has_id"] = ids.is_valid().to_numpy(zero_copy_only=False)
             entries["doc_id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
