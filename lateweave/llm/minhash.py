@@ -46,6 +46,11 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text) or text.split()
 
 
+def word_key(words: list[str]) -> bytes:
+    """Stands for a word sequence."""
+    return hashlib.md5(" ".join(words).encode()).digest()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -148,8 +153,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
             sets = [shingles(w) for w in words]
             buckets = band_hashes(dart_signatures(sets, bands * rows), bands).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([hashlib.md5(" ".join(w).encode()).digest() for w in words],
-                                                  pa.binary()),
+                [batch.column("doc_id"), pa.array([word_key(w) for w in words], pa.binary()),
                  pa.array([len(t) for t in texts], pa.int64()), pa.array(list(buckets), pa.list_(pa.int64()))],
                 names=["doc_id", "key", "chars", "buckets"])
 
@@ -263,6 +267,22 @@ def _links_apart(apart: DataFrame, kinds: DataFrame, texts: DataFrame, similarit
     return met.groupBy("bucket", "meeting").applyInArrow(_block_links(similarity), "a bigint, b bigint")
 
 
+def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """node, text of the ``keys`` (node, key, low): the text of the row ``low`` that has these words."""
+    rows = docs.join(keys.select("node", "key", "low"), F.col("doc_id") == F.col("low")).select(
+        "node", "key", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return rows.select("node", "text")
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            keep = [word_key(words_of(t)) == k for t, k in zip(texts, batch.column("key").to_pylist())]
+            yield batch.select(["node", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(same, "node bigint, text string").groupBy("node").agg(F.min("text").alias("text"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (its smallest doc_id), class_size.
@@ -280,21 +300,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signatures(docs.filter("doc_id IS NOT NULL"), bands, rows), "signatures")
-    first = signed.groupBy("key").agg(F.min("doc_id").alias("node"))
-    copies = materialize(signed.join(first, "key").select(
-        "doc_id", "node", "chars", F.when(F.col("doc_id") == F.col("node"), F.col("buckets")).alias("buckets")), "copies")
-    posted = copies.filter("buckets IS NOT NULL").select("node", "chars", F.explode("buckets").alias("bucket"))
-    full = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    member = materialize(posted.join(full, "bucket"), "members")
+    # A node is a word sequence, not an id: of an id with several texts each is compared for itself.
+    keys = signed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("chars").alias("chars"),
+                                     F.first("buckets").alias("buckets"))
+    keys = materialize(keys.withColumn("node", F.monotonically_increasing_id()), "keys")
+    copies = materialize(signed.select("doc_id", "key").join(
+        keys.select(F.col("key").alias("k"), "node"), F.col("key") == F.col("k")).select("doc_id", "node"), "copies")
     discard(signed)
+    posted = keys.select("node", "chars", F.explode("buckets").alias("bucket"))
+    full = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    met = materialize(posted.join(full, "bucket"), "met")
     # How often a text meets others: the original of many edited copies meets the most.
-    involved = materialize(member.groupBy("node").agg(F.sum("m").alias("meets")), "involved")
-    member = materialize(member.join(involved, "node").select("bucket", "node", "meets", "chars"), "members")
-    texts = materialize(
-        docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-        .join(involved.select("node"), "node", "left_semi"), "texts")
-    texts = texts if texts.groupBy("node").count().filter("count > 1").isEmpty() else texts.groupBy("node").agg(
-        F.min("text").alias("text"))
+    involved = materialize(met.groupBy("node").agg(F.sum("m").alias("meets")), "involved")
+    member = materialize(met.join(involved, "node").select("bucket", "node", "meets", "chars"), "members")
+    discard(met)
+    texts = materialize(_texts_of(docs, keys.join(involved.select("node"), "node", "left_semi")), "texts")
+    discard(involved)
 
     leads = materialize(_leads(member), "leads")
     posts = member.join(leads, "bucket")
@@ -308,23 +329,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     kinds = materialize(apart.groupBy("bucket", "class").agg(
         F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "kinds")
     mixed = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("bucket")
-    more = materialize(_links_apart(apart, materialize(kinds.join(mixed, "bucket"), "mixed"), texts, similarity), "more")
+    several = materialize(kinds.join(mixed, "bucket"), "mixed")
+    more = materialize(_links_apart(apart, several, texts, similarity), "more")
     if not more.isEmpty():
+        discard(classes)
         classes = components(linked.unionByName(more))
-    discard(texts)
+    for table in (texts, keys, member, leads, linked, apart, kinds, several, more):
+        discard(table)
 
     labelled = materialize(copies.join(classes, "node", "left")
-                           .select("doc_id", F.coalesce("class", "node").alias("class_id")), "labelled")
+                           .select("doc_id", F.coalesce("class", "node").alias("class")), "labelled")
+    discard(copies)
+    discard(classes)
     # Rows that repeat an id with other texts tie their classes together.
-    twice = labelled.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a != b")
+    twice = materialize(labelled.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"))
+                        .filter("a != b").select("a", "b"), "twice")
     if not twice.isEmpty():
-        merged = components(twice).withColumnRenamed("node", "class_id")
-        labelled = labelled.join(merged, "class_id", "left").select(
-            "doc_id", F.coalesce("class", "class_id").alias("class_id"))
-    sizes = labelled.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+        # Not only the smallest and the largest class of an id: all of them.
+        tied = labelled.join(labelled.groupBy("doc_id").agg(F.min("class").alias("a")), "doc_id").select(
+            "a", F.col("class").alias("b")).filter("a != b").distinct()
+        merged = components(tied).select(F.col("node").alias("class"), F.col("class").alias("whole"))
+        labelled = materialize(labelled.join(merged, "class", "left").select(
+            "doc_id", F.coalesce("whole", "class").alias("class")), "labelled")
+    # Written, so that the join below reads plain shuffles, whose large partitions Spark can split.
+    sizes = materialize(labelled.groupBy(F.col("class").alias("of")).agg(
+        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "sizes")
     without = docs.filter("doc_id IS NULL").select(
         "doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
-    return labelled.join(sizes, "class_id").select("doc_id", "class_id", "class_size").unionByName(without)
+    named = labelled.join(sizes, F.col("class") == F.col("of")).select("doc_id", "class_id", "class_size")
+    return named.unionByName(without)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -104,3 +104,16 @@ def test_pages_and_licenses(spark):
     twice = "Released under the MIT License. Then more. Released under the MIT License."
     docs = frame(spark, [(1, None), (2, twice), (None, "released  UNDER the mit license")])
     assert sorted(str(r.doc_id) for r in licenses.scan_licenses(docs).collect()) == ["2", "2", "None"]
+
+
+def test_every_text_of_a_repeated_id_is_compared(spark):
+    """Two different texts under one id: a third document that is like the larger one finds its class."""
+    a = " ".join(f"a{i}" for i in range(300))
+    b = " ".join(f"b{i}" for i in range(300))
+    docs = frame(spark, [(1, a), (1, b), (2, b + " more"), (3, "other words of its own here"), (4, a + " too"),
+                         (5, b + " more"), (9, "other words of its own here now")])
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(1, 1, 5), (1, 1, 5), (2, 1, 5), (3, 3, 1), (4, 1, 5), (5, 1, 5), (9, 9, 1)]
+    three = frame(spark, [(7, a), (7, b), (7, "c d e f g h"), (8, "c d e f g h"), (6, b), (2, a)])
+    assert {(r.doc_id, r.class_id, r.class_size) for r in minhash.near_duplicates(three).collect()} == {
+        (i, 2, 6) for i in (2, 6, 7, 8)}
