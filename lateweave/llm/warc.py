@@ -9,14 +9,18 @@ title, links, digests) and ``conversion`` (the page's text). Both name the respo
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,20 +61,26 @@ def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         lines = data[at:end].decode().split("\r\n")
-        headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+        headers = dict(header_field(line) for line in lines[1:])
         size = int(headers["Content-Length"])
         out.append((headers, data[end + 4:end + 4 + size]))
         at = end + 4 + size + 4
     return out
 
 
+def header_field(line: str) -> tuple[str, str]:
+    """Name and value: what is before the first colon, and what is behind it without outer spaces."""
+    name, _, value = line.partition(":")
+    return name.strip(), value.strip()
+
+
 def split_http(message: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, header lines and payload; a message without an empty line is all payload."""
     head, gap, payload = message.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"HTTP/"):
         return "", [], message
     status, *lines = head.decode("latin-1").split("\r\n")
-    return status, [tuple(x.split(": ", 1)) if ": " in x else (x, "") for x in lines], payload
+    return status, [header_field(x) for x in lines], payload
 
 
 def header_values(fields: list[tuple[str, str]]) -> dict[str, str | list[str]]:
@@ -81,6 +91,77 @@ def header_values(fields: list[tuple[str, str]]) -> dict[str, str | list[str]]:
     return {name: values if len(values) > 1 else values[0] for name, values in found.values()}
 
 
+_MARKUP = frozenset(["text/html", "application/xhtml+xml"])
+_META_CHARSET = re.compile(rb"""<meta\b[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
+
+
+def _first(fields: list[tuple[str, str]], name: str) -> str:
+    return next((v for n, v in fields if n.lower() == name), "")
+
+
+def _unchunked(data: bytes) -> bytes | None:
+    """The chunks of a chunked body put together; None if it is none."""
+    out, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        try:
+            size = int(data[at:end].split(b";")[0].strip(), 16) if end >= 0 else -1
+        except ValueError:
+            return None
+        if size < 0 or end + 2 + size > len(data):
+            return None
+        if not size:
+            return b"".join(out)
+        out.append(data[end + 2:end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _inflated(data: bytes, wbits: int) -> bytes | None:
+    try:
+        return zlib.decompressobj(wbits).decompress(data)
+    except zlib.error:
+        return None
+
+
+def decoded_body(fields: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The payload without chunks and compression; what does not decode, or is unknown, stays as it is."""
+    codings = f"{_first(fields, 'content-encoding')},{_first(fields, 'transfer-encoding')}".lower().split(",")
+    for coding in reversed([c.strip() for c in codings]):
+        plain = None
+        if coding == "chunked":
+            plain = _unchunked(payload)
+        elif coding in ("gzip", "x-gzip"):
+            plain = _inflated(payload, 31)
+        elif coding == "deflate":
+            plain = _inflated(payload, 15)
+            plain = _inflated(payload, -15) if plain is None else plain
+        payload = payload if plain is None else plain
+    return payload
+
+
+def body_text(fields: list[tuple[str, str]], payload: bytes) -> tuple[str, str] | None:
+    """Media type and text of a payload; None for a type that is no text.
+
+    The charset is that of the header, else of a byte order mark, else of a ``meta`` element, else
+    UTF-8, also where its name is unknown. Without a type the payload is taken for a page.
+    """
+    media, *parameters = _first(fields, "content-type").split(";")
+    media = media.strip().lower() or "text/html"
+    if not (media.startswith("text/") or media in _MARKUP or media.endswith(("/xml", "+xml", "/json", "+json"))):
+        return None
+    body = decoded_body(fields, payload)
+    named = [v.strip().strip("\"'") for k, _, v in (p.partition("=") for p in parameters) if k.strip().lower() == "charset"]
+    marks = [name for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"),
+                                     (codecs.BOM_UTF16_BE, "utf-16")) if body.startswith(mark)]
+    meta = _META_CHARSET.search(body[:2048])
+    for charset in (*named, *marks, *([meta[1].decode("latin-1")] if meta else [])):
+        try:
+            return media, body.decode(charset, errors="replace")
+        except (LookupError, UnicodeError):
+            continue
+    return media, body.decode("utf-8", errors="replace")
+
+
 def page_content(markup: str) -> tuple[str, str, list[str]]:
     """Title, plain text (a line per block, no empty lines) and links of a page."""
     out, title, links, in_title = [], [], [], False
@@ -125,10 +206,12 @@ def response_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Da
 
 
 def derive(record: str, target: str, date: str, message: bytes) -> list[tuple]:
-    """(type, id, content type, block, payload digest, serialised record) of both derivatives."""
+    """(type, id, content type, block, payload digest, serialised record) of the derivatives."""
     status, fields, payload = split_http(message)
-    markup = payload.decode("utf-8", errors="replace")
-    title, text, links = page_content(markup)
+    found = body_text(fields, payload)
+    title, text, links = "", "", []
+    if found:
+        title, text, links = page_content(found[1]) if found[0] in _MARKUP else ("", found[1], [])
     source = digest(payload)
     meta = json.dumps({
         "Envelope": {
@@ -140,7 +223,10 @@ def derive(record: str, target: str, date: str, message: bytes) -> list[tuple]:
                 "Entity-Length": str(len(payload)),
                 "HTML-Metadata": {"Title": title, "Links": links}}}}}, ensure_ascii=False).encode()
     out = []
-    for kind, content, block in (("metadata", "application/json", meta), ("conversion", "text/plain", text.encode())):
+    blocks = [("metadata", "application/json", meta)]
+    if found:
+        blocks.append(("conversion", "text/plain", text.encode(errors="replace")))
+    for kind, content, block in blocks:
         own = record_id(kind, record, digest(block))
         out.append((kind, own, content, block, source, serialise([
             ("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", record), ("WARC-Target-URI", target),
@@ -149,15 +235,29 @@ def derive(record: str, target: str, date: str, message: bytes) -> list[tuple]:
     return out
 
 
+def _message_slices(batches: Iterator[pa.RecordBatch], budget: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of bounded messages; a longer message is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("message")), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + budget, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def derivative_records(responses: DataFrame) -> DataFrame:
     """Two rows per response: its metadata and its conversion record, fields and serialised bytes.
 
-    A message that is no HTTP message is all payload; bytes that are no UTF-8 become replacement
-    characters in the text while the digests cover the original bytes. NULL counts as empty.
+    The text is that of the payload without chunks and compression, by its charset (``body_text``); a
+    payload that is no text has no conversion record, and of plain text the conversion is the text.
+    Digests cover the payload as it was sent. A message that is no HTTP message is all payload, a
+    page; bytes that do not decode become replacement characters. NULL counts as empty.
     Repeated responses give repeated records; an empty table gives none; extra columns are ignored.
     """
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _message_slices(batches):
             rows = {f.split()[0]: [] for f in RECORD.split(", ")}
             for source_id, record, target, date, message in zip(*(batch.column(c).to_pylist() for c in (
                     "source_id", "record_id", "target_uri", "date", "message"))):
