@@ -95,6 +95,19 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array
         [batch.column(c) for c in keep] + list(new.values()), names=keep + list(new))
 
 
+def keep_rows(docs: DataFrame, keeps: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """The rows whose text is kept, with all their columns, judged where they are read.
+
+    ``keeps()`` runs once per task and gives a function from texts (NULL: empty) to booleans.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = keeps()
+        for batch, texts in text_slices(batches):
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def keep_documents(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` is in ``kept``; a NULL id matches a NULL id."""
     ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()

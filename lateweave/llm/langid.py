@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lateweave.llm.common import discard, held_out, invert, materialize, text_slices
+from lateweave.llm.common import discard, held_out, invert, keep_rows, materialize, text_slices
 
 # ISO 639-1 codes by branch. A language outside the table is a family of its own.
 FAMILIES = {
@@ -38,6 +38,8 @@ SAMPLE_PER_LANGUAGE = 600
 # And of them whole texts with so many distinct n-grams together; languages beyond the bound raise.
 SAMPLE_GRAMS = 4_000_000
 LANGUAGES = 400
+# A prediction with less is no better than a guess among the languages.
+LEAST_SCORE = 0.3
 
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.arange(256, dtype=np.uint8)
@@ -242,6 +244,26 @@ def _vote(names: list[str], chance: dict[tuple[str, str], np.ndarray], n: int) -
     return won, mean
 
 
+def predict_texts(model: LanguageModel, weights: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of every text."""
+    names, n = sorted(model.families), len(texts)
+    known = np.array([bool(model.families) and has_letter(t) for t in texts], dtype=bool)
+    sums, numbers = gram_sums(texts, weights)
+    margins = sums / np.maximum(numbers, 1)[:, None]
+    chance = {(d.yes, d.no): 1 / (1 + np.exp(-np.clip(d.slope * (margins[:, i] + d.bias) + d.shift, -30, 30)))
+              for i, d in enumerate(model.duels)}
+    lang, score = np.full(n, UNDETERMINED, dtype=object), np.zeros(n)
+    if names:
+        family, sure = _vote(names, chance, n)
+        for i, name in enumerate(names):
+            group = model.families[name]
+            won, within = _vote(group, chance, n)
+            here = known & (family == i)
+            lang[here] = np.array(group, dtype=object)[won[here]]
+            score[here] = (sure * within)[here]
+    return lang, score
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row, from the whole text alone.
 
@@ -249,29 +271,11 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     the chance of the family times that of the language within it. Repeated rows get equal
     results; an empty table gives no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, model.weights().astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((model, model.weights().astype(np.float32)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, weights = shared.value
-        names = sorted(model.families)
         for batch, texts in text_slices(batches):
-            n = len(texts)
-            known = np.array([bool(model.families) and has_letter(t) for t in texts], dtype=bool)
-            sums, numbers = gram_sums(texts, weights)
-            margins = sums / np.maximum(numbers, 1)[:, None]
-            chance = {(d.yes, d.no): 1 / (1 + np.exp(-np.clip(d.slope * (margins[:, i] + d.bias) + d.shift,
-                                                              -30, 30)))
-                      for i, d in enumerate(model.duels)}
-            lang, score = np.full(n, UNDETERMINED, dtype=object), np.zeros(n)
-            if names:
-                family, sure = _vote(names, chance, n)
-                for i, name in enumerate(names):
-                    group = model.families[name]
-                    won, within = _vote(group, chance, n)
-                    here = known & (family == i)
-                    lang[here] = np.array(group, dtype=object)[won[here]]
-                    score[here] = (sure * within)[here]
+            lang, score = predict_texts(*shared.value, texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)],
                 names=["doc_id", "held_out", "lang_pred", "score"])
@@ -279,3 +283,28 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
                        "text")
     return rows.mapInArrow(predict, "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def keep_languages(docs: DataFrame, model: LanguageModel, wanted: list[str] | None = None,
+                   least_score: float = LEAST_SCORE) -> DataFrame:
+    """The documents in a ``wanted`` language (NULL: any learned one), predicted with ``least_score``.
+
+    A document without a letter goes, as it has no language. Where nothing was learned, nothing
+    can be said of a language, and every document with a letter stays. Rows are judged one by one
+    and keep all their columns.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, model.weights().astype(np.float32)))
+
+    def keeps():
+        model, weights = shared.value
+
+        def keep(texts: list[str]) -> np.ndarray:
+            if not model.families:
+                return np.array([has_letter(t) for t in texts], dtype=bool)
+            lang, score = predict_texts(model, weights, texts)
+            fits = (lang != UNDETERMINED) & (score >= least_score)
+            return fits if wanted is None else fits & np.isin(lang.astype(str), wanted)
+
+        return keep
+
+    return keep_rows(docs, keeps)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lateweave.llm.common import discard, held_out, invert, materialize, text_slices
+from lateweave.llm.common import discard, held_out, invert, keep_rows, materialize, text_slices
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 17
@@ -304,6 +304,36 @@ def spans_of(marginal: np.ndarray, places: list[tuple[int, int]], at: float = 0.
     return out
 
 
+class Scorer:
+    """Scores texts by a field; remembers the features of some words."""
+
+    def __init__(self, field: Field | None, limit: int = 150_000):
+        self.field, self.limit, self.table = field, limit, Words()
+
+    def __call__(self, texts: list[str], with_spans: bool = True) -> tuple[np.ndarray, list[list]]:
+        """The score of every text and its toxic spans."""
+        field, scores, spans = self.field, np.zeros(len(texts)), [[] for _ in texts]
+        if field is None:
+            return scores, spans
+        if len(self.table.seen) > self.limit:
+            self.table = Words()
+        lowered = [t.lower() for t in texts]
+        rows = [self.table.numbers(WORD.findall(t)) for t in lowered]
+        counts = np.array([len(r) for r in rows], dtype=np.int64)
+        order = np.fromiter((w for r in rows for w in r), dtype=np.int64, count=int(counts.sum()))
+        features = np.array(self.table.features, dtype=np.int64).reshape(-1, KINDS)
+        used, order = np.unique(order, return_inverse=True)
+        marginal, odds = score_tokens(field, features[used], order, counts)
+        x = np.column_stack([summary(odds, marginal, counts), np.ones(len(texts))])
+        scores = 1 / (1 + np.exp(-np.clip((x * field.curve).sum(axis=1), -30, 30)))
+        starts = np.cumsum(counts) - counts
+        for i in np.flatnonzero(x[:, 1] > 0).tolist() if with_spans else ():
+            same = len(lowered[i]) == len(texts[i])
+            places = [m.span() for m in WORD.finditer(lowered[i] if same else texts[i].lower())]
+            spans[i] = spans_of(marginal[starts[i]:starts[i] + counts[i]], places)
+        return scores, spans
+
+
 def score_documents(docs: DataFrame, field: Field | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, spans for every row, from the whole text alone.
 
@@ -315,27 +345,9 @@ def score_documents(docs: DataFrame, field: Field | None, threshold: float = THR
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = shared.value
-        table = Words()
+        scorer = Scorer(shared.value)
         for batch, texts in text_slices(batches):
-            if len(table.seen) > 150_000:
-                table = Words()
-            lowered = [t.lower() for t in texts]
-            rows = [table.numbers(WORD.findall(t)) for t in lowered]
-            counts = np.array([len(r) for r in rows], dtype=np.int64)
-            order = np.array([w for r in rows for w in r], dtype=np.int64)
-            scores, spans = np.zeros(len(texts)), [[] for _ in texts]
-            if field is not None:
-                features = np.array(table.features, dtype=np.int64).reshape(-1, KINDS)
-                used, order = np.unique(order, return_inverse=True)
-                marginal, odds = score_tokens(field, features[used], order, counts)
-                x = np.column_stack([summary(odds, marginal, counts), np.ones(len(texts))])
-                scores = 1 / (1 + np.exp(-np.clip(x @ field.curve, -30, 30)))
-                starts = np.cumsum(counts) - counts
-                for i in np.flatnonzero(x[:, 1] > 0).tolist():
-                    same = len(lowered[i]) == len(texts[i])
-                    places = [m.span() for m in WORD.finditer(lowered[i] if same else texts[i].lower())]
-                    spans[i] = spans_of(marginal[starts[i]:starts[i] + counts[i]], places)
+            scores, spans = scorer(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()),
                  pa.array((scores >= threshold).astype(np.int32)),
@@ -349,3 +361,14 @@ def score_documents(docs: DataFrame, field: Field | None, threshold: float = THR
     return rows.mapInArrow(
         score, "doc_id bigint, held_out boolean, score double, predicted int, "
                "spans array<struct<start:int,end:int,marginal:double>>")
+
+
+def drop_toxic(docs: DataFrame, field: Field | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with a score below ``threshold``, judged row by row, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def keeps():
+        scorer = Scorer(shared.value)
+        return lambda texts: scorer(texts, with_spans=False)[0] < threshold
+
+    return keep_rows(docs, keeps)
