@@ -2,6 +2,13 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+NULL texts count as empty and go in the first stage, with all texts that have no letter. Rows are judged
+one by one there and in the second; rows that repeat an id are different documents to both. Of rows
+that repeat id and text one stays; rows that repeat an id with different texts are of one class of
+near copies and stay or go together. Rows without an id stay where their text does, and are packed with a
+NULL id. Extra columns are carried along up to the last stage, whatever their names. Empty tables
+go through all stages and give no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +18,6 @@ import sys
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -23,23 +29,15 @@ from lateweave.llm.queries import BYTE_BPE  # noqa: E402
 cloudpickle.register_pickle_by_value(lateweave)
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose id is not among the rejected ones; rows without an id stay."""
-    gone = materialize(rejected.select(F.col("doc_id").alias("_gone")).filter("_gone IS NOT NULL").distinct(),
-                       "rejected")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined (NULL, or no letter) go."""
-    found = langid.predict_languages(docs, langid.fit_languages(docs))
-    return _without(docs, found.filter(F.col("lang_pred") == langid.UNDETERMINED))
+    """Documents without a letter, and those whose predicted language is no better than a guess, go."""
+    return langid.keep_languages(docs, langid.fit_languages(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     field = toxicity.fit_field(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, toxicity.score_documents(docs, field).filter("predicted = 1"))
+    return toxicity.drop_toxic(docs, field)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
