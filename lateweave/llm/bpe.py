@@ -44,7 +44,7 @@ class _Numbers(dict):
 class ChunkEncoder:
     """Encodes texts with the tokenizers library; ``limit`` bounds the remembered chunks and words."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

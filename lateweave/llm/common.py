@@ -22,6 +22,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let the session hand texts to Python in batches of ``rows``, less than by default.
+
+    A batch is held outside the heap, once by the JVM and once by the worker, in every task; texts are
+    wide rows, and whatever is done with them here costs far more than a batch.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: lineage ends there."""
     path = scratch_path(df.sparkSession, name)

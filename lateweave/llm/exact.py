@@ -24,7 +24,7 @@ STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STATE}rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STATE}rocksdb.boundedMemoryUsage": "true",
-    f"{_STATE}rocksdb.maxMemoryUsageMB": "96",   # of an executor, for all its stores together
+    f"{_STATE}rocksdb.maxMemoryUsageMB": "64",   # of an executor, for all its stores together
     f"{_STATE}rocksdb.writeBufferSizeMB": "4",
     f"{_STATE}rocksdb.maxWriteBufferNumber": "2",
     f"{_STATE}rocksdb.allowFAllocate": "false",  # many small stores: no space ahead of need
