@@ -23,7 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import lateweave  # noqa: E402
 from lateweave.llm import exact, langid, minhash, packing, toxicity  # noqa: E402
-from lateweave.llm.common import documents, materialize  # noqa: E402
+from lateweave.llm.common import documents, materialize, small_batches  # noqa: E402
 from lateweave.llm.queries import BYTE_BPE  # noqa: E402
 
 cloudpickle.register_pickle_by_value(lateweave)
@@ -31,27 +31,32 @@ cloudpickle.register_pickle_by_value(lateweave)
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose predicted language is no better than a guess, go."""
+    small_batches(spark)
     return langid.keep_languages(docs, langid.fit_languages(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
+    small_batches(spark)
     field = toxicity.fit_field(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, field)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
+    small_batches(spark)
     return exact.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays."""
+    small_batches(spark)
     return minhash.drop_near_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of 2048."""
+    small_batches(spark)
     return packing.pack_documents(docs, BYTE_BPE)
 
 
