@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +17,11 @@ _FOLDER = os.environ.get("TOKENIZERS_DIR")
 
 
 def _tokenizer(name: str) -> str:
-    return f"{_FOLDER}/{name}" if _FOLDER else str(public_tokenizers.path(name))
+    if _FOLDER:
+        return f"{_FOLDER}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 BYTE_BPE = _tokenizer("byte_bpe_50k.json")

@@ -30,7 +30,6 @@ def encoded():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     d = texts().sort_values("doc_id")
     return {i: e.ids for i, e in zip(d.doc_id, t.encode_batch(list(d.text), add_special_tokens=False))}
 
