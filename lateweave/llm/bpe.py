@@ -71,9 +71,9 @@ class ChunkEncoder:
         self._forget()
 
     @classmethod
-    def of_process(cls, path: str) -> ChunkEncoder:
+    def of_process(cls, path: str, limit: int = 200_000) -> ChunkEncoder:
         """One encoder for all tasks that a worker process runs."""
-        return per_process(("ChunkEncoder", path), lambda: cls(path))
+        return per_process(("ChunkEncoder", path, limit), lambda: cls(path, limit))
 
     def _forget(self) -> None:
         self.seen = _Numbers()

@@ -29,6 +29,7 @@ ENTRY = np.dtype([("has_id", "<i8"), ("doc_id", "<i8"), ("offset", "<u8"), ("n_t
 HEAD = "<QI"  # length and its masked checksum
 MANIFEST = "part int, file string, records bigint, tokens bigint"
 MASK = 0xA282EAD8
+REMEMBERED = 400_000  # chunks of text that a worker process remembers
 FRAME = struct.calcsize(HEAD) + 4  # bytes of a record besides its payload
 
 
@@ -79,7 +80,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_path: str, end_i
     spark = docs.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder.of_process(tokenizer_path)
+        encode = ChunkEncoder.of_process(tokenizer_path, REMEMBERED)
         store, root = _store(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
