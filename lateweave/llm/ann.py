@@ -9,8 +9,10 @@ There are two tables of pivots, and what either finds is reranked. Pivots drawn
 of a crowded place apart, but there most of them are nearly the same vector to any other query;
 pivots that are spread out (farthest first) serve those.
 
-The index is cut into shards of bounded size, the queries into blocks of bounded size; every
-(shard, block) pair is one group, so no task holds more than one of each.
+The index is written once, in shards of bounded size, and the queries in blocks of bounded size. A
+task takes a block of queries over a run of shards, which it reads one after another from the shared
+folder, and keeps the nearest of each query as it goes: neither vectors nor queries are copied
+by a shuffle, and what is shuffled in the end is a few rows per query and run.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as arrow_fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lateweave.llm.common import materialize
+from lateweave.session import scratch_path
+from lateweave.sources import paths
 
 SAMPLE = 4_096      # distinct vectors from which pivots are chosen
 PIVOTS = 256        # in each of the two tables
@@ -33,7 +39,9 @@ NEAREST = 64        # pivots that represent a vector
 SHARE = 0.08        # share of a shard that each table has reranked for a query
 LEAST = 400         # and at least so many
 SHARD_ROWS = 16_384
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 16_384
+RUN_SHARDS = 64     # at most in one run
+MOST_TASKS = 100_000    # beyond that a task does several runs
 
 
 def unit_rows(vectors: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +160,64 @@ def _hash_parts(column: str, n: int):
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
+def write_parts(table: DataFrame, part: str, n: int, name: str) -> str:
+    """Write the rows in ``n`` folders by the hash of ``unit``; the path of the table."""
+    path = scratch_path(table.sparkSession, name)
+    (table.withColumn(part, _hash_parts("unit", n)).repartition(n, part)
+     .write.partitionBy(part).parquet(path))
+    paths.arrow_location(path)      # raises here, not in a task, where Arrow can't open the store
+    return path
+
+
+def read_part(path: str, part: str, i: int) -> pa.Table:
+    """The rows of folder ``i``, inside a task; a folder that is not there raises."""
+    store, folder = paths.arrow_location(f"{path}/{part}={i}")
+    files = sorted(f.path for f in store.get_file_info(arrow_fs.FileSelector(folder)) if f.path.endswith(".parquet"))
+    tables = []
+    for file in files:
+        with store.open_input_file(file) as source:
+            tables.append(pq.read_table(source))
+    return pa.concat_tables(tables)
+
+
+class Nearest:
+    """The nearest candidates of one query so far: larger score first, then the smaller id."""
+
+    def __init__(self, keep: int):
+        self.keep, self.scores, self.ids = keep, np.zeros(0), np.zeros(0, dtype=np.int64)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
+        first = np.lexsort((ids, -scores))[:self.keep]
+        self.scores, self.ids = scores[first], ids[first]
+
+
+def search_runs(index: str, asked: str, tables: list[np.ndarray], nearest: int, share: float, least: int, k: int):
+    """For rows (block, first, last): the ``k`` + 1 nearest of each query of the block in those shards."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.to_pylist():
+                raw = read_part(asked, "block", task["block"]).column("unit").to_pylist()
+                queries = np.stack([np.frombuffer(u) for u in raw])
+                held = [Nearest(k + 1) for _ in raw]
+                for i in range(task["first"], task["last"]):
+                    have = read_part(index, "shard", i)
+                    ids = have.column("ids").to_pylist()
+                    units = np.stack([np.frombuffer(u) for u in have.column("unit").to_pylist()])
+                    shard, most = Shard(units, ids, tables, nearest), max(least, int(np.ceil(share * len(ids))))
+                    for best, unit, orders in zip(held, queries, shard.orders(queries)):
+                        near, score = shard.search(unit, orders, most, k + 1)
+                        of_each = [ids[j] for j in near]
+                        best.add(np.repeat(score.round(14), [len(x) for x in of_each]),
+                                 np.array([x for some in of_each for x in some], dtype=np.int64))
+                counts = [len(best.ids) for best in held]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(len(raw)), counts))),
+                     pa.array(np.concatenate([best.ids for best in held])),
+                     pa.array(np.concatenate([best.scores for best in held]))], names=["unit", "vec_id", "score"])
+    return run
+
+
 def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS, nearest: int = NEAREST,
                        share: float = SHARE, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for every row where ``is_query`` holds.
@@ -190,32 +256,20 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, pivots: int = P
     asking = materialize(rows.filter("asks").select("vec_id", "embedding")
                          .mapInArrow(units_only, "query_id bigint, unit binary"), "ann-queries")
     asked = materialize(asking.select("unit").distinct(), "ann-asked")
-    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    left = (index.withColumn("shard", _hash_parts("unit", shards))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    right = (asked.withColumn("block", _hash_parts("unit", blocks))
-             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-
-    def search(key: tuple, have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, list] = {"unit": [], "vec_id": [], "score": []}
-        if len(have) and len(ask):
-            shard = Shard(np.stack([np.frombuffer(u) for u in have["unit"]]), have["ids"].tolist(), tables, nearest)
-            queries = np.stack([np.frombuffer(u) for u in ask["unit"]])
-            most = max(least, int(np.ceil(share * len(have))))
-            for raw, unit, orders in zip(ask["unit"], queries, shard.orders(queries)):
-                near, score = shard.search(unit, orders, most, k + 1)
-                for i, s in zip(near.tolist(), score.tolist()):
-                    for vec_id in shard.ids[i]:
-                        found["unit"].append(raw)
-                        found["vec_id"].append(int(vec_id))
-                        found["score"].append(s)
-        df = pd.DataFrame(found)
-        df["score"] = df["score"].astype(float).round(14)
-        df = df.sort_values(["score", "vec_id"], ascending=[False, True])
-        return df[df.groupby("unit").cumcount() <= k].astype({"vec_id": "int64"})
-
-    found = (left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
-             .applyInPandas(search, "unit binary, vec_id bigint, score double"))
+    n_asked = asked.count()
+    if not n_asked:
+        return spark.createDataFrame([], out)
+    blocks = -(-n_asked // BLOCK_ROWS)
+    # Long runs return fewer rows; short ones give every core a task.
+    length = max(1, min(RUN_SHARDS, shards * blocks // (2 * spark.sparkContext.defaultParallelism)))
+    runs = -(-shards // length)
+    row = F.col("id") % runs * length
+    todo = spark.range(0, blocks * runs, 1, min(blocks * runs, MOST_TASKS)).select(
+        F.floor(F.col("id") / runs).alias("block"), row.alias("first"),
+        F.least(row + length, F.lit(shards)).alias("last"))
+    stored = write_parts(index, "shard", shards, "ann-shards"), write_parts(asked, "block", blocks, "ann-blocks")
+    found = todo.mapInArrow(search_runs(*stored, tables, nearest, share, least, k),
+                            "unit binary, vec_id bigint, score double")
     best = Window.partitionBy("unit").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
     # A query that is among its own nearest drops out; the others move up.

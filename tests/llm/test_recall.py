@@ -57,3 +57,20 @@ def test_query_with_a_crowded_third(spark, tmp_path):
         queries = [q for q in range(0, ROWS, 100) if side[q]]
         hits = sum(len((set(np.argsort(-(x @ x[q]), kind="stable")[:K + 1]) - {q}) & found[q]) for q in queries)
         assert hits / (K * len(queries)) >= 0.9
+
+
+def test_runs_of_shards(spark, monkeypatch):
+    """Many shards, blocks and runs, all of each shard reranked: exactly the nearest, ties by id."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(ann, "RUN_SHARDS", 3)
+    rng = np.random.default_rng(3)
+    x = unit(rng.normal(size=(900, 8)))[np.r_[0:900, 0:60]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, F.col("vec_id") % 10 == 0, K, share=1.0).toPandas()
+    found = got.sort_values("rank").groupby("query_id").vec_id.agg(list)
+    assert len(found) == 96
+    for q in found.index:
+        s = (x @ x[q]).round(12)
+        s[q] = -9
+        assert found[q] == np.lexsort((np.arange(len(x)), -s))[:K].tolist()
