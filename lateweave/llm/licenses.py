@@ -156,6 +156,44 @@ for _kind, _words in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "B
                 TEMPLATES[_name] = _text
             KEYS[_name] = _key
 
+TEMPLATES["MIT-title"] = "The MIT License"
+TEMPLATES["MIT-head"] = "MIT License Copyright (c)"
+KEYS["MIT-title"] = _phrase("the", "mit", "license")
+KEYS["MIT-head"] = _phrase("mit", "license", "copyright")
+
+# Public license identifiers.
+IDENTIFIERS = [
+    "0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0",
+    "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only",
+    "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "OFL-1.1",
+    "Unlicense", "WTFPL", "Zlib"]
+IDENTIFIERS += [f"CC-{_kind}-{_number}" for _kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
+                for _number in ("1.0", "2.0", "2.5", "3.0", "4.0")]
+# The words before an identifier; several identifiers of one expression share them.
+LEAD = "SPDX-License-Identifier:"
+# An identifier ends where nothing goes on that would make it another one.
+_ENDS = r"(?![\w+]|[.-]\w)"
+
+for _id in IDENTIFIERS:
+    TEMPLATES[f"{_id}-spdx"] = f"{LEAD} {_id}"
+    # It may stand behind others of an expression.
+    KEYS[f"{_id}-spdx"] = (r"\b" + re.escape(LEAD) + r"[ \t(]*(?:[\w.+-]+[ \t)]+(?:or|and)[ \t(]+)*" + re.escape(_id) + _ENDS)
+    if _id.startswith("CC"):
+        continue
+    _said = [_id]
+    _gnu = re.fullmatch(r"(A?L?GPL)-(\d)\.(\d)", _id)
+    if _gnu:
+        _short = _gnu[2] + (f".{_gnu[3]}" if _gnu[3] != "0" else "")
+        _said += [f"{_gnu[1]}v{_short}", f"GNU {_gnu[1]} v{_short}", f"GNU {_gnu[1]} version {_short}"]
+    for _n, _text in enumerate(_said):
+        _parts = _WORD.findall(_text.lower())
+        # Of three or four words none may be missing, so each verb is a template of its own.
+        for _verb in ("Licensed", "Released", "Distributed")[:3 if len(_parts) < 3 else 1]:
+            _name = "-".join([_id, "brief", *([str(_n + 1)] if _n else []), *([_verb.lower()] if _verb != "Licensed" else [])])
+            TEMPLATES[_name] = f"{_verb} under {_text}"
+            KEYS[_name] = r"\bunder\W+(?:the\W+)?" + r"\W+".join(_parts) + _ENDS
+
 
 def longest_increasing(values: list[int]) -> list[int]:
     """Positions of a longest strictly increasing subsequence, by patience sorting."""
@@ -209,6 +247,8 @@ class Scanner:
         self.keys = [re.compile(keys[n], re.I) if n in keys else None for n in self.names]
         self.words = [_WORD.findall(templates[n].lower()) for n in self.names]
         self.counts = [Counter(w) for w in self.words]
+        lead = _WORD.findall(LEAD.lower())
+        self.lead = [len(lead) if w[:len(lead)] == lead else 0 for w in self.words]
         self.vocabulary = set().union(*self.counts) if self.counts else set()
         self.pairs: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
@@ -294,9 +334,10 @@ class Scanner:
         taken: set[int] = set()
         rows = set()
         for t, match in sorted(out, key=lambda x: (-len(x[1]), x[1][-1] - x[1][0], len(self.words[x[0]]), x[1], x[0])):
-            if 2 * sum(i in taken for i in match) > len(match):
+            own = match[self.lead[t]:]
+            if 2 * sum(i in taken for i in own) > len(own):
                 continue
-            taken.update(match)
+            taken.update(own)
             rows.add((self.names[t], len(match) / len(self.words[t]), found[match[0]].start(), found[match[-1]].end()))
         return sorted(rows, key=lambda x: (x[2], x[3], x[0]))
 
@@ -306,7 +347,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     A notice counts when at least ``coverage`` of the template's words align, its key (``KEYS``, for
     the templates given here) among them. Documents without one, NULL and empty texts give no rows.
-    Of templates that fit the same place the one with the most aligned words is returned; the same
+    Of templates that fit the same place the one with the most aligned words is returned; of an SPDX
+    expression each identifier that ends within twice the length of its own template. The same
     notice twice in a text is two rows. Rows that repeat give their notices again; an empty
     table gives none; extra columns are ignored.
     """

@@ -27,6 +27,25 @@ TEXTS = {
     "Released under the BSD License. Parts are released under the MIT License.": ["BSD-notice", "MIT-notice"],
     f"{GNU}General Public License, version 2. {GNU}General Public License, version 3.": [
         "GPL-2.0-notice", "GPL-3.0-notice"],
+    "MIT License\n\nCopyright (c) 2020 A. Writer": ["MIT-head"],
+    "The MIT License (MIT)": ["MIT-title"],
+    "This is licensed under MIT.": ["MIT-brief"],
+    "Released under MIT, as before": ["MIT-brief-released"],
+    "licensed under a deal with MIT": [],
+    "licensed under MIT-0": ["MIT-0-brief"],
+    "It is licensed under the GNU GPL v3.": ["GPL-3.0-brief-3"],
+    "distributed under the GNU GPL version 2": ["GPL-2.0-brief-4"],
+    "licensed under the GPLv3": ["GPL-3.0-brief-2"],
+    "licensed under LGPLv2.1": ["LGPL-2.1-brief-2"],
+    "licensed under LGPLv2.2": [],
+    "Licensed under GPL-3.0-or-later": ["GPL-3.0-or-later-brief"],
+    "# SPDX-License-Identifier: MIT": ["MIT-spdx"],
+    "# SPDX-License-Identifier: MIT-0.": ["MIT-0-spdx"],
+    "# SPDX-License-Identifier: MIT-1": [],
+    "// SPDX-License-Identifier: GPL-2.0-or-later */": ["GPL-2.0-or-later-spdx"],
+    "// SPDX-License-Identifier: GPL-2.0+": [],
+    "SPDX-License-Identifier: (MIT OR Apache-2.0)": ["MIT-spdx", "Apache-2.0-spdx"],
+    "SPDX-License-Identifier: CC-BY-NC-SA-4.0": ["CC-BY-NC-SA-4.0-spdx"],
 }
 
 
