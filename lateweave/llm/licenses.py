@@ -250,6 +250,12 @@ class Scanner:
         lead = _WORD.findall(LEAD.lower())
         self.lead = [len(lead) if w[:len(lead)] == lead else 0 for w in self.words]
         self.vocabulary = set().union(*self.counts) if self.counts else set()
+        # As many words of each template as may be missing, and one more: a text has one of them. Long ones are rare.
+        self.needs: dict[str, list[int]] = defaultdict(list)
+        for t, words in enumerate(self.words):
+            may_miss = int(len(words) * (1 - coverage) + 1e-9)
+            for w in sorted(self.counts[t], key=lambda w: (-len(w), w))[:may_miss + 1]:
+                self.needs[w].append(t)
         self.pairs: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
             for q, pair in enumerate(zip(words, words[1:])):
@@ -270,7 +276,8 @@ class Scanner:
         found = list(_WORD.finditer(text))
         words = [m[0].lower() for m in found]
         have = Counter(w for w in words if w in self.vocabulary)
-        open_ = {t for t in range(len(self.names)) if self._open(t, have, text)}
+        likely = {t for w in have for t in self.needs.get(w, ())}
+        open_ = {t for t in likely if self._open(t, have, text)}
         if not open_:
             return []
         seeds: dict[int, list[int]] = defaultdict(list)
