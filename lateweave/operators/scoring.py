@@ -2,7 +2,10 @@
 
 The documents stay where their scan put them and are read once: no shuffle, no join, no row per
 pair. A task gathers its Arrow batches into a chunk of bounded size and scores it against all
-queries, block by block. Queries that fit ``pass_bytes`` are broadcast; more of them are written
+queries, block by block. A chunk holds each distinct vector once, with the documents it occurs in.
+Of long documents only the vectors close to a query token are followed to their documents; what
+else a document holds is bounded by that closeness, and what can be among the best by this bound is
+scored exactly (``indexed_documents``). Short ones are multiplied out (``best_documents``). Queries that fit ``pass_bytes`` are broadcast; more of them are written
 to a table below the shared checkpoint folder, whose files every task streams over for each chunk,
 so a task holds one chunk of documents and one block of queries, however many there are.
 
@@ -31,10 +34,15 @@ from lateweave.session import scratch_path
 from lateweave.sources import paths
 
 QUERY_PASS_BYTES = 128 << 20    # query vectors in a broadcast or in a file of the query table
-CHUNK_BYTES = 256 << 20         # document vectors that a task holds
+CHUNK_BYTES = 128 << 20         # distinct document vectors, places and best matches that a task holds
+DENSE_BYTES = 32 << 20          # document vectors that are multiplied out together
 CANDIDATE_BYTES = 256 << 20     # best documents of the queries of one pass in one task
 CANDIDATE_ROW_BYTES = 160
 BLOCK_TOKENS = 1024
+GUESSES = 8                     # documents from which the closeness is guessed that is followed up
+LEAST_PLACES = 64               # distinct vectors of a document on average below which all is multiplied out
+CLOSE_LIMIT = 4 << 20           # (vector, token) pairs held for a block
+PLACES_AT_ONCE = 1 << 20
 SINGLE = float(np.finfo("float32").eps)
 MODES = ("plain", "norm", "unnorm")
 
@@ -165,19 +173,86 @@ class Chunk:
     hidden: np.ndarray     # per token
 
 
-def doc_chunk(rows: pa.Table, dim: int) -> Chunk:
-    """Token matrix, token counts and hidden tokens; an empty document gets one hidden token."""
+def numbered(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that stand for the distinct ones, and for each row the place of its like among them."""
+    if not vectors.size:
+        return np.arange(min(1, len(vectors))), np.zeros(len(vectors), dtype="int64")
+    words = np.ascontiguousarray(vectors).view("uint32").reshape(len(vectors), -1)
+    odd = np.random.default_rng(words.shape[1]).integers(1 << 62, size=words.shape[1], dtype="uint64") * 2 + 1
+    key = np.zeros(len(words), dtype="uint64")
+    for word, factor in zip(words.T, odd):
+        key = (key ^ (key >> np.uint64(29))) * factor + word
+    _, first, same = np.unique(key, return_index=True, return_inverse=True)
+    other = np.zeros(len(words), dtype=bool)
+    for i in range(0, len(words), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        other[part] = (words[first[same[part]]] != words[part]).any(axis=1)
+    alone = np.flatnonzero(other)       # equal keys, other vectors: each counts as distinct
+    same[alone] = len(first) + np.arange(len(alone))
+    return np.concatenate([first, alone]), same
+
+
+@dataclass
+class DocIndex:
+    """Documents of one split: their distinct vectors, and which of them each document holds."""
+
+    ids: pa.Array
+    toks: np.ndarray       # [V, D], distinct
+    places: np.ndarray     # numbers of vectors, document by document, none twice in one
+    counts: np.ndarray     # places of each document
+    hidden: np.ndarray     # per document, whether it has a hidden token or none at all
+
+    @property
+    def nbytes(self) -> int:
+        return self.toks.nbytes + 12 * len(self.places) + 4 * BLOCK_TOKENS * len(self.counts)
+
+    def holders(self) -> Holders:
+        docs = np.repeat(np.arange(len(self.counts)), self.counts)
+        return Holders(self.places, docs, len(self.toks), len(self.counts))
+
+
+def doc_index(rows: pa.Table) -> DocIndex:
+    """The index of one batch."""
     rows = rows.combine_chunks()
     toks, counts = token_rows(rows.column("toks").combine_chunks())
-    hidden = np.zeros(len(toks), dtype=bool)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    hidden = counts == 0
     if "mask" in rows.schema.names:
-        seen = pc.fill_null(rows.column("mask").combine_chunks().flatten(), False)
-        hidden = ~seen.to_numpy(zero_copy_only=False)
-    if (counts == 0).any():
-        at = np.cumsum(counts)[counts == 0]
-        toks = np.insert(toks if len(toks) else np.zeros((0, dim)), at, 0.0, axis=0)
-        hidden, counts = np.insert(hidden, at, True), np.maximum(counts, 1)
-    return Chunk(rows.column("doc_id").combine_chunks(), toks, np.cumsum(counts) - counts, counts, hidden)
+        seen = pc.fill_null(rows.column("mask").combine_chunks().flatten(), False).to_numpy(zero_copy_only=False)
+        hidden[doc[~seen]] = True
+        toks, doc = toks[seen], doc[seen]
+    kept, same = numbered(toks)
+    pairs = np.sort(doc * max(1, len(kept)) + same)
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[:len(pairs)]]
+    doc, places = np.divmod(pairs, max(1, len(kept)))
+    return DocIndex(rows.column("doc_id").combine_chunks(), toks[kept], places.astype("int32"),
+                    np.bincount(doc, minlength=len(counts)), hidden)
+
+
+def joined_index(parts: list[DocIndex]) -> DocIndex:
+    """One index of the documents of several."""
+    full = [p.toks for p in parts if len(p.toks)]
+    if len({t.shape[1] for t in full}) > 1:
+        raise ValueError(f"token vectors of unequal sizes: {sorted({t.shape[1] for t in full})}")
+    toks = np.concatenate(full) if full else np.zeros((0, 0), dtype="float32")
+    kept, same = numbered(toks)
+    before = np.cumsum([0] + [len(p.toks) for p in parts])
+    places = np.concatenate([same[p.places + n].astype("int32") for p, n in zip(parts, before)])
+    return DocIndex(pa.concat_arrays([p.ids for p in parts]), toks[kept], places,
+                    np.concatenate([p.counts for p in parts]), np.concatenate([p.hidden for p in parts]))
+
+
+def dense_chunks(index: DocIndex, dim: int) -> Iterator[Chunk]:
+    """The documents with their vectors written out, in chunks of bounded size."""
+    toks = index.toks if len(index.toks) else np.zeros((0, dim), dtype="float32")
+    ends = np.cumsum(index.counts)
+    for lo, hi in _runs(index.counts, max(1, DENSE_BYTES // max(1, toks.itemsize * toks.shape[1]))):
+        counts, extra = index.counts[lo:hi], index.hidden[lo:hi]
+        rows = toks[index.places[ends[lo] - index.counts[lo]:ends[hi - 1]]]
+        at = np.cumsum(counts)[extra]       # one hidden token stands for all of a document
+        rows, hidden = np.insert(rows, at, 0.0, axis=0), np.insert(np.zeros(len(rows), dtype=bool), at, True)
+        counts = counts + extra
+        yield Chunk(index.ids[lo:hi], rows, np.cumsum(counts) - counts, counts, hidden)
 
 
 def _summed(best: np.ndarray, block: QueryBlock) -> np.ndarray:
@@ -201,9 +276,8 @@ def rounding_bound(chunk: Chunk, block: QueryBlock) -> np.ndarray:
     """Per query, how far a score of ``single_scores`` can be from the one in double precision."""
     if not block.toks.shape[1]:
         return np.zeros(len(block.qids))
-    longest = np.sqrt(np.einsum("ij,ij->i", chunk.toks, chunk.toks, dtype="float64").max(initial=0.0))
     lengths = np.sqrt(np.einsum("ij,ij->i", block.toks, block.toks, dtype="float64"))
-    each = (block.toks.shape[1] + 4) * SINGLE * longest * lengths
+    each = rounding_length(chunk.toks) * lengths
     return np.add.reduceat(each * np.abs(block.weights), block.starts) / block.divisors
 
 
@@ -248,46 +322,260 @@ def best_documents(chunk: Chunk, block: QueryBlock, k: int, dtype: str, single:
     else:
         wanted = _may_be_best(scores, k, rounding_bound(chunk, block) + 1 / unit)
         found = double_scores(chunk, block, wanted, double)
-    d, q = np.nonzero(wanted)
-    rows = pa.table({"q": q, "grade": np.rint(found * unit), "score": found, "doc_id": chunk.ids.take(pa.array(d))})
+    return _cut(chunk.ids, *np.nonzero(wanted), found, unit, k)
+
+
+def _cut(ids: pa.Array, d: np.ndarray, q: np.ndarray, found: np.ndarray, unit: float, k: int) -> pa.Table:
+    rows = pa.table({"q": q, "grade": np.rint(found * unit), "score": found, "doc_id": ids.take(pa.array(d))})
     rows = rows.take(pc.sort_indices(rows, sort_keys=[
         ("q", "ascending"), ("grade", "descending"), ("doc_id", "ascending")]))
     q = rows["q"].to_numpy()
     return rows.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
 
 
-def _local_topk(passes: Callable[[], Iterable[dict[str, list[tuple]]]], k: int, dtype: str, chunk_bytes: int):
-    """``passes()`` gives the query blocks of one pass after another."""
+class Holders:
+    """The documents that hold each vector, of all documents of an index or of some."""
+
+    def __init__(self, places: np.ndarray, docs: np.ndarray, vectors: int, documents: int) -> None:
+        pairs = np.sort(places.astype("int64") * documents + docs)
+        self.ends = np.cumsum(np.bincount(places, minlength=vectors))
+        self.docs = (pairs % documents).astype("int32")
+
+    def of(self, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each place in ``vectors`` with each holder of the vector named there."""
+        stop = self.ends[vectors]
+        count = stop - np.where(vectors > 0, self.ends[vectors - 1], 0)
+        found = np.flatnonzero(count)
+        count, start = count[found], stop[found] - count[found]
+        for lo, hi in _even_runs(count, PLACES_AT_ONCE):
+            n = count[lo:hi]
+            at = np.repeat(start[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield np.repeat(found[lo:hi], n), self.docs[at].astype("int64")
+
+
+class Close:
+    """The document vectors that are close to the tokens of one block of queries.
+
+    ``level`` is the closeness per distinct token: pairs at or above it are held, in single precision.
+    It is the least of the best matches of some long documents, since it's those that others have to
+    beat. ``best`` ``[documents, distinct tokens]`` is a document's best match, or the value just below
+    the level where none of its vectors is that close, which is then a bound.
+    """
+
+    def __init__(self, index: DocIndex, holders: Holders, guesses: np.ndarray, block: QueryBlock,
+                 scratch: Scratch, double: Scratch) -> None:
+        kept, self.column = numbered(block.toks)
+        self.index, self.block, self.double = index, block, double
+        self.queries = block.toks[kept]
+        single = self.queries.astype("float32", copy=False)
+        lengths = np.sqrt(np.einsum("ij,ij->i", self.queries, self.queries, dtype="float64"))
+        self.error = rounding_length(index.toks) * lengths
+        self.ends = np.cumsum(index.counts)
+        self.level = np.full(len(single), np.inf, dtype="float32")
+        for i in guesses:
+            best = best_per_token(self._toks(i).astype("float32", copy=False), np.zeros(1, dtype=int), single,
+                                  None, scratch)
+            np.minimum(self.level, best[0], out=self.level)
+        np.maximum(self.level, np.float32(MASKED_SCORE), out=self.level)
+        self._collect(single, scratch)
+        below = np.nextafter(self.level, np.float32(-np.inf))
+        self.sure = below + 2 * self.error
+        self.best = np.empty((len(index.counts), len(single)), dtype="float32")
+        self.best[:] = below
+        self.best[index.counts == 0] = MASKED_SCORE
+        for pair, doc in holders.of(self.vector):
+            np.maximum.at(self.best.reshape(-1), doc * len(single) + self.token[pair], self.sim[pair])
+
+    def _toks(self, doc: int) -> np.ndarray:
+        """A document's distinct vectors."""
+        return self.index.toks[self.index.places[self.ends[doc] - self.index.counts[doc]:self.ends[doc]]]
+
+    def _collect(self, single: np.ndarray, scratch: Scratch) -> None:
+        """The pairs (vector, token) at or above the level, which rises where they are too many."""
+        toks, held, number = self.index.toks, [], 0
+        step = max(1, BLOCK_TOKENS // 2)
+        for lo in range(0, len(toks), step):
+            part = toks[lo:lo + step].astype("float32", copy=False)
+            sims = np.matmul(part, single.T, out=scratch.shaped(len(part), len(single)))
+            at = np.flatnonzero(sims >= self.level)
+            v, c = np.divmod(at, len(single))
+            held.append(((v + lo).astype("int32"), c.astype("int32"), sims.reshape(-1)[at]))
+            number += len(at)
+            if number > CLOSE_LIMIT:
+                v, c, sim = (np.concatenate(x) for x in zip(*held))
+                top = self.level.copy()
+                np.maximum.at(top, c, sim)
+                self.level = np.maximum(self.level, (self.level + top) / 2)
+                keep = sim >= self.level[c]
+                held, number = [(v[keep], c[keep], sim[keep])], int(keep.sum())
+        v, c, sim = (np.concatenate(x) for x in zip(*held))
+        keep = sim >= self.level[c]
+        self.vector, self.token, self.sim = v[keep], c[keep], sim[keep]
+
+    def bounds(self) -> np.ndarray:
+        """``[documents, queries]``: no score in single precision is larger."""
+        weights = np.zeros((len(self.queries), len(self.block.qids)))
+        owner = np.searchsorted(self.block.starts, np.arange(len(self.column)), side="right") - 1
+        np.add.at(weights, (self.column, owner), self.block.weights / self.block.divisors[owner])
+        self.member = np.zeros(weights.shape, dtype="float32")
+        self.member[self.column, owner] = 1
+        return np.concatenate([self.best[i:i + BLOCK_TOKENS].astype("float64") @ weights
+                               for i in range(0, len(self.best), BLOCK_TOKENS)])
+
+    def exact(self, wanted: np.ndarray) -> np.ndarray:
+        """Scores of the ``wanted`` pairs ``[documents, queries]`` in double precision, in row order."""
+        docs = np.flatnonzero(wanted.any(axis=1))
+        return np.concatenate([np.zeros(0)] + [self._exact(docs[i:i + BLOCK_TOKENS], wanted)
+                                               for i in range(0, len(docs), BLOCK_TOKENS)])
+
+    def _exact(self, docs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        index, block, width = self.index, self.block, len(self.queries)
+        need = wanted[docs].astype("float32") @ self.member.T > 0
+        best = self.best[docs]
+        known = need & (best >= self.sure)
+        near = np.where(known, best - 2 * self.error, np.inf)
+        out = np.full(need.shape, -np.inf)
+        out[index.hidden[docs]] = MASKED_SCORE
+        sizes, ends = index.counts[docs], self.ends[docs]
+        at = np.repeat(ends - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+        some = Holders(index.places[at], np.repeat(np.arange(len(docs)), sizes), len(index.toks), len(docs))
+        for pair, doc in some.of(self.vector):
+            at = doc * width + self.token[pair]
+            keep = self.sim[pair] >= near.reshape(-1)[at]
+            pair, at = pair[keep], at[keep]
+            for i in range(0, len(pair), PLACES_AT_ONCE // 16):
+                part = pair[i:i + PLACES_AT_ONCE // 16]
+                sims = np.einsum("ij,ij->i", index.toks[self.vector[part]], self.queries[self.token[part]],
+                                 dtype="float64")
+                np.maximum.at(out.reshape(-1), at[i:i + PLACES_AT_ONCE // 16], sims)
+        missing = need & ~known
+        for i in np.flatnonzero(missing.any(axis=1)):      # no vector of the document is close enough
+            tokens = np.flatnonzero(missing[i])
+            best = best_per_token(self._toks(docs[i]).astype("float64", copy=False), np.zeros(1, dtype=int),
+                                  self.queries[tokens].astype("float64", copy=False), None, self.double)
+            out[i, tokens] = np.maximum(out[i, tokens], best[0])
+        best = np.where(need, out, 0.0)[:, self.column]
+        return _summed(best, block)[wanted[docs]]
+
+
+def _even_runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """``_runs`` for very many small sizes."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, stop
+        start = stop
+
+
+def rounding_length(toks: np.ndarray) -> float:
+    """How far an inner product in single precision can be off, for a query token of length one."""
+    longest = np.sqrt(np.einsum("ij,ij->i", toks, toks, dtype="float64").max(initial=0.0))
+    return (toks.shape[1] + 4) * SINGLE * longest
+
+
+def long_documents(index: DocIndex, k: int) -> np.ndarray | None:
+    """Some of the ``k`` longest documents, or None where it's better to multiply all out.
+
+    That is so with short documents and with vectors that are not finite.
+    """
+    if len(index.places) < LEAST_PLACES * len(index.counts):
+        return None
+    if not all(np.isfinite(index.toks[i:i + (1 << 16)]).all() for i in range(0, len(index.toks), 1 << 16)):
+        return None
+    longest = np.argsort(-index.counts, kind="stable")[:k]
+    longest = longest[index.counts[longest] > 0]
+    return longest[np.unique(np.linspace(0, len(longest) - 1, GUESSES).astype("int64"))]
+
+
+def indexable(block: QueryBlock) -> bool:
+    """A bound of each best match bounds the score: no weight is negative, all values are finite."""
+    return bool(block.toks.shape[1] and (block.weights >= 0).all() and np.isfinite(block.toks).all()
+                and np.isfinite(block.weights).all())
+
+
+def indexed_documents(index: DocIndex, holders: Holders, guesses: np.ndarray, block: QueryBlock, k: int,
+                      known: np.ndarray, single: Scratch, double: Scratch) -> pa.Table:
+    """What ``best_documents`` gives, for long documents; same scores, fewer products.
+
+    ``known`` ``[queries, k]`` holds the best grades of the task so far, in ascending order, and is
+    brought up to date. Documents that can't be among the task's best ``k`` are left out.
+    """
+    unit = 10.0 ** DECIMALS["float64"]
+    close = Close(index, holders, guesses, block, single, double)
+    bounds = close.bounds()
+    slack = 2 * rounding_bound(index, block) + 2 / unit
+    first = bounds >= known[:, 0] / unit - slack
+    if len(bounds) > k:
+        kth = np.partition(bounds, len(bounds) - k, axis=0)[len(bounds) - k]
+        first &= bounds >= kth
+    found = [(*np.nonzero(first), close.exact(first))]
+    _remember(known, *found[0][1:], unit)
+    rest = (bounds >= known[:, 0] / unit - slack) & ~first
+    found.append((*np.nonzero(rest), close.exact(rest)))
+    _remember(known, *found[1][1:], unit)
+    d, q, scores = (np.concatenate(x) for x in zip(*found))
+    good = np.rint(scores * unit) >= known[q, 0]
+    return _cut(index.ids, d[good], q[good], scores[good], unit, k)
+
+
+def _remember(known: np.ndarray, q: np.ndarray, scores: np.ndarray, unit: float) -> None:
+    """Add new grades to the best known ones."""
+    order = np.argsort(q, kind="stable")
+    q, grades = q[order], np.rint(scores[order] * unit)
+    for i in np.unique(q):
+        lo, hi = np.searchsorted(q, [i, i + 1])
+        known[i] = np.sort(np.concatenate([known[i], grades[lo:hi]]))[-known.shape[1]:]
+
+
+def _local_topk(passes: Callable[[], Iterable[dict[str, list[tuple]]]], k: int, dtype: str, chunk_bytes: int,
+                remember: bool = False):
+    """``passes()`` gives the query blocks of one pass after another; with ``remember`` the task keeps
+    the best grades of all queries from chunk to chunk."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single, double = Scratch("float32"), Scratch("float64")
+        grades: dict[tuple[str, int], np.ndarray] = {}
 
-        def scored(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            parts = {s: table.filter(pc.equal(table["split"], s)) for s in pc.unique(table["split"]).to_pylist()}
-            chunks: dict[str, Chunk] = {}
+        def scored(held: dict[str, list[DocIndex]]) -> Iterator[pa.RecordBatch]:
+            indexes = {}
             for blocks in passes():
                 for split, of_split in blocks.items():
-                    if split not in parts:
+                    if split not in held and split not in indexes:
                         continue
                     of_split = [QueryBlock(*b) for b in of_split]
-                    if split not in chunks:
-                        chunks[split] = doc_chunk(parts[split], max(b.toks.shape[1] for b in of_split))
-                    for block in of_split:
-                        rows = best_documents(chunks[split], block, k, dtype, single, double)
-                        out = pa.table({
-                            "split": pa.array([split] * rows.num_rows, pa.string()),
-                            "qid": pa.array(block.qids[rows["q"].to_numpy()], pa.string()),
-                            "doc_id": rows["doc_id"].cast(pa.string()),
-                            "score": rows["score"], "grade": rows["grade"]})
-                        yield from out.combine_chunks().to_batches()
-
-        held, size = [], 0
+                    if split not in indexes:
+                        index = joined_index(held.pop(split))
+                        guesses = long_documents(index, k) if dtype == "float64" else None
+                        indexes[split] = index, guesses, None if guesses is None else index.holders()
+                    index, guesses, holders = indexes[split]
+                    for i, block in enumerate(of_split):
+                        if guesses is not None and indexable(block):
+                            known = grades.get((split, i), np.full((len(block.qids), k), -np.inf))
+                            if remember:
+                                grades[split, i] = known
+                            tables = [indexed_documents(index, holders, guesses, block, k, known, single, double)]
+                        else:
+                            dim = max(b.toks.shape[1] for b in of_split)
+                            tables = (best_documents(chunk, block, k, dtype, single, double)
+                                      for chunk in dense_chunks(index, dim))
+                        for rows in tables:
+                            out = pa.table({
+                                "split": pa.array([split] * rows.num_rows, pa.string()),
+                                "qid": pa.array(block.qids[rows["q"].to_numpy()], pa.string()),
+                                "doc_id": rows["doc_id"].cast(pa.string()),
+                                "score": rows["score"], "grade": rows["grade"]})
+                            yield from out.combine_chunks().to_batches()
+
+        held, size = {}, 0
         for batch in batches:
-            if held and size + batch.nbytes > chunk_bytes:
-                yield from scored(held)
-                held, size = [], 0
-            held.append(batch)
-            size += batch.nbytes
+            table = pa.Table.from_batches([batch])
+            for split in pc.unique(table["split"]).to_pylist():
+                part = doc_index(table.filter(pc.equal(table["split"], split)))
+                if held and size + part.nbytes > chunk_bytes:
+                    yield from scored(held)
+                    held, size = {}, 0
+                held.setdefault(split, []).append(part)
+                size += part.nbytes
         if held:
             yield from scored(held)
     return run
@@ -345,8 +633,8 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
     Queries are measured first. Up to ``pass_bytes`` of vectors are broadcast; more are written
     to the shared checkpoint folder in passes of that size, and every task reads these files one
     by one for each chunk of documents. Either way ``docs`` is read once, by the one job that the
-    result is part of. A task holds ``chunk_bytes`` of documents, one pass, and ``k`` rows per
-    query of a block. The query table stays until ``session.clear_scratch``.
+    result is part of. A task holds ``chunk_bytes`` of documents, one pass, ``k`` rows per
+    query of a block, and of broadcast queries ``k`` grades each. The query table stays until ``session.clear_scratch``.
     ``partitions`` spreads a small document table over more tasks. Scores that agree to
     ``DECIMALS`` tie and go by ``doc_id``. ``dtype="float32"`` keeps the scores of single precision.
     """
@@ -375,7 +663,7 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
             passes = _stored_passes([f for f in files if f], mode)
     finally:
         queries.unpersist()
-    local = docs.mapInArrow(_local_topk(passes, k, dtype, chunk_bytes), _OUT)
+    local = docs.mapInArrow(_local_topk(passes, k, dtype, chunk_bytes, n == 1), _OUT)
     return topk_per_query(local, k, by="grade").drop("grade")
 
 
