@@ -87,6 +87,19 @@ def seeded_shuffle(df: DataFrame, keys: list[str], seed: int = SEED,
             .sortWithinPartitions("shuffle_key", *keys))
 
 
+PIECE_BYTES = 128 << 20     # text that one task of a shuffle should get
+
+
+def cut_shards(df: DataFrame, columns: list[str], shards: int) -> int:
+    """``shards``, or the least multiple of it with at most ``PIECE_BYTES`` of text in each on average.
+
+    A shard that is too much for a task is several files then. The texts are read once to be measured.
+    """
+    size = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in columns]
+    total = df.agg(F.sum(reduce(Column.__add__, size))).first()[0] or 0
+    return shards * max(1, math.ceil(total / (shards * PIECE_BYTES)))
+
+
 _STEP = 4          # hex digits per refinement: at most 16**4 buckets are counted at a time
 _SORT_ROWS = 100_000
 

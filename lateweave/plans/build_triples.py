@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lateweave.operators.merge import SEED, merge_sources, numbered_copies, seeded_shuffle
+from lateweave.operators.merge import SEED, cut_shards, merge_sources, numbered_copies, seeded_shuffle
 from lateweave.operators.triples import (
     MAX_NEG, MAX_POS, explode_product, flatten_record, min_length_filter, project_triple,
     resolve_record,
@@ -51,9 +51,12 @@ def materialize_prompted(spark: SparkSession, folder: str, path: str, split: str
                          shards: int | None = None) -> str:
     """Write the triples of the JSONL domains in a seeded order, replacing the table.
 
-    The order depends on the rows alone, not on how the input is cut into files.
+    The order depends on the rows alone, not on how the input is cut into files. Large ``shards`` are
+    written as several files each.
     """
-    rows = numbered_copies(prompted_triples(spark, folder, split, max_pos, max_neg), TRIPLE_COLUMNS)
+    triples = prompted_triples(spark, folder, split, max_pos, max_neg)
+    shards = shards and cut_shards(triples, TRIPLE_COLUMNS, shards)
+    rows = numbered_copies(triples, TRIPLE_COLUMNS)
     mixed = seeded_shuffle(rows, [*TRIPLE_COLUMNS, "copy"], seed, shards)
     return write_replace(project_triple(mixed), path)
 
@@ -64,10 +67,12 @@ def merge_tables(spark: SparkSession, inputs: dict[str, str], path: str, seed: i
 
     The order comes from each row's source, content and number among its equals, so equal
     rows spread as well and the same rows in other files give the same order. The merged rows
-    must be as many as the inputs' rows together.
+    must be as many as the inputs' rows together. Large ``shards`` are written as several files each.
     """
     sources = {n: load_triples(spark, p) for n, p in inputs.items()}
     total = sum(df.count() for df in sources.values())      # from the file footers
     keys = ["source", *TRIPLE_COLUMNS]
-    mixed = seeded_shuffle(numbered_copies(merge_sources(sources), keys), [*keys, "copy"], seed, shards)
+    merged = merge_sources(sources)
+    shards = shards and cut_shards(merged, TRIPLE_COLUMNS, shards)
+    mixed = seeded_shuffle(numbered_copies(merged, keys), [*keys, "copy"], seed, shards)
     return write_verified(project_triple(mixed), path, expect_rows=total)
