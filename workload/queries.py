@@ -17,7 +17,7 @@ from lateweave.operators.gatefit import (
     score_loss, text_features, triple_features,
 )
 from lateweave.operators.merge import (
-    corpus_counts, limit_batches, merge_sources, seeded_shuffle, source_counts, train_test_split,
+    corpus_counts, cut_shards, limit_batches, merge_sources, seeded_shuffle, source_counts, train_test_split,
 )
 from lateweave.operators.metrics import (
     exclusions_from_lists, gold_counts, join_qrels, qrels_from_gold, qrels_from_pairs,
@@ -597,13 +597,19 @@ def triple_build(spark, sf_dir):
 
 @query
 def manifest_rows(spark, sf_dir):
-    """Rows of every file of a verified table, from its manifest, and what is wrong with it."""
+    """Rows of every part of a verified table, from its manifest, and what is wrong with it.
+
+    A part is one file, or several where it would be too much for a task.
+    """
     docs = t.table(spark, sf_dir, "documents")
-    path = write_verified(docs.repartitionById(4, (F.col("doc_id") % 4).cast("int")), scratch_path(spark, "verified"))
+    files = cut_shards(docs, ["text"], 4) // 4
+    place = F.col("doc_id") % 4 * files + F.pmod(F.xxhash64("doc_id"), F.lit(files))
+    path = write_verified(docs.repartitionById(4 * files, place.cast("int")), scratch_path(spark, "verified"))
     wrong = damaged_files(spark, path).select("file", "problem")
-    return read_manifest(spark, path).join(wrong, "file", "left").select(
-        F.regexp_extract("file", r"^part-(\d+)", 1).cast("int").alias("part"), "n",
-        F.coalesce("problem", F.lit("good")).alias("state"))
+    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("int")
+    return (read_manifest(spark, path).join(wrong, "file", "left")
+            .groupBy(F.floor(part / files).cast("int").alias("part"))
+            .agg(F.sum("n").alias("n"), F.coalesce(F.max("problem"), F.lit("good")).alias("state")))
 
 
 @query
