@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from lateweave.functions.gate import Gate, gate_block, init_gate
 from lateweave.functions.vectors import MASKED_SCORE, MIN_WEIGHT_SUM
 from lateweave.operators.joins import HOT_ROWS, last_wins, left_join_hot
-from lateweave.operators.scoring import Scratch, best_per_token, token_rows
+from lateweave.operators.scoring import Scratch, best_per_token, even_runs, token_rows
 from lateweave.operators.tokens import DOCUMENT_LENGTH, QUERY_LENGTH, Encoder, embed_tokens
 from lateweave.schemas import STEP_LOG, require_columns
 from lateweave.session import scratch_path, write_scratch
@@ -26,6 +27,7 @@ from lateweave.sources import paths
 LEARNING_RATE = 5e-4
 CLIP_NORM = 1.0
 MAX_STEPS = 3000
+PIECE_BYTES = 16 << 20      # of a batch of vectors that is worked on at once
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
 
@@ -53,6 +55,18 @@ def _best(q: np.ndarray, toks: np.ndarray, scratch: Scratch) -> np.ndarray:
     return best_per_token(toks, np.zeros(1, dtype=int), q, None, scratch)[0]
 
 
+def _pieces(batch: pa.RecordBatch, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``PIECE_BYTES`` of token vectors, at least one row each.
+
+    Vectors become double and are multiplied, which takes several times the memory of a slice.
+    """
+    tokens = np.zeros(batch.num_rows, dtype="int64")
+    for c in columns:
+        tokens += pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in even_runs(tokens, max(1, int(PIECE_BYTES * tokens.sum() / max(1, batch.nbytes)))):
+        yield batch.slice(lo, hi - lo)
+
+
 def _with_best(rows: DataFrame, keep: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Replace token columns by best matches: ``pairs`` maps output to (query, document).
 
@@ -65,9 +79,10 @@ def _with_best(rows: DataFrame, keep: list[str], pairs: dict[str, tuple[str, str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = Scratch("float64")
-        for batch in batches:
+        vectors = sorted({c for pair in pairs.values() for c in pair})
+        for batch in (piece for whole in batches for piece in _pieces(whole, vectors)):
             side = {}
-            for c in {c for pair in pairs.values() for c in pair}:
+            for c in vectors:
                 toks, counts = token_rows(batch.column(c), "float64")
                 side[c] = np.split(toks, np.cumsum(counts)[:-1])
             out = [pa.array([_best(q, d, scratch) for q, d in zip(side[a], side[b])],
@@ -237,7 +252,7 @@ def _partial_sums(features: DataFrame, gate: Gate, mode: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, low, high, rows = None, np.inf, -np.inf, 0
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, ["q_toks"])):
             q, counts = token_rows(batch.column("q_toks"), "float64")
             if not len(q):
                 continue

@@ -347,7 +347,7 @@ class Holders:
         count = stop - np.where(vectors > 0, self.ends[vectors - 1], 0)
         found = np.flatnonzero(count)
         count, start = count[found], stop[found] - count[found]
-        for lo, hi in _even_runs(count, PLACES_AT_ONCE):
+        for lo, hi in even_runs(count, PLACES_AT_ONCE):
             n = count[lo:hi]
             at = np.repeat(start[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             yield np.repeat(found[lo:hi], n), self.docs[at].astype("int64")
@@ -458,7 +458,7 @@ class Close:
         return _summed(best, block)[wanted[docs]]
 
 
-def _even_runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+def even_runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """``_runs`` for very many small sizes."""
     ends, start = np.cumsum(sizes), 0
     while start < len(sizes):
