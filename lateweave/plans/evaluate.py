@@ -103,12 +103,25 @@ def evaluate_texts(spark: SparkSession, queries: DataFrame, docs: DataFrame, pat
         embed_tokens(docs, document_encoder, ["split", "doc_id"], "text",
                      document_length, partitions=partitions).write.parquet(f"{vectors}/docs")
         d = spark.read.schema("split string, doc_id string, toks array<array<float>>").parquet(f"{vectors}/docs")
+        d = _long_tasks(d)
         return evaluate_run(spark, spark.read.parquet(f"{vectors}/queries"), d, path, run_id, gate,
                             query_length, short_length, document_length, **scoring)
     finally:
         paths.delete(spark, vectors)        # the metrics are written by now
 
 
+TASKS_PER_CORE = 3
+
+
+def _long_tasks(vectors: DataFrame) -> DataFrame:
+    """Written vectors in a few tasks per core, without a shuffle.
+
+    Vectors are much larger than their texts, so that a scan has very many tasks, each of which has to
+    find out anew how good a document must be. A task holds one chunk, however much it reads.
+    """
+    return vectors.coalesce(TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism)
+
+
 # Token caps of the small corpora.
 SMALL_QUERY_LENGTH = 64
 SMALL_DOCUMENT_LENGTH = 512
@@ -133,6 +146,7 @@ def evaluate_corpora(spark: SparkSession, corpora: list[dict[str, DataFrame]], p
         q = write_scratch(embed_tokens(queries, query_encoder, ["split", "qid"], "text", query_length), "queries")
         d = write_scratch(embed_tokens(docs, document_encoder, ["split", "doc_id"], "text", document_length,
                                        partitions=partitions), "documents")
+        d = _long_tasks(d)
         ranked = rank_queries(q, d, gate, **scoring)
         values = retrieval_metrics(ranked, qrels, q, metrics)
         write_metrics(values.join(pending, "split"), path)
