@@ -30,19 +30,20 @@ from pyspark.sql import functions as F
 from lateweave.functions.vectors import MASKED_SCORE, MIN_WEIGHT_SUM, all_seen
 from lateweave.operators.ranking import QUERY_KEY, TOP_K, topk_per_query
 from lateweave.schemas import require_columns
-from lateweave.session import scratch_path
+from lateweave.session import bounded_batches, scratch_path
 from lateweave.sources import paths
 
 QUERY_PASS_BYTES = 128 << 20    # query vectors in a broadcast or in a file of the query table
-CHUNK_BYTES = 128 << 20         # distinct document vectors, places and best matches that a task holds
+CHUNK_BYTES = 32 << 20          # distinct document vectors, places and best matches that a task holds
+PIECE_BYTES = 8 << 20           # document vectors of an Arrow batch that are looked at together
 DENSE_BYTES = 32 << 20          # document vectors that are multiplied out together
 CANDIDATE_BYTES = 256 << 20     # best documents of the queries of one pass in one task
 CANDIDATE_ROW_BYTES = 160
 BLOCK_TOKENS = 1024
 GUESSES = 8                     # documents from which the closeness is guessed that is followed up
 LEAST_PLACES = 64               # distinct vectors of a document on average below which all is multiplied out
-CLOSE_LIMIT = 4 << 20           # (vector, token) pairs held for a block
-PLACES_AT_ONCE = 1 << 20
+CLOSE_LIMIT = 1 << 20           # (vector, token) pairs held for a block
+PLACES_AT_ONCE = 1 << 18
 SINGLE = float(np.finfo("float32").eps)
 MODES = ("plain", "norm", "unnorm")
 
@@ -211,8 +212,19 @@ class DocIndex:
         return Holders(self.places, docs, len(self.toks), len(self.counts))
 
 
+def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.Table]:
+    """The rows of a batch in tables of at most ``limit`` bytes of vectors, at least one row each."""
+    toks = batch.column("toks")
+    counts = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False)
+    vectors = toks.flatten()
+    values = vectors.flatten()
+    one = len(values) * values.type.bit_width // 8 / max(1, len(vectors))
+    for lo, hi in even_runs(counts, max(1, int(limit / max(1, one)))):
+        yield pa.Table.from_batches([batch.slice(lo, hi - lo)])
+
+
 def doc_index(rows: pa.Table) -> DocIndex:
-    """The index of one batch."""
+    """The index of one piece of a batch."""
     rows = rows.combine_chunks()
     toks, counts = token_rows(rows.column("toks").combine_chunks())
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -337,9 +349,13 @@ class Holders:
     """The documents that hold each vector, of all documents of an index or of some."""
 
     def __init__(self, places: np.ndarray, docs: np.ndarray, vectors: int, documents: int) -> None:
-        pairs = np.sort(places.astype("int64") * documents + docs)
+        pairs = places.astype("int64")
+        pairs *= documents
+        pairs += docs
+        pairs.sort()
+        pairs %= documents
         self.ends = np.cumsum(np.bincount(places, minlength=vectors))
-        self.docs = (pairs % documents).astype("int32")
+        self.docs = pairs.astype("int32")
 
     def of(self, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Each place in ``vectors`` with each holder of the vector named there."""
@@ -402,15 +418,18 @@ class Close:
             held.append(((v + lo).astype("int32"), c.astype("int32"), sims.reshape(-1)[at]))
             number += len(at)
             if number > CLOSE_LIMIT:
-                v, c, sim = (np.concatenate(x) for x in zip(*held))
                 top = self.level.copy()
-                np.maximum.at(top, c, sim)
+                for _, c, sim in held:
+                    np.maximum.at(top, c, sim)
                 self.level = np.maximum(self.level, (self.level + top) / 2)
-                keep = sim >= self.level[c]
-                held, number = [(v[keep], c[keep], sim[keep])], int(keep.sum())
-        v, c, sim = (np.concatenate(x) for x in zip(*held))
+                held = [self._at_level(*part) for part in held]
+                number = sum(len(v) for v, _, _ in held)
+        held = [self._at_level(*part) for part in held]
+        self.vector, self.token, self.sim = (np.concatenate(x) for x in zip(*held))
+
+    def _at_level(self, v: np.ndarray, c: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, ...]:
         keep = sim >= self.level[c]
-        self.vector, self.token, self.sim = v[keep], c[keep], sim[keep]
+        return v[keep], c[keep], sim[keep]
 
     def bounds(self) -> np.ndarray:
         """``[documents, queries]``: no score in single precision is larger."""
@@ -568,14 +587,14 @@ def _local_topk(passes: Callable[[], Iterable[dict[str, list[tuple]]]], k: int,
 
         held, size = {}, 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for split in pc.unique(table["split"]).to_pylist():
-                part = doc_index(table.filter(pc.equal(table["split"], split)))
-                if held and size + part.nbytes > chunk_bytes:
-                    yield from scored(held)
-                    held, size = {}, 0
-                held.setdefault(split, []).append(part)
-                size += part.nbytes
+            for table in pieces(batch):
+                for split in pc.unique(table["split"]).to_pylist():
+                    part = doc_index(table.filter(pc.equal(table["split"], split)))
+                    if held and size + part.nbytes > chunk_bytes:
+                        yield from scored(held)
+                        held, size = {}, 0
+                    held.setdefault(split, []).append(part)
+                    size += part.nbytes
         if held:
             yield from scored(held)
     return run
@@ -635,12 +654,14 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, mode: str =
     by one for each chunk of documents. Either way ``docs`` is read once, by the one job that the
     result is part of. A task holds ``chunk_bytes`` of documents, one pass, ``k`` rows per
     query of a block, and of broadcast queries ``k`` grades each. The query table stays until ``session.clear_scratch``.
+    Arrow batches are bounded by bytes in the session (``bounded_batches``).
     ``partitions`` spreads a small document table over more tasks. Scores that agree to
     ``DECIMALS`` tie and go by ``doc_id``. ``dtype="float32"`` keeps the scores of single precision.
     """
     if mode not in MODES:
         raise ValueError(f"unknown score mode {mode!r}")
     spark = queries.sparkSession
+    bounded_batches(spark)
     cols = [*QUERY_KEY, "toks"] + ([] if mode == "plain" else ["w"])
     queries = require_columns(queries, cols, "query table").select(*cols)
     mask = [all_seen(F.col("mask"), F.col("toks")).alias("mask")] if "mask" in docs.columns else []
