@@ -58,8 +58,11 @@ def pending_runs(spark: SparkSession, queries: DataFrame, path: str, run_id: str
 
 
 def only_splits(tables: list[DataFrame], wanted: DataFrame) -> list[DataFrame]:
-    """The rows of the wanted splits; tables stored by split are pruned when the join runs."""
-    return [df.join(wanted.select("split"), "split", "left_semi") for df in tables]
+    """The rows of the wanted splits; tables stored by split are pruned when the join runs.
+
+    Splits are few, whatever Spark makes of the size of ``wanted``: vectors are never shuffled by split.
+    """
+    return [df.join(F.broadcast(wanted.select("split")), "split", "left_semi") for df in tables]
 
 
 def evaluate_run(spark: SparkSession, queries: DataFrame, docs: DataFrame, path: str, run_id: str,
@@ -90,7 +93,9 @@ def evaluate_texts(spark: SparkSession, queries: DataFrame, docs: DataFrame, pat
     """``evaluate_run`` from texts: embed the pending splits once, then score them.
 
     ``queries``: ``split, qid, query, gold_ids, excluded_ids``; ``docs``: ``split, doc_id,
-    text``. The vectors are kept in the shared checkpoint folder until the metrics are written.
+    text``. The queries' vectors are read several times and are kept in the shared checkpoint folder until
+    the metrics are written. Those of documents, many times as large as their texts, are read once: they go
+    from the encoder to the scoring batch by batch and are never stored.
     """
     pending = pending_runs(spark, queries, path, run_id, query_length, short_length)
     if pending.isEmpty():
@@ -99,12 +104,10 @@ def evaluate_texts(spark: SparkSession, queries: DataFrame, docs: DataFrame, pat
     vectors = scratch_path(spark, "vectors")
     try:
         embed_tokens(queries, query_encoder, ["split", "qid", "gold_ids", "excluded_ids"],
-                     "query", query_length).write.parquet(f"{vectors}/queries")
-        embed_tokens(docs, document_encoder, ["split", "doc_id"], "text",
-                     document_length, partitions=partitions).write.parquet(f"{vectors}/docs")
-        d = spark.read.schema("split string, doc_id string, toks array<array<float>>").parquet(f"{vectors}/docs")
-        d = _long_tasks(d)
-        return evaluate_run(spark, spark.read.parquet(f"{vectors}/queries"), d, path, run_id, gate,
+                     "query", query_length).write.parquet(vectors)
+        d = _long_tasks(embed_tokens(docs, document_encoder, ["split", "doc_id"], "text",
+                                     document_length, partitions=partitions))
+        return evaluate_run(spark, spark.read.parquet(vectors), d, path, run_id, gate,
                             query_length, short_length, document_length, **scoring)
     finally:
         paths.delete(spark, vectors)        # the metrics are written by now
