@@ -117,10 +117,10 @@ TASKS_PER_CORE = 3
 
 
 def _long_tasks(vectors: DataFrame) -> DataFrame:
-    """Written vectors in a few tasks per core, without a shuffle.
+    """Written or newly embedded vectors in a few tasks per core, without a shuffle.
 
-    Vectors are much larger than their texts, so that a scan has very many tasks, each of which has to
-    find out anew how good a document must be. A task holds one chunk, however much it reads.
+    Vectors are much larger than their texts, so that a scan of them has very many tasks, each of which has
+    to find out anew how good a document must be. A task holds one chunk, however much it reads.
     """
     return vectors.coalesce(TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism)
 
